@@ -67,7 +67,7 @@ def paired_groups(rows: DataFrame, keys: list[str], identity: str, limit: int) -
     is in.  Every pair of rows meets: in (p, p) if both are of part p, else in (p, q).  Adds part, pa, pb.
     No group holds more than about two limits, whatever the size of the hot key.
     """
-    large = (
+    large = kept(
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
     )
