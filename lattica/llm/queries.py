@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import embedding_neardup, simhash
+from lattica.llm import embedding_neardup, simhash, substring_dedup
 from lattica.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,14 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op2_simhash_neardup)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
