@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -59,20 +60,35 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in held.get("added_tokens", [])}
         for text, i in self.special.items():
             self.bytes.setdefault(i, text.encode())
-        self.longest = max(map(len, self.id))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(b) for b, i in self.id.items()}
+        self.endings = self._endings()
+        self._fits: dict[int, bool] = {}
         size = max(self.bytes) + 1
         self.length = np.array([len(self.bytes.get(i, b"")) for i in range(size)], np.int64)
         self.first = np.r_[0, np.cumsum(self.length)]
         self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
 
+    def _endings(self) -> dict[bytes, tuple[int, ...]]:
+        """For up to three last bytes of a prefix, the lengths of tokens that may end there, longest first."""
+        found: dict[bytes, set[int]] = {}
+        for token in self.id:
+            found.setdefault(token[-3:], set()).add(len(token))
+        short = {t: len(t) for t in self.id if len(t) < 3}
+        pairs = {k for t in self.id for k in (t[i : i + 3] for i in range(len(t) - 2))}
+        for k in [*found, *pairs]:
+            for n in (1, 2):
+                if k[-n:] in short:
+                    found.setdefault(k, set()).add(n)
+        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE keeps tokens a and b apart when they are neighbours."""
-        known = self._fits.get((a, b))
+        key = a << 32 | b
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            known = self._fits[a, b] = self._apart(a, b)
+            known = self._fits[key] = self._apart(a, b)
         return known
 
     def _apart(self, a: int, b: int) -> bool:
@@ -92,19 +108,24 @@ class Vocabulary:
                 limit, b = right + 1, self.parts[b][0]
                 right = self.rank.get(b, 0)
 
-    def encode_sorted(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def encode_sorted(self, words: list[bytes]) -> list[list[int]]:
         """Encodings of distinct words in sorted order, each prefix handled once."""
-        ids, fits, longest, out = self.id, self.fits, self.longest, []
-        before, last = b"", [-1]  # last[d]: the last token of the first d bytes
+        ids, fits, known, size, endings, out = self.id, self.fits, self._fits, self.sizes, self.endings, []
+        before, last = b"", [-1]  # last[d]: the last token of the first d bytes; -2: none
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
             for d in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, d - longest), d):
-                    token = ids.get(word[begin:d])
-                    if token is not None and last[begin] != -2 and (begin == 0 or fits(last[begin], token)):
+                for n in endings.get(word[max(0, d - 3) : d], (2, 1)):
+                    if n > d:
+                        continue
+                    token = ids.get(word[d - n : d])
+                    if token is None:
+                        continue
+                    ahead = last[d - n]
+                    if n == d or ahead >= 0 and (known.get(ahead << 32 | token) or fits(ahead, token)):
                         last.append(token)
                         break
                 else:
@@ -112,8 +133,9 @@ class Vocabulary:
             tokens, d = [], len(word)
             while d:
                 tokens.append(last[d])
-                d -= len(self.bytes[last[d]])
-            out.append(tuple(reversed(tokens)))
+                d -= size[last[d]]
+            tokens.reverse()
+            out.append(tokens)
             before = word
         return out
 
@@ -126,48 +148,79 @@ class Vocabulary:
         return self.flat[np.arange(n.sum()) + np.repeat(self.first[ids] - begin, n)].tobytes()
 
 
-_loaded: dict[str, tuple[Vocabulary, dict[str, bytes]]] = {}
+class Encoder:
+    """Encodes texts with encodings of pieces that it has met; one per Python worker and vocabulary.
+
+    A piece is what stands between single spaces.  A space with something other than white space on both sides
+    always begins a word of its own, so pieces can be split into words one by one; texts in which a space touches
+    other white space are split as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        self.split = regex.compile(SPLIT)
+        names = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.lead: dict[str, bytes | None] = {}  # pieces at the start of a text
+        self.rest: dict[str, bytes | None] = {}  # pieces after a space
+
+    def _words(self, text: str) -> list[str]:
+        if self.special is None or not self.special.search(text):
+            return self.split.findall(text)
+        out: list[str] = []
+        for k, part in enumerate(self.special.split(text)):
+            out += [part] if k % 2 else self.split.findall(part)
+        return out
+
+    def _encode(self, split: list[list[str]]) -> list[bytes]:
+        """Join the encodings of words; each distinct word is encoded once, along the trie of them all."""
+        own = {s: np.uint32(i).tobytes() for s, i in self.vocabulary.special.items()}
+        words = sorted((w.encode(), w) for w in set().union(*split) - own.keys())
+        for (_, w), tokens in zip(words, self.vocabulary.encode_sorted([b for b, _ in words]), strict=True):
+            own[w] = pack(f"<{len(tokens)}I", *tokens)
+        return [b"".join(map(own.__getitem__, x)) for x in split]
+
+    def _learn(self, pieces: set[str], known: dict[str, bytes | None], space: str) -> None:
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and not (self.special and self.special.search(space + p))]
+        known.update(dict.fromkeys(pieces))
+        known.update(zip(plain, self._encode([self.split.findall(space + p) for p in plain]), strict=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers; a special token's string is that token."""
+        out, at = [], 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_CHARS):
+                size += len(texts[end])
+                end += 1
+            if len(self.lead) + len(self.rest) > KEPT_WORDS:
+                self.lead.clear()
+                self.rest.clear()
+            split = [t.split(" ") for t in texts[at:end]]
+            first = [p.pop(0) for p in split]
+            rest = self.rest
+            self._learn(set(first) - self.lead.keys(), self.lead, "")
+            self._learn({w for p in split for w in p if w not in rest}, rest, " ")
+            for t, a, p in zip(texts[at:end], first, split, strict=True):
+                try:
+                    out.append(self.lead[a] + b"".join(map(rest.__getitem__, p)))
+                except TypeError:  # a piece that does not stand by itself
+                    out += self._encode([self._words(t)])
+            at = end
+        return out
 
 
-def _vocabulary(path: str) -> tuple[Vocabulary, dict[str, bytes]]:
-    """One per Python worker, with the encodings (ids as bytes) that it has met."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path), {}
-    return _loaded[path]
+_encoders: dict[str, Encoder] = {}
 
 
-def _pieces(splitter, special, text: str) -> list[str]:
-    if special is None or not special.search(text):
-        return splitter.findall(text)
-    out: list[str] = []
-    for k, part in enumerate(special.split(text)):
-        out += [part] if k % 2 else splitter.findall(part)
-    return out
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit integers; special tokens' strings are those tokens."""
-    vocabulary, known = _vocabulary(path)
-    splitter = regex.compile(SPLIT)
-    special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    if not known:
-        known.update({s: np.uint32(i).tobytes() for s, i in vocabulary.special.items()})
-    out, at = [], 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_CHARS):
-            size += len(texts[end])
-            end += 1
-        split = [_pieces(splitter, special, t) for t in texts[at:end]]
-        new: set[str] = set().union(*split) - known.keys()
-        words = sorted((w.encode(), w) for w in new)
-        for (_, w), tokens in zip(words, vocabulary.encode_sorted([b for b, _ in words]), strict=True):
-            known[w] = np.array(tokens, "<u4").tobytes()
-        out += [b"".join(map(known.__getitem__, p)) for p in split]
-        at = end
-    return out
+    return encoder(path).texts(texts)
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +244,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """(id, ids, text) from (id, ids): the texts that the ids stand for; bytes that are no UTF-8 become U+FFFD."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)[0]
+        vocabulary = encoder(path).vocabulary
         for batch in batches:
             lists = batch.column("ids")
             flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
@@ -200,3 +253,19 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
     kind = coded.schema["id"].dataType.simpleString()
     return coded.select("id", "ids").mapInArrow(make, f"id {kind}, ids array<int>, text string")
+
+
+def encode_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, ids binary, text) in one pass: ids as little-endian unsigned 32-bit integers, text decoded from them."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            coded = own.texts([t or "" for t in batch.column("text").to_pylist()])
+            texts = [own.vocabulary.decode(np.frombuffer(c, "<u4").astype(np.int64)).decode("utf-8", "replace") for c in coded]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(texts, pa.string())],
+                names=["id", "n_tokens", "ids", "text"])
+
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, text string")

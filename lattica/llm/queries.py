@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, embedding_neardup, quality, secret_scan, simhash, substring_dedup
+from lattica.llm import bpe, decontaminate, embedding_neardup, quality, secret_scan, simhash, substring_dedup
 from lattica.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,19 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that op6 and the pipeline encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -54,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op5_benchmark_decontamination,
-        op7_quality_classifier, op9_secret_scan)}
+        op6_bpe_round_trip, op7_quality_classifier, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
