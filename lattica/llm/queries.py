@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, embedding_neardup, quality, secret_scan, simhash, substring_dedup
+from lattica.llm import bpe, decontaminate, embedding_neardup, quality, secret_scan, simhash, substring_dedup, warc
 from lattica.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -67,7 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op5_benchmark_decontamination,
-        op6_bpe_round_trip, op7_quality_classifier, op9_secret_scan)}
+        op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
