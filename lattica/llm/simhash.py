@@ -22,7 +22,8 @@ from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64
 
 #: Fingerprints that a tree is fitted on, at most.
 SAMPLE = 8192
-LEAF = 2500
+#: Fingerprints per leaf before overlap, about; leaves over SPLIT rows (dense groups) are split into parts.
+LEAF, SPLIT = 4000, 40_000
 _U = np.uint64
 #: The 16-bit lanes that hold the low and the high four bits of a byte.
 _LANES = np.array([[sum((v >> (4 * k + b) & 1) << (16 * b) for b in range(4)) for v in range(256)] for k in range(2)], _U)
@@ -185,7 +186,7 @@ def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
         trees.append(fit_tree(sample["fp"].to_numpy(np.int64).view(_U), depth))
     routed = prints.select("tree", "fp", "rep").mapInArrow(
         _router(trees, depth, reach), "tree int, leaf long, spilt long, fp long, rep long")
-    dealt = paired_groups(routed, ["tree", "leaf"], "fp", 4 * LEAF)
+    dealt = paired_groups(routed, ["tree", "leaf"], "fp", SPLIT)
     return dealt.groupBy("tree", "leaf", "pa", "pb").applyInArrow(_leaf(reach), "a long, b long")
 
 
