@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, embedding_neardup, quality, secret_scan, simhash, substring_dedup, warc
+from lattica.llm import bpe, decontaminate, embedding_neardup, hmm, quality, secret_scan, simhash, substring_dedup, warc
 from lattica.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +71,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op5_benchmark_decontamination,
-        op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan)}
+        op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan, op10_hmm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
