@@ -100,6 +100,14 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
         return True
 
+    def labels(self) -> np.ndarray:
+        """The root of every member."""
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        self.up = up.tolist()
+        return up
+
 
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's long."""

@@ -114,3 +114,15 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", scope: int = S
 def as_text(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with the spans, sorted by start, replaced by ``mark``; spans that overlap become one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans, start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+            .otherwise(acc["out"]).alias("out")),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

@@ -135,35 +135,27 @@ def _leaf(reach: int):
         fp, spilt, rep, part = fp[order], spilt[order], rep[order], part[order]
         a = np.flatnonzero(part == low)
         b = a if low == high else np.flatnonzero(part == high)
-        forests, label = [Forest(len(fp)) for _ in range(reach + 1)], [np.arange(len(fp)) for _ in range(reach + 1)]
+        forest, label = Forest(len(fp)), np.arange(len(fp))
         edges, step = [], max(1, 1_000_000 // max(1, len(b)))
         for i0 in range(0, len(a), step):
             rows, cols = a[i0 : i0 + step], b[i0:] if low == high else b
             away = np.bitwise_count(fp[rows][:, None] ^ fp[cols][None, :])
             i, j = np.nonzero(away <= reach)
             d, i, j = away[i, j], rows[i], cols[j]
-            ok = (i != j) & ((spilt[i] & spilt[j]) == 0)
-            if low == high:
-                ok &= i < j
+            ok = (label[i] != label[j]) & ((spilt[i] & spilt[j]) == 0)
             d, i, j = d[ok], i[ok], j[ok]
-            for level in range(reach + 1):  # nearest first: a spanning forest at every distance
+            for level in range(reach + 1):  # nearest first
                 x, y = i[d == level], j[d == level]
+                # one edge per partner, then one per pair of sets still apart, then all that still join two sets
                 for turn in range(3):
-                    apart = label[level][x] != label[level][y]
+                    apart = label[x] != label[y]
                     x, y = x[apart], y[apart]
                     if not len(x):
                         break
-                    once = np.unique(y, return_index=True)[1] if turn == 0 else np.unique(label[level][x] * len(fp) + label[level][y], return_index=True)[1] if turn == 1 else slice(None)
-                    for p, q in zip(x[once].tolist(), y[once].tolist(), strict=True):
-                        if forests[level].join(p, q):
-                            edges.append((p, q))
-                            for other in forests[level + 1 :]:
-                                other.join(p, q)
-                    for k in range(level, reach + 1):
-                        up = np.array(forests[k].up)
-                        while (up[up] != up).any():
-                            up = up[up]
-                        label[k] = up
+                    key = (y, label[x] * len(fp) + label[y], np.arange(len(x)))[turn]
+                    once = np.unique(key, return_index=True)[1]
+                    edges += [(p, q) for p, q in zip(x[once].tolist(), y[once].tolist(), strict=True) if forest.join(p, q)]
+                    label = forest.labels()
         x, y = np.array(edges, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"])
     return link
@@ -173,7 +165,7 @@ def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
     """Links (a, b) between the representatives of distinct fingerprints at most ``reach`` bits apart.
 
     ``prints`` has (tree int, fp long, rep long), distinct by (tree, fp); each tree is searched by itself.  All
-    links are verified; those returned span every component at every distance up to ``reach``, nearest first.
+    links are verified; those returned span every component.
     """
     spark = prepare(prints.sparkSession)
     sizes = {r["tree"]: r["n"] for r in prints.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -208,7 +200,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _five(size: int):
+def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
@@ -224,32 +216,34 @@ def verified_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", tables: int = 8, reach: int = 3,
     shingle_words: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
-    """(id, component_id): documents whose sets of lower-cased word shingles have a Jaccard similarity of at least 0.8.
+    """(id, component_id), one row per input row: documents grouped by a Jaccard similarity of at least 0.8.
 
-    Candidates are documents that any of ``tables`` SimHash fingerprints of their single words puts within
-    ``reach`` bits, searched in one vantage-point tree per table; the links that span them, nearest first, are
-    verified on the ``shingle_words``-word shingle sets.  Equal texts are one vertex.  A pair at similarity 0.8 is
-    a candidate with probability of about 0.97, a closer one almost surely.  Null and empty texts are equal.
+    Candidates are texts that any of ``tables`` SimHash fingerprints of their single words puts within ``reach``
+    bits, each table searched through a vantage-point tree of its own; the links that span the candidates are
+    verified on the sets of lower-cased ``shingle_words``-word shingles.  A pair at similarity 0.8 is a candidate
+    with probability of about 0.97, a closer one almost surely.  Equal texts are one vertex, and null counts as
+    empty.  component_id is the smallest id of the group; a null id gets its text's group, null if it has no other.
     """
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.select("id", F.xxhash64("text").alias("k1"), F.sha2("text", 256).substr(1, 16).alias("k2"), "text")
-    copies = kept(keyed.groupBy("k1", "k2").agg(F.min("id").cast("long").alias("rep")))
-    firsts = rows.join(copies.where("rep is not null").select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    prints = kept(fingerprints(firsts, "id", "text", 1, tables).select("id", F.posexplode("fps").alias("tree", "fp"))
-                  .groupBy("tree", "fp").agg(F.min("id").alias("rep"), F.collect_set("id").alias("all")))
-    same = prints.where(F.size("all") > 1).select(F.col("rep").alias("a"), F.explode("all").alias("b")).where("a <> b")
-    near = hamming_links(prints.select("tree", "fp", "rep"), reach)
+    key = F.concat(F.lower(F.hex(F.xxhash64("text"))), F.substring(F.sha2("text", 256), 1, 16))
+    keyed = rows.select(F.struct("id", key.alias("key")).alias("id"), "text")
+    prints = kept(fingerprints(keyed, "id", "text", 1, tables).select("id.id", "id.key", "fps"))
+    copies = kept(prints.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("fps").alias("fps")))
+    spread = kept(copies.where("rep is not null").select("rep", F.posexplode("fps").alias("tree", "fp")))
+    alike = kept(spread.groupBy("tree", "fp").agg(F.min("rep").alias("first")))
+    same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    near = hamming_links(alike.withColumnRenamed("first", "rep"), reach)
     pairs = kept(same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = kept(firsts.join(ends, "id", "left_semi").select(F.col("id").alias("key"), "text")
-                .mapInArrow(_five(shingle_words), "key long, shingles array<long>")
+    ends = kept(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(copies.select("rep", "key"), "rep"))
+    texts = rows.withColumn("key", key).join(ends.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
+    sets = kept(texts.select(F.col("id").cast("long").alias("key"), "text").mapInArrow(_sets(shingle_words), "key long, shingles array<long>")
                 .withColumn("shingles", F.array_distinct("shingles")))
-    left = kept(pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
-        left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     )
     parts = connected_components(kept(links)).withColumnRenamed("id", "rep")
-    groups = kept(copies.join(parts, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")))
-    return keyed.drop("text").join(groups, ["k1", "k2"], "left").select("id", "component_id")
+    groups = kept(copies.join(parts, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
+    return prints.select("id", "key").join(groups, "key", "left").select("id", "component_id")
