@@ -9,7 +9,7 @@ has any, there the smallest name), and equal windows pick equal anchors.
 
 Spark then counts anchors over all blocks of documents: windows of an anchor that appears once are unique; an
 anchor that always has the same surroundings has repeated windows only; for the others the windows themselves
-are counted by a 128-bit hash.  Rows exchanged are arrays of one block and one bucket, each anchor or window
+are counted by a 96-bit hash.  Rows exchanged are arrays of one block and one bucket, each anchor or window
 at most once per block, so that a passage of a third of all documents is one entry per block.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import block_count, in_blocks, prepare, signed
 from lattica.llm.text import Words, chunks, mix
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ROUNDS = 3
 _U = np.uint64
 _P1, _P2 = _U(0x9E3779B97F4A7C15 | 1), _U(0xC2B2AE3D27D4EB4F)
@@ -124,8 +124,8 @@ class Block:
 
     def _anchors(self) -> None:
         n = len(self.h)
-        text = self.w.text_of()
-        at = np.arange(n)
+        text = self.w.text_of().astype(np.int32)
+        at = np.arange(n, dtype=np.int32)
         raw = Level(self.h, at, at + 1, at, at + 1, text)
         levels, x = [raw], raw
         for turn in range(ROUNDS):
@@ -212,7 +212,7 @@ def _anchor_rows(width: int, buckets: int):
             mixed = np.zeros(0, bool)
         name, around = name[begin], around[begin]
         return _to_buckets(t.column("block")[0].as_py(), ((name >> _U(20)) % _U(buckets)).astype(np.int64), {
-            "h": signed(name), "u": signed(around), "mixed": mixed.astype(np.int8), "n": n.astype(np.int32)})
+            "h": signed(name), "u": signed(around), "mixed": mixed.astype(np.int8), "n": np.minimum(n, 2).astype(np.int8)})
     return make
 
 
@@ -256,12 +256,12 @@ def _window_rows(width: int, buckets: int):
             b = Block(docs.column("text").combine_chunks(), width)
             start = b.windows[_state(b, known)[b.group] == 2]
         if not len(start):
-            return _to_buckets(0, start, {"h": start, "g": start, "n": start.astype(np.int32)})
-        one, two = b.one.of(start, start + width), b.two().of(start, start + width)
+            return _to_buckets(0, start, {"h": start, "g": start.astype(np.int32), "n": start.astype(np.int8)})
+        one, two = b.one.of(start, start + width), (b.two().of(start, start + width) >> _U(32)).astype(np.uint32).view(np.int32)
         order, begin, n = _counted([one, two], np.ones(len(one), np.int64))
         one, two = one[order][begin], two[order][begin]
         return _to_buckets(docs.column("block")[0].as_py(), ((one >> _U(20)) % _U(buckets)).astype(np.int64),
-                           {"h": signed(one), "g": signed(two), "n": n.astype(np.int32)})
+                           {"h": signed(one), "g": two, "n": np.minimum(n, 2).astype(np.int8)})
     return make
 
 
@@ -298,15 +298,16 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     """
     prepare(docs.sparkSession)
     blocks = block_count(docs, text, BLOCK_BYTES)
+    buckets = -(-blocks // 2)
     rows = in_blocks(docs, id, text, blocks)
     by_block = rows.groupBy("block")
     anchors = (
-        by_block.applyInArrow(_anchor_rows(window_words, blocks), "block int, bucket int, h array<long>, u array<long>, mixed array<tinyint>, n array<int>")
+        by_block.applyInArrow(_anchor_rows(window_words, buckets), "block int, bucket int, h array<long>, u array<long>, mixed array<tinyint>, n array<tinyint>")
         .groupBy("bucket").applyInArrow(_settle("anchors"), "block int, stage string, h array<long>, mixed array<tinyint>")
     )
     windows = (
         by_block.cogroup(anchors.groupBy("block"))
-        .applyInArrow(_window_rows(window_words, blocks), "block int, bucket int, h array<long>, g array<long>, n array<int>")
+        .applyInArrow(_window_rows(window_words, buckets), "block int, bucket int, h array<long>, g array<int>, n array<tinyint>")
         .groupBy("bucket").applyInArrow(_settle("windows"), "block int, stage string, h array<long>, mixed array<tinyint>")
     )
     kind = rows.schema["id"].dataType.simpleString()
