@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, embedding_neardup, hmm, quality, secret_scan, simhash, substring_dedup, warc
+from lattica.llm import bpe, decontaminate, embedding_neardup, hmm, license_scan, quality, secret_scan, simhash, substring_dedup, warc
 from lattica.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -78,7 +83,7 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op5_benchmark_decontamination,
+        op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op4_license_scan, op5_benchmark_decontamination,
         op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan, op10_hmm_scoring)}
 
 
