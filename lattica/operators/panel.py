@@ -32,17 +32,18 @@ def spine(panel: DataFrame, window: int = DEFAULTS.window) -> DataFrame:
     return full.join(rows.select("entity", "indicator", "period", "value"), ["entity", "indicator", "period"], "left")
 
 
-_SERIES = Window.partitionBy("entity", "indicator").orderBy("period")
+def _series():
+    return Window.partitionBy("entity", "indicator").orderBy("period")
 
 
 def forward_filled(limit: int = DEFAULTS.forward_fill):
     """The value, or the last one seen at most ``limit`` periods before; needs a full spine."""
-    return F.last("value", ignorenulls=True).over(_SERIES.rowsBetween(-limit, 0))
+    return F.last("value", ignorenulls=True).over(_series().rowsBetween(-limit, 0))
 
 
 def interpolated():
     """The value; else, one period after an observation, the linear value towards the next one (or the last one at the tail)."""
-    before, after = _SERIES.rowsBetween(Window.unboundedPreceding, -1), _SERIES.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _series().rowsBetween(Window.unboundedPreceding, -1), _series().rowsBetween(1, Window.unboundedFollowing)
     year = F.when(F.col("value").isNotNull(), F.col("period"))
     v0, t0 = F.last("value", ignorenulls=True).over(before), F.last(year, ignorenulls=True).over(before)
     v1, t1 = F.first("value", ignorenulls=True).over(after), F.first(year, ignorenulls=True).over(after)
