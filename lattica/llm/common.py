@@ -47,6 +47,16 @@ def fold(id_column: str | Column, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column.cast("string")) % folds
 
 
+def hashed_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most ``rows`` rows, the first by a hash of ``columns``; the driver sees about twice as many at most.
+
+    Rows outside a share of the hash's range are dropped in the tasks, so that not every task sends ``rows`` rows.
+    """
+    code = F.xxhash64(*columns)
+    share = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(code, F.lit(share)) == 0).orderBy(code, *columns).limit(rows)
+
+
 def block_count(docs: DataFrame, text: str, target_bytes: int) -> int:
     """How many blocks of about ``target_bytes`` the texts fill (one pass over that column)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Forest, kept, paired_groups, prepare, signed
+from lattica.llm.common import Forest, hashed_sample, kept, paired_groups, prepare, signed
 from lattica.llm.components import connected_components
 from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64_ranges
 
@@ -174,7 +174,7 @@ def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(sizes.values()) / LEAF))))
     trees = []
     for t in range(max(sizes) + 1):
-        sample = prints.where(F.col("tree") == t).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()
+        sample = hashed_sample(prints.where(F.col("tree") == t).select("fp"), SAMPLE, "fp").toPandas()
         trees.append(fit_tree(sample["fp"].to_numpy(np.int64).view(_U), depth))
     routed = prints.select("tree", "fp", "rep").mapInArrow(
         _router(trees, depth, reach), "tree int, leaf long, spilt long, fp long, rep long")

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import kept, prepare, shared_folder
+from lattica.llm.common import hashed_sample, kept, prepare, shared_folder
 
 # Fixed value of the WARC-Zstandard convention: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -37,8 +37,8 @@ DATE = "1970-01-01T00:00:00Z"
 
 def train_dictionary(pages: DataFrame, payload: str) -> bytes:
     """A dictionary from the first ``SAMPLE_RECORDS`` records by a hash (b"" if they are too few)."""
-    sample = pages.select(F.substring(payload, 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id", payload).alias("h")).where("length(p) > 0")
-    found = [r["p"].encode() for r in sample.orderBy("h").limit(SAMPLE_RECORDS).select("p").collect()]
+    sample = hashed_sample(pages.where(F.octet_length(payload) > 0).select("page_id", F.substring(payload, 1, SAMPLE_BYTES).alias("p")), SAMPLE_RECORDS, "page_id", "p")
+    found = [r["p"].encode() for r in sample.collect()]
     if len(found) < 16:
         return b""
     try:
