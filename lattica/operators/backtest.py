@@ -89,8 +89,8 @@ def validate_episodes(episodes: DataFrame, scores: DataFrame) -> DataFrame:
     The rate is over all listed (entity, year) pairs; PASS at 0.5 or more for the primary list, SKIP without one.
     """
     listed = F.concat(
-        F.transform("primary", lambda e: F.struct(F.lit("primary").alias("role"), e.alias("entity"))),
-        F.transform("secondary", lambda e: F.struct(F.lit("secondary").alias("role"), e.alias("entity"))))
+        F.transform("primary", lambda e: F.named_struct(F.lit("role"), F.lit("primary"), F.lit("entity"), e)),
+        F.transform("secondary", lambda e: F.named_struct(F.lit("role"), F.lit("secondary"), F.lit("entity"), e)))
     rows = episodes.select("name", F.explode("years").alias("period"), listed.alias("listed")).select("name", "period", F.explode("listed").alias("x"))
     rows = rows.select("name", "period", "x.role", "x.entity")
     prev = scores.select("entity", (F.col("period") + 1).alias("period"), F.col("score").alias("before"))

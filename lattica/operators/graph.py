@@ -294,7 +294,7 @@ def _on_matrix(edges: DataFrame, work, schema: str) -> DataFrame:
     n = nodes(edges).count()
     if n > DENSE_LIMIT:
         raise ValueError(f"{n} nodes; dense kernels stop at {DENSE_LIMIT}")
-    return edges.select("src", "dst", "w").groupBy(F.lit(1)).applyInPandas(lambda pdf: work(*_matrix(pdf[["src", "dst", "w"]])), schema)
+    return edges.select("src", "dst", "w").groupBy().applyInPandas(lambda pdf: work(*_matrix(pdf[["src", "dst", "w"]])), schema)
 
 
 def spectrum(edges: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def principal_components(correlations: DataFrame) -> DataFrame:
         return pd.DataFrame([(c + 1, name, values[c], vectors[i, c], c < k) for c in range(len(values)) for i, name in enumerate(m.index)],
                             columns=["component", "indicator", "eigenvalue", "loading", "kept"])
 
-    return correlations.groupBy(F.lit(1)).applyInPandas(lambda pdf: solve(pdf[["a", "b", "r"]]), "component int, indicator string, eigenvalue double, loading double, kept boolean")
+    return correlations.groupBy().applyInPandas(lambda pdf: solve(pdf[["a", "b", "r"]]), "component int, indicator string, eigenvalue double, loading double, kept boolean")
 
 
 def rotated_loadings(components: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def rotated_loadings(components: DataFrame) -> DataFrame:
         return pd.DataFrame([(int(c), name, r[i, k]) for k, c in enumerate(m.columns) for i, name in enumerate(m.index)], columns=["component", "indicator", "loading"])
 
     kept = components.where("kept").select("component", "indicator", "eigenvalue", "loading")
-    return kept.groupBy(F.lit(1)).applyInPandas(lambda pdf: turn(pdf[["component", "indicator", "eigenvalue", "loading"]]), "component int, indicator string, loading double")
+    return kept.groupBy().applyInPandas(lambda pdf: turn(pdf[["component", "indicator", "eigenvalue", "loading"]]), "component int, indicator string, loading double")
 
 
 def composite_scores(matrix: DataFrame, components: DataFrame) -> DataFrame:
@@ -177,18 +177,19 @@ def bootstrap_composites(matrix: DataFrame, components: DataFrame, replicates: i
     spark = matrix.sparkSession
     wide = matrix.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("indicator", "value"))).alias("m"))
     names = F.array_sort(F.collect_set("indicator"))
-    one = wide.agg(F.array_sort(F.collect_list(F.struct("entity", "m"))).alias("rows")).join(matrix.agg(names.alias("names")))
+    one = wide.agg(F.collect_list(F.struct("entity", "m")).alias("rows")).join(matrix.agg(names.alias("names")))
     basis = components.where("kept").groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("indicator", "loading"))).alias("v"), F.first("eigenvalue").alias("ev"))
-    ref = basis.agg(F.array_sort(F.collect_list(F.struct("component", "v", "ev"))).alias("basis"))
+    ref = basis.agg(F.collect_list(F.struct("component", "v", "ev")).alias("basis"))
     jobs = spark.range(replicates).select(F.col("id").alias("replicate")).repartition(min(replicates, 64)).join(F.broadcast(one.join(ref)))
 
     def run(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                names, ents = list(r.names), [x["entity"] for x in r.rows]
-                x = np.array([[dict(row["m"]).get(n, np.nan) for n in names] for row in r.rows], float)
+                names, rows = list(r.names), sorted(r.rows, key=lambda x: x["entity"])
+                ents, basis = [x["entity"] for x in rows], sorted(r.basis, key=lambda b: b["component"])
+                x = np.array([[dict(row["m"]).get(n, np.nan) for n in names] for row in rows], float)
                 x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
-                v0 = np.array([[dict(b["v"]).get(n, 0.0) for n in names] for b in r.basis]).T
+                v0 = np.array([[dict(b["v"]).get(n, 0.0) for n in names] for b in basis]).T
                 pick = np.random.RandomState([seed, r.replicate]).randint(0, len(x), len(x))
                 with np.errstate(all="ignore"):
                     c = np.nan_to_num(np.corrcoef(x[pick], rowvar=False))
