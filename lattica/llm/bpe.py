@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import prepare
 
 #: Encodings that a task keeps for later chunks, at most; beyond that it starts anew.
-KEPT_WORDS = 400_000
-CHUNK_CHARS = 4_000_000
+KEPT_WORDS = 150_000
+CHUNK_CHARS = 1_000_000
 
 # Fixed value: how this tokenizer splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,7 +86,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = self._apart(a, b)
         return known

@@ -133,7 +133,7 @@ def _scanner(templates: dict[str, str], coverage: float):
                 hit = np.flatnonzero(every[np.minimum(np.searchsorted(every, codes), len(every) - 1)] == codes)
                 owner, out = w.text_of()[hit], []
                 begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
-                for s, e in zip(begin, np.r_[begin[1:], len(owner)], strict=True):
+                for s, e in zip(begin, np.r_[begin[1:], len(owner)][: len(begin)], strict=True):
                     row = int(owner[s])
                     text = codes[w.first[row] : w.first[row + 1]].tolist()
                     at = (hit[s:e] - w.first[row]).tolist()
