@@ -273,6 +273,8 @@ def betweenness(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
                 for v in reversed(order):
                     for u in before.get(v, ()):
                         share[u] += paths[u] / paths[v] * (1 + share[v])
+                if len(order) == 1:
+                    continue
                 yield pd.DataFrame({"entity": order[1:], "b": [share[v] for v in order[1:]]}, columns=["entity", "b"])
 
     sums = jobs.mapInPandas(run, "entity string, b double").groupBy("entity").agg(F.sum("b").alias("b"))
