@@ -154,15 +154,15 @@ def _leaf(reach: int):
                         break
                     key = (y, label[x] * len(fp) + label[y], np.arange(len(x)))[turn]
                     once = np.unique(key, return_index=True)[1]
-                    edges += [(p, q) for p, q in zip(x[once].tolist(), y[once].tolist(), strict=True) if forest.join(p, q)]
+                    edges += [(p, q, level) for p, q in zip(x[once].tolist(), y[once].tolist(), strict=True) if forest.join(p, q)]
                     label = forest.labels()
-        x, y = np.array(edges, np.int64).reshape(-1, 2).T
-        return pa.table([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"])
+        x, y, d = np.array(edges, np.int64).reshape(-1, 3).T
+        return pa.table([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
     return link
 
 
 def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
-    """Links (a, b) between the representatives of distinct fingerprints at most ``reach`` bits apart.
+    """Links (a, b, d) between the representatives of distinct fingerprints at most ``reach`` bits apart.
 
     ``prints`` has (tree int, fp long, rep long), distinct by (tree, fp); each tree is searched by itself.  All
     links are verified; those returned span every component.
@@ -170,7 +170,7 @@ def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
     spark = prepare(prints.sparkSession)
     sizes = {r["tree"]: r["n"] for r in prints.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, d int")
     depth = max(0, int(np.ceil(np.log2(max(sizes.values()) / LEAF))))
     trees = []
     for t in range(max(sizes) + 1):
@@ -179,7 +179,7 @@ def hamming_links(prints: DataFrame, reach: int = 3) -> DataFrame:
     routed = prints.select("tree", "fp", "rep").mapInArrow(
         _router(trees, depth, reach), "tree int, leaf long, spilt long, fp long, rep long")
     dealt = paired_groups(routed, ["tree", "leaf"], "fp", SPLIT)
-    return dealt.groupBy("tree", "leaf", "pa", "pb").applyInArrow(_leaf(reach), "a long, b long")
+    return dealt.groupBy("tree", "leaf", "pa", "pb").applyInArrow(_leaf(reach), "a long, b long, d int")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 3, reach: int = 3) -> DataFrame:
@@ -205,13 +205,23 @@ def _sets(size: int):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
-                h = signed(hash_ranges(data, start, end))
+                h = (hash_ranges(data, start, end) >> _U(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))],
                     names=["key", "shingles"])
     return sets
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    return (
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    )
+
+
 def verified_groups(
     docs: DataFrame, id: str = "doc_id", text: str = "text", tables: int = 8, reach: int = 3,
     shingle_words: int = 5, similarity: float = 0.8,
@@ -231,19 +241,22 @@ def verified_groups(
     copies = kept(prints.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("fps").alias("fps")))
     spread = kept(copies.where("rep is not null").select("rep", F.posexplode("fps").alias("tree", "fp")))
     alike = kept(spread.groupBy("tree", "fp").agg(F.min("rep").alias("first")))
-    same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("d"))
     near = hamming_links(alike.withColumnRenamed("first", "rep"), reach)
-    pairs = kept(same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = kept(same.union(near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n")))
     ends = kept(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(copies.select("rep", "key"), "rep"))
     texts = rows.withColumn("key", key).join(ends.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
-    sets = kept(texts.select(F.col("id").cast("long").alias("key"), "text").mapInArrow(_sets(shingle_words), "key long, shingles array<long>")
+    sets = kept(texts.select(F.col("id").cast("long").alias("key"), "text").mapInArrow(_sets(shingle_words), "key long, shingles array<int>")
                 .withColumn("shingles", F.array_distinct("shingles")))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-        .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # the nearest smaller partner of each text first; then only pairs that would still join two groups
+    best = kept(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", -F.col("n"), "a")).alias("a")).select("a", "b"))
+    first = kept(_alike(best, sets, similarity))
+    part = connected_components(first)
+    of = lambda c: part.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
+    left = (
+        pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
-    parts = connected_components(kept(links)).withColumnRenamed("id", "rep")
+    parts = connected_components(kept(first.union(_alike(kept(left), sets, similarity)))).withColumnRenamed("id", "rep")
     groups = kept(copies.join(parts, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
     return prints.select("id", "key").join(groups, "key", "left").select("id", "component_id")
