@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, embedding_neardup, hmm, license_scan, quality, secret_scan, simhash, substring_dedup, warc
 from lattica.llm.common import prepare, table
+from lattica.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,4 +89,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that SQL can express; the others are tested against brute force in tests/llm."""
+    return dict(ORACLES)
