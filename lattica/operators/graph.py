@@ -125,6 +125,22 @@ def combine_raw(channels: DataFrame, weights: DataFrame) -> DataFrame:
     return each.groupBy("src", "dst").agg(F.sum(F.col("w") / F.col("_t") * F.col("weight")).alias("w")).where("src <> dst")
 
 
+def top_edges(edges: DataFrame, n: int) -> DataFrame:
+    """The ``n`` heaviest edges, ties by their ends."""
+    return edges.orderBy(F.desc("w"), "src", "dst").limit(n)
+
+
+def strong_pairs(edges: DataFrame, least: float) -> DataFrame:
+    """Unordered pairs (src < dst) whose symmetrised weight is at least ``least``."""
+    return symmetric(edges).where((F.col("src") < F.col("dst")) & (F.col("w") >= least))
+
+
+def uniformity(centrality: DataFrame, column: str, least: float = 2.0) -> DataFrame:
+    """(ratio, near_uniform): largest over smallest positive value, flagged below ``least``."""
+    r = centrality.where(F.col(column) > 0).agg((F.max(column) / F.min(column)).alias("ratio"))
+    return r.withColumn("near_uniform", F.col("ratio") < least)
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("entity")).union(edges.select("dst")).distinct()
 

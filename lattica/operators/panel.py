@@ -105,3 +105,19 @@ def next_available(panel: DataFrame) -> DataFrame:
     """(period, next_period) over the distinct periods of the data."""
     years = panel.select("period").distinct()
     return years.select("period", F.lead("period").over(Window.orderBy("period")).alias("next_period")).where("next_period is not null")
+
+
+def latest(panel: DataFrame) -> DataFrame:
+    """(entity, indicator, value): the last non-NULL value of each series by period."""
+    return panel.where("value is not null").groupBy("entity", "indicator").agg(F.max_by("value", "period").alias("value"))
+
+
+def common_periods(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Periods that both tables have."""
+    return a.select("period").intersect(b.select("period"))
+
+
+def with_names(df: DataFrame, names: DataFrame, key: str = "entity") -> DataFrame:
+    """Adds name, which falls back to the key itself, and a label of both."""
+    named = df.join(names.select(F.col("entity").alias(key), "name"), key, "left").withColumn("name", F.coalesce("name", key))
+    return named.withColumn("label", F.concat_ws(" - ", key, "name"))

@@ -46,6 +46,26 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+def benchmark_check(scores: DataFrame, benchmark: DataFrame, least: float = 0.70, fewest: int = 10) -> DataFrame:
+    """(pearson, spearman, n, passed): agreement of (entity, score) with (entity, value); too few pairs fail."""
+    r = correlation(scores.join(benchmark, "entity"), "score", "value")
+    strong = (F.abs("pearson") >= least) | (F.abs("spearman") >= least)
+    return r.withColumn("passed", F.coalesce((F.col("n") >= fewest) & strong, F.lit(False)))
+
+
+def gaps(values: DataFrame, k: str = "k", value: str = "magnitude") -> DataFrame:
+    """(k, gap): the difference of each value to the next one in order."""
+    return values.select(k, (F.col(value) - F.lead(value).over(Window.orderBy(k))).alias("gap")).where("gap is not null")
+
+
+def cumulative_share(components: DataFrame) -> DataFrame:
+    """(component, eigenvalue, share, cumulative) of the distinct components."""
+    c = components.select("component", "eigenvalue").distinct()
+    every, upto = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy("component")
+    total = F.sum("eigenvalue").over(every)
+    return c.select("component", "eigenvalue", (F.col("eigenvalue") / total).alias("share"), (F.sum("eigenvalue").over(upto) / total).alias("cumulative"))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)

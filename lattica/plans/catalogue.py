@@ -580,3 +580,73 @@ def label_cosines(spark, sf_dir):
 def revenue_cube(spark, sf_dir):
     c = fx.sales(spark, sf_dir).cube("entity", "period").agg((F.sum("rev") / 1e6).alias("revenue"), F.count(F.lit(1)).alias("n"))
     return c.select(F.coalesce("entity", F.lit("all")).alias("entity"), F.coalesce(F.col("period").cast("string"), F.lit("all")).alias("period"), "revenue", "n")
+
+
+@query(f"WITH {GAPS} SELECT entity, indicator, round(arg_max(value, period), 6) + 0.0 AS value FROM gaps WHERE value IS NOT NULL GROUP BY 1, 2")
+def latest_values(spark, sf_dir):
+    return panel.latest(fx.panel(spark, sf_dir, gaps=True))
+
+
+@query(f"WITH {PANEL} SELECT DISTINCT period FROM panel INTERSECT SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) FROM lineitem")
+def common_years(spark, sf_dir):
+    ships = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("period"))
+    return panel.common_periods(fx.panel(spark, sf_dir), ships)
+
+
+@query(f"""WITH {SALES}{SIZES} SELECT s.entity, round(score, 6) + 0.0 AS score, coalesce(r_name, s.entity) AS name, s.entity || ' - ' || coalesce(r_name, s.entity) AS label
+FROM scores s LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0) ON n_name = s.entity""")
+def named_scores(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return panel.with_names(fx.scores(spark, sf_dir), n.select(F.col("n_name").alias("entity"), F.col("r_name").alias("name")))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, {R('w')} FROM edges ORDER BY w DESC, src, dst LIMIT 20")
+def heaviest_edges(spark, sf_dir):
+    return graph.top_edges(fx.trade(spark, sf_dir), 20)
+
+
+@query(f"WITH {SYM} SELECT src, dst, {R('w')} FROM sym WHERE src < dst AND w >= 0.05")
+def strong_pairs(spark, sf_dir):
+    return graph.strong_pairs(fx.trade(spark, sf_dir), 0.05)
+
+
+@query(f"""WITH {SALES}{SIZES}, b AS (SELECT n_name AS entity, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+  p AS (SELECT score AS x, value AS y FROM scores JOIN b USING (entity)), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p)
+SELECT round(corr(x, y), 6) + 0.0 AS pearson, round(corr(rx, ry), 6) + 0.0 AS spearman, count(*) AS n, count(*) >= 10 AND (abs(corr(x, y)) >= 0.7 OR abs(corr(rx, ry)) >= 0.7) AS passed FROM r""")
+def benchmark_agreement(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return stats.benchmark_check(fx.scores(spark, sf_dir), c.groupBy(F.col("n_name").alias("entity")).agg(F.avg("c_acctbal").alias("value")))
+
+
+@query(f"""WITH {EDGES}, i AS (SELECT dst, sum(w) AS s FROM edges GROUP BY 1) SELECT round(max(s) / min(s), 6) + 0.0 AS ratio, max(s) / min(s) < 2 AS near_uniform FROM i WHERE s > 0""")
+def centrality_uniformity(spark, sf_dir):
+    return graph.uniformity(graph.degrees(fx.trade(spark, sf_dir)), "in_strength")
+
+
+@query()
+def eigenvalue_gaps(spark, sf_dir):
+    return stats.gaps(graph.spectrum(fx.trade(spark, sf_dir)))
+
+
+@query()
+def cumulative_variance(spark, sf_dir):
+    return stats.cumulative_share(_components(spark, sf_dir))
+
+
+@query(f"""WITH {SALES}, v AS (SELECT entity, p_brand AS org, sum(rev) AS v FROM sales JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), mem AS (SELECT entity, org FROM (SELECT *, avg(v) OVER (PARTITION BY entity) AS m FROM v) WHERE v > m)
+SELECT array_to_string(list_sort(list(a.org)), ',') AS shared FROM mem a JOIN mem b ON a.org = b.org AND a.entity = 'NATION_1' AND b.entity = 'NATION_2'""")
+def shared_memberships(spark, sf_dir):
+    return graph.shared_organizations(fx.memberships(spark, sf_dir), "NATION_1", "NATION_2").select(F.array_join("shared", ",").alias("shared"))
+
+
+STEP_SQL = STEADY + """, tr AS (SELECT 0 AS k, entity, 0.0::DOUBLE AS x FROM scores
+  UNION ALL SELECT i.k + 1, s.entity, 0.4 * sum(e.w * i.x) + 0.6 * any_value(s.score) FROM tr i JOIN edges e ON e.dst = i.entity JOIN scores s ON s.entity = e.src WHERE i.k < 20 GROUP BY i.k, s.entity),
+  d AS (SELECT k, sqrt(sum(pow(x - steady_state, 2))) AS d FROM tr JOIN steady USING (entity) GROUP BY 1), z AS (SELECT sqrt(sum(steady_state * steady_state)) AS z FROM steady)"""
+
+
+@query(f"WITH RECURSIVE {STEP_SQL} SELECT min(k) AS step FROM d, z WHERE d < 0.01 * z")
+def convergence_step(spark, sf_dir):
+    e, s = fx.trade(spark, sf_dir), fx.scores(spark, sf_dir)
+    base = dynamics.steady_state(e, s, ALPHA)
+    path = dynamics.simulate(e, s, s.select("entity", F.lit(0.0).alias("score")), ALPHA, 20)
+    return dynamics.convergence_step(path, base, base.select("entity", F.col("steady_state").alias("delta")))

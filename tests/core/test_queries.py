@@ -24,7 +24,7 @@ def rows(frame, columns):
 
 
 #: At the smallest scale some nations have no supplier, and a recursive CTE drops what has no in-edges.
-NEEDS_ALL_NATIONS = {"pagerank", "steady_state", "trajectory", "sensitivity_matrix", "factor_shocks", "top_impacted", "cascade_crossings", "systemic_risk", "contagion_thresholds"}
+NEEDS_ALL_NATIONS = {"pagerank", "steady_state", "trajectory", "sensitivity_matrix", "factor_shocks", "top_impacted", "cascade_crossings", "systemic_risk", "contagion_thresholds", "convergence_step"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE) - NEEDS_ALL_NATIONS))
