@@ -58,10 +58,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): each text's token ids and the text that they decode to."""
+    """(doc_id, n_tokens, ids, text): each text's token ids (little-endian, 32 bits each) and the text that they decode to."""
     prepare(spark)
-    path = tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path), path).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return bpe.encode_decode(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
