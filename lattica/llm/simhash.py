@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64
 SAMPLE = 8192
 #: Fingerprints per leaf before overlap, about; leaves over SPLIT rows (dense groups) are split into parts.
 LEAF, SPLIT = 4000, 40_000
+#: Texts whose shingles one task holds for verification, about.
+PART_TEXTS = 2000
 _U = np.uint64
 #: The 16-bit lanes that hold the low and the high four bits of a byte.
 _LANES = np.array([[sum((v >> (4 * k + b) & 1) << (16 * b) for b in range(4)) for v in range(256)] for k in range(2)], _U)
@@ -206,20 +209,43 @@ def _sets(size: int):
             for i, j, data, offsets in chunks(batch.column("text")):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
                 h = (hash_ranges(data, start, end) >> _U(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))],
-                    names=["key", "shingles"])
+                held = [batch.column(c).slice(i, j - i) for c in ("near", "parts", "key")]
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([*held, lists], names=["near", "parts", "key", "shingles"])
     return sets
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity."""
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-        .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    )
+def _verify(similarity: float):
+    def verify(sets: pa.Table, asked: pa.Table) -> pa.Table:
+        """Candidate pairs, nearest first, that join two groups and whose shingle sets are similar enough."""
+        out: list[tuple[int, int]] = []
+        if sets.num_rows and asked.num_rows:
+            lists = sets.column("shingles").combine_chunks()
+            flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+            row = {k: i for i, k in enumerate(sets.column("key").to_pylist())}
+            known: dict[int, np.ndarray] = {}
+
+            def shingles(k: int) -> np.ndarray:
+                if k not in known:
+                    known[k] = np.unique(flat[cut[row[k]] : cut[row[k] + 1]])
+                return known[k]
+
+            forest = Forest(sets.num_rows)
+            a, b, d, n = (asked.column(c).to_numpy() for c in ("a", "b", "d", "n"))
+            for i in np.lexsort((b, a, -n, d)).tolist():
+                x, y = int(a[i]), int(b[i])
+                if forest.root(row[x]) == forest.root(row[y]):
+                    continue
+                s, t = shingles(x), shingles(y)
+                if min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                    continue
+                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+                if both >= similarity * (len(s) + len(t) - both):
+                    forest.join(row[x], row[y])
+                    out.append((x, y))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return verify
 
 
 def verified_groups(
@@ -230,7 +256,7 @@ def verified_groups(
 
     Candidates are texts that any of ``tables`` SimHash fingerprints of their single words puts within ``reach``
     bits, each table searched through a vantage-point tree of its own; the links that span the candidates are
-    verified on the sets of lower-cased ``shingle_words``-word shingles.  A pair at similarity 0.8 is a candidate
+    verified, nearest first, on the sets of lower-cased ``shingle_words``-word shingles (32-bit hashes).  A pair at similarity 0.8 is a candidate
     with probability of about 0.97, a closer one almost surely.  Equal texts are one vertex, and null counts as
     empty.  component_id is the smallest id of the group; a null id gets its text's group, null if it has no other.
     """
@@ -244,19 +270,29 @@ def verified_groups(
     same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("d"))
     near = hamming_links(alike.withColumnRenamed("first", "rep"), reach)
     pairs = kept(same.union(near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n")))
-    ends = kept(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(copies.select("rep", "key"), "rep"))
-    texts = rows.withColumn("key", key).join(ends.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
-    sets = kept(texts.select(F.col("id").cast("long").alias("key"), "text").mapInArrow(_sets(shingle_words), "key long, shingles array<int>")
-                .withColumn("shingles", F.array_distinct("shingles")))
-    # the nearest smaller partner of each text first; then only pairs that would still join two groups
-    best = kept(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", -F.col("n"), "a")).alias("a")).select("a", "b"))
-    first = kept(_alike(best, sets, similarity))
-    part = connected_components(first)
-    of = lambda c: part.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
-    left = (
-        pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    # texts that candidates connect are brought together once, large groups in parts that all meet
+    near = connected_components(pairs).withColumnRenamed("component_id", "near")
+    large = kept(near.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
+                 .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
+    bins = max(1, -(-near.count() // PART_TEXTS))
+    bin_of = lambda lo, hi: F.pmod(F.xxhash64("near", lo, hi), F.lit(bins)).cast("int")
+    part_of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("parts")).cast("int"), F.lit(0))
+    ends = kept(near.withColumnRenamed("id", "rep").join(copies.select("rep", "key"), "rep").join(large, "near", "left"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    texts = (
+        rows.withColumn("key", key).join(ends.withColumnRenamed("rep", "id"), ["key", "id"])
+        .select("near", "parts", F.col("id").cast("long").alias("key"), "text")
+    )
+    sets = (
+        texts.mapInArrow(_sets(shingle_words), "near long, parts int, key long, shingles array<int>")
+        .withColumn("p", part_of("key")).withColumn("q", other)
+        .select(bin_of(F.least("p", "q"), F.greatest("p", "q")).alias("bin"), "key", "shingles")
+    )
+    asked = (
+        pairs.join(near.withColumnRenamed("id", "a"), "a").join(large, "near", "left").withColumn("p", part_of("a")).withColumn("q", part_of("b"))
+        .select(bin_of(F.least("p", "q"), F.greatest("p", "q")).alias("bin"), "a", "b", "d", "n")
     )
-    parts = connected_components(kept(first.union(_alike(kept(left), sets, similarity)))).withColumnRenamed("id", "rep")
+    links = sets.groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(_verify(similarity), "a long, b long")
+    parts = connected_components(kept(links)).withColumnRenamed("id", "rep")
     groups = kept(copies.join(parts, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
     return prints.select("id", "key").join(groups, "key", "left").select("id", "component_id")

@@ -177,7 +177,9 @@ def test_tree_finds_every_pair(spark, monkeypatch):
     assert group([(r["a"], r["b"]) for r in links]) == group(pairs)
 
 
-def test_verified_groups(spark):
+@pytest.mark.parametrize("part", [12, 2000])
+def test_verified_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_TEXTS", part)
     rng, vocab, rows = random.Random(8), vocabulary(900, 8), []
     for k in range(40):
         base = rng.choices(vocab, k=200)
@@ -187,10 +189,16 @@ def test_verified_groups(spark):
             for at in rng.sample(range(200), 2):
                 copy[at] = "new" + str(rng.random())
             rows.append((10 * k + c, " ".join(copy)))
+    base = rng.choices(vocab, k=150)
+    for c in range(60):  # one large group
+        copy = list(base)
+        copy[c] = "word" + str(c)
+        rows.append((2000 + c, " ".join(copy)))
     rows += [(1000, "  "), (1001, None), (1002, ""), (1003, rows[0][1])]
     got = {r["id"]: r["component_id"] for r in simhash.verified_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = sum(got[10 * k + c] == 10 * k for k in range(40) for c in range(1, 4))
     assert found >= 119 and all(got[10 * k] == 10 * k for k in range(40))
+    assert all(got[2000 + c] == 2000 for c in range(60))
     assert got[1003] == 0 and got[1002] == got[1001] == got[1000] == 1000  # texts without words are alike
 
 
