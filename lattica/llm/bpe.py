@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import prepare
 
-#: Encodings that a task keeps for later chunks, at most; beyond that it starts anew.
+#: Encodings that a worker keeps for later chunks: two generations of so many at most.
 KEPT_WORDS = 150_000
 CHUNK_CHARS = 1_000_000
 
@@ -163,6 +163,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.lead: dict[str, bytes | None] = {}  # pieces at the start of a text
         self.rest: dict[str, bytes | None] = {}  # pieces after a space
+        self.old_lead, self.old_rest = self.lead, self.rest  # the generation before, for pieces that come back
 
     def _words(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -180,7 +181,10 @@ class Encoder:
             own[w] = pack(f"<{len(tokens)}I", *tokens)
         return [b"".join(map(own.__getitem__, x)) for x in split]
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes | None], space: str) -> None:
+    def _learn(self, pieces: set[str], known: dict[str, bytes | None], old: dict[str, bytes | None], space: str) -> None:
+        back = pieces & old.keys()
+        known.update((p, old[p]) for p in back)
+        pieces -= back
         plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and not (self.special and self.special.search(space + p))]
         known.update(dict.fromkeys(pieces))
         known.update(zip(plain, self._encode([self.split.findall(space + p) for p in plain]), strict=True))
@@ -194,13 +198,12 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             if len(self.lead) + len(self.rest) > KEPT_WORDS:
-                self.lead.clear()
-                self.rest.clear()
+                self.old_lead, self.old_rest, self.lead, self.rest = self.lead, self.rest, {}, {}
             split = [t.split(" ") for t in texts[at:end]]
             first = [p.pop(0) for p in split]
             rest = self.rest
-            self._learn(set(first) - self.lead.keys(), self.lead, "")
-            self._learn({w for p in split for w in p if w not in rest}, rest, " ")
+            self._learn(set(first) - self.lead.keys(), self.lead, self.old_lead, "")
+            self._learn({w for p in split for w in p if w not in rest}, rest, self.old_rest, " ")
             for t, a, p in zip(texts[at:end], first, split, strict=True):
                 try:
                     out.append(self.lead[a] + b"".join(map(rest.__getitem__, p)))
