@@ -123,7 +123,8 @@ def _scanner(templates: dict[str, str], coverage: float):
     words = _template_codes(templates)
     counts = Counter(c for t in words.values() for c in set(t))
     # enough words of each template that no match of the asked coverage can miss them all, the rarest first
-    marks = {k: sorted(set(t), key=lambda c: (counts[c], c))[: max(1, int((1 - coverage) * len(t)) + 1)] for k, t in words.items()}
+    marks = {k: set(sorted(set(t), key=lambda c: (counts[c], c))[: max(1, int((1 - coverage) * len(t)) + 1)]) for k, t in words.items()}
+    distinct = {k: set(t) for k, t in words.items()}
     every = np.unique(np.array([c for m in marks.values() for c in m], np.uint64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +138,11 @@ def _scanner(templates: dict[str, str], coverage: float):
                     row = int(owner[s])
                     text = codes[w.first[row] : w.first[row + 1]].tolist()
                     at = (hit[s:e] - w.first[row]).tolist()
+                    present = set(text)
                     for name, t in words.items():
-                        mark = set(marks[name])
-                        first = [p for p in at if text[p] in mark]
+                        if len(distinct[name] - present) > (1 - coverage) * len(t):  # too many of its words are nowhere
+                            continue
+                        first = [p for p in at if text[p] in marks[name]]
                         if first:
                             share, lo, hi = find(text, t, first)
                             if share >= coverage:
