@@ -273,8 +273,10 @@ def verified_groups(
     # texts that candidates connect are brought together once, large groups in parts that all meet
     near = connected_components(pairs).withColumnRenamed("component_id", "near")
     large = kept(near.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
-                 .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
-    bins = max(1, -(-near.count() // PART_TEXTS))
+                 .select("near", "_n", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
+    copied = large.agg(F.sum(F.col("_n") * (F.col("parts") - 1))).first()[0] or 0
+    bins = max(1, -(-(near.count() + copied) // PART_TEXTS))
+    large = large.drop("_n")
     bin_of = lambda lo, hi: F.pmod(F.xxhash64("near", lo, hi), F.lit(bins)).cast("int")
     part_of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("parts")).cast("int"), F.lit(0))
     ends = kept(near.withColumnRenamed("id", "rep").join(copies.select("rep", "key"), "rep").join(large, "near", "left"))
