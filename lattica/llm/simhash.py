@@ -26,7 +26,7 @@ SAMPLE = 8192
 #: Fingerprints per leaf before overlap, about; leaves over SPLIT rows (dense groups) are split into parts.
 LEAF, SPLIT = 4000, 40_000
 #: Texts whose shingles one task holds for verification, about.
-PART_TEXTS = 2000
+PART_TEXTS = 6000
 _U = np.uint64
 #: The 16-bit lanes that hold the low and the high four bits of a byte.
 _LANES = np.array([[sum((v >> (4 * k + b) & 1) << (16 * b) for b in range(4)) for v in range(256)] for k in range(2)], _U)
@@ -209,9 +209,9 @@ def _sets(size: int):
             for i, j, data, offsets in chunks(batch.column("text")):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
                 h = (hash_ranges(data, start, end) >> _U(32)).astype(np.uint32).view(np.int32)
-                held = [batch.column(c).slice(i, j - i) for c in ("near", "parts", "key")]
+                held = [batch.column(c).slice(i, j - i) for c in ("bins", "key")]
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))
-                yield pa.RecordBatch.from_arrays([*held, lists], names=["near", "parts", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([*held, lists], names=["bins", "key", "shingles"])
     return sets
 
 
@@ -270,30 +270,21 @@ def verified_groups(
     same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("d"))
     near = hamming_links(alike.withColumnRenamed("first", "rep"), reach)
     pairs = kept(same.union(near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n")))
-    # texts that candidates connect are brought together once, large groups in parts that all meet
+    # a pair is judged in its group's bin, in large groups in that of its two parts; a text goes to the bins that ask for it
     near = connected_components(pairs).withColumnRenamed("component_id", "near")
     large = kept(near.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
-                 .select("near", "_n", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
-    copied = large.agg(F.sum(F.col("_n") * (F.col("parts") - 1))).first()[0] or 0
-    bins = max(1, -(-(near.count() + copied) // PART_TEXTS))
-    large = large.drop("_n")
-    bin_of = lambda lo, hi: F.pmod(F.xxhash64("near", lo, hi), F.lit(bins)).cast("int")
+                 .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
+    bins = max(1, -(-2 * near.count() // PART_TEXTS))
     part_of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("parts")).cast("int"), F.lit(0))
-    ends = kept(near.withColumnRenamed("id", "rep").join(copies.select("rep", "key"), "rep").join(large, "near", "left"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    texts = (
-        rows.withColumn("key", key).join(ends.withColumnRenamed("rep", "id"), ["key", "id"])
-        .select("near", "parts", F.col("id").cast("long").alias("key"), "text")
-    )
-    sets = (
-        texts.mapInArrow(_sets(shingle_words), "near long, parts int, key long, shingles array<int>")
-        .withColumn("p", part_of("key")).withColumn("q", other)
-        .select(bin_of(F.least("p", "q"), F.greatest("p", "q")).alias("bin"), "key", "shingles")
-    )
-    asked = (
-        pairs.join(near.withColumnRenamed("id", "a"), "a").join(large, "near", "left").withColumn("p", part_of("a")).withColumn("q", part_of("b"))
-        .select(bin_of(F.least("p", "q"), F.greatest("p", "q")).alias("bin"), "a", "b", "d", "n")
-    )
+    lo, hi = F.least(part_of("a"), part_of("b")), F.greatest(part_of("a"), part_of("b"))
+    asked = kept(
+        pairs.join(near.withColumnRenamed("id", "a"), "a").join(large, "near", "left")
+        .select(F.pmod(F.xxhash64("near", lo, hi), F.lit(bins)).cast("int").alias("bin"), "a", "b", "d", "n"))
+    ends = kept(
+        asked.select(F.col("a").alias("rep"), "bin").union(asked.select("b", "bin")).groupBy("rep").agg(F.collect_set("bin").alias("bins"))
+        .join(copies.select("rep", "key"), "rep"))
+    texts = rows.withColumn("key", key).join(ends.withColumnRenamed("rep", "id"), ["key", "id"]).select("bins", F.col("id").cast("long").alias("key"), "text")
+    sets = texts.mapInArrow(_sets(shingle_words), "bins array<int>, key long, shingles array<int>").select(F.explode("bins").alias("bin"), "key", "shingles")
     links = sets.groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(_verify(similarity), "a long, b long")
     parts = connected_components(kept(links)).withColumnRenamed("id", "rep")
     groups = kept(copies.join(parts, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))

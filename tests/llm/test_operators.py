@@ -177,7 +177,7 @@ def test_tree_finds_every_pair(spark, monkeypatch):
     assert group([(r["a"], r["b"]) for r in links]) == group(pairs)
 
 
-@pytest.mark.parametrize("part", [12, 2000])
+@pytest.mark.parametrize("part", [12, 6000])
 def test_verified_groups(spark, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART_TEXTS", part)
     rng, vocab, rows = random.Random(8), vocabulary(900, 8), []
