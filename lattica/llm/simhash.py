@@ -25,8 +25,8 @@ from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64
 SAMPLE = 8192
 #: Fingerprints per leaf before overlap, about; leaves over SPLIT rows (dense groups) are split into parts.
 LEAF, SPLIT = 4000, 40_000
-#: Texts whose shingles one task holds for verification, about.
-PART_TEXTS = 6000
+#: Texts of one group whose shingles a task holds for verification, and texts of smaller groups, about.
+PART_TEXTS, BIN_TEXTS = 24_000, 6000
 _U = np.uint64
 #: The 16-bit lanes that hold the low and the high four bits of a byte.
 _LANES = np.array([[sum((v >> (4 * k + b) & 1) << (16 * b) for b in range(4)) for v in range(256)] for k in range(2)], _U)
@@ -210,7 +210,9 @@ def _sets(size: int):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
                 h = (hash_ranges(data, start, end) >> _U(32)).astype(np.uint32).view(np.int32)
                 held = [batch.column(c).slice(i, j - i) for c in ("bins", "key")]
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))
+                each = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                ends = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([*held, lists], names=["bins", "key", "shingles"])
     return sets
 
@@ -223,12 +225,7 @@ def _verify(similarity: float):
             lists = sets.column("shingles").combine_chunks()
             flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
             row = {k: i for i, k in enumerate(sets.column("key").to_pylist())}
-            known: dict[int, np.ndarray] = {}
-
-            def shingles(k: int) -> np.ndarray:
-                if k not in known:
-                    known[k] = np.unique(flat[cut[row[k]] : cut[row[k] + 1]])
-                return known[k]
+            shingles = lambda k: flat[cut[row[k]] : cut[row[k] + 1]]
 
             forest = Forest(sets.num_rows)
             a, b, d, n = (asked.column(c).to_numpy() for c in ("a", "b", "d", "n"))
@@ -274,7 +271,7 @@ def verified_groups(
     near = connected_components(pairs).withColumnRenamed("component_id", "near")
     large = kept(near.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
                  .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
-    bins = max(1, -(-2 * near.count() // PART_TEXTS))
+    bins = max(1, -(-near.count() // BIN_TEXTS))
     part_of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("parts")).cast("int"), F.lit(0))
     lo, hi = F.least(part_of("a"), part_of("b")), F.greatest(part_of("a"), part_of("b"))
     asked = kept(
