@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Forest, hashed_sample, kept, paired_groups, prepare, signed
@@ -27,6 +27,8 @@ SAMPLE = 8192
 LEAF, SPLIT = 4000, 40_000
 #: Texts of one group whose shingles a task holds for verification, and texts of smaller groups, about.
 PART_TEXTS, BIN_TEXTS = 24_000, 6000
+#: Shingles that candidates put last because a sample holds them repeatedly, at most.
+OFTEN = 1 << 20
 _U = np.uint64
 #: The 16-bit lanes that hold the low and the high four bits of a byte.
 _LANES = np.array([[sum((v >> (4 * k + b) & 1) << (16 * b) for b in range(4)) for v in range(256)] for k in range(2)], _U)
@@ -203,86 +205,174 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sampled_shingles(size: int):
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text")):
+                data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
+                h = hash_ranges(data, start, end)
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(h[a:b])))], names=["h"])
+    return shingles
+
+
+def _prefixes(size: int, similarity: float, often: np.ndarray, level: np.ndarray, names: list[str]):
+    """The rarest shingles of each text, as many as a text at ``similarity`` cannot miss all of; its size and columns."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch.column("text")):
+                data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
+                h, each, number = hash_ranges(data, start, end), [], []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    own = np.unique(h[a:b])
+                    number.append(len(own))
+                    if not len(own):  # texts without words are alike
+                        each.append(np.zeros(1, _U))
+                        continue
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                        own = own[np.argsort(np.where(often[at] == own, level[at], 0), kind="stable")]
+                    each.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+                ends = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(each))))
+                held = [batch.column(c).slice(i, j - i) for c in names]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(number, pa.int32()), lists], names=[*names, "n", "prefix"])
+    return prefixes
+
+
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
                 h = (hash_ranges(data, start, end) >> _U(32)).astype(np.uint32).view(np.int32)
-                held = [batch.column(c).slice(i, j - i) for c in ("bins", "key")]
+                held = [batch.column(c).slice(i, j - i) for c in ("places", "key")]
                 each = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 ends = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([*held, lists], names=["bins", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([*held, lists], names=["places", "key", "shingles"])
     return sets
 
 
+def similar_links(flat: np.ndarray, cut: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that span exactly the components of the sets ``flat[cut[i] : cut[i + 1]]`` under a Jaccard similarity.
+
+    A breadth-first search: each set is counted, through the sets that hold its members, against all sets not reached yet.
+    """
+    n, size = len(cut) - 1, np.diff(cut)
+    order = np.argsort(flat, kind="stable")
+    post = np.repeat(np.arange(n, dtype=np.int32), size)[order]
+    ordered = flat[order]
+    owner = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]][: len(ordered)], dtype=np.int32)
+    code = np.empty(len(flat), np.int32)
+    code[order] = owner
+    del order, ordered
+    count = np.bincount(owner)
+    shared = count[owner] > 1
+    post, owner = post[shared], owner[shared]
+    count = np.bincount(owner, minlength=len(count))
+    start, indexed = np.cumsum(count) - count, n
+    left, out = np.ones(n, bool), []
+    unseen = n
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed], queue = False, [seed]
+        unseen -= 1
+        while queue and unseen:
+            x = queue.pop()
+            if unseen < indexed // 2:
+                held = left[post]
+                post, owner = post[held], owner[held]
+                count = np.bincount(owner, minlength=len(count))
+                start, indexed = np.cumsum(count) - count, unseen
+            if not size[x]:
+                near = np.flatnonzero(left & (size == 0))
+            else:
+                c = code[cut[x] : cut[x + 1]]
+                c = c[count[c] > 0]
+                both = np.zeros(n, np.int64)
+                for some in np.array_split(c, 1 + int(count[c].sum()) // 1_000_000):
+                    k = count[some]
+                    at = np.repeat(start[some] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                    both += np.bincount(post[at], minlength=n)
+                near = np.flatnonzero(left & (both >= similarity * (size[x] + size - both) - 1e-9))
+            left[near] = False
+            unseen -= len(near)
+            queue += near.tolist()
+            out += [(x, y) for y in near.tolist()]
+    return out
+
+
 def _verify(similarity: float):
-    def verify(sets: pa.Table, asked: pa.Table) -> pa.Table:
-        """Candidate pairs, nearest first, that join two groups and whose shingle sets are similar enough."""
-        out: list[tuple[int, int]] = []
-        if sets.num_rows and asked.num_rows:
-            lists = sets.column("shingles").combine_chunks()
-            flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-            row = {k: i for i, k in enumerate(sets.column("key").to_pylist())}
-            shingles = lambda k: flat[cut[row[k]] : cut[row[k] + 1]]
-
-            forest = Forest(sets.num_rows)
-            a, b, d, n = (asked.column(c).to_numpy() for c in ("a", "b", "d", "n"))
-            for i in np.lexsort((b, a, -n, d)).tolist():
-                x, y = int(a[i]), int(b[i])
-                if forest.root(row[x]) == forest.root(row[y]):
-                    continue
-                s, t = shingles(x), shingles(y)
-                if min(len(s), len(t)) < similarity * max(len(s), len(t)):
-                    continue
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                if both >= similarity * (len(s) + len(t) - both):
-                    forest.join(row[x], row[y])
-                    out.append((x, y))
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def verify(t: pa.Table) -> pa.Table:
+        """Links that span the components of each place's texts."""
+        place, key = t.column("place").to_numpy(), t.column("key").to_numpy()
+        lists = t.column("shingles").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        order = np.lexsort((key, place))
+        order = order[np.r_[True, (place[order][1:] != place[order][:-1]) | (key[order][1:] != key[order][:-1])]]
+        begin = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+        a, b = [], []
+        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+            own = order[s:e]
+            each = [flat[cut[i] : cut[i + 1]] for i in own.tolist()]
+            links = np.array(similar_links(np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])], similarity), np.int64).reshape(-1, 2)
+            a.append(key[own[links[:, 0]]])
+            b.append(key[own[links[:, 1]]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
     return verify
 
 
 def verified_groups(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", tables: int = 8, reach: int = 3,
-    shingle_words: int = 5, similarity: float = 0.8,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, row: str | None = None,
 ) -> DataFrame:
     """(id, component_id), one row per input row: documents grouped by a Jaccard similarity of at least 0.8.
 
-    Candidates are texts that any of ``tables`` SimHash fingerprints of their single words puts within ``reach``
-    bits, each table searched through a vantage-point tree of its own; the links that span the candidates are
-    verified, nearest first, on the sets of lower-cased ``shingle_words``-word shingles (32-bit hashes).  A pair at similarity 0.8 is a candidate
-    with probability of about 0.97, a closer one almost surely.  Equal texts are one vertex, and null counts as
-    empty.  component_id is the smallest id of the group; a null id gets its text's group, null if it has no other.
+    Similarity is that of the sets of lower-cased ``shingle_words``-word shingles.  Candidates are texts that share one
+    of the rarest shingles of both (prefix filter: two texts at the similarity always do, whatever the edit); sizes that
+    are too far apart part them again.  All pairs of each group of candidates are then judged, except those that
+    verified links have joined already, so the groups are those of brute force (on hashes: 64 bits for candidates and
+    for whole texts, 32 for the similarity).  The order of shingles follows a sample; it has no influence on the result.
+    Equal texts are one vertex, and null counts as empty.  component_id is the smallest id of the group; a null id
+    gets its text's group, null if it has no other.  With ``row``, that column and ``component``, a key of the group
+    that does not depend on ids, are added.
     """
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    key = F.concat(F.lower(F.hex(F.xxhash64("text"))), F.substring(F.sha2("text", 256), 1, 16))
-    keyed = rows.select(F.struct("id", key.alias("key")).alias("id"), "text")
-    prints = kept(fingerprints(keyed, "id", "text", 1, tables).select("id.id", "id.key", "fps"))
-    copies = kept(prints.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("fps").alias("fps")))
-    spread = kept(copies.where("rep is not null").select("rep", F.posexplode("fps").alias("tree", "fp")))
-    alike = kept(spread.groupBy("tree", "fp").agg(F.min("rep").alias("first")))
-    same = spread.join(alike, ["tree", "fp"]).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("d"))
-    near = hamming_links(alike.withColumnRenamed("first", "rep"), reach)
-    pairs = kept(same.union(near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n")))
-    # a pair is judged in its group's bin, in large groups in that of its two parts; a text goes to the bins that ask for it
-    near = connected_components(pairs).withColumnRenamed("component_id", "near")
+    prepare(docs.sparkSession)
+    more = ["row"] if row else []
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else []))
+    rows = rows.withColumn("node", F.xxhash64("text"))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    often = (rows.sample(share, 7).select("text").mapInArrow(_sampled_shingles(shingle_words), "h long").groupBy("h").count().where("count > 1")
+             .orderBy(F.desc("count"), "h").limit(OFTEN).toPandas())
+    codes, level = often["h"].to_numpy(np.int64).view(_U), np.log2(often["count"].to_numpy(np.float64)).astype(np.int8) + 1
+    order = np.argsort(codes)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = ["id", *more, "node"]
+    heads = kept(rows.mapInArrow(_prefixes(shingle_words, similarity, codes[order], level[order], names),
+                                 ", ".join(f"{c} {types[c]}" for c in names) + ", n int, prefix array<long>"))
+    copies = kept(heads.where("id is not null").groupBy("node").agg(F.min("id").cast("long").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # texts that hold a rare shingle, by size: a gap in size that no similar pair spans begins a new list, whose first text the others are linked to
+    by_size = Window.partitionBy("h").orderBy("n", "node")
+    listed = copies.select("node", "n", F.explode("prefix").alias("h")).withColumn("before", F.lag("n").over(by_size))
+    head = F.when(F.col("before").isNull() | (F.col("before") < similarity * F.col("n") - 1e-9), F.col("node"))
+    linked = listed.withColumn("head", head).withColumn("a", F.last("head", True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    near = connected_components(kept(linked.where("a <> node").select("a", F.col("node").alias("b")).distinct()))
+    near = kept(near.select(F.col("id").alias("node"), F.col("component_id").alias("near")))
+    # a group is judged in one place, a large one in a place for each two of its parts
     large = kept(near.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
                  .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
     bins = max(1, -(-near.count() // BIN_TEXTS))
-    part_of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("parts")).cast("int"), F.lit(0))
-    lo, hi = F.least(part_of("a"), part_of("b")), F.greatest(part_of("a"), part_of("b"))
-    asked = kept(
-        pairs.join(near.withColumnRenamed("id", "a"), "a").join(large, "near", "left")
-        .select(F.pmod(F.xxhash64("near", lo, hi), F.lit(bins)).cast("int").alias("bin"), "a", "b", "d", "n"))
-    ends = kept(
-        asked.select(F.col("a").alias("rep"), "bin").union(asked.select("b", "bin")).groupBy("rep").agg(F.collect_set("bin").alias("bins"))
-        .join(copies.select("rep", "key"), "rep"))
-    texts = rows.withColumn("key", key).join(ends.withColumnRenamed("rep", "id"), ["key", "id"]).select("bins", F.col("id").cast("long").alias("key"), "text")
-    sets = texts.mapInArrow(_sets(shingle_words), "bins array<int>, key long, shingles array<int>").select(F.explode("bins").alias("bin"), "key", "shingles")
-    links = sets.groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(_verify(similarity), "a long, b long")
-    parts = connected_components(kept(links)).withColumnRenamed("id", "rep")
-    groups = kept(copies.join(parts, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
-    return prints.select("id", "key").join(groups, "key", "left").select("id", "component_id")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")))
+    place = lambda p: F.xxhash64("near", F.least("part", p), F.greatest("part", p))
+    places = near.join(large, "near", "left").withColumn("part", part).select("node", F.transform(others, place).alias("places"))
+    ends = kept(places.join(copies.select("node", "rep"), "node"))
+    texts = rows.withColumn("rep", F.col("id").cast("long")).join(ends, ["node", "rep"]).select("places", F.col("node").alias("key"), "text")
+    sets = texts.mapInArrow(_sets(shingle_words), "places array<long>, key long, shingles array<int>").select(F.explode("places").alias("place"), "key", "shingles")
+    links = sets.groupBy(F.pmod("place", F.lit(bins)).alias("bin")).applyInArrow(_verify(similarity), "a long, b long")
+    parts = connected_components(kept(links)).withColumnRenamed("id", "node")
+    groups = kept(copies.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component_id", "node").alias("component")))
+    smallest = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
+    groups = kept(groups.join(smallest, "component").select("node", "component", "component_id"))
+    return heads.select(*names).join(groups, "node", "left").select("id", "component_id", *(["row", "component"] if row else []))

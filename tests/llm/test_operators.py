@@ -202,6 +202,35 @@ def test_verified_groups(spark, monkeypatch, part):
     assert got[1003] == 0 and got[1002] == got[1001] == got[1000] == 1000  # texts without words are alike
 
 
+@pytest.mark.parametrize("part", [10, 24_000])
+def test_verified_groups_match_brute_force(spark, monkeypatch, part):
+    """Truncated, extended and reordered texts, at similarities on both sides of 0.8."""
+    monkeypatch.setattr(simhash, "PART_TEXTS", part)
+    rng, texts = random.Random(18), []
+    fresh = lambda n: ["w" + str(rng.getrandbits(40)) for _ in range(n)]
+    for n in (9, 40, 120, 300):
+        for k in range(12):
+            base = fresh(n)
+            block = n * rng.randint(8, 30) // 100 + 1
+            texts += [base, base[:-block], base[block:], base + fresh(block), fresh(block) + base]
+            texts.append(base[: n // 2] + fresh(block) + base[n // 2 :])
+    base = fresh(120)
+    other = [*base[:-1], "changed"]
+    texts += [base[::-1], base, other]  # one bag of words, but another order
+    shared = fresh(60)
+    texts += [fresh(20) + shared + fresh(20) for _ in range(15)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["id"]: r["component_id"] for r in simhash.verified_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(want) - 100
+
+
 # -- 3
 
 def brute_repeats(texts, width=35):
