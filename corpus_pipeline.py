@@ -29,14 +29,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate group, once; rows with a null id stay."""
+    """Keep one row of each near-duplicate group, that of smallest id; rows with a null id stay.
+
+    Rows of one id are told apart by their texts, so that only equal or similar texts of an id are dropped.
+    """
     prepare(spark)
-    groups = kept(simhash.verified_groups(docs))
-    dropped = groups.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    repeated = groups.groupBy("id").count().where("count > 1 and id is not null").select(F.col("id").alias("doc_id"))
-    repeated = kept(repeated.join(dropped, "doc_id", "left_anti"))
-    left = docs.join(kept(dropped.union(repeated).distinct()), "doc_id", "left_anti")
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.withColumn(KEY, _key())
+    groups = kept(simhash.verified_groups(rows, row=KEY).where("id is not null"))
+    first = groups.groupBy("component").agg(F.min(F.struct("id", "row"))["row"].alias("first"))
+    dropped = kept(groups.join(first, "component").where("row <> first").select(F.col("row").alias(KEY)).distinct())
+    repeated = groups.groupBy(F.col("row").alias(KEY)).count().where("count > 1").select(KEY)
+    repeated = kept(repeated.join(dropped, KEY, "left_anti"))
+    left = rows.join(kept(dropped.union(repeated)), KEY, "left_anti")
+    again = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
     return left.unionByName(again).select(*docs.columns)
 
 

@@ -34,3 +34,12 @@ def test_odd_rows(spark, sf_dir):
     assert ids == ["1", "2", "None"] or ids == ["1", "2", "4", "None"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_repeated_ids_keep_unlike_texts(spark, sf_dir):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(1, one), (1, two), (1, two), (1, three), (2, one), (2, three + " more"), (2, "d e f g h i"), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    want = [(1, one), (1, two), (1, three), (2, "d e f g h i"), (None, one)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted((str(i), t) for i, t in want)
