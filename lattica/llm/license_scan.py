@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,13 @@ TEMPLATES = {
     "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:"),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -93,6 +101,11 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def needed(words: int, coverage: float) -> int:
+    """Template words that make up the coverage; whole numbers, since (1 - 0.8) * 5 is less than 1."""
+    return ceil(coverage * words - 1e-9)
+
+
 def find(text: list[int], template: list[int], first: list[int]) -> tuple[float, int, int]:
     """Best coverage of a template in a text and the word span of it.
 
@@ -123,8 +136,9 @@ def _scanner(templates: dict[str, str], coverage: float):
     words = _template_codes(templates)
     counts = Counter(c for t in words.values() for c in set(t))
     # enough words of each template that no match of the asked coverage can miss them all, the rarest first
-    marks = {k: set(sorted(set(t), key=lambda c: (counts[c], c))[: max(1, int((1 - coverage) * len(t)) + 1)]) for k, t in words.items()}
+    marks = {k: set(sorted(set(t), key=lambda c: (counts[c], c))[: len(t) - needed(len(t), coverage) + 1]) for k, t in words.items()}
     distinct = {k: set(t) for k, t in words.items()}
+    least = {k: needed(len(t), coverage) for k, t in words.items()}
     every = np.unique(np.array([c for m in marks.values() for c in m], np.uint64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +154,12 @@ def _scanner(templates: dict[str, str], coverage: float):
                     at = (hit[s:e] - w.first[row]).tolist()
                     present = set(text)
                     for name, t in words.items():
-                        if len(distinct[name] - present) > (1 - coverage) * len(t):  # too many of its words are nowhere
+                        if len(distinct[name] - present) > len(t) - least[name]:  # too many of its words are nowhere
                             continue
                         first = [p for p in at if text[p] in marks[name]]
                         if first:
                             share, lo, hi = find(text, t, first)
-                            if share >= coverage:
+                            if share >= least[name] / len(t):
                                 out.append((row, name, share, lo, hi))
                 rows, names, share, lo, hi = zip(*out, strict=True) if out else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(

@@ -281,6 +281,12 @@ def test_license_alignment(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_at_exactly_the_coverage(spark):
+    rows = [(1, "Licensed under the MIT License."), (2, "Licensed under a MIT License.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["id"], r["license"], r["coverage"]) for r in got] == [(1, "mit", 0.8)]
+
+
 def test_alignment_is_an_increasing_matching():
     rng = random.Random(6)
     for _ in range(200):
