@@ -106,24 +106,43 @@ def needed(words: int, coverage: float) -> int:
     return ceil(coverage * words - 1e-9)
 
 
-def find(text: list[int], template: list[int], first: list[int]) -> tuple[float, int, int]:
+def find(text: list[int], template: list[int], first: list[int], least: int = 1) -> tuple[float, int, int]:
     """Best coverage of a template in a text and the word span of it.
 
     ``first`` has the text positions of template words that are rare in the template set; around each, a stretch
-    of ``SPREAD`` template lengths on either side is aligned (overlapping stretches once).
+    of ``SPREAD`` template lengths on either side is aligned (overlapping stretches once).  Where none has ``least``
+    words, as beside a second copy that leaves no word unique, shorter stretches at each mark are aligned: from the
+    start that the mark has in the template and from every shift that ``len(template) - least`` allows.
     """
-    reach, best, done = SPREAD * len(template), (0.0, 0, 0), -1
-    for p in first:
-        if p <= done:
-            continue
-        lo, hi = max(0, p - reach), min(len(text), p + reach)
+    reach, best, done = SPREAD * len(template), (0, 0, 0), -1
+
+    def attempt(lo: int, hi: int) -> None:
+        nonlocal best
         pairs = align(text[lo:hi], template)
-        if pairs:
-            share = len(pairs) / len(template)
-            if share > best[0]:
-                best = (share, lo + pairs[0][0], lo + pairs[-1][0] + 1)
-        done = p + reach // 2
-    return best
+        if len(pairs) > best[0]:
+            best = (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
+
+    for p in first:
+        if p > done:
+            attempt(max(0, p - reach), min(len(text), p + reach))
+            done = p + reach // 2
+    if best[0] < least:
+        places: dict[int, list[int]] = {}
+        for k, w in enumerate(template):
+            places.setdefault(w, []).append(k)
+        slack, tried, bag = len(template) - least, set(), Counter(template)
+        for p in first:
+            for k in places[text[p]]:
+                for lo in range(max(0, p - k - slack), min(p, p - k + slack) + 1):
+                    if lo in tried:
+                        continue
+                    tried.add(lo)
+                    for size in (len(template), len(template) + slack):
+                        if sum((Counter(text[lo : lo + size]) & bag).values()) >= least:
+                            attempt(lo, min(len(text), lo + size))
+            if best[0] == len(template):
+                break
+    return best[0] / len(template), best[1], best[2]
 
 
 def _template_codes(templates: dict[str, str]) -> dict[str, list[int]]:
@@ -158,7 +177,7 @@ def _scanner(templates: dict[str, str], coverage: float):
                             continue
                         first = [p for p in at if text[p] in marks[name]]
                         if first:
-                            share, lo, hi = find(text, t, first)
+                            share, lo, hi = find(text, t, first, least[name])
                             if share >= least[name] / len(t):
                                 out.append((row, name, share, lo, hi))
                 rows, names, share, lo, hi = zip(*out, strict=True) if out else ((), (), (), (), ())

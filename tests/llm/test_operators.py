@@ -287,6 +287,15 @@ def test_license_at_exactly_the_coverage(spark):
     assert [(r["id"], r["license"], r["coverage"]) for r in got] == [(1, "mit", 0.8)]
 
 
+def test_license_repeated_back_to_back(spark):
+    rows = []
+    for k, (name, t) in enumerate(license_scan.TEMPLATES.items()):
+        rows += [(k, f"foo {t} {t} bar"), (k, f"foo {t} x y {t} bar {t}"), (k, f"{t} {t} {t}")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k, (name, t) in enumerate(license_scan.TEMPLATES.items()):
+        assert sum(r["id"] == k and r["license"] == name and r["coverage"] == 1 for r in got) == 3, name
+
+
 def test_alignment_is_an_increasing_matching():
     rng = random.Random(6)
     for _ in range(200):
