@@ -260,17 +260,23 @@ def similar_links(flat: np.ndarray, cut: np.ndarray, similarity: float) -> list[
     A breadth-first search: each set is counted, through the sets that hold its members, against all sets not reached yet.
     """
     n, size = len(cut) - 1, np.diff(cut)
-    order = np.argsort(flat, kind="stable")
-    post = np.repeat(np.arange(n, dtype=np.int32), size)[order]
-    ordered = flat[order]
-    owner = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]][: len(ordered)], dtype=np.int32)
-    code = np.empty(len(flat), np.int32)
-    code[order] = owner
-    del order, ordered
-    count = np.bincount(owner)
-    shared = count[owner] > 1
-    post, owner = post[shared], owner[shared]
-    count = np.bincount(owner, minlength=len(count))
+    # shingles of two sets or more are numbered range by range of hashes, which keeps the sorts small
+    ranges = min(255, 1 + len(flat) // 500_000)
+    code, of, which = np.full(len(flat), -1, np.int32), np.repeat(np.arange(n, dtype=np.int32), size), (flat % ranges).astype(np.uint8)
+    posts, counts, codes = [], [], 0
+    for r in range(ranges):
+        at = np.flatnonzero(which == r)
+        at = at[np.argsort(flat[at], kind="stable")]
+        begin = np.flatnonzero(np.r_[True, flat[at][1:] != flat[at][:-1]][: len(at)])
+        k = np.diff(np.r_[begin, len(at)])
+        at, k = at[np.repeat(k > 1, k)], k[k > 1]
+        code[at] = codes + np.repeat(np.arange(len(k)), k)
+        posts.append(of[at])
+        counts.append(k)
+        codes += len(k)
+    del of, which
+    post, count = np.concatenate(posts), np.concatenate(counts)
+    del posts
     start, indexed = np.cumsum(count) - count, n
     left, out = np.ones(n, bool), []
     unseen = n
@@ -283,13 +289,13 @@ def similar_links(flat: np.ndarray, cut: np.ndarray, similarity: float) -> list[
             x = queue.pop()
             if unseen < indexed // 2:
                 held = left[post]
-                post, owner = post[held], owner[held]
-                count = np.bincount(owner, minlength=len(count))
+                post, count = post[held], np.bincount(np.repeat(np.arange(len(count), dtype=np.int32), count)[held], minlength=len(count))
                 start, indexed = np.cumsum(count) - count, unseen
             if not size[x]:
                 near = np.flatnonzero(left & (size == 0))
             else:
                 c = code[cut[x] : cut[x + 1]]
+                c = c[c >= 0]
                 c = c[count[c] > 0]
                 both = np.zeros(n, np.int64)
                 for some in np.array_split(c, 1 + int(count[c].sum()) // 1_000_000):
@@ -308,15 +314,17 @@ def _verify(similarity: float):
     def verify(t: pa.Table) -> pa.Table:
         """Links that span the components of each place's texts."""
         place, key = t.column("place").to_numpy(), t.column("key").to_numpy()
-        lists = t.column("shingles").combine_chunks()
-        flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        sets = []
+        for lists in t.column("shingles").chunks:
+            flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+            sets += [flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
         order = np.lexsort((key, place))
         order = order[np.r_[True, (place[order][1:] != place[order][:-1]) | (key[order][1:] != key[order][:-1])]]
         begin = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
         a, b = [], []
         for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
             own = order[s:e]
-            each = [flat[cut[i] : cut[i + 1]] for i in own.tolist()]
+            each = [sets[i] for i in own.tolist()]
             links = np.array(similar_links(np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])], similarity), np.int64).reshape(-1, 2)
             a.append(key[own[links[:, 0]]])
             b.append(key[own[links[:, 1]]])
