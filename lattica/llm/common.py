@@ -10,21 +10,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: whole texts travel in these, so that long ones stay within a worker's memory.
+#: Rows per Arrow batch at most: whole texts travel in these, so that long ones stay within a worker's memory.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a table of keys that is broadcast, at most; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that the operators rely on.  A checkpoint folder is set only where there is none."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Settings that the operators rely on: a smaller Arrow batch is kept, a larger one is cut to ``BATCH_ROWS`` rows.
+
+    The setting stays in the session, since Spark reads it when an action runs.  A checkpoint folder is set only
+    where there is none.
+    """
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     shared_folder(spark)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where all tasks run on this machine."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(held)
@@ -38,6 +48,21 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``kept`` has written; only for those that no later result reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("table-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table of keys, broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,7 +109,7 @@ def paired_groups(rows: DataFrame, keys: list[str], identity: str, limit: int) -
     part = F.coalesce(F.pmod(F.xxhash64(identity), F.col("_parts")).cast("int"), F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
     return (
-        rows.join(large, keys, "left").withColumn("part", part).withColumn("_other", other)
+        rows.join(small(large), keys, "left").withColumn("part", part).withColumn("_other", other)
         .withColumn("pa", F.least("part", "_other")).withColumn("pb", F.greatest("part", "_other"))
         .drop("_parts", "_other")
     )

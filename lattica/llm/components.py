@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import kept
+from lattica.llm.common import discard, kept
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -13,9 +13,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Each round gives a vertex the smallest label among itself and its neighbours (an aggregation with map-side
     combining, so a hub costs one row per task) and then follows label to label once, which roughly doubles
-    the distance covered.  Rounds are written to the shared folder: a lost executor repeats one round at most.
-    Both inputs of each join are plain tables, so that Spark can split a hot key.  Links with a null end and
-    self-links are ignored; an empty table gives an empty result.
+    the distance covered.  Rounds are written to the shared folder: a lost executor repeats one round at most,
+    and a round's tables go when the next one is written.  Both inputs of each join are plain tables, so that
+    Spark can split a hot key.  Links with a null end and self-links are ignored; an empty table gives an empty
+    result.
     """
     one = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
     both = kept(one.union(one.select("dst", "src")).distinct())
@@ -31,7 +32,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         hop = near.select(F.col("id").alias("label"), F.col("label").alias("far"))
         new = kept(near.join(hop, "label").select("id", F.col("far").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
+        discard(near, labels)
         labels = new
         if not changed:
+            discard(both)
             return labels.select("id", F.col("label").alias("component_id"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -169,7 +169,7 @@ def test_tree_finds_every_pair(spark, monkeypatch):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(300)]
     fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(4)})
-    df = spark.createDataFrame([(0, f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "tree int, fp long, rep long")
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
     links = simhash.hamming_links(df, 3).collect()
     assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 3 for r in links)
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
@@ -177,6 +177,19 @@ def test_tree_finds_every_pair(spark, monkeypatch):
     assert group([(r["a"], r["b"]) for r in links]) == group(pairs)
 
 
+def test_leaves_shrink_with_the_table():
+    """A million unrelated fingerprints: few copies of each, and no leaf with a share of the table."""
+    fps = np.random.default_rng(5).integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    for rows, depth in ((100_000, simhash.tree_depth(100_000, 1)), (1_000_000, simhash.tree_depth(1_000_000, 1))):
+        copies = largest = 0
+        for t in range(2):
+            x = simhash.half(fps[:rows], t)
+            tree = simhash.fit_tree(x[: simhash.SAMPLE], depth, 1)
+            _, leaf, _ = simhash.route(x, *tree, depth, 1)
+            copies, largest = copies + len(leaf) / rows, max(largest, np.bincount(leaf).max())
+        assert copies < 8 and largest < 2.5 * simhash.LEAF
+
+
 @pytest.mark.parametrize("part", [12, 6000])
 def test_verified_groups(spark, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART_TEXTS", part)
