@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, quality, secret_scan, simhash
-from lattica.llm.common import fold, kept, prepare, table
+from lattica.llm.common import fold, kept, prepare, small, table
 from lattica.llm.queries import tokenizer_path
 
 #: The row's own key, for joins back to the texts: an id may be null or repeated.
@@ -31,7 +31,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate group, that of smallest id; rows with a null id stay.
 
-    Rows of one id are told apart by their texts, so that only equal or similar texts of an id are dropped.
+    Rows of one id are told apart by their texts, so that only equal or similar texts of an id are dropped.  Rows that
+    go are named by their keys, a small table; texts are only exchanged where that table is not small.
     """
     prepare(spark)
     rows = docs.withColumn(KEY, _key())
@@ -40,9 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     dropped = kept(groups.join(first, "component").where("row <> first").select(F.col("row").alias(KEY)).distinct())
     repeated = groups.groupBy(F.col("row").alias(KEY)).count().where("count > 1").select(KEY)
     repeated = kept(repeated.join(dropped, KEY, "left_anti"))
-    left = rows.join(kept(dropped.union(repeated)), KEY, "left_anti")
-    again = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
-    return left.unionByName(again).select(*docs.columns)
+    left = rows.join(small(kept(dropped.union(repeated))), KEY, "left_anti")
+    if repeated.limit(1).count():
+        left = left.unionByName(rows.join(small(repeated), KEY, "left_semi").dropDuplicates([KEY]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,16 +52,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     rows = docs.withColumn(KEY, _key())
     found = kept(decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), KEY).select(F.col("id").alias(KEY)))
-    return rows.join(found, KEY, "left_anti").select(*docs.columns)
+    return rows.join(small(found), KEY, "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every reported secret by a mark; n_chars of such a document is its new length."""
     prepare(spark)
-    rows = docs.withColumn(KEY, _key())
-    spans = kept(secret_scan.scan(rows, KEY).where(F.size("spans") > 0).dropDuplicates(["id"]).select(F.col("id").alias(KEY), F.col("spans").alias("__spans")))
-    cut = rows.join(spans, KEY, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("__spans"))))
-    return cut.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return secret_scan.without_secrets(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
