@@ -47,7 +47,9 @@ def code_key(c: str | Column) -> Column:
 
 
 def zero_padded(c: str | Column, width: int = 3) -> Column:
-    return F.lpad(col(c).cast("string"), width, "0")
+    """At least ``width`` characters with zeros in front; longer codes stay as they are."""
+    text = col(c).cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
 def leading_year(c: str | Column) -> Column:

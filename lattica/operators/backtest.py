@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.graph import pagerank
 from lattica.operators.panel import next_available
+from lattica.operators.stats import numbered
 from lattica.schema import DEFAULTS
 
 
@@ -41,16 +43,25 @@ def calibrate(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("b.alpha", "b.rmse", ((F.col("b.alpha") <= 0.05) | (F.col("b.alpha") >= 0.95)).alias("at_boundary"))
 
 
+def drawn_entities(entities: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, entity, times): as many draws with replacement per replicate as there are entities.
+
+    Every draw follows from a hash of its number and is made in a task; only the number of entities reaches the driver.
+    """
+    names = numbered(entities.distinct(), [F.col("entity")], "_k").checkpoint()
+    n = names.count()
+    slots = entities.sparkSession.range(n * replicates).select((F.col("id") / F.lit(n)).cast("int").alias("replicate"), (F.col("id") % n).alias("slot"))
+    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "slot")), 1, 12), 16, 10).cast("long")
+    times = slots.withColumn("_k", code % n + 1).groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(names, "_k").select("replicate", "entity", "times")
+
+
 def bootstrap_alpha(scores: DataFrame, edges: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
     """(low, median, high) of alpha over replicates that draw entities with replacement.
 
     A drawn entity counts as often as it was drawn; weights are those of the drawn subgraph, not normalised again.
     """
-    spark = scores.sparkSession
-    names = [r["entity"] for r in scores.select("entity").distinct().orderBy("entity").collect()]
-    rng = np.random.RandomState(seed)
-    draws = [(k, names[i], int(c)) for k in range(replicates) for i, c in zip(*np.unique(rng.randint(0, len(names), len(names)), return_counts=True), strict=True)]
-    drawn = F.broadcast(spark.createDataFrame(draws, "replicate int, entity string, times int"))
+    drawn = drawn_entities(scores.select("entity"), replicates, seed).checkpoint()
     a = drawn.select("replicate", F.col("entity").alias("dst"), "times")
     ws = edges.join(scores.select(F.col("entity").alias("dst"), "period", F.col("score").alias("_s")), "dst").join(a, "dst").groupBy("replicate", "period", F.col("src").alias("entity")).agg(F.sum(F.col("w") * F.col("_s") * F.col("times")).alias("ws"))
     ahead = scores.select("entity", F.col("period").alias("next_period"), F.col("score").alias("ahead"))
@@ -64,18 +75,35 @@ def bootstrap_alpha(scores: DataFrame, edges: DataFrame, replicates: int = 100,
     return best.agg(F.percentile("alpha", 0.05).alias("low"), F.median("alpha").alias("median"), F.percentile("alpha", 0.95).alias("high"))
 
 
-def dirichlet_weights(spark, weights: dict[str, float], draws: int = 200, concentration: float = 50.0, seed: int = 42) -> DataFrame:
+def dirichlet_draws(weights: dict[str, float], draws: int = 200, concentration: float = 50.0, seed: int = 42) -> list[tuple[int, str, float]]:
     """(draw, channel, weight): channel weights drawn around the given ones; a fixed number of rows."""
     names = sorted(weights)
     w = np.random.RandomState(seed).dirichlet([concentration * weights[n] for n in names], draws)
-    return spark.createDataFrame([(k, n, float(w[k, i])) for k in range(draws) for i, n in enumerate(names)], "draw int, channel string, weight double")
+    return [(k, n, float(w[k, i])) for k in range(draws) for i, n in enumerate(names)]
 
 
-def weight_uncertainty(channels: DataFrame, draws: DataFrame) -> DataFrame:
-    """(src, dst, low, high): 5 % and 95 % points of combined weights over drawn channel weights."""
+def dirichlet_weights(spark, weights: dict[str, float], draws: int = 200, concentration: float = 50.0, seed: int = 42) -> DataFrame:
+    return spark.createDataFrame(dirichlet_draws(weights, draws, concentration, seed), "draw int, channel string, weight double")
+
+
+def drawn_graphs(channels: DataFrame, draws: DataFrame) -> DataFrame:
+    """(draw, src, dst, w): the channels combined with each draw's weights; draws are a fixed number of rows."""
     total = channels.groupBy("channel", "src").agg(F.sum("w").alias("_t"))
     each = channels.join(total, ["channel", "src"]).select("channel", "src", "dst", F.when(F.col("_t") != 0, F.col("w") / F.col("_t")).otherwise(F.lit(0.0)).alias("w"))
-    one = each.join(F.broadcast(draws), "channel").where("src <> dst").groupBy("draw", "src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
+    return each.join(F.broadcast(draws), "channel").where("src <> dst").groupBy("draw", "src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("w"))
+
+
+def pagerank_intervals(channels: DataFrame, draws: DataFrame, steps: int = 50) -> DataFrame:
+    """(entity, low, high): 5 % and 95 % points of PageRank over drawn channel weights."""
+    total = F.sum("w").over(Window.partitionBy("draw", "src"))
+    graphs = drawn_graphs(channels, draws).withColumn("w", F.when(total != 0, F.col("w") / total).otherwise(F.lit(0.0))).checkpoint()
+    ranks = pagerank(graphs, steps=steps, by=["draw"])
+    return ranks.groupBy("entity").agg(F.percentile("pagerank", 0.05).alias("low"), F.percentile("pagerank", 0.95).alias("high"))
+
+
+def weight_uncertainty(channels: DataFrame, draws: DataFrame) -> DataFrame:
+    """(src, dst, low, high): 5 % and 95 % points of combined weights over drawn channel weights."""
+    one = drawn_graphs(channels, draws)
     return one.groupBy("src", "dst").agg(F.percentile("w", 0.05).alias("low"), F.percentile("w", 0.95).alias("high"))
 
 
@@ -101,3 +129,8 @@ def validate_episodes(episodes: DataFrame, scores: DataFrame) -> DataFrame:
     out = episodes.select("name").join(per, "name", "left").na.fill(0)
     rate = F.when(F.col("primary_n") > 0, F.col("primary_up") / F.col("primary_n"))
     return out.withColumn("rate", rate).withColumn("status", F.when(rate.isNull(), "SKIP").when(rate >= 0.5, "PASS").otherwise("FAIL"))
+
+
+def status_counts(rows: DataFrame, status: str = "status", wanted: tuple[str, ...] = ("PASS", "FAIL", "SKIP")) -> DataFrame:
+    """One row with the number of rows of each status."""
+    return rows.agg(*[F.count_if(F.col(status) == s).alias(f"n_{s.lower()}") for s in wanted])

@@ -1,18 +1,23 @@
 """Graphs as edge tables (src, dst, w): channels, normalisation, centrality and distances.
 
-Linear recursions (PageRank, propagation) have two forms.  Graphs of up to ``DENSE_LIMIT`` nodes become one
-array-valued row and the whole recursion one expression; larger ones are iterated as joins over the edge table,
-written to the checkpoint folder as they go.
+Linear recursions (PageRank, propagation, leading eigenvectors) have two forms with equal steps and results.  Graphs
+of up to ``DENSE_LIMIT`` nodes become one array-valued row and the whole recursion one expression, a single job; larger
+ones are iterated as joins over the edge table, written to the checkpoint folder as they go.  Whole spectra and
+embeddings need the matrix itself: they run in one task and raise beyond that size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import haversine
+from lattica.operators.stats import pairwise_correlation
 from lattica.schema import DEFAULTS, DENSE_LIMIT
 
 
@@ -95,6 +100,40 @@ def shared_organizations(members: DataFrame, a: str, b: str) -> DataFrame:
     return members.agg(F.array_sort(F.array_intersect(of(a), of(b))).alias("shared"))
 
 
+def correlation_channel(panel: DataFrame, least: int = 5) -> DataFrame:
+    """max(0, correlation) of entity pairs over common periods, row-normalised: a stand-in for a missing financial channel."""
+    r = pairwise_correlation(panel, least)
+    return row_normalize(r.select("src", "dst", F.greatest("r", F.lit(0.0)).alias("w")))
+
+
+def first_available(*options: Callable[[], DataFrame]) -> DataFrame:
+    """The first of several tables that has rows; the last one if none has."""
+    for make in options[:-1]:
+        df = make()
+        if not df.isEmpty():
+            return df
+    return options[-1]()
+
+
+def channels_with_fallbacks(trade: DataFrame, claims: DataFrame, migrants: DataFrame, sizes: DataFrame, population: DataFrame, points: DataFrame,
+                            members: DataFrame, growth: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """(channel, src, dst, w) and the channels' weights from what is at hand.
+
+    Without trade dyads the gravity model stands in, without claims the correlation of growth (or nothing); without
+    migrants that channel's weight goes to trade and geography.
+    """
+    parts = {
+        "trade": first_available(lambda: row_normalize(accumulate(trade)), lambda: gravity(points, sizes)),
+        "geographic": geographic(points),
+        "financial": first_available(lambda: financial(claims, sizes), lambda: correlation_channel(growth)),
+        "political": comembership(members),
+    }
+    if not migrants.isEmpty():
+        parts["migration"] = migration(migrants, population)
+    rows = [df.select(F.lit(name).alias("channel"), "src", "dst", "w") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows), channel_weights(set(parts), weights)
+
+
 def channel_weights(present: set[str], weights: dict[str, float] | None = None) -> dict[str, float]:
     """Weights of the channels at hand: a missing migration channel goes to trade (53 %) and geography (47 %)."""
     w = dict(weights or DEFAULTS.channel_weights)
@@ -189,16 +228,25 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("_m2") - F.pow(F.col("degree") / F.col("_m2"), 2)).alias("modularity"))
 
 
-def dense(edges: DataFrame) -> DataFrame:
-    """One row (names, w): the sorted node names and the matrix as array<array<double>>."""
+def dense(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(names, w) in one row, or one per ``by``: the sorted node names and the matrix as array<array<double>>."""
     n = nodes(edges).count()
     if n > DENSE_LIMIT:
         raise ValueError(f"{n} nodes; use the edge-table form above {DENSE_LIMIT}")
-    rows = edges.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("m"))
-    maps = rows.agg(F.map_from_entries(F.collect_list(F.struct("src", "m"))).alias("rows"))
+    rows = edges.groupBy(*by, "src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("m"))
+    maps = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("src", "m"))).alias("rows"))
     names = nodes(edges).agg(F.array_sort(F.collect_list("entity")).alias("names"))
     cell = lambda i, j: F.coalesce(F.col("rows")[i][j], F.lit(0.0))
-    return names.join(maps).select("names", F.transform("names", lambda i: F.transform("names", lambda j: cell(i, j))).alias("w"))
+    return maps.join(F.broadcast(names)).select(*by, "names", F.transform("names", lambda i: F.transform("names", lambda j: cell(i, j))).alias("w"))
+
+
+def small_graph(edges: DataFrame) -> bool:
+    return nodes(edges).count() <= DENSE_LIMIT
+
+
+def exploded(one: DataFrame, value: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """(entity, name) rows from a dense row and an array in the order of its names."""
+    return one.select(*by, F.explode(F.arrays_zip("names", value.alias("x"))).alias("z")).select(*by, F.col("z.names").alias("entity"), F.col("z.x").alias(name))
 
 
 def mat_vec(w: Column, x: Column) -> Column:
@@ -209,92 +257,136 @@ def transposed(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda j: F.transform(w, lambda row: row[j]))
 
 
-def recursion(edges: DataFrame, base: DataFrame, factor: float, steps: int, outgoing: bool = True, every: int = 5) -> DataFrame:
-    """(entity, x) after ``steps`` of x <- factor * W x + base (W^T x if not outgoing), from x = base, by joins.
+def moved(edges: DataFrame, x: DataFrame, outgoing: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """(by, entity, d): W x, or W^T x if not outgoing, of (by, entity, x) as a join and a sum with map-side combining.
 
-    For graphs of any size: a step is a join and an aggregation with map-side combining.
+    ``by`` keys several vectors; edges may have those columns too, or be the same for all.
     """
     key, other = ("src", "dst") if outgoing else ("dst", "src")
-    x = base.select("entity", F.col("value").alias("x"))
+    on = [c for c in by if c in edges.columns]
+    return (edges.join(x.withColumnRenamed("entity", other), [*on, other])
+            .groupBy(*by, F.col(key).alias("entity")).agg(F.sum(F.col("w") * F.col("x")).alias("d")))
+
+
+def recursion(edges: DataFrame, start: DataFrame, base: DataFrame, factor: float, steps: int, outgoing: bool = True,
+              by: Sequence[str] = (), scaled: bool = False, every: int = 5) -> DataFrame:
+    """(by, entity, x) after ``steps`` of x <- factor * W x + base, from ``start`` (by, entity, x), for graphs of any size.
+
+    ``base`` is (by, entity, value) and has every entity.  With ``scaled``, x is divided by its sum in each step.
+    """
+    x = start
     for k in range(steps):
-        moved = edges.join(x.select(F.col("entity").alias(other), "x"), other).groupBy(F.col(key).alias("entity")).agg((factor * F.sum(F.col("w") * F.col("x"))).alias("_d"))
-        x = base.join(moved, "entity", "left").select("entity", (F.col("value") + F.coalesce("_d", F.lit(0.0))).alias("x"))
-        if k % every == every - 1:
+        x = base.join(moved(edges, x, outgoing, by), [*by, "entity"], "left").select(*by, "entity", (F.col("value") + factor * F.coalesce("d", F.lit(0.0))).alias("x"))
+        if scaled:
+            total = x.groupBy(*by).agg(F.sum("x").alias("_t"))
+            x = (x.join(total, list(by)) if by else x.join(F.broadcast(total))).select(*by, "entity", (F.col("x") / F.col("_t")).alias("x"))
+        if scaled or k % every == every - 1:
             x = x.checkpoint()
     return x
 
 
-def pagerank(edges: DataFrame, damping: float = DEFAULTS.damping, steps: int = 50) -> DataFrame:
-    """(entity, pagerank): r <- damping * W^T r + (1 - damping) / n, scaled to a sum of 1 at each step.
+def pagerank(edges: DataFrame, damping: float = DEFAULTS.damping, steps: int = 50, by: Sequence[str] = ()) -> DataFrame:
+    """(by, entity, pagerank): r <- damping * W^T r + (1 - damping) / n from 1 / n, scaled to a sum of 1 at each step.
 
-    Weights should be row-normalised.  The dense form is one expression; above the limit the same fixed point is
-    reached by the edge-table recursion, scaled once at the end (the recursion is linear, so the scale commutes).
+    Weights should be row-normalised; what dangling nodes hold is lost and made up for by the scale.  ``by`` are
+    columns of ``edges`` that key several graphs over the same nodes.
     """
     n = nodes(edges).count()
     if n <= DENSE_LIMIT:
-        one = dense(edges).select("names", transposed(F.col("w")).alias("wt"))
+        one = dense(edges, by).select(*by, "names", transposed(F.col("w")).alias("wt"))
         start = F.transform("names", lambda _: F.lit(1.0 / n))
 
         def step(r, _):
             new = F.transform(mat_vec(F.col("wt"), r), lambda v: v * damping + (1 - damping) / n)
-            return F.transform(new, lambda v: v / F.aggregate(new, F.lit(0.0), lambda s, u: s + u))
-
-        found = one.select("names", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("r"))
-        return found.select(F.explode(F.arrays_zip("names", "r")).alias("z")).select(F.col("z.names").alias("entity"), F.col("z.r").alias("pagerank"))
-    base = nodes(edges).withColumn("value", F.lit((1 - damping) / n))
-    r = recursion(edges, base, damping, steps, outgoing=False)
-    return r.join(r.agg(F.sum("x").alias("_t"))).select("entity", (F.col("x") / F.col("_t")).alias("pagerank"))
-
-
-def hops(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
-    """(entity, hops) from the nearest source (entity), a frontier at a time; entities out of reach are left out."""
-    seen = sources.select("entity").distinct().withColumn("hops", F.lit(0)).checkpoint()
-    frontier, links = seen, edges.where("w > 0").select("src", "dst")
-    for k in range(1, most + 1):
-        ahead = links.join(frontier.select(F.col("entity").alias("src")), "src").select(F.col("dst").alias("entity")).distinct()
-        frontier = ahead.join(seen, "entity", "left_anti").withColumn("hops", F.lit(k)).checkpoint()
-        if not frontier.limit(1).count():
-            break
+            return F.transform(F.array(new), lambda x: F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda s, u: s + u)))[0]
+
+        return exploded(one, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), "pagerank", by)
+    every = nodes(edges).join(edges.select(*by).distinct()) if by else nodes(edges)
+    every = every.checkpoint()
+    start, base = (every.select(*by, "entity", F.lit(v).alias(c)) for v, c in ((1.0 / n, "x"), ((1 - damping) / n, "value")))
+    return recursion(edges, start, base, damping, steps, outgoing=False, by=by, scaled=True).withColumnRenamed("x", "pagerank")
+
+
+def eigenvector_centrality(edges: DataFrame, incoming: bool = False, steps: int = 100) -> DataFrame:
+    """(entity, centrality): the leading eigenvector of W (or W^T) with a sum of 1, by power iteration.
+
+    The iteration runs on W plus its mean row sum times the identity, which has the same eigenvectors and, for a graph
+    that falls into two sides, one leading one.
+    """
+    n = nodes(edges).count()
+    shift = (edges.agg(F.sum("w")).first()[0] or 0.0) / max(n, 1)
+    if n <= DENSE_LIMIT:
+        one = dense(edges)
+        w = transposed(F.col("w")) if incoming else F.col("w")
+
+        def step(v, _):
+            new = F.zip_with(mat_vec(F.col("_w"), v), v, lambda a, b: a + b * shift)
+            return F.transform(F.array(new), lambda x: F.transform(x, lambda u: u / F.aggregate(x, F.lit(1e-300), lambda s, y: s + y)))[0]
+
+        start = F.transform("names", lambda _: F.lit(1.0 / n))
+        return exploded(one.withColumn("_w", w), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), "centrality")
+    every = nodes(edges).checkpoint()
+    loops = edges.select("src", "dst", "w").union(every.select("entity", F.col("entity"), F.lit(shift)))
+    start, base = every.withColumn("x", F.lit(1.0 / n)), every.withColumn("value", F.lit(0.0))
+    return recursion(loops, start, base, 1.0, steps, outgoing=not incoming, scaled=True).withColumnRenamed("x", "centrality")
+
+
+def spectral_radius(edges: DataFrame, steps: int = 100) -> DataFrame:
+    """(radius): the largest eigenvalue of a non-negative W, the Rayleigh-like quotient sum(W v) / sum(v) of its leading vector."""
+    v = eigenvector_centrality(edges, steps=steps).withColumnRenamed("centrality", "x").checkpoint()
+    return moved(edges, v).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("radius"))
+
+
+def hops(edges: DataFrame, sources: DataFrame, each: bool = False) -> DataFrame:
+    """(entity, hops) from the nearest source (entity), a frontier at a time until it is empty; entities out of reach are left out.
+
+    With ``each``, (source, entity, hops) from every source by itself.
+    """
+    seen = sources.select(F.col("entity").alias("source") if each else F.lit("").alias("source"), "entity").distinct().withColumn("hops", F.lit(0)).checkpoint()
+    frontier, links, k = seen, edges.where("w > 0").select("src", "dst"), 0
+    while frontier.limit(1).count():
+        k += 1
+        ahead = links.join(frontier.select("source", F.col("entity").alias("src")), "src").select("source", F.col("dst").alias("entity")).distinct()
+        frontier = ahead.join(seen, ["source", "entity"], "left_anti").withColumn("hops", F.lit(k)).checkpoint()
         seen = seen.union(frontier)
-    return seen
+        if k % 10 == 0:
+            seen = seen.checkpoint()
+    return seen if each else seen.drop("source")
+
+
+#: Sources whose searches run side by side.
+SOURCE_BATCH = 2000
 
 
 def betweenness(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
     """(entity, betweenness) on edges at or above a quantile of the positive weights, largest value 1.
 
-    Sources are dealt over tasks; each task runs breadth-first searches over the thresholded edge list.
+    Breadth-first searches from a batch of sources advance together, a join of their frontiers with the edges per
+    step; shares of shortest paths are then added up from the farthest step back.
     """
-    cut = edges.where("w > 0").agg(F.percentile("w", quantile).alias("_q"))
-    strong = edges.where("w > 0").join(F.broadcast(cut)).where("w >= _q and src <> dst").agg(F.collect_list(F.struct("src", "dst")).alias("links"))
-    jobs = nodes(edges).join(F.broadcast(strong))
-
-    def run(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                ahead: dict[str, list[str]] = {}
-                for e in r.links:
-                    ahead.setdefault(e["src"], []).append(e["dst"])
-                order, paths, depth, before = [], {r.entity: 1.0}, {r.entity: 0}, {}
-                queue = [r.entity]
-                for v in queue:
-                    order.append(v)
-                    for u in ahead.get(v, ()):
-                        if u not in depth:
-                            depth[u] = depth[v] + 1
-                            queue.append(u)
-                        if depth[u] == depth[v] + 1:
-                            paths[u] = paths.get(u, 0.0) + paths[v]
-                            before.setdefault(u, []).append(v)
-                share = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in before.get(v, ()):
-                        share[u] += paths[u] / paths[v] * (1 + share[v])
-                if len(order) == 1:
-                    continue
-                yield pd.DataFrame({"entity": order[1:], "b": [share[v] for v in order[1:]]}, columns=["entity", "b"])
-
-    sums = jobs.mapInPandas(run, "entity string, b double").groupBy("entity").agg(F.sum("b").alias("b"))
-    every = nodes(edges).join(sums, "entity", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    cut = edges.where("w > 0").agg(F.percentile("w", quantile)).first()[0]
+    strong = edges.where((F.col("w") > 0) & (F.col("w") >= F.lit(cut)) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct().checkpoint()
+    every = nodes(edges).checkpoint()
+    batches, sums = max(1, -(-every.count() // SOURCE_BATCH)), None
+    for batch in range(batches):
+        own = every.where(F.pmod(F.xxhash64("entity"), F.lit(batches)) == batch)
+        frontier = own.select(F.col("entity").alias("source"), "entity", F.lit(1.0).alias("paths")).checkpoint()
+        seen, levels = frontier.select("source", "entity"), [frontier]
+        while frontier.limit(1).count():
+            ahead = strong.join(frontier.withColumnRenamed("entity", "src"), "src").groupBy("source", F.col("dst").alias("entity")).agg(F.sum("paths").alias("paths"))
+            frontier = ahead.join(seen, ["source", "entity"], "left_anti").checkpoint()
+            seen = seen.union(frontier.select("source", "entity")).checkpoint()
+            levels.append(frontier)
+        back = None
+        for far, near in zip(levels[:0:-1], levels[-2::-1], strict=True):
+            due = far.select("source", F.col("entity").alias("dst"), "paths") if back is None else far.join(back, ["source", "entity"], "left").select("source", F.col("entity").alias("dst"), "paths", "share")
+            due = due.withColumn("due", (1 + (F.coalesce("share", F.lit(0.0)) if "share" in due.columns else F.lit(0.0))) / F.col("paths")).select("source", "dst", "due")
+            back = (strong.join(due, "dst").join(near.select("source", F.col("entity").alias("src"), "paths"), ["source", "src"])
+                    .groupBy("source", F.col("src").alias("entity")).agg(F.sum(F.col("paths") * F.col("due")).alias("share"))).checkpoint()
+            part = back.where("source <> entity").select("entity", "share")
+            sums = part if sums is None else sums.union(part)
+    total = sums.groupBy("entity").agg(F.sum("share").alias("b")) if sums is not None else every.select("entity", F.lit(0.0).alias("b"))
+    every = every.join(total, "entity", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     top = every.agg(F.max("b").alias("_m"))
     return every.join(F.broadcast(top)).select("entity", (F.col("b") / F.greatest("_m", F.lit(1e-10))).alias("betweenness"))
 
@@ -325,16 +417,6 @@ def spectrum(edges: DataFrame) -> DataFrame:
     return _on_matrix(edges, work, "k int, re double, im double, magnitude double")
 
 
-def eigenvector_centrality(edges: DataFrame, incoming: bool = False) -> DataFrame:
-    """(entity, centrality): the leading eigenvector of W (or W^T), absolute, with a sum of 1."""
-    def work(names, w):
-        values, vectors = np.linalg.eig(w.T if incoming else w)
-        v = np.abs(vectors[:, np.argmax(np.abs(values))].real)
-        return pd.DataFrame({"entity": names, "centrality": v / max(v.sum(), 1e-10)})
-
-    return _on_matrix(edges, work, "entity string, centrality double")
-
-
 def _sym(w: np.ndarray) -> np.ndarray:
     s = (w + w.T) / 2
     np.fill_diagonal(s, 0)
@@ -361,14 +443,23 @@ def fiedler(edges: DataFrame) -> DataFrame:
 
 
 def embedding(edges: DataFrame, size: int = 3) -> DataFrame:
-    """(entity, x array): eigenvectors 2.. of the normalised Laplacian."""
+    """(entity, x array): eigenvectors 2.. of the normalised Laplacian, each with its largest entry positive."""
     def work(names, w):
         _, vectors = np.linalg.eigh(_normal_laplacian(w))
-        return pd.DataFrame({"entity": names, "x": vectors[:, 1 : 1 + size].tolist()})
+        x = vectors[:, 1 : 1 + size]
+        x = x * np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1)
+        return pd.DataFrame({"entity": names, "x": x.tolist()})
 
     return _on_matrix(edges, work, "entity string, x array<double>")
 
 
+def resilience(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
+    """(entity, pagerank, betweenness, side, lambda2, relaxation, density): the network's measures side by side."""
+    edges = edges.checkpoint()
+    per = pagerank(edges).join(betweenness(edges, quantile), "entity").join(fiedler(edges).drop("value"), "entity")
+    return per.join(F.broadcast(density(edges).select("density")))
+
+
 def _lloyd(x: np.ndarray, k: int, tries: int, seed: int) -> np.ndarray:
     rng, best, label = np.random.RandomState(seed), np.inf, np.zeros(len(x), int)
     for _ in range(tries):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import deficit
+from lattica.operators.stats import robust_z, winsorize
 from lattica.schema import DEFAULTS
+from lattica.sources.clean import within_universe
 
 # The source classes of temporal filling.
 GOVERNANCE = ("VDEM", "WB_WGI", "FREEDOM_HOUSE", "TI_CPI", "POLITY5", "FSI", "NDGAIN")
@@ -121,3 +123,30 @@ def with_names(df: DataFrame, names: DataFrame, key: str = "entity") -> DataFram
     """Adds name, which falls back to the key itself, and a label of both."""
     named = df.join(names.select(F.col("entity").alias(key), "name"), key, "left").withColumn("name", F.coalesce("name", key))
     return named.withColumn("label", F.concat_ws(" - ", key, "name"))
+
+
+def layer(tables: dict[str, DataFrame], metric: str, value: str | None = None) -> DataFrame:
+    """(entity, value) of the metric that a map shows, from the table of that name; its value column is ``value`` or the only other one."""
+    if metric not in tables:
+        raise KeyError(f"{metric} is none of {sorted(tables)}")
+    df = tables[metric]
+    value = value or next(c for c in df.columns if c != "entity")
+    return df.select("entity", F.col(value).cast("double").alias("value"))
+
+
+def feature_matrix(panel: DataFrame, registry: DataFrame, members: DataFrame, period: int, window: int = DEFAULTS.window,
+                   threshold: float = DEFAULTS.missing_threshold, bounds: tuple[float, float] = DEFAULTS.winsor, impute: Callable[[DataFrame], DataFrame] | None = None,
+                   deficits: Sequence[str] = ()) -> DataFrame:
+    """(entity, indicator, value), one row for every member and indicator: the whole way from facts to features.
+
+    Align and fill, orient, leave out pairs that miss too much, take one period, complete the grid, robust z, impute,
+    winsorize, robust z again.  ``impute`` gives (entity, indicator, value) without NULLs, pooled over replicates if it
+    makes several; without it a missing score is the indicator's median, 0.
+    """
+    rows = within_universe(panel, members)
+    rows = orient(align_temporal(rows, window), registry, deficits).checkpoint()
+    rows = drop_missing(rows, missingness(rows, threshold)).where((F.col("period") == period) & F.col("value").isNotNull())
+    grid = reindex(rows.groupBy("entity", "indicator").agg(F.avg("value").alias("value")), members, registry)
+    z = robust_z(grid).select("entity", "indicator", "value").checkpoint()
+    done = z.withColumn("value", F.coalesce("value", F.lit(0.0))) if impute is None else impute(z)
+    return robust_z(winsorize(done, *bounds)).select("entity", "indicator", "value")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import combinations
 from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import clip
@@ -28,24 +30,48 @@ def robust_z(panel: DataFrame, factor: float = DEFAULTS.mad_factor) -> DataFrame
     return centred.join(spread, "indicator").withColumn("value", z).drop("_m", "_mad")
 
 
+def numbered(df: DataFrame, orders: Sequence[Column], name: str = "rank", size: Column | None = None) -> DataFrame:
+    """``df`` with the running number of each row in the order ``orders``, 1..n; with ``size``, the sum of it over all rows before.
+
+    Rows are dealt by ranges of the order and numbered within each; the sums of earlier ranges, a row a range, are
+    added.  No task holds more than its range.
+    """
+    dealt = df.repartitionByRange(*orders).withColumn("_p", F.spark_partition_id()).checkpoint()
+    amount = F.lit(1) if size is None else size
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_p").agg(F.sum(amount).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_p").orderBy(*orders)
+    own = F.row_number().over(within) if size is None else F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(parts), "_p").withColumn(name, own + F.col("_before")).drop("_p", "_before")
+
+
 def ranked(df: DataFrame, score: str, key: str = "entity", name: str = "rank") -> DataFrame:
     """Unique ranks 1..n by descending score, ties by key."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc_nulls_last(score), key)))
+    return numbered(df, [F.desc_nulls_last(score), F.col(key)], name).withColumn(name, F.col(name).cast("int"))
 
 
-def average_rank(c: str):
-    """Ranks with ties averaged."""
-    up = Window.orderBy(c)
-    return F.rank().over(up) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
+def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``c``, ties averaged: distinct values are counted, numbered and joined back."""
+    values = numbered(df.groupBy(c).agg(F.count(F.lit(1)).alias("_c")), [F.col(c)], "_below", F.col("_c"))
+    return df.join(values.select(c, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name)), c)
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman coefficients over complete pairs, and their number."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    both = pairs.withColumn("rx", average_rank("x")).withColumn("ry", average_rank("y"))
+    both = average_ranks(average_ranks(pairs.checkpoint(), "x", "rx"), "y", "ry")
     return both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+def with_p_values(correlations: DataFrame) -> DataFrame:
+    """Rows of (pearson, spearman, n, ...) with their two-sided p-values p_pearson and p_spearman."""
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p_value(a, b) for a, b in zip(r, n, strict=True)], dtype=float)
+
+    return correlations.withColumn("p_pearson", p("pearson", "n")).withColumn("p_spearman", p("spearman", "n"))
+
+
 def benchmark_check(scores: DataFrame, benchmark: DataFrame, least: float = 0.70, fewest: int = 10) -> DataFrame:
     """(pearson, spearman, n, passed): agreement of (entity, score) with (entity, value); too few pairs fail."""
     r = correlation(scores.join(benchmark, "entity"), "score", "value")
@@ -61,9 +87,9 @@ def gaps(values: DataFrame, k: str = "k", value: str = "magnitude") -> DataFrame
 def cumulative_share(components: DataFrame) -> DataFrame:
     """(component, eigenvalue, share, cumulative) of the distinct components."""
     c = components.select("component", "eigenvalue").distinct()
-    every, upto = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy("component")
-    total = F.sum("eigenvalue").over(every)
-    return c.select("component", "eigenvalue", (F.col("eigenvalue") / total).alias("share"), (F.sum("eigenvalue").over(upto) / total).alias("cumulative"))
+    total = c.agg(F.sum("eigenvalue").alias("_t"))
+    upto = F.sum("eigenvalue").over(Window.orderBy("component"))  # as many rows as indicators
+    return c.join(F.broadcast(total)).select("component", "eigenvalue", (F.col("eigenvalue") / F.col("_t")).alias("share"), (upto / F.col("_t")).alias("cumulative"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -139,18 +165,25 @@ def retained(values: np.ndarray, kaiser: float = DEFAULTS.kaiser, share: float =
     return min(len(values), max(int((values > kaiser).sum()), int(np.searchsorted(total, share - 1e-12) + 1)))
 
 
-def varimax(loadings: np.ndarray, steps: int = 1000, tolerance: float = 1e-6) -> np.ndarray:
-    """Varimax rotation by repeated singular value decompositions."""
-    n, k = loadings.shape
-    turn, last = np.eye(k), 0.0
-    for _ in range(steps):
-        turned = loadings @ turn
-        u, s, v = np.linalg.svd(loadings.T @ (turned**3 - turned * (turned**2).sum(axis=0) / n))
-        turn, now = u @ v, s.sum()
-        if last and now < last * (1 + tolerance):
+def varimax(loadings: np.ndarray, sweeps: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+    """Varimax rotation: the planes of two factors are turned in their own best angle until none turns any more.
+
+    In a plane with u = x^2 - y^2 and v = 2 x y, the variance of squared loadings is largest at a quarter of the angle
+    of (sum(u^2 - v^2) - (sum(u)^2 - sum(v)^2) / n, 2 (sum(u v) - sum(u) sum(v) / n)).
+    """
+    a = loadings.copy()
+    for _ in range(sweeps):
+        most = 0.0
+        for i, j in combinations(range(a.shape[1]), 2):
+            u, v = a[:, i] ** 2 - a[:, j] ** 2, 2 * a[:, i] * a[:, j]
+            across = 2 * ((u * v).sum() - u.sum() * v.sum() / len(a))
+            along = (u**2 - v**2).sum() - (u.sum() ** 2 - v.sum() ** 2) / len(a)
+            angle = np.arctan2(across, along) / 4
+            most = max(most, abs(angle))
+            a[:, [i, j]] = a[:, [i, j]] @ np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        if most < tolerance:
             break
-        last = now
-    return loadings @ turn
+    return a
 
 
 def principal_components(correlations: DataFrame) -> DataFrame:
@@ -178,14 +211,29 @@ def rotated_loadings(components: DataFrame) -> DataFrame:
     return kept.groupBy().applyInPandas(lambda pdf: turn(pdf[["component", "indicator", "eigenvalue", "loading"]]), "component int, indicator string, loading double")
 
 
+def indicator_weights(components: DataFrame) -> DataFrame:
+    """(indicator, weight): loadings of the kept components, weighted by their shares of the eigenvalues."""
+    kept = components.where("kept")
+    total = kept.select("component", "eigenvalue").distinct().agg(F.sum("eigenvalue").alias("_total"))
+    return kept.join(F.broadcast(total)).groupBy("indicator").agg(F.sum(F.col("loading") * F.col("eigenvalue") / F.col("_total")).alias("weight"))
+
+
 def composite_scores(matrix: DataFrame, components: DataFrame) -> DataFrame:
     """(entity, score): projections on the kept components, weighted by their eigenvalues; NULL cells count as the mean."""
     mean = F.avg("value").over(Window.partitionBy("indicator"))
     full = matrix.withColumn("value", F.coalesce("value", mean)).where("value is not null")
-    kept = components.where("kept")
-    total = kept.select("component", "eigenvalue").distinct().agg(F.sum("eigenvalue").alias("_total"))
-    weights = kept.join(F.broadcast(total)).groupBy("indicator").agg(F.sum(F.col("loading") * F.col("eigenvalue") / F.col("_total")).alias("_w"))
-    return full.join(weights, "indicator").groupBy("entity").agg(F.sum(F.col("value") * F.col("_w")).alias("score"))
+    return full.join(indicator_weights(components), "indicator").groupBy("entity").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+
+
+def component_checks(correlations: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, residual, norm, overlap): the largest |R v - eigenvalue v|, |v|, and the largest |v . u| with another component."""
+    v = components.select("component", F.col("indicator").alias("b"), "loading")
+    rv = correlations.join(v, "b").groupBy("component", "a").agg(F.sum(F.col("r") * F.col("loading")).alias("rv"))
+    each = rv.join(components.select("component", F.col("indicator").alias("a"), "eigenvalue", "loading"), ["component", "a"])
+    off = each.groupBy("component").agg(F.max(F.abs(F.col("rv") - F.col("eigenvalue") * F.col("loading"))).alias("residual"), F.sqrt(F.sum(F.col("loading") * F.col("loading"))).alias("norm"))
+    u = v.select(F.col("component").alias("other"), "b", F.col("loading").alias("u"))
+    dots = v.join(u, "b").where("component <> other").groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("u")).alias("dot"))
+    return off.join(dots.groupBy("component").agg(F.max(F.abs("dot")).alias("overlap")), "component")
 
 
 def bootstrap_composites(matrix: DataFrame, components: DataFrame, replicates: int = 500, seed: int = 42) -> DataFrame:
@@ -223,8 +271,11 @@ def bootstrap_composites(matrix: DataFrame, components: DataFrame, replicates: i
     return scores.groupBy("entity").agg(F.percentile("score", 0.05).alias("low"), F.percentile("score", 0.95).alias("high"))
 
 
-def historical_scores(panel: DataFrame, components: DataFrame, bounds: tuple[float, float] = DEFAULTS.winsor) -> DataFrame:
-    """(entity, period, score): every year scaled by itself (median for NULL, winsorized, robust z) and projected on a fixed basis."""
+def historical_scores(panel: DataFrame, weights: DataFrame, bounds: tuple[float, float] = DEFAULTS.winsor) -> DataFrame:
+    """(entity, period, score): every year scaled by itself (median for NULL, winsorized, robust z) and projected on fixed weights.
+
+    ``weights`` is (indicator, weight), as ``indicator_weights`` gives it.
+    """
     by = Window.partitionBy("period", "indicator")
     filled = panel.withColumn("value", F.coalesce("value", F.median("value").over(by), F.lit(0.0)))
     q = filled.groupBy("period", "indicator").agg(F.percentile("value", bounds[0]).alias("_lo"), F.percentile("value", bounds[1]).alias("_hi"))
@@ -232,10 +283,7 @@ def historical_scores(panel: DataFrame, components: DataFrame, bounds: tuple[flo
     med = cut.withColumn("_m", F.median("value").over(by))
     mad = med.withColumn("_mad", F.median(F.abs(F.col("value") - F.col("_m"))).over(by))
     z = mad.withColumn("value", F.when(F.col("_mad") > 1e-6, (F.col("value") - F.col("_m")) / (DEFAULTS.mad_factor * F.col("_mad"))).otherwise(F.lit(0.0)))
-    kept = components.where("kept")
-    total = kept.select("component", "eigenvalue").distinct().agg(F.sum("eigenvalue").alias("_total"))
-    weights = kept.join(F.broadcast(total)).groupBy("indicator").agg(F.sum(F.col("loading") * F.col("eigenvalue") / F.col("_total")).alias("_w"))
-    return z.join(weights, "indicator").groupBy("entity", "period").agg(F.sum(F.col("value") * F.col("_w")).alias("score"))
+    return z.join(weights, "indicator").groupBy("entity", "period").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
 
 
 def impute_chained(matrix: DataFrame, replicates: int = 10, steps: int = 10, seed: int = 42) -> DataFrame:

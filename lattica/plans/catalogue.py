@@ -42,10 +42,10 @@ SALES = """sales AS (
          l.l_extendedprice * (1 - l.l_discount) AS rev, l.l_discount, l.l_tax, l.l_returnflag, l.l_partkey, o.o_orderkey, o.o_orderpriority
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey)"""
-PANEL = SALES + """, wide AS (
+PANEL = SALES + """, wide AS MATERIALIZED (
   SELECT entity, nk, period, sum(rev) / 1e6 AS revenue, CAST(count(DISTINCT o_orderkey) AS DOUBLE) AS n_orders, avg(l_discount * rev) / 100 AS discount,
          avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS return_rate, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) AS urgent_share
-  FROM sales GROUP BY entity, nk, period), panel AS (
+  FROM sales GROUP BY entity, nk, period), panel AS MATERIALIZED (
   SELECT entity, nk, period, 'revenue' AS indicator, revenue AS value, 'WB_WDI' AS source FROM wide
   UNION ALL SELECT entity, nk, period, 'n_orders', n_orders, 'ACLED' FROM wide
   UNION ALL SELECT entity, nk, period, 'discount', discount, 'FSI' FROM wide
@@ -53,7 +53,7 @@ PANEL = SALES + """, wide AS (
   UNION ALL SELECT entity, nk, period, 'urgent_share', urgent_share, 'SIPRI' FROM wide)"""
 GAPS = PANEL + """, gaps AS (SELECT entity, period, indicator, CASE WHEN (nk * 7 + period) % 5 <> 0 THEN value END AS value, source FROM panel)"""
 MATRIX = GAPS + """, matrix AS (SELECT entity, indicator, avg(value) AS value FROM gaps WHERE value IS NOT NULL GROUP BY 1, 2)"""
-DYADS = SALES + """, dyads AS (SELECT entity AS src, dst, period, sum(rev) / 1e6 AS value FROM sales WHERE entity <> dst GROUP BY 1, 2, 3)"""
+DYADS = SALES + """, dyads AS MATERIALIZED (SELECT entity AS src, dst, period, sum(rev) / 1e6 AS value FROM sales WHERE entity <> dst GROUP BY 1, 2, 3)"""
 EDGES = DYADS + """, acc AS (SELECT src, dst, sum(value) AS w FROM dyads GROUP BY 1, 2),
   edges AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM acc),
   nodes AS (SELECT src AS entity FROM edges UNION SELECT dst FROM edges)"""
@@ -128,11 +128,16 @@ def recent_years(spark, sf_dir):
     return clean.year_window(fx.panel(spark, sf_dir), 3)
 
 
-@query("""WITH names AS (SELECT DISTINCT p_type AS name FROM part), k AS (SELECT DISTINCT p_type AS code FROM part)
-SELECT name, name AS code, 0 AS edits FROM names""")
+@query("""WITH names AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'X' || substr(p_type, 2) || ' ' WHEN 1 THEN substr(p_type, 1, length(p_type) - 1) WHEN 2 THEN lower(p_type) ELSE p_type || '-abc' END AS name FROM part),
+  known AS (SELECT DISTINCT p_type AS code FROM part), n AS (SELECT name, regexp_replace(lower(trim(name)), '[^a-z0-9]+', ' ', 'g') AS k FROM names),
+  m AS (SELECT name, code, levenshtein(k, lower(code)) AS e FROM n, known), r AS (SELECT name, code, e, row_number() OVER (PARTITION BY name ORDER BY e, code) AS i FROM m WHERE e <= 2)
+SELECT name, coalesce(code, 'none') AS code, CAST(coalesce(e, -1) AS INTEGER) AS edits FROM names LEFT JOIN r USING (name) WHERE coalesce(i, 1) = 1""")
 def fuzzy_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return clean.fuzzy_codes(p.select(F.col("p_type").alias("name")), p.select(F.col("p_type").alias("code"), F.lower("p_type").alias("name")).distinct())
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    name = (F.when(k == 0, F.concat(F.lit("X"), F.substring("p_type", 2, 100), F.lit(" "))).when(k == 1, F.expr("left(p_type, length(p_type) - 1)"))
+            .when(k == 2, F.lower("p_type")).otherwise(F.concat("p_type", F.lit("-abc"))))
+    found = clean.fuzzy_codes(p.select(name.alias("name")), p.select(F.col("p_type").alias("code"), F.col("p_type").alias("name")).distinct())
+    return found.select("name", F.coalesce("code", F.lit("none")).alias("code"), F.coalesce("edits", F.lit(-1)).alias("edits"))
 
 
 @query("""SELECT s_suppkey, coalesce(r.r_name, n.n_name) AS entity FROM supplier LEFT JOIN (SELECT r_regionkey AS code, r_name FROM region) r ON s_nationkey = r.code LEFT JOIN (SELECT n_nationkey AS code, n_name FROM nation) n ON s_nationkey = n.code""")
@@ -280,7 +285,27 @@ def composite_intervals(spark, sf_dir):
 
 @query()
 def historical_composites(spark, sf_dir):
-    return stats.historical_scores(fx.panel(spark, sf_dir, gaps=True), _components(spark, sf_dir))
+    return stats.historical_scores(fx.panel(spark, sf_dir, gaps=True), stats.indicator_weights(_components(spark, sf_dir)))
+
+
+FIXED_WEIGHTS = [("revenue", 0.4), ("n_orders", 0.3), ("discount", 0.1), ("return_rate", 0.1), ("urgent_share", 0.1)]
+WEIGHT_SQL = "fw(indicator, weight) AS (VALUES " + ", ".join(f"('{i}', {w})" for i, w in FIXED_WEIGHTS) + ")"
+
+
+@query(f"""WITH {GAPS}, {WEIGHT_SQL}, f AS (SELECT entity, period, indicator, coalesce(value, median(value) OVER (PARTITION BY period, indicator), 0) AS value FROM gaps),
+  q AS (SELECT period, indicator, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM f GROUP BY 1, 2), c AS (SELECT entity, period, indicator, least(greatest(value, lo), hi) AS value FROM f JOIN q USING (period, indicator)),
+  m AS (SELECT *, median(value) OVER (PARTITION BY period, indicator) AS m FROM c), d AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY period, indicator) AS mad FROM m)
+SELECT entity, period, round(sum(weight * CASE WHEN mad > 1e-6 THEN (value - m) / (1.4826 * mad) ELSE 0 END), 6) + 0.0 AS score FROM d JOIN fw USING (indicator) GROUP BY 1, 2""")
+def historical_projection(spark, sf_dir):
+    weights = spark.createDataFrame(FIXED_WEIGHTS, "indicator string, weight double")
+    return stats.historical_scores(fx.panel(spark, sf_dir, gaps=True), weights)
+
+
+@query("SELECT CAST(k AS INTEGER) AS component, 0.0 AS residual, 1.0 AS norm, 0.0 AS overlap FROM range(1, 6) r(k)")
+def component_checks(spark, sf_dir):
+    """Residuals, lengths and angles of the components: what SQL can say of an eigenbasis without computing it."""
+    c = stats.correlation_matrix(fx.matrix(spark, sf_dir)).checkpoint()
+    return stats.component_checks(c, stats.principal_components(c).checkpoint())
 
 
 @query()
@@ -310,11 +335,21 @@ def financial_edges(spark, sf_dir):
     return graph.financial(fx.dyads(spark, sf_dir), fx.sizes(spark, sf_dir))
 
 
+@query("""WITH m AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), a AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM m WHERE dst IS NOT NULL GROUP BY 1, 2),
+  p AS (SELECT event_type AS src, count(DISTINCT user_id) AS size FROM events WHERE event_type < 'p' GROUP BY 1) SELECT src, dst, round(w / coalesce(size, 1e3), 6) + 0.0 AS w FROM a LEFT JOIN p USING (src)""")
+def migration_per_head(spark, sf_dir):
+    return graph.scaled_by(graph.accumulate(fx.transitions(spark, sf_dir)), _users(spark, sf_dir), 1e3)
+
+
+def _users(spark, sf_dir):
+    """(entity, size): users of those event types whose names come before p; the others have no size."""
+    return table(spark, sf_dir, "events").where("event_type < 'p'").groupBy(F.col("event_type").alias("entity")).agg(F.countDistinct("user_id").alias("size"))
+
+
 @query("""WITH m AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), a AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM m WHERE dst IS NOT NULL GROUP BY 1, 2)
 SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) + 0.0 AS w FROM a""")
 def migration_edges(spark, sf_dir):
-    none = spark.createDataFrame([], "entity string, size double")
-    return graph.migration(fx.transitions(spark, sf_dir), none)
+    return graph.migration(fx.transitions(spark, sf_dir), _users(spark, sf_dir))
 
 
 @query(f"WITH {POINTS} SELECT src, dst, {R('km')} FROM dist")
@@ -398,6 +433,16 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(fx.trade(spark, sf_dir))
 
 
+@query("SELECT 0.0 AS residual, 0.0 AS total, 1.0 AS norm, true AS positive")
+def fiedler_checks(spark, sf_dir):
+    """L v = lambda2 v, entry by entry over the edge table; v is at right angles to the constant and of length 1."""
+    e = fx.trade(spark, sf_dir)
+    f = graph.fiedler(e).checkpoint()
+    lv = graph.laplacian(e).join(f.select(F.col("entity").alias("dst"), F.col("value").alias("v")), "dst").groupBy(F.col("src").alias("entity")).agg(F.sum(F.col("l") * F.col("v")).alias("lv"))
+    return f.join(lv, "entity").agg(F.max(F.abs(F.col("lv") - F.col("lambda2") * F.col("value"))).alias("residual"), F.sum("value").alias("total"),
+                                    F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), (F.min("lambda2") > 0).alias("positive"))
+
+
 @query()
 def fiedler_partition(spark, sf_dir):
     return graph.fiedler(fx.trade(spark, sf_dir)).drop("value")
@@ -408,7 +453,11 @@ def communities(spark, sf_dir):
     return graph.spectral_clusters(fx.trade(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, q AS (SELECT quantile_cont(w, 0.8) AS q FROM edges WHERE w > 0), strong AS MATERIALIZED (SELECT src, dst FROM edges, q WHERE w >= q),
+  bfs AS (SELECT entity AS s, entity AS v, 0 AS d FROM nodes UNION SELECT b.s, e.dst, b.d + 1 FROM bfs b JOIN strong e ON e.src = b.v WHERE b.d < 26), dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM bfs GROUP BY 1, 2),
+  sig AS (SELECT entity AS s, entity AS v, 0 AS d, 1.0::DOUBLE AS c FROM nodes UNION ALL SELECT g.s, e.dst, g.d + 1, sum(g.c) FROM sig g JOIN strong e ON e.src = g.v JOIN dist t ON t.s = g.s AND t.v = e.dst AND t.d = g.d + 1 GROUP BY g.s, e.dst, g.d),
+  b AS (SELECT a.v AS entity, sum(a.c * z.c / t.c) AS b FROM sig a JOIN sig z ON z.s = a.v JOIN sig t ON t.s = a.s AND t.v = z.v WHERE a.d + z.d = t.d AND a.s <> a.v AND z.s <> z.v GROUP BY 1)
+SELECT entity, round(coalesce(b, 0) / greatest(max(coalesce(b, 0)) OVER (), 1e-10), 6) + 0.0 AS betweenness FROM nodes LEFT JOIN b USING (entity)""")
 def betweenness(spark, sf_dir):
     return graph.betweenness(fx.trade(spark, sf_dir), 0.8)
 
@@ -418,9 +467,68 @@ def spectrum(spark, sf_dir):
     return graph.spectrum(fx.trade(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {EDGES} SELECT round(coalesce(sum(CASE WHEN a.src = a.dst THEN a.w END), 0), 6) + 0.0 AS trace, round((SELECT sum(x.w * y.w) FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src), 6) + 0.0 AS squares FROM edges a""")
+def spectrum_sums(spark, sf_dir):
+    """Sums of the eigenvalues and of their squares, which are traces of W and W W."""
+    v = graph.spectrum(fx.trade(spark, sf_dir))
+    return v.agg(F.sum("re").alias("trace"), F.sum(F.col("re") * F.col("re") - F.col("im") * F.col("im")).alias("squares"))
+
+
+RAW = CHANNELS + """, t AS (SELECT channel, sum(w) AS t FROM channels GROUP BY 1), edges AS MATERIALIZED (SELECT src, dst, sum(w / t * weight) AS w FROM channels JOIN t USING (channel) GROUP BY 1, 2),
+  nodes AS (SELECT src AS entity FROM edges UNION SELECT dst FROM edges), c AS (SELECT count(*) AS n FROM nodes), loops AS MATERIALIZED (SELECT src, dst, w FROM edges UNION ALL SELECT entity, entity, (SELECT sum(w) FROM edges) / n FROM nodes, c),
+  it AS (SELECT 0 AS k, entity, 1.0::DOUBLE / n AS x FROM nodes, c UNION ALL SELECT i.k + 1, l.src, sum(l.w * i.x) FROM it i JOIN loops l ON l.dst = i.entity WHERE i.k < 100 GROUP BY i.k, l.src),
+  lead AS (SELECT entity, x / sum(x) OVER () AS v FROM it WHERE k = 100)"""
+
+
+@query(f"WITH RECURSIVE {RAW} SELECT entity, {R('v', 'centrality')} FROM lead")
 def eigenvector_centrality(spark, sf_dir):
-    return graph.eigenvector_centrality(graph.combine_raw(fx.channels(spark, sf_dir), fx.channel_table(spark)))
+    return graph.eigenvector_centrality(graph.combine_raw(fx.channels(spark, sf_dir), fx.channel_table(spark)).checkpoint())
+
+
+@query(f"WITH RECURSIVE {RAW}, r AS (SELECT sum(w * v) AS r FROM edges JOIN lead ON dst = entity) SELECT {R('r', 'radius')}, 0.4 AS alpha, round(0.4 * r, 6) + 0.0 AS effective, round(1 - 0.4 * r, 6) + 0.0 AS margin, 0.4 * r < 1 AS stable FROM r")
+def network_stability(spark, sf_dir):
+    raw = graph.combine_raw(fx.channels(spark, sf_dir), fx.channel_table(spark)).checkpoint()
+    return dynamics.stability(graph.spectral_radius(raw), ALPHA)
+
+
+@query()
+def resilience_measures(spark, sf_dir):
+    return graph.resilience(fx.trade(spark, sf_dir), 0.8)
+
+
+@query()
+def spectral_embedding(spark, sf_dir):
+    return graph.embedding(fx.trade(spark, sf_dir))
+
+
+@query(f"WITH {POINTS} SELECT src, dst, round(CASE WHEN km > 0 THEN 1 / km ELSE 0 END + 0.5 * CASE WHEN km <= 5000 THEN 1 ELSE 0 END, 6) + 0.0 AS w FROM dist")
+def contiguity_edges(spark, sf_dir):
+    d = graph.distances(fx.points(spark, sf_dir))
+    return graph.contiguous(d.withColumn("contiguity", (F.col("km") <= 5000).cast("int")))
+
+
+PAIRS = PANEL + """, r AS (SELECT entity, period, value FROM panel WHERE indicator = 'revenue'),
+  pc AS (SELECT a.entity AS src, b.entity AS dst, CASE WHEN count(*) >= 5 THEN greatest(coalesce(corr(a.value, b.value), 0), 0) ELSE 0 END AS w FROM r a JOIN r b ON a.period = b.period AND a.entity <> b.entity GROUP BY 1, 2),
+  pn AS (SELECT src, dst, CASE WHEN sum(w) OVER (PARTITION BY src) <> 0 THEN w / sum(w) OVER (PARTITION BY src) ELSE 0 END AS w FROM pc)"""
+
+
+@query(f"WITH {PAIRS} SELECT src, dst, {R('w')} FROM pn")
+def correlation_edges(spark, sf_dir):
+    return graph.correlation_channel(fx.panel(spark, sf_dir).where("indicator = 'revenue'"))
+
+
+@query(f"""WITH {PAIRS}, dy AS (SELECT DISTINCT entity AS src, dst FROM sales WHERE entity <> dst), {POINTS}, v AS (SELECT entity, p_brand AS org, sum(rev) AS v FROM sales JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+  mem AS (SELECT entity, org FROM (SELECT *, avg(v) OVER (PARTITION BY entity) AS m FROM v) WHERE v > m), co AS (SELECT DISTINCT a.entity AS src, b.entity AS dst FROM mem a JOIN mem b ON a.org = b.org AND a.entity <> b.entity)
+SELECT 'trade' AS channel, round(0.3 + 0.53 * 0.15, 6) + 0.0 AS weight, count(*) AS n_edges FROM dy UNION ALL SELECT 'geographic', round(0.15 + 0.47 * 0.15, 6) + 0.0, count(*) FROM dist
+UNION ALL SELECT 'financial', 0.25, count(*) FROM pn UNION ALL SELECT 'political', 0.15, count(*) FROM co""")
+def fallback_channels(spark, sf_dir):
+    """Channels when claims and migrants are missing: growth correlations stand in, the migration weight goes to others."""
+    none = spark.createDataFrame([], "src string, dst string, period int, value double")
+    rows, weights = graph.channels_with_fallbacks(
+        fx.dyads(spark, sf_dir), none, none, fx.sizes(spark, sf_dir), fx.sizes(spark, sf_dir), fx.points(spark, sf_dir), fx.memberships(spark, sf_dir),
+        fx.panel(spark, sf_dir).where("indicator = 'revenue'"))
+    held = spark.createDataFrame(sorted(weights.items()), "channel string, weight double")
+    return rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n_edges")).join(held, "channel").select("channel", "weight", "n_edges")
 
 
 STRONG = EDGES + """, q AS (SELECT quantile_cont(w, 0.9) AS q FROM edges), strong AS (SELECT src, dst FROM edges, q WHERE w >= q)"""
@@ -479,7 +587,40 @@ def edge_shocked(spark, sf_dir):
     return dynamics.edge_shock(fx.trade(spark, sf_dir), shocks)
 
 
-@query()
+SHOCKED = STEADY + """, m2 AS (SELECT src, dst, w * CASE WHEN (src = 'NATION_1' AND dst = 'NATION_2') OR (src = 'NATION_2' AND dst = 'NATION_1') THEN 0.0 ELSE 1.0 END AS w FROM edges),
+  e2 AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM m2), s2 AS (SELECT entity, score + CASE WHEN entity = 'NATION_3' THEN FACTOR ELSE 0 END AS score FROM scores),
+  it2 AS (SELECT 0 AS k, entity, score AS x FROM s2 UNION ALL SELECT i.k + 1, s.entity, 0.4 * sum(e.w * i.x) + 0.6 * any_value(s.score) FROM it2 i JOIN e2 e ON e.dst = i.entity JOIN s2 s ON s.entity = e.src WHERE i.k < 60 GROUP BY i.k, s.entity)
+SELECT entity, round(steady_state, 6) + 0.0 AS base, round(x, 6) + 0.0 AS shocked, round(x - steady_state, 6) + 0.0 AS delta FROM steady JOIN it2 USING (entity) WHERE it2.k = 60"""
+
+
+@query(f"WITH RECURSIVE {SHOCKED.replace('FACTOR', '0.0')}")
+def edge_shock_effect(spark, sf_dir):
+    links = spark.createDataFrame([("NATION_1", "NATION_2", 0.0)], "src string, dst string, multiplier double")
+    return dynamics.compound_scenario(fx.trade(spark, sf_dir), fx.scores(spark, sf_dir), spark.createDataFrame([], "entity string, delta double"), links, ALPHA)
+
+
+UNSTABLE = EDGES + SIZES + """, ew AS MATERIALIZED (SELECT src, dst, 3 * w AS w FROM edges)"""
+
+
+def _unstable(spark, sf_dir):
+    """Trade three times as strong, without shocks on links."""
+    e, s = fx.trade(spark, sf_dir), fx.scores(spark, sf_dir)
+    return e.withColumn("w", 3 * F.col("w")).checkpoint(), s, spark.createDataFrame([("NATION_3", 2.0)], "entity string, delta double"), spark.createDataFrame([], "src string, dst string, multiplier double")
+
+
+@query(f"WITH {UNSTABLE}, r AS (SELECT max(s) AS r FROM (SELECT sum(w) AS s FROM ew GROUP BY src)) SELECT {R('r', 'radius_before')}, {R('r', 'radius')}, round(0.4 * r, 6) + 0.0 AS effective, round(1 - 0.4 * r, 6) + 0.0 AS margin, 0.4 * r < 1 AS stable, round(0.4 * r - 1, 6) + 0.0 AS divergence_rate FROM r")
+def unstable_scenario(spark, sf_dir):
+    return dynamics.scenario_stability(*_unstable(spark, sf_dir), ALPHA)
+
+
+@query(f"""WITH RECURSIVE {UNSTABLE}, s2 AS (SELECT entity, score + CASE WHEN entity = 'NATION_3' THEN 2.0 ELSE 0 END AS score FROM scores), it AS (SELECT 0 AS k, entity, score AS x FROM s2
+  UNION ALL SELECT i.k + 1, s.entity, 0.4 * sum(e.w * i.x) + 0.6 * any_value(s.score) FROM it i JOIN ew e ON e.dst = i.entity JOIN s2 s ON s.entity = e.src WHERE i.k < 20 GROUP BY i.k, s.entity)
+SELECT k AS t, entity, {R('x')} FROM it""")
+def unstable_trajectory(spark, sf_dir):
+    return dynamics.scenario_trajectory(*_unstable(spark, sf_dir), ALPHA)
+
+
+@query(f"WITH RECURSIVE {SHOCKED.replace('FACTOR', '2.0')}")
 def compound_scenario(spark, sf_dir):
     links = spark.createDataFrame([("NATION_1", "NATION_2", 0.0)], "src string, dst string, multiplier double")
     factors = spark.createDataFrame([("NATION_3", 2.0)], "entity string, delta double")
@@ -508,6 +649,15 @@ def contagion_thresholds(spark, sf_dir):
     return dynamics.contagion_threshold(sens, base)
 
 
+@query(f"""WITH RECURSIVE {SENS}, o AS (SELECT target AS entity, steady_state AS x, 2.0 * l AS d FROM sens JOIN steady ON entity = target WHERE source = 'NATION_3' AND target <> 'NATION_3'),
+  cr AS (SELECT entity FROM o, theta WHERE x + d > theta AND x <= theta), md AS (SELECT median(w) AS m FROM edges WHERE w > 0), st AS (SELECT src, dst FROM edges, md WHERE w > m),
+  b AS (SELECT 'NATION_3' AS entity, 0 AS h UNION SELECT s.dst, b.h + 1 FROM b JOIN st s ON s.src = b.entity WHERE b.h < 26), far AS (SELECT entity, min(h) AS h FROM b GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes)
+SELECT (SELECT count(*) FROM cr) AS crossed, round((SELECT count(*) FROM cr) / (SELECT count(*) FROM o), 6) + 0.0 AS breadth, coalesce((SELECT max(coalesce(h, n)) FROM cr LEFT JOIN far USING (entity), n), 0) AS depth, round((SELECT max(abs(d)) FROM o) / 2.0, 6) + 0.0 AS amplification""")
+def cascade_report(spark, sf_dir):
+    e, sens, base = _state(spark, sf_dir)
+    return dynamics.cascade_report(e, base.checkpoint(), sens.checkpoint(), spark.range(1).select(F.lit("NATION_3").alias("entity")), 2.0)
+
+
 @query()
 def domino_sequence(spark, sf_dir):
     e, sens, base = _state(spark, sf_dir)
@@ -532,14 +682,31 @@ def calibrated_alpha(spark, sf_dir):
     return backtest.calibrate(fx.yearly_scores(spark, sf_dir), fx.trade(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {CURVE}, nm AS (SELECT entity, row_number() OVER (ORDER BY entity) AS k FROM (SELECT DISTINCT entity FROM ys)), n AS (SELECT count(*) AS n FROM nm),
+  sl AS (SELECT CAST(i // n AS INTEGER) AS replicate, ('0x' || substr(md5('42:' || CAST(i // n AS VARCHAR) || ':' || CAST(i % n AS VARCHAR)), 1, 12))::BIGINT % n + 1 AS k FROM n, range(0, 50 * n) r(i)),
+  dr AS MATERIALIZED (SELECT replicate, entity, count(*) AS times FROM sl JOIN nm USING (k) GROUP BY 1, 2), w2 AS (SELECT a.replicate, y.period, e.src AS entity, sum(e.w * y.score * a.times) AS ws FROM edges e JOIN ys y ON e.dst = y.entity JOIN dr a ON a.entity = e.dst GROUP BY 1, 2, 3),
+  t2 AS (SELECT d.replicate, a.period, d.times, coalesce(ws, 0) - a.score AS d, b.score - a.score AS e FROM ys a JOIN nx ON nx.period = a.period JOIN ys b ON b.entity = a.entity AND b.period = nx.next_period JOIN dr d ON d.entity = a.entity LEFT JOIN w2 ON w2.replicate = d.replicate AND w2.period = a.period AND w2.entity = a.entity),
+  p2 AS (SELECT replicate, period, sum(d * d * times) AS dd, sum(d * e * times) AS de, sum(e * e * times) AS ee, sum(times) AS n FROM t2 GROUP BY 1, 2), c2 AS (SELECT replicate, alpha, avg(sqrt(greatest((alpha * alpha * dd - 2 * alpha * de + ee) / n, 0))) AS rmse FROM p2, g GROUP BY 1, 2),
+  best AS (SELECT replicate, CAST(arg_min(alpha, (rmse, alpha)) AS DOUBLE) AS alpha FROM c2 GROUP BY 1) SELECT round(quantile_cont(alpha, 0.05), 6) + 0.0 AS low, round(median(alpha), 6) + 0.0 AS median, round(quantile_cont(alpha, 0.95), 6) + 0.0 AS high FROM best""")
 def alpha_interval(spark, sf_dir):
     return backtest.bootstrap_alpha(fx.yearly_scores(spark, sf_dir), fx.trade(spark, sf_dir), 50)
 
 
-@query()
+CHANNEL_WEIGHTS = {"trade": 0.5, "financial": 0.3, "political": 0.2}
+DRAWN = CHANNELS + ", draws(draw, channel, weight) AS (VALUES " + ", ".join(f"({k}, '{c}', {w!r}::DOUBLE)" for k, c, w in backtest.dirichlet_draws(CHANNEL_WEIGHTS, 40)) + """),
+  nrm AS (SELECT channel, src, dst, w / sum(w) OVER (PARTITION BY channel, src) AS w FROM channels), dg AS MATERIALIZED (SELECT draw, src, dst, sum(n.w * d.weight) AS w FROM nrm n JOIN draws d USING (channel) WHERE src <> dst GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {DRAWN} SELECT src, dst, round(quantile_cont(w, 0.05), 6) + 0.0 AS low, round(quantile_cont(w, 0.95), 6) + 0.0 AS high FROM dg GROUP BY 1, 2")
 def weight_intervals(spark, sf_dir):
-    return backtest.weight_uncertainty(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, {"trade": 0.5, "financial": 0.3, "political": 0.2}, 100))
+    return backtest.weight_uncertainty(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 40))
+
+
+@query(f"""WITH RECURSIVE {DRAWN}, g AS MATERIALIZED (SELECT draw, src, dst, w / sum(w) OVER (PARTITION BY draw, src) AS w FROM dg), nodes AS (SELECT src AS entity FROM g UNION SELECT dst FROM g), c AS (SELECT count(*) AS n FROM nodes),
+  pr AS (SELECT 0 AS k, draw, entity, 1.0::DOUBLE / n AS r FROM nodes, c, (SELECT DISTINCT draw FROM draws) UNION ALL SELECT p.k + 1, p.draw, e.dst, 0.85 * sum(e.w * p.r) + 0.15 / any_value(c.n) FROM pr p JOIN g e ON e.src = p.entity AND e.draw = p.draw, c WHERE p.k < 50 GROUP BY p.k, p.draw, e.dst),
+  f AS (SELECT entity, r / sum(r) OVER (PARTITION BY draw) AS r FROM pr WHERE k = 50) SELECT entity, round(quantile_cont(r, 0.05), 6) + 0.0 AS low, round(quantile_cont(r, 0.95), 6) + 0.0 AS high FROM f GROUP BY 1""")
+def pagerank_intervals(spark, sf_dir):
+    return backtest.pagerank_intervals(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 40))
 
 
 EPISODES = [("early", [1996, 1997], ["NATION_1", "NATION_2", "NATION_3"], ["NATION_4"]), ("late", [1999, 2000], ["NATION_5"], ["NATION_6", "NATION_7"]), ("open", [1998], [], ["NATION_8"])]
@@ -618,6 +785,19 @@ def benchmark_agreement(spark, sf_dir):
     return stats.benchmark_check(fx.scores(spark, sf_dir), c.groupBy(F.col("n_name").alias("entity")).agg(F.avg("c_acctbal").alias("value")))
 
 
+@query(f"""WITH {SALES}{SIZES}, b AS (SELECT n_name AS entity, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+  p AS (SELECT score AS x, value AS y FROM scores JOIN b USING (entity)), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p),
+  k AS (SELECT 'pearson' AS kind, corr(x, y) AS r, count(*) AS n FROM r UNION ALL SELECT 'spearman', corr(rx, ry), count(*) FROM r), t AS (SELECT kind, r, n, n - 2.0 AS v, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM k),
+  f AS (SELECT kind, r, n, t / 6000 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(t * i / 2000, 2) / v, -(v + 1) / 2)) AS area FROM t, range(0, 2001) s(i) GROUP BY kind, r, n, t)
+SELECT kind, {R('r')}, n, round(1 - 2 * area, 6) + 0.0 AS p FROM f""")
+def agreement_p_values(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = fx.scores(spark, sf_dir).join(c.groupBy(F.col("n_name").alias("entity")).agg(F.avg("c_acctbal").alias("value")), "entity")
+    r = stats.with_p_values(stats.correlation(pairs, "score", "value"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("r"), F.col("n"), F.col(f"p_{k}").alias("p")) for k in ("pearson", "spearman")])
+    return r.select(F.explode(kinds).alias("x")).select("x.*")
+
+
 @query(f"""WITH {EDGES}, i AS (SELECT dst, sum(w) AS s FROM edges GROUP BY 1) SELECT round(max(s) / min(s), 6) + 0.0 AS ratio, max(s) / min(s) < 2 AS near_uniform FROM i WHERE s > 0""")
 def centrality_uniformity(spark, sf_dir):
     return graph.uniformity(graph.degrees(fx.trade(spark, sf_dir)), "in_strength")
@@ -650,3 +830,86 @@ def convergence_step(spark, sf_dir):
     base = dynamics.steady_state(e, s, ALPHA)
     path = dynamics.simulate(e, s, s.select("entity", F.lit(0.0).alias("score")), ALPHA, 20)
     return dynamics.convergence_step(path, base, base.select("entity", F.col("steady_state").alias("delta")))
+
+
+FEATURES = ALIGNED + """, orn AS (SELECT entity, indicator, period, CASE WHEN indicator IN ('discount', 'return_rate') THEN -value ELSE value END AS value FROM aligned),
+  bad AS (SELECT entity, indicator FROM orn GROUP BY 1, 2 HAVING sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) / count(DISTINCT period) > 0.4),
+  base AS (SELECT entity, indicator, value FROM orn o WHERE period = 1998 AND value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.entity = o.entity AND b.indicator = o.indicator)),
+  grid AS MATERIALIZED (SELECT n_name AS entity, i.indicator, b.value FROM nation CROSS JOIN (SELECT DISTINCT indicator FROM gaps) i LEFT JOIN base b ON b.entity = n_name AND b.indicator = i.indicator),
+  z1 AS (SELECT g.entity, indicator, CASE WHEN coalesce(mad, 0) = 0 THEN 0.0 ELSE (value - med) / (1.4826 * mad) END AS value FROM grid g JOIN (SELECT indicator, med, median(abs(value - med)) AS mad FROM grid JOIN (SELECT indicator, median(value) AS med FROM grid GROUP BY 1) USING (indicator) GROUP BY 1, 2) USING (indicator)),
+  full1 AS MATERIALIZED (SELECT entity, indicator, coalesce(value, 0) AS value FROM z1), wq AS (SELECT indicator, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM full1 GROUP BY 1),
+  cut1 AS MATERIALIZED (SELECT entity, indicator, least(greatest(value, lo), hi) AS value FROM full1 JOIN wq USING (indicator)),
+  z2 AS (SELECT entity, indicator, CASE WHEN coalesce(mad, 0) = 0 THEN 0.0 ELSE (value - med) / (1.4826 * mad) END AS value FROM cut1 JOIN (SELECT indicator, med, median(abs(value - med)) AS mad FROM cut1 JOIN (SELECT indicator, median(value) AS med FROM cut1 GROUP BY 1) USING (indicator) GROUP BY 1, 2) USING (indicator))"""
+
+
+def _features(spark, sf_dir, impute=None):
+    members = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"))
+    return panel.feature_matrix(fx.panel(spark, sf_dir, gaps=True), fx.registry(spark), members, 1998, WINDOW, impute=impute)
+
+
+@query(f"WITH {FEATURES} SELECT entity, indicator, {R('value')} FROM z2")
+def feature_matrix(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+@query()
+def imputed_feature_matrix(spark, sf_dir):
+    return _features(spark, sf_dir, lambda z: stats.pool(stats.impute_chained(z, 10, 10)))
+
+
+@query(f"""WITH {YEARLY}, ep AS ({EPISODE_SQL}), up AS (SELECT name, role, CASE WHEN a.score > b.score THEN 1 ELSE 0 END AS up FROM ep LEFT JOIN ys a ON a.entity = ep.entity AND a.period = ep.period LEFT JOIN ys b ON b.entity = ep.entity AND b.period = ep.period - 1),
+  c AS (SELECT name, sum(CASE WHEN role = 'primary' THEN up ELSE 0 END) AS u, sum(CASE WHEN role = 'primary' THEN 1 ELSE 0 END) AS n FROM up GROUP BY 1)
+SELECT count(*) FILTER (WHERE n > 0 AND u / n >= 0.5) AS n_pass, count(*) FILTER (WHERE n > 0 AND u / n < 0.5) AS n_fail, count(*) FILTER (WHERE n = 0) AS n_skip FROM c""")
+def episode_status_counts(spark, sf_dir):
+    return backtest.status_counts(episode_validation(spark, sf_dir))
+
+
+@query(f"WITH {SALES}{SIZES} SELECT entity, round(size, 6) + 0.0 AS value FROM sizes")
+def map_layer(spark, sf_dir):
+    return panel.layer({"score": fx.scores(spark, sf_dir), "size": fx.sizes(spark, sf_dir)}, "size")
+
+
+@query("""SELECT upper(trim(n_name)) AS entity, CAST(1990 + n_nationkey AS INTEGER) AS period, 'rate' AS indicator, CASE WHEN n_nationkey % 5 <> 0 THEN round(n_nationkey * 1.5, 6) + 0.0 END AS value, 'api' AS source FROM nation WHERE 1990 + n_nationkey >= 1995""")
+def json_facts(spark, sf_dir):
+    """Records of an API's pages, an array a page; some values can't be read."""
+    value = F.when(F.col("n_nationkey") % 5 == 0, F.lit("n/a")).otherwise((F.col("n_nationkey") * 1.5).cast("string"))
+    record = F.struct(F.concat(F.lit(" "), F.lower("n_name")).alias("place"), F.concat_ws("-", F.col("n_nationkey") + 1990, F.lit("12")).alias("when"), value.alias("amount"))
+    pages = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(record)).alias("body"))
+    return clean.json_rows(pages, "body", "place", "when", "amount", "rate", "api", since=1995)
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)ring|bolt') THEN 'fastener' WHEN regexp_matches(p_name, '(?i)RED|blue') THEN 'coloured' END AS indicator FROM part WHERE regexp_matches(p_name, '(?i)ring|bolt|red|blue')""")
+def classified_items(spark, sf_dir):
+    return clean.classified(table(spark, sf_dir, "part"), "p_name", [("ring|bolt", "fastener"), ("RED|blue", "coloured")]).select("p_partkey", "indicator")
+
+
+@query("SELECT l_shipdate, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1")
+def sliced_lines(spark, sf_dir):
+    rows = clean.sliced(table(spark, sf_dir, "lineitem"), {"l_returnflag": "R", "l_linestatus": "F", "l_instrument": "A"})
+    return rows.groupBy("l_shipdate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS code FROM customer WHERE NOT starts_with(CAST(c_custkey AS VARCHAR), '5') AND length(CAST(c_custkey AS VARCHAR)) BETWEEN 2 AND 3")
+def plausible_codes(spark, sf_dir):
+    return clean.plausible_codes(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code")), "code")
+
+
+@query(f"WITH {CHANNELS} SELECT src, dst, 2020 AS period, channel AS indicator, {R('w', 'value')}, 'static' AS source FROM channels")
+def static_dyads(spark, sf_dir):
+    wide = fx.channels(spark, sf_dir).groupBy("src", "dst").pivot("channel", ["trade", "financial", "political"]).agg(F.first("w"))
+    return clean.dyad_columns_to_long(wide, "src", "dst", {"trade": "trade", "financial": "financial", "political": "political"}, "static", 2020)
+
+
+@query(f"WITH {DYADS} SELECT src, dst, period, 'stock' AS indicator, {R('value')}, 'table' AS source FROM dyads WHERE period IN (1995, 1996, 1997) AND value > 0")
+def positional_dyads(spark, sf_dir):
+    years = [1995, 1996, 1997]
+    wide = fx.dyads(spark, sf_dir).groupBy("src", "dst").pivot("period", years).agg(F.first("value")).toDF("from", "to", "a", "b", "c")
+    return clean.dyad_years_to_long(wide, "from", "to", years, 2, "stock", "table")
+
+
+@query("""WITH f AS (SELECT s_nationkey AS a, (s_suppkey * 7) % 30 AS b, s_suppkey % 2 AS d, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS n FROM supplier), k AS (SELECT a, b, 'defense' AS kind FROM f WHERE d = 1 UNION ALL SELECT a, b, 'neutrality' FROM f WHERE n = 1)
+SELECT DISTINCT x.n_name AS src, y.n_name AS dst, kind FROM k JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b""")
+def flagged_pacts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", ((F.col("s_suppkey") * 7) % 30).alias("other"), (F.col("s_suppkey") % 2).alias("defense"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("neutral"))
+    codes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("entity"))
+    return clean.flags_to_kinds(s, "s_nationkey", "other", {"defense": "defense", "neutral": "neutrality"}, codes)

@@ -1,6 +1,7 @@
 """The star schema as panel, dyads, memberships and points.
 
-Entities are nations, periods order years; dyads go from the customer's nation to the supplier's.
+Entities are nations, periods order years; dyads go from the customer's nation to the supplier's.  What the star join
+is summed up to is checkpointed, so that a query which reads it several times joins once.
 """
 
 from __future__ import annotations
@@ -45,19 +46,19 @@ def panel(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     rows = wide.unpivot(["entity", "nk", "period"], INDICATORS, "indicator", "value")
     source = F.create_map(*[F.lit(x) for r in REGISTRY for x in r[:2]])[F.col("indicator")]
     value = F.when((F.col("nk") * 7 + F.col("period")) % 5 != 0, F.col("value")) if gaps else F.col("value")
-    return rows.select("entity", F.col("period").cast("int").alias("period"), "indicator", value.alias("value"), source.alias("source"))
+    return rows.select("entity", F.col("period").cast("int").alias("period"), "indicator", value.alias("value"), source.alias("source")).checkpoint()
 
 
 def dyads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir).where("entity <> dst").groupBy(F.col("entity").alias("src"), "dst", "period").agg((F.sum("rev") / 1e6).alias("value"))
+    return sales(spark, sf_dir).where("entity <> dst").groupBy(F.col("entity").alias("src"), "dst", "period").agg((F.sum("rev") / 1e6).alias("value")).checkpoint()
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_normalize(accumulate(dyads(spark, sf_dir)))
+    return row_normalize(accumulate(dyads(spark, sf_dir))).checkpoint()
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir).groupBy("entity").agg((F.sum("rev") / 1e6).alias("size"))
+    return sales(spark, sf_dir).groupBy("entity").agg((F.sum("rev") / 1e6).alias("size")).checkpoint()
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, src, dst, w) of three channels."""
     s = sales(spark, sf_dir).where("entity <> dst").groupBy(F.col("entity").alias("src"), "dst").agg(
         (F.sum("rev") / 1e6).alias("trade"), F.sum("l_tax").alias("financial"), F.count(F.lit(1)).cast("double").alias("political"))
-    return s.unpivot(["src", "dst"], ["trade", "financial", "political"], "channel", "w")
+    return s.unpivot(["src", "dst"], ["trade", "financial", "political"], "channel", "w").checkpoint()
 
 
 def channel_table(spark: SparkSession) -> DataFrame:

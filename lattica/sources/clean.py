@@ -6,17 +6,18 @@ A connector of the usual kind is a file format plus some of these steps; each gi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import code_key, leading_year, to_number
 from lattica.schema import nan_to_null
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
     """Every column as text: types are settled by the cleaning steps, not by inference."""
-    return spark.read.csv(path, header=True, sep=sep)
+    return spark.read.csv(path if isinstance(path, str) else list(path), header=True, sep=sep)
 
 
 def read_panels(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -29,11 +30,10 @@ def read_panels(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_clean_zone(spark: SparkSession, folder: str, skip: Sequence[str] = ("indicator_", "imputed_")) -> DataFrame:
-    """All Parquet files of a folder but derived ones, told by the prefixes of their names."""
-    df = spark.read.option("mergeSchema", True).parquet(folder).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    for prefix in skip:
-        df = df.where(~F.col("_file").startswith(prefix))
-    return nan_to_null(df.drop("_file"))
+    """All Parquet tables of a folder (or a glob) but derived ones, told by the prefixes of their files' or folders' names."""
+    df = spark.read.option("mergeSchema", True).parquet(folder).withColumn("_file", F.split(F.col("_metadata.file_path"), "/"))
+    derived = F.exists(F.slice("_file", -2, 2), lambda name: reduce(Column.__or__, [name.startswith(p) for p in skip]))
+    return nan_to_null(df.where(~derived).drop("_file"))
 
 
 def wide_years_to_long(df: DataFrame, entity: str, indicator: str, source: str, strip: str = "") -> DataFrame:
@@ -56,6 +56,86 @@ def sentinels_to_null(df: DataFrame, column: str, sentinels: Sequence[float]) ->
     return df.withColumn(column, F.when(~F.col(column).isin(*sentinels), F.col(column)))
 
 
+def two_layouts_to_long(df: DataFrame, entity: str, indicator: str, source: str, strip: str, period: str, value: str) -> DataFrame:
+    """Fact rows from either layout of a source: years as columns named ``strip`` + year, or long rows with a period and a value."""
+    if any(c.startswith(strip) and c.removeprefix(strip).isdigit() for c in df.columns):
+        return wide_years_to_long(df, entity, indicator, source, strip)
+    return df.select(code_key(entity).alias("entity"), F.col(period).try_cast("int").alias("period"), F.lit(indicator).alias("indicator"),
+                     to_number(F.col(value).cast("string")).alias("value"), F.lit(source).alias("source"))
+
+
+def lower_headers(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.lower() for c in df.columns])
+
+
+def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
+    """Required names that the table lacks, sorted."""
+    return sorted(set(required) - set(df.columns))
+
+
+def with_file_year(df: DataFrame, target: str = "period") -> DataFrame:
+    """The year that each row's file is named after (the last four-digit number 19xx or 20xx in its name); needs a file source."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    years = F.regexp_extract_all(name, F.lit("(?:19|20)[0-9]{2}"), F.lit(0))
+    return df.withColumn(target, F.when(F.size(years) > 0, F.element_at(years, -1).cast("int")))
+
+
+def json_rows(df: DataFrame, column: str, entity: str, period: str, value: str, indicator: str, source: str, since: int | None = None) -> DataFrame:
+    """Fact rows from a column of JSON arrays of records; what can't be read is NULL, and rows before ``since`` are left out."""
+    schema = f"array<struct<`{entity}`:string,`{period}`:string,`{value}`:string>>"
+    rows = df.select(F.explode(F.from_json(column, schema)).alias("r")).select(
+        code_key(F.col(f"r.`{entity}`")).alias("entity"), F.substring(F.col(f"r.`{period}`"), 1, 4).try_cast("int").alias("period"),
+        F.lit(indicator).alias("indicator"), to_number(F.col(f"r.`{value}`")).alias("value"), F.lit(source).alias("source"))
+    return rows if since is None else rows.where(F.col("period") >= since)
+
+
+def classified(df: DataFrame, column: str, rules: Sequence[tuple[str, str]], target: str = "indicator") -> DataFrame:
+    """The class of the first rule (pattern, class) whose pattern a text has, in any case; rows that no rule fits are left out."""
+    kind = F.lit(None).cast("string")
+    for pattern, name in reversed(rules):
+        kind = F.when(F.col(column).rlike(f"(?i){pattern}"), name).otherwise(kind)
+    return df.withColumn(target, kind).where(F.col(target).isNotNull())
+
+
+def sliced(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows that have the wanted value in each of the dimensions that the table has; others are no condition."""
+    for column, value in wanted.items():
+        if column in df.columns:
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def plausible_codes(df: DataFrame, column: str, aggregate: str = "5", longest: int = 3, shortest: int = 2) -> DataFrame:
+    """Rows whose code is neither an aggregate's (by its first character) nor of another length than codes have."""
+    code = F.col(column)
+    return df.where(~code.startswith(aggregate) & F.length(code).between(shortest, longest))
+
+
+def dyad_columns_to_long(df: DataFrame, src: str, dst: str, columns: dict[str, str], source: str, period: int | str) -> DataFrame:
+    """One column per indicator of a pair to dyad rows, renamed by ``columns``; ``period`` is a column or, for static tables, a year."""
+    names = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv])
+    when = F.col(period).try_cast("int") if isinstance(period, str) else F.lit(period)
+    wide = df.select(code_key(src).alias("src"), code_key(dst).alias("dst"), when.alias("period"), *[to_number(F.col(c).cast("string")).alias(c) for c in columns])
+    return wide.unpivot(["src", "dst", "period"], list(columns), "_code", "value").where("src <> dst").select(
+        "src", "dst", "period", names[F.col("_code")].alias("indicator"), "value", F.lit(source).alias("source"))
+
+
+def dyad_years_to_long(df: DataFrame, src: str, dst: str, years: Sequence[int], first: int, indicator: str, source: str) -> DataFrame:
+    """Dyad rows from year columns that are known by their position alone: column ``first`` is the first of ``years``."""
+    columns = df.columns[first : first + len(years)]
+    long = dyad_columns_to_long(df, src, dst, dict(zip(columns, map(str, years), strict=True)), source, 0)
+    return long.select("src", "dst", F.col("indicator").cast("int").alias("period"), F.lit(indicator).alias("indicator"), "value", "source").where("value > 0")
+
+
+def flags_to_kinds(df: DataFrame, src: str, dst: str, flags: dict[str, str], crosswalk: DataFrame) -> DataFrame:
+    """(src, dst, kind) for every flag that is 1, with both codes translated by (code, entity); unknown codes are left out."""
+    rows = df.select(F.col(src).alias("_a"), F.col(dst).alias("_b"), *[F.col(c).cast("int").alias(c) for c in flags]).unpivot(["_a", "_b"], list(flags), "_flag", "_on").where("_on = 1")
+    names = F.create_map(*[F.lit(x) for kv in flags.items() for x in kv])
+    for code, side in (("_a", "src"), ("_b", "dst")):
+        rows = rows.join(crosswalk.select(F.col("code").alias(code), F.col("entity").alias(side)), code)
+    return rows.select("src", "dst", names[F.col("_flag")].alias("kind")).distinct()
+
+
 def event_counts(events: DataFrame, entity: str, period: str, kind: str, amount: str, source: str = "events") -> DataFrame:
     """Counts per event kind and the sum of an amount (unreadable: 0), from one pass, as fact rows."""
     grouped = events.groupBy(F.col(entity).cast("string").alias("entity"), F.col(period).cast("int").alias("period"), F.col(kind).alias("kind")).agg(
@@ -121,14 +201,21 @@ def map_codes(df: DataFrame, column: str, lookups: Sequence[DataFrame], target:
 def fuzzy_codes(names: DataFrame, known: DataFrame, name: str = "name", most: int = 2) -> DataFrame:
     """Free-text name to code: exact after normalisation, else the closest known name within ``most`` edits.
 
-    Candidates share the first letter and a length within ``most``; ties go to the smaller code.
+    Names within k edits have one of k + 1 equal parts of the known name in common, at most k places away, so a pair
+    is a candidate if it shares such a part and a length within k; ties go to the smaller code.
     """
     plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", " ")
     left = names.select(F.col(name).alias("name"), plain(F.col(name)).alias("key")).distinct()
     right = known.select(F.col("code"), plain(F.col("name")).alias("known"))
-    blocks = left.withColumn("n", F.explode(F.sequence(F.length("key") - most, F.length("key") + most))).withColumn("b", F.substring("key", 1, 1))
+    size = F.length("known")
+    cut = lambda n, k: F.floor(n * k / (most + 1)).cast("int")
+    part = lambda k: F.struct(F.lit(k).alias("k"), size.alias("n"), F.substr("known", cut(size, k) + 1, cut(size, k + 1) - cut(size, k)).alias("part"))
+    parts = right.select("code", "known", F.explode(F.array(*map(part, range(most + 1)))).alias("p")).select("code", "known", "p.*")
+    own = left.withColumn("n", F.explode(F.sequence(F.greatest(F.length("key") - most, F.lit(0)), F.length("key") + most))).withColumn("k", F.explode(F.array(*map(F.lit, range(most + 1)))))
+    start, end = (cut(F.col("n"), F.col("k") + d) for d in (0, 1))
+    own = own.withColumn("at", F.explode(F.sequence(F.greatest(start - most, F.lit(0)), start + most))).withColumn("part", F.substr("key", F.col("at") + 1, end - start))
     near = (
-        blocks.join(right.withColumn("n", F.length("known")).withColumn("b", F.substring("known", 1, 1)), ["n", "b"])
+        own.select("name", "key", "n", "k", "part").distinct().join(parts, ["n", "k", "part"])
         .withColumn("edits", F.levenshtein("key", "known")).where(F.col("edits") <= most)
         .groupBy("name").agg(F.min(F.struct("edits", "code")).alias("best"))
     )

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import schema
 from lattica.functions import scalars
 from lattica.operators import panel, stats
-from lattica.sources import clean
+from lattica.sources import clean, sinks
 
 FACT = "entity string, period int, indicator string, value double, source string"
 
@@ -78,6 +79,11 @@ def test_pca_invariants(spark):
     assert (v.sum(axis=0) > -1e-9).all()
     turned = stats.varimax(v[:, :3])
     assert np.allclose((turned**2).sum(), (v[:, :3] ** 2).sum())
+    spread = lambda a: ((a**2).var(axis=0)).sum()
+    tries = [np.linalg.qr(np.random.RandomState(k).randn(3, 3))[0] for k in range(300)]
+    assert spread(turned) >= max(spread(v[:, :3] @ q) for q in tries) - 1e-9  # no rotation has a larger criterion
+    turn = np.linalg.lstsq(v[:, :3], turned, rcond=None)[0]
+    assert np.allclose(turn.T @ turn, np.eye(3), atol=1e-9)
 
 
 def test_p_values():
@@ -113,3 +119,84 @@ def test_cleaning(spark):
     known = spark.createDataFrame([("DEU", "Germany"), ("FRA", "France")], "code string, name string")
     assert {r["name"]: r["code"] for r in clean.fuzzy_codes(names, known).collect()} == {"Grmany": "DEU", "Atlantis": None}
     assert [r[0] for r in spark.createDataFrame([("2015-Q4",), ("x",)], "q string").select(scalars.leading_year("q")).collect()] == [2015, None]
+
+
+def test_numbers_over_ranges(spark):
+    rng = np.random.RandomState(2)
+    values = [None if k % 50 == 0 else float(v) for k, v in enumerate(rng.randint(0, 40, 500))]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double").repartition(5)
+    got = stats.numbered(df, [F.desc_nulls_last("v"), F.col("id")]).collect()
+    want = sorted(range(500), key=lambda k: (values[k] is None, -(values[k] or 0), k))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 501))
+    ranks = {r["id"]: r["r"] for r in stats.average_ranks(df.where("v is not null"), "v", "r").collect()}
+    held = np.array([v for v in values if v is not None])
+    assert all(ranks[k] == (held < v).sum() + ((held == v).sum() + 1) / 2 for k, v in enumerate(values) if v is not None)
+
+
+def test_codes_and_columns(spark):
+    rows = spark.createDataFrame([("7",), ("123",), ("4567",), (None,)], "c string")
+    assert [r[0] for r in rows.select(scalars.zero_padded("c")).collect()] == ["007", "123", "4567", None]
+    years = spark.createDataFrame([("2020-2022",), ("2019",), ("x",)], "y string")
+    assert [r[0] for r in years.select(scalars.end_year("y")).collect()] == [2022, 2019, None]
+    assert schema.resolve_column(["Country Code", "Year", "Country"], lambda n: n == "country", lambda n: "country" in n) == "Country"
+    assert schema.resolve_column(["ISO", "Year"], lambda n: "country" in n, lambda n: n.startswith("iso")) == "ISO"
+    with pytest.raises(KeyError):
+        schema.resolve_column(["a"], lambda n: n == "b")
+    df = spark.createDataFrame([(1, 2)], "REF_AREA int, Time int")
+    assert schema.rename_aliases(df, {"entity": ["ref_area", "iso3"], "period": ["time"]}).columns == ["entity", "period"]
+    with pytest.raises(ValueError):
+        schema.rename_aliases(spark.createDataFrame([(1, 2)], "iso3 int, ref_area int"), {"entity": ["ref_area", "iso3"]})
+    assert clean.lower_headers(df).columns == ["ref_area", "time"] and clean.missing_columns(df, ["Time", "z", "a"]) == ["a", "z"]
+
+
+def test_sources_of_other_shapes(spark, tmp_path):
+    for year in (2015, 2016):
+        spark.createDataFrame([("usa", year / 10)], "iso string, score double").coalesce(1).write.mode("overwrite").csv(str(tmp_path / f"index-v2-{year}.csv"), header=True)
+    files = clean.read_csv(spark, [str(tmp_path / f"index-v2-{y}.csv/*.csv") for y in (2015, 2016)])
+    parts = files.select("*", "_metadata.file_path").collect()
+    assert len(parts) == 2
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for year in (2015, 2016):
+        (flat / f"fsi_{year}_final.csv").write_text(f"iso,score\nusa,{year / 10}\n")
+    (flat / "notes.csv").write_text("iso,score\nfra,1\n")
+    got = {(r["iso"], r["period"]): r["score"] for r in clean.with_file_year(clean.read_csv(spark, str(flat))).collect()}
+    assert got == {("usa", 2015): "201.5", ("usa", 2016): "201.6", ("fra", None): "1"}
+    wide = spark.createDataFrame([("usa", "1", "2")], "iso string, YR2010 string, YR2011 string")
+    long = spark.createDataFrame([("usa", "2010", "1"), ("usa", "2011", "2")], "iso string, year string, share string")
+    one, two = (sorted(map(tuple, clean.two_layouts_to_long(df, "iso", "mil", "S", "YR", "year", "share").collect())) for df in (wide, long))
+    assert one == two == [("USA", 2010, "mil", 1.0, "S"), ("USA", 2011, "mil", 2.0, "S")]
+    codes = spark.createDataFrame([("5A",), ("US",), ("EURO",), ("X",), (None,)], "c string")
+    assert [r[0] for r in clean.plausible_codes(codes, "c").collect()] == ["US"]
+    names = spark.createDataFrame([("Xermany",), ("Germayn",), ("ermany",), ("Francexyz",)], "name string")
+    known = spark.createDataFrame([("DEU", "Germany"), ("FRA", "France")], "code string, name string")
+    assert {r["name"]: (r["code"], r["edits"]) for r in clean.fuzzy_codes(names, known).collect()} == {
+        "Xermany": ("DEU", 1), "Germayn": ("DEU", 2), "ermany": ("DEU", 1), "Francexyz": (None, None)}
+
+
+def test_clean_zone_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 2000, "i", 1.0, "x"), ("B", 2001, "i", float("nan"), "y")], FACT)
+    zone = str(tmp_path / "zone")
+    sinks.write_table(rows, zone + "/panel.parquet")
+    sinks.write_table(rows, zone + "/indicator_matrix.parquet")
+    got = clean.read_clean_zone(spark, zone + "/*.parquet")
+    assert sorted((r["entity"], r["value"]) for r in got.collect()) == [("A", 1.0), ("B", None)]
+    sinks.write_table(rows, str(tmp_path / "by_source"), partition_by="source")
+    assert sorted(p.name for p in (tmp_path / "by_source").glob("source=*")) == ["source=x", "source=y"]
+    assert spark.read.parquet(str(tmp_path / "by_source")).where("source = 'y'").count() == 1
+    sinks.write_report(rows, str(tmp_path / "report"))
+    assert clean.read_csv(spark, str(tmp_path / "report")).count() == 2
+    sinks.write_outputs({"a": rows, "b": rows.limit(1)}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/a")).count() == 2 and spark.read.parquet(str(tmp_path / "out/b")).count() == 1
+
+
+def test_p_values_by_column(spark):
+    r = stats.with_p_values(spark.createDataFrame([(0.5, 0.0, 20)], "pearson double, spearman double, n long")).first()
+    assert r["p_pearson"] == pytest.approx(0.0247685, abs=1e-5) and r["p_spearman"] == pytest.approx(1.0)
+
+
+def test_layers(spark):
+    a = spark.createDataFrame([("A", 1)], "entity string, rank int")
+    assert tuple(panel.layer({"rank": a}, "rank").first()) == ("A", 1.0)
+    with pytest.raises(KeyError):
+        panel.layer({"rank": a}, "score")
