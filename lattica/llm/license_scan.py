@@ -109,27 +109,33 @@ def needed(words: int, coverage: float) -> int:
 def find(text: list[int], template: list[int], first: list[int], least: int = 1) -> tuple[float, int, int]:
     """Best coverage of a template in a text and the word span of it.
 
-    ``first`` has the text positions of template words that are rare in the template set; around each, a stretch
-    of ``SPREAD`` template lengths on either side is aligned (overlapping stretches once).  Where none has ``least``
-    words, as beside a second copy that leaves no word unique, shorter stretches at each mark are aligned: from the
-    start that the mark has in the template and from every shift that ``len(template) - least`` allows.
+    ``first`` has the text positions of template words that are rare in the template set.  The first copy that is
+    word for word the template's is the result if there is one.  Else a stretch of ``SPREAD`` template lengths on
+    either side of each mark is aligned (overlapping stretches once).  Where none has ``least`` words, as beside a
+    second copy that leaves no word unique, shorter stretches at each mark are aligned: from the start that the mark
+    has in the template and from every shift that ``len(template) - least`` allows.  Of equal coverages the one that
+    starts first counts, then the shorter one.
     """
     reach, best, done = SPREAD * len(template), (0, 0, 0), -1
+    places: dict[int, list[int]] = {}
+    for k, w in enumerate(template):
+        places.setdefault(w, []).append(k)
+    for p in first:
+        for k in places[text[p]]:
+            if p >= k and text[p - k : p - k + len(template)] == template:
+                return 1.0, p - k, p - k + len(template)
 
     def attempt(lo: int, hi: int) -> None:
         nonlocal best
         pairs = align(text[lo:hi], template)
-        if len(pairs) > best[0]:
-            best = (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
+        if pairs:
+            best = max(best, (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1), key=lambda b: (b[0], -b[1], -b[2]))
 
     for p in first:
         if p > done:
             attempt(max(0, p - reach), min(len(text), p + reach))
             done = p + reach // 2
     if best[0] < least:
-        places: dict[int, list[int]] = {}
-        for k, w in enumerate(template):
-            places.setdefault(w, []).append(k)
         slack, tried, bag = len(template) - least, set(), Counter(template)
         for p in first:
             for k in places[text[p]]:
@@ -190,8 +196,8 @@ def _scanner(templates: dict[str, str], coverage: float):
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """(id, license, coverage, start_word, end_word): templates of which a text holds at least ``coverage``.
 
-    A row per input row and template found, with the best match; words are compared lower-cased and without
-    punctuation at their ends.  ``templates`` is a fixed set that goes to every task.  Null and empty texts have no
+    A row per input row and template found, with the best match (ties: see ``find``); words are compared lower-cased
+    and without punctuation at their ends.  ``templates`` is a fixed set that goes to every task.  Null and empty texts have no
     matches; null and repeated ids are rows like any other; extra columns are ignored; an empty table gives an empty
     result.
     """
