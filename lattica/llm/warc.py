@@ -1,8 +1,9 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
 A file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, followed by one Zstandard frame
-per record; the dictionary is trained on a bounded sample of the records that the archive is made of.  Records of
-equal payload are written once, as the response of the smallest id; the others revisit it.
+per record; the dictionary is trained on a bounded sample of the very records that the archive is made of.  Records
+of equal payload are written once, as the response of the smallest id; the others revisit it.  A response holds an
+HTTP head and the payload; the payload's digest is that of the payload alone.
 
 Tasks write files under names of their own attempt, and the manifest, a Parquet table, says which of them count;
 a task that is lost and run again leaves a file that no manifest names.
@@ -14,6 +15,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -21,24 +23,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hashed_sample, kept, prepare, shared_folder
+from lattica.llm.common import hashed_sample, kept, prepare, shared_folder, small
 
 # Fixed value of the WARC-Zstandard convention: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
-#: The dictionary's size, and the sample it is trained on: records and bytes of each, at most.
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
+#: The dictionary's size, and the sample it is trained on: so many records of at most so many payload bytes, whole.
+DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 << 10, 500, 64 << 10
 #: Payload bytes of a file, about; a file is read back whole by one task.
 FILE_BYTES = 16 << 20
 #: Smaller payloads are always written as responses.
 LEAST_REVISIT = 100
 READ_BYTES = 64 << 10
-DATE = "1970-01-01T00:00:00Z"
 
 
-def train_dictionary(pages: DataFrame, payload: str) -> bytes:
-    """A dictionary from the first ``SAMPLE_RECORDS`` records by a hash (b"" if they are too few)."""
-    sample = hashed_sample(pages.where(F.octet_length(payload) > 0).select("page_id", F.substring(payload, 1, SAMPLE_BYTES).alias("p")), SAMPLE_RECORDS, "page_id", "p")
-    found = [r["p"].encode() for r in sample.collect()]
+def train_dictionary(rows: DataFrame, date: str) -> bytes:
+    """A dictionary from ``SAMPLE_RECORDS`` records, the first by a hash among those that are not too large (b"" if they are too few)."""
+    fit = rows.where(F.octet_length("html") <= SAMPLE_BYTES)
+    sample = hashed_sample(fit.select("page_id", "url", "html", "digest", "refers_to", "refers_url"), SAMPLE_RECORDS, "page_id", "digest").collect()
+    found = [record(r.asDict(), date, f"sample-{k}") for k, r in enumerate(sample)]
     if len(found) < 16:
         return b""
     try:
@@ -52,17 +54,30 @@ def frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
-def record(page_id: int, url: str, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, and says how long the payload it stands for is."""
-    block = payload if kind == "response" else b""
+def _uri(url: str | None) -> str:
+    """A header value: what would end the line is escaped."""
+    return "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url or "")
+
+
+def record(row: dict, date: str, name: str) -> bytes:
+    """One WARC/1.1 record; a revisit has no block, and says how long the payload it stands for is.
+
+    Record ids are unique in the archive whatever the pages' ids are (``name``: the file and the record's number in
+    it); the page's own id, if it has one, and that of the page it revisits are headers of their own.
+    """
+    payload, revisit = (row["html"] or "").encode(), row["refers_to"] is not None
+    block = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url),
-        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(row['url'])}",
+        f"WARC-Payload-Digest: sha256:{row['digest']}", f"WARC-Payload-Length: {len(payload)}",
     ]
-    if refers_to is not None:
-        head[3:3] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    if row["page_id"] is not None:
+        head.append(f"WARC-Page-ID: {row['page_id']}")
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_uri(row['refers_url'])}",
+                 f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Page-ID: {row['refers_to']}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -76,7 +91,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def _writer(folder: str, dictionary: bytes):
+def _writer(folder: str, dictionary: bytes, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -88,10 +103,9 @@ def _writer(folder: str, dictionary: bytes):
                     name, size, count = f"part-{uuid.uuid4().hex}.warc.zst", 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(frame(dictionary))
-                payload = (row["html"] or "").encode()
-                kind = "response" if row["refers_to"] is None else "revisit"
-                out.write(packer.compress(record(row["page_id"], row["url"] or "", kind, payload, row["digest"], row["refers_to"])))
-                size, count = size + len(payload), count + 1
+                raw = record(row, date, f"{name}/{count}")
+                out.write(packer.compress(raw))
+                size, count = size + len(raw), count + 1
                 if size >= FILE_BYTES:
                     out.close()
                     out = None
@@ -103,23 +117,28 @@ def _writer(folder: str, dictionary: bytes):
     return write
 
 
-def write_archive(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> DataFrame:
     """Write every page as a record to ``folder`` (a URI that pyarrow can open) and return the manifest (file, records).
 
-    Null payloads are empty; a null url is an empty one; rows with a null id cannot be named and are left out.
-    Rows that repeat an id become records of their own.  An empty table writes no file.
+    Null payloads are empty; a null url is an empty one.  Of equal payloads of ``LEAST_REVISIT`` bytes and more, the
+    rows with the smallest id are responses and the others, those with a null id too, revisit it; where all ids are
+    null, all are responses.  Rows that repeat an id become records of their own.  ``date`` (now) is that of all
+    records.  An empty table writes no file.
     """
     prepare(pages.sparkSession)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")).where("page_id is not null")
-    seen = kept(rows.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest"))
-    repeated = kept(seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    decided = kept(seen.join(repeated, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct())
-    dictionary = train_dictionary(rows, "html")
+    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    seen = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    repeated = kept(seen.where("copies > 1 and first is not null").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    marked = rows.join(small(repeated), "digest", "left").select(
+        "page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
+    dictionary = train_dictionary(marked, date)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    marked = rows.join(decided, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    return kept(marked.mapInArrow(_writer(folder, dictionary), "file string, records long"))
+    return kept(marked.mapInArrow(_writer(folder, dictionary, date), "file string, records long"))
 
 
 def unpack(stream) -> Iterator[bytes]:
@@ -141,12 +160,12 @@ def unpack(stream) -> Iterator[bytes]:
         rest = rest or stream.read(READ_BYTES)
 
 
-def _number(uri: str | None) -> int | None:
-    return int(uri.removeprefix("<urn:page:").removesuffix(">")) if uri else None
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None else None
 
 
 _COLUMNS = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(),
-            "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+            "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string()}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -163,10 +182,11 @@ def _reader(folder: str):
                     for raw in unpack(stream):
                         head, block = parse(raw)
                         kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
+                        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                        if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"record {head['WARC-Record-ID']} has another payload than its digest says")
-                        rows.append((_number(head["WARC-Record-ID"]), head["WARC-Target-URI"], block if kind == "response" else None,
-                                     int(head["WARC-Payload-Length"]), digest, kind, _number(head.get("WARC-Refers-To"))))
+                        rows.append((_number(head.get("WARC-Page-ID")), head["WARC-Target-URI"], payload, int(head["WARC-Payload-Length"]),
+                                     digest, kind, _number(head.get("WARC-Refers-To-Page-ID")), head["WARC-Record-ID"]))
                         size += len(block)
                         if size > 4 << 20 or len(rows) >= 1000:
                             yield _batch(rows)
@@ -179,12 +199,12 @@ def _reader(folder: str):
 def read_archive(folder: str, manifest: DataFrame) -> DataFrame:
     """Records of the files that ``manifest`` names, with digests checked against payloads; a task reads files one by one.
 
-    Columns: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
+    Columns: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to, record_id.
     """
     spark = manifest.sparkSession
     tasks = max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))
     return manifest.select("file").repartition(tasks).mapInArrow(
-        _reader(folder), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        _reader(folder), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
 
 
 def archive_folder(spark: SparkSession) -> str:
