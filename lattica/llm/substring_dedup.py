@@ -119,8 +119,10 @@ class Block:
         if len(self.windows):
             self._anchors()
 
-    def two(self) -> Rolling:
-        return Rolling(mix(self.h + _P2), _P2)
+    def hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit and another 32-bit hash of the windows at ``start``."""
+        end, two = start + self.width, Rolling(mix(self.h + _P2), _P2)
+        return self.one.of(start, end), (two.of(start, end) >> _U(32)).astype(np.uint32).view(np.int32)
 
     def _anchors(self) -> None:
         n = len(self.h)
@@ -217,7 +219,10 @@ def _anchor_rows(width: int, buckets: int):
 
 
 def _settle(kind: str):
-    """Count a bucket's keys over all blocks; return those seen twice or more to every block that has them."""
+    """Count a bucket's keys over all blocks; return those seen twice or more to every block that has them.
+
+    ``more`` says of an anchor whether its surroundings differ, and is the second part of a window's hash.
+    """
     def settle(t: pa.Table) -> pa.Table:
         block = np.repeat(t.column("block").to_numpy(), pc.list_value_length(t.column("h")).to_numpy())
         key = [_flat(t, c) for c in (("h",) if kind == "anchors" else ("h", "g"))]
@@ -232,7 +237,8 @@ def _settle(kind: str):
         rows, flag = order[keep], differ[own][keep]
         by = np.argsort(block[rows], kind="stable")
         held, cut = np.unique(block[rows][by], return_index=True)
-        lists = _lists(np.r_[cut, len(by)], {"h": key[0][rows][by], "mixed": flag[by].astype(np.int8)})
+        more = flag.astype(np.int32) if kind == "anchors" else key[1][rows]
+        lists = _lists(np.r_[cut, len(by)], {"h": key[0][rows][by], "more": more[by]})
         return pa.table({"block": pa.array(held.astype(np.int32)), "stage": pa.array([kind] * len(held), pa.string()), **lists})
     return settle
 
@@ -240,7 +246,7 @@ def _settle(kind: str):
 def _state(b: Block, known: pa.Table) -> np.ndarray:
     """Per anchor of the block: 0 unique, 1 all windows repeated, 2 to be settled window by window."""
     known = known.filter(pc.equal(known.column("stage"), "anchors"))
-    h, mixed = _flat(known, "h").view(_U), _flat(known, "mixed")
+    h, mixed = _flat(known, "h").view(_U), _flat(known, "more")
     if not len(h):
         return np.zeros(len(b.name), np.int8)
     order = np.argsort(h, kind="stable")
@@ -257,7 +263,7 @@ def _window_rows(width: int, buckets: int):
             start = b.windows[_state(b, known)[b.group] == 2]
         if not len(start):
             return _to_buckets(0, start, {"h": start, "g": start.astype(np.int32), "n": start.astype(np.int8)})
-        one, two = b.one.of(start, start + width), (b.two().of(start, start + width) >> _U(32)).astype(np.uint32).view(np.int32)
+        one, two = b.hashes(start)
         order, begin, n = _counted([one, two], np.ones(len(one), np.int64))
         one, two = one[order][begin], two[order][begin]
         return _to_buckets(docs.column("block")[0].as_py(), ((one >> _U(20)) % _U(buckets)).astype(np.int64),
@@ -265,6 +271,18 @@ def _window_rows(width: int, buckets: int):
     return make
 
 
+def _among(mine: tuple[np.ndarray, np.ndarray], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which hashes are in the table (h, g), both parts alike."""
+    found, order = np.zeros(len(mine[0]), bool), np.lexsort((g, h))
+    h, g = h[order], g[order]
+    at, end = np.searchsorted(h, mine[0], "left"), np.searchsorted(h, mine[0], "right")
+    while (at < end).any():  # one turn, unless two windows agree in the first part only
+        live = np.flatnonzero(at < end)
+        found[live] |= g[at[live]] == mine[1][live]
+        at[live] += 1
+    return found
+
+
 def _cut(width: int):
     def make(docs: pa.Table, known: pa.Table) -> pa.Table:
         b = Block(docs.column("text").combine_chunks(), width)
@@ -274,7 +292,7 @@ def _cut(width: int):
             hit, ask = state == 1, np.flatnonzero(state == 2)
             start = b.windows[ask]
             repeated = known.filter(pc.equal(known.column("stage"), "windows"))
-            hit[ask] = np.isin(b.one.of(start, start + width), _flat(repeated, "h").view(_U))
+            hit[ask] = _among(b.hashes(start), _flat(repeated, "h").view(_U), _flat(repeated, "more"))
             edge = np.zeros(len(b.h) + 1, np.int64)
             edge[: len(b.h)] += np.bincount(b.windows[hit], minlength=len(b.h))
             edge += np.bincount(b.windows[hit] + width, minlength=len(b.h) + 1)[: len(b.h) + 1] * -1
@@ -303,12 +321,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     by_block = rows.groupBy("block")
     anchors = (
         by_block.applyInArrow(_anchor_rows(window_words, buckets), "block int, bucket int, h array<long>, u array<long>, mixed array<tinyint>, n array<tinyint>")
-        .groupBy("bucket").applyInArrow(_settle("anchors"), "block int, stage string, h array<long>, mixed array<tinyint>")
+        .groupBy("bucket").applyInArrow(_settle("anchors"), "block int, stage string, h array<long>, more array<int>")
     )
     windows = (
         by_block.cogroup(anchors.groupBy("block"))
         .applyInArrow(_window_rows(window_words, buckets), "block int, bucket int, h array<long>, g array<int>, n array<tinyint>")
-        .groupBy("bucket").applyInArrow(_settle("windows"), "block int, stage string, h array<long>, mixed array<tinyint>")
+        .groupBy("bucket").applyInArrow(_settle("windows"), "block int, stage string, h array<long>, more array<int>")
     )
     kind = rows.schema["id"].dataType.simpleString()
     return by_block.cogroup(anchors.union(windows).groupBy("block")).applyInArrow(
