@@ -3,8 +3,13 @@
 Hidden states emit word classes and words follow their class: P(text) is the chance of the class sequence under
 the chain, times, for each token, its share within its class.  A class follows from a word's spelling alone (its
 last letters, shape and length), so that the expectation step needs no dictionary.  Transition and emission counts
-of Baum-Welch are added up over all training documents in every round; word counts are exact counts over all
-training documents.  The likelihood of a class sequence is the scaled forward recursion's, without approximation.
+of Baum-Welch are added up over all training documents in every round, from a start that only knows how often each
+class occurs; word counts are exact counts over all training documents.  The likelihood of a class sequence is the
+scaled forward recursion's, without approximation.
+
+Long texts are cut into segments that are worked on side by side: the product of a segment's transition and emission
+matrices carries a distribution from its beginning to its end, so that every segment starts and ends with the exact
+vectors of the whole text.
 """
 
 from __future__ import annotations
@@ -18,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import block_count, fold, hashed_sample, in_blocks, kept, prepare, signed
+from lattica.llm.common import block_count, fold, in_blocks, kept, prepare, signed
 from lattica.llm.text import Words, chunks, lanes_of, lower_ascii, mix
 
 BLOCK_BYTES = 8 << 20
-STATES, CLASSES, ROUNDS = 6, 1024, 2
-#: Documents that the starting point of Baum-Welch is fitted on and characters of each, at most, and rounds of it.
-START_DOCS, START_CHARS, START_ROUNDS = 400, 4000, 8
+STATES, CLASSES, ROUNDS = 6, 1024, 3
+#: Tokens of a segment.
+SEGMENT = 1024
 SMOOTH = 0.1
 _U = np.uint64
 _KEEP3 = _U(0xFFFFFF)
@@ -56,18 +61,16 @@ class Chain:
     emit: np.ndarray
 
     @staticmethod
-    def first(states: int = STATES, classes: int = CLASSES) -> Chain:
+    def first(class_counts: np.ndarray, states: int = STATES) -> Chain:
+        """A start for Baum-Welch: the classes' shares in the corpus, drawn apart by state."""
         rng = np.random.default_rng(3)
-        draw = lambda *n: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(n) + 0.5)
-        return Chain(draw(states), draw(states, states) + 2 * np.eye(states) / 3, draw(states, classes)).normal()
+        share = (class_counts + SMOOTH) / (class_counts + SMOOTH).sum()
+        return Chain(rng.random(states) + 0.5, rng.random((states, states)) + 0.5 + 2 * np.eye(states), share * (rng.random((states, len(share))) + 0.5)).normal()
 
     def normal(self) -> Chain:
         part = lambda x: x / x.sum(-1, keepdims=True)
         return Chain(part(self.start), part(self.move), part(self.emit))
 
-    def stationary(self) -> np.ndarray:
-        return np.linalg.matrix_power(self.move, 1 << 10).mean(axis=0)
-
     @staticmethod
     def from_counts(counts: np.ndarray, states: int = STATES, classes: int = CLASSES) -> Chain:
         """The chain that expected counts lead to, smoothed so that no probability is zero."""
@@ -76,70 +79,109 @@ class Chain:
 
 
 def _steps(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from the longest down, and how many of them have a token at each step."""
+    """Sequences from the longest down, and how many of them have a token at each step."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     return order, np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), "left")
 
 
-def forward(chain: Chain, tokens: np.ndarray, first: np.ndarray, keep: bool = False, goes_on: np.ndarray | None = None):
-    """log10 likelihood of each text by the scaled recursion, all texts a step at a time; with the scaled vectors.
-
-    Rows marked in ``goes_on`` start from the chain's stationary distribution.
+class Segments:
+    """Texts cut into segments: where each begins (n + 1), its text, and its number within the text."""
+
+    def __init__(self, chain: Chain, tokens: np.ndarray, first: np.ndarray):
+        number = -(-np.diff(first) // SEGMENT)
+        self.chain, self.tokens, self.emit = chain, tokens, np.ascontiguousarray(chain.emit.T)
+        self.text = np.repeat(np.arange(len(number)), number)
+        self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(number) - number, number)
+        self.first = np.r_[first[:-1][self.text] + self.nth * SEGMENT, first[-1]]
+        self.last = self.nth == number[self.text] - 1
+        self.by_number = [np.flatnonzero(self.nth == k) for k in range(1, int(number.max()) if len(number) else 1)]
+        self.through = self._products() if self.by_number else None
+
+    def _products(self) -> np.ndarray:
+        """For segments of texts with several, emission and transition matrices from the first to the last token, scaled."""
+        k = len(self.chain.start)
+        out = np.zeros((len(self.text), k, k))
+        own = np.flatnonzero((self.nth > 0) | ~self.last)
+        size = np.diff(self.first)[own]
+        order, live = _steps(np.r_[0, np.cumsum(size)])
+        begin = self.first[:-1][own][order]
+        a = np.broadcast_to(np.eye(k), (len(own), k, k))
+        for t in range(len(live)):
+            m = live[t]
+            done = a[m:]
+            if len(done):
+                out[own[order[m : len(a)]]] = done / done.sum(axis=(1, 2), keepdims=True)
+            a = a[:m] if not t else (a[:m].reshape(m * k, k) @ self.chain.move).reshape(m, k, k)
+            a = a * self.emit[self.tokens[begin[:m] + t]][:, None, :]
+            if t % 16 == 15:
+                a /= a.sum(axis=(1, 2), keepdims=True)
+        out[own[order[: len(a)]]] = a / a.sum(axis=(1, 2), keepdims=True)
+        return out
+
+    def entries(self) -> np.ndarray:
+        """The distribution of each segment's first state given all tokens of the text before it."""
+        out = np.tile(self.chain.start, (len(self.text), 1))
+        for now in self.by_number:
+            v = np.einsum("si,sij->sj", out[now - 1], self.through[now - 1]) @ self.chain.move
+            out[now] = v / v.sum(axis=1, keepdims=True)
+        return out
+
+    def exits(self, alphas: np.ndarray) -> np.ndarray:
+        """For each segment's last state, the chance of all tokens of the text after it, scaled so that alpha times it is 1."""
+        out = np.ones((len(self.text), len(self.chain.start)))
+        for now in reversed(self.by_number):
+            v = np.einsum("sij,sj->si", self.through[now], out[now]) @ self.chain.move.T
+            out[now - 1] = v / (alphas[self.first[now] - 1] * v).sum(axis=1, keepdims=True)
+        return out
+
+
+def forward(chain: Chain, tokens: np.ndarray, first: np.ndarray, keep: bool = False):
+    """log10 likelihood of each text by the scaled recursion, all segments a step at a time.
+
+    With ``keep``, also the segments, the scaled vectors and the scales.
     """
-    n, k = len(first) - 1, len(chain.start)
-    order, live = _steps(first)
-    begin, total, emit = first[:-1][order], np.zeros(n), np.ascontiguousarray(chain.emit.T)
+    cut, k = Segments(chain, tokens, first), len(chain.start)
+    order, live = _steps(cut.first)
+    begin, total = cut.first[:-1][order], np.zeros(len(cut.text))
     alphas = np.zeros((len(tokens), k)) if keep else None
     scales = np.zeros(len(tokens)) if keep else None
-    a = np.broadcast_to(chain.start, (n, k))
-    if goes_on is not None:
-        a = np.where(goes_on[order][:, None], chain.stationary(), a)
+    a = cut.entries()[order]
     for t in range(len(live)):
         m, at = live[t], begin[: live[t]] + t
-        a = (a[:m] @ chain.move if t else a[:m]) * emit[tokens[at]]
+        a = (a[:m] @ chain.move if t else a[:m]) * cut.emit[tokens[at]]
         s = a.sum(axis=1)
         a = a / s[:, None]
         total[:m] += np.log10(s)
         if keep:
             alphas[at], scales[at] = a, s
-    out = np.zeros(n)
-    out[order] = total
-    return (out, alphas, scales) if keep else out
-
-
-#: Tokens of a training sequence, at most: longer texts are learnt in pieces.
-PIECE = 1000
-
-
-def pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where training sequences begin (n + 1), and which of them go on with a text."""
-    number = -(-np.diff(first) // PIECE)
-    text = np.repeat(np.arange(len(number)), number)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    return np.r_[first[:-1][text] + nth * PIECE, first[-1]], nth > 0
+    out = np.bincount(cut.text[order], total, len(first) - 1)
+    return (out, cut, alphas, scales) if keep else out
 
 
 def expected(chain: Chain, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Expected start, transition and emission counts of the texts, as one flat array."""
     k, classes = chain.emit.shape
-    first, goes_on = pieces(first)
-    _, alphas, scales = forward(chain, tokens, first, True, goes_on)
-    order, live = _steps(first)
-    begin, emit = first[:-1][order], np.ascontiguousarray(chain.emit.T)
+    _, cut, alphas, scales = forward(chain, tokens, first, True)
+    order, live = _steps(cut.first)
+    begin, ends = cut.first[:-1][order], cut.exits(alphas)[order]
     gamma, moves, b = np.zeros((len(tokens), k)), np.zeros((k, k)), np.zeros((0, k))
     back = np.ascontiguousarray(chain.move.T)
     for t in range(len(live) - 1, -1, -1):
-        at, grown = begin[: live[t]] + t, np.ones((live[t], k))
+        at, grown = begin[: live[t]] + t, ends[: live[t]].copy()
         if len(b):
             own = at[: len(b)]
-            e = emit[tokens[own + 1]] * b / scales[own + 1][:, None]
+            e = cut.emit[tokens[own + 1]] * b / scales[own + 1][:, None]
             moves += alphas[own].T @ e
             grown[: len(b)] = e @ back
         b = grown
         gamma[at] = alphas[at] * b
+    over = np.flatnonzero(cut.nth[order] > 0)  # transitions from one segment to the next
+    if len(over):
+        at = begin[over]
+        moves += alphas[at - 1].T @ (cut.emit[tokens[at]] * b[over] / scales[at][:, None])
     emitted = np.stack([np.bincount(tokens, gamma[:, j], classes) for j in range(k)])
-    return np.concatenate([gamma[first[:-1][~goes_on]].sum(axis=0), (moves * chain.move).ravel(), emitted.ravel()])
+    return np.concatenate([gamma[first[:-1]].sum(axis=0), (moves * chain.move).ravel(), emitted.ravel()])
 
 
 #: Bytes of text in a forward or backward pass, about.
@@ -158,21 +200,14 @@ def _expectation(chain: Chain):
     return work
 
 
-def train(docs: DataFrame, text: str = "text", states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch: the starting point from a bounded sample, then ``rounds`` rounds over all documents.
+def train(docs: DataFrame, class_counts: np.ndarray, text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> Chain:
+    """Baum-Welch: ``rounds`` rounds over all documents, from a start with the classes' shares in the corpus.
 
-    A text of more than ``PIECE`` tokens is learnt in pieces; a piece that goes on with a text starts from the
-    chain's stationary distribution and has no share in the start counts.  A round is one pass: tasks add up expected counts of their texts, and Spark sums them by position, so that
+    A round is one pass: tasks add up expected counts of their texts, and Spark sums them by position, so that
     states x (1 + states + classes) numbers reach the driver whatever the size of the corpus.
     """
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = hashed_sample(rows.select(F.substring("text", 1, START_CHARS).alias("text")), START_DOCS, "text").toPandas()["text"]
-    chain = Chain.first(states, classes)
-    if len(sample):
-        _, _, data, offsets = next(chunks(pa.array(sample, pa.string()), 1 << 62))
-        _, tokens, first = sequences(data, offsets)
-        for _ in range(START_ROUNDS):
-            chain = Chain.from_counts(expected(chain, tokens, first), states, classes)
+    rows, classes = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), len(class_counts)
+    chain = Chain.first(class_counts, states)
     for _ in range(rounds):
         sums = rows.mapInArrow(_expectation(chain), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(states * (1 + states + classes))
@@ -260,7 +295,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     The model learns from rows whose crc32(id as text) mod ``folds`` is not ``held``.  base_score is the smoothed
     unigram log10 probability, score the hidden Markov model's.  Null and empty texts are one end token.  A null id
     has held_out = null and is not learnt from.  Without training rows every token is unknown and the chain is
-    its starting point.  Repeated rows count as often as they occur; extra columns are ignored.
+    what smoothing alone gives.  Repeated rows count as often as they occur; extra columns are ignored.
     """
     prepare(docs.sparkSession)
     learn = F.coalesce(fold(id, folds) != held, F.lit(False))
@@ -275,7 +310,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     sums[stats["at"].to_numpy(np.int64)] = stats["n"]
     ends = docs.where(learn).count()
     sums[0], sums[CLASSES] = ends, int(ends > 0)
-    chain = train(docs.where(learn), text)
+    chain = train(docs.where(learn), sums[:CLASSES], text)
     found = by_block.cogroup(counts.where("block >= 0").select("block", "h", "n").groupBy("block")).applyInArrow(
         _scorer(chain, sums[:CLASSES], sums[CLASSES:]),
         f"id {rows.schema['id'].dataType.simpleString()}, learn boolean, n_tokens long, n_known long, base_score double, score double")
