@@ -41,7 +41,7 @@ PART_TEXTS, BIN_TEXTS, BIN_SHINGLES = 24_000, 6000, 4_000_000
 #: Rounds in which groups over PART_TEXTS are taken apart around vantage texts before they are dealt into parts.
 PEEL_ROUNDS = 8
 #: Shingles whose counts a task settles, about.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_500_000
 #: A shingle of so many sampled texts is very frequent; so many of them are known to all tasks, at most.
 OFTEN_LEAST, OFTEN = 4, 1 << 20
 _U = np.uint64
@@ -284,7 +284,7 @@ def _deal_shingles(size: int, similarity: float, often: np.ndarray, level: np.nd
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column("text"), 8 << 20):
+            for i, j, data, offsets in chunks(batch.column("text"), 3 << 20):
                 name = TaskContext.get().partitionId() << 32 | number  # the same if the task runs again
                 number += 1
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
