@@ -126,6 +126,34 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embedding_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_share_a_filter():
+    rng, missed = np.random.default_rng(4), 0
+    for dim, words in ((16, 5), (64, 23), (64, 91), (128, 400)):
+        x = rng.standard_normal((5000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal((5000, dim))
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        met = np.zeros(len(x), bool)
+        for code in range(4):
+            a, b = (embedding_neardup.list_decode(v, code, words, 6) for v in (x, y))
+            met |= (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+        missed += (~met).sum()
+    assert missed == 0
+
+
+def test_labels_of_any_type_and_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist(), "large" if i % 2 else f"small {i % 20}") for i in range(600)]
+    rows += [(1000 + i, v, lab) for i, v, lab in rows[:50]]
+    got = {r["vec_id"]: r for r in embedding_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    links = ((x @ x.T >= 0.98) & (lab[:, None] == lab[None])).sum(axis=1) - 1
+    assert {i: got[i]["n_links"] for i, _, _ in rows} == {r[0]: n for r, n in zip(rows, links.tolist(), strict=True)}
+
+
 # -- 2
 
 def fingerprint(t, size=3):
@@ -294,6 +322,49 @@ def test_license_alignment(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def test_license_scan_against_every_start(spark):
+    rng, vocab, names = random.Random(14), vocabulary(300, 14), list(license_scan.TEMPLATES)
+    templates = {k: [plain(w) for w in t.split()] for k, t in license_scan.TEMPLATES.items()}
+    rows, planted = [], {}
+    for k in range(150):
+        name = names[k % len(names)]
+        t, gap = license_scan.TEMPLATES[name].split(), rng.choice([0, 0, 1, 5, 20])
+        out = rng.choices(vocab, k=rng.choice([0, 30, 400, 3000 if k % 30 == 0 else 10]))
+        edits = rng.randint(0, len(t) // 12) if k % 3 else 0
+        for _ in range(1 + k % 8):
+            w = list(t)
+            for at in rng.sample(range(len(t)), edits):
+                w[at] = "edited"
+            out += w + rng.choices(vocab, k=gap)
+        rows.append((k, " ".join(out + rng.choices(vocab, k=rng.choice([0, 40])))))
+        planted[k] = name
+    for k in range(40):  # the words of a notice in another order
+        w = license_scan.TEMPLATES[names[k % len(names)]].split()
+        rng.shuffle(w)
+        rows.append((1000 + k, " ".join(rng.choices(vocab, k=20) + w)))
+    got = {(r["id"], r["license"]): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((k, name) in got for k, name in planted.items())
+    for k, text_ in rows:
+        w = [plain(x) for x in text_.split()]
+        for name, t in templates.items():
+            exact = [p for p in range(len(w) - len(t) + 1) if w[p] == t[0] and w[p : p + len(t)] == t]
+            found = got.get((k, name))
+            if exact:  # the first of all exact copies
+                assert (found["coverage"], found["start_word"], found["end_word"]) == (1.0, exact[0], exact[0] + len(t))
+            elif found:  # as many words as reported stand in order in the span
+                assert 0.8 <= found["coverage"] <= 1 and common(w[found["start_word"] : found["end_word"]], t) >= round(found["coverage"] * len(t))
+
+
 def test_license_at_exactly_the_coverage(spark):
     rows = [(1, "Licensed under the MIT License."), (2, "Licensed under a MIT License.")]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -333,7 +404,9 @@ def brute_hits(docs, items, span=13, share=0.8):
         for k, s in items:
             b = [plain(x) for x in words_of(s)]
             n = min(span, len(b))
-            if n < 5 or i is None:
+            if n < 5:
+                if n and d == b:
+                    out.add((i, k, 0, 0, n, n))
                 continue
             for p in range(len(d) - n + 1):
                 for q in range(len(b) - n + 1):
@@ -355,12 +428,18 @@ def test_spaced_seeds_match_brute_force(spark):
                 passage[at] = "sub"
             w[20:20] = [x.upper() + "," for x in passage]
         docs.append((k, " ".join(w)))
-    docs += [(100, None), (101, ""), (None, items[3][1]), (5, docs[5][1])]
+    items += [(60, "Short answer."), (61, "no"), (62, items[2][1]), (63, items[2][1] + " and more of it")]
+    docs += [(100, None), (101, ""), (None, items[3][1]), (5, docs[5][1]), (102, "short answer"), (103, "a short answer"), (104, "No!")]
     got = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute_hits(docs, items)
     assert {tuple(r) for r in got} == want and len(want) > 30
     per = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r["id"]: r["items"] for r in per} == {i: sorted({h[1] for h in want if h[0] == i}) for i in {h[0] for h in want}}
+    assert {102, 104, None} <= {h[0] for h in want} and 103 not in {h[0] for h in want}
+    with pytest.raises(ValueError):
+        decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=30)
+    named = spark.createDataFrame([(str(k), t) for k, t in items], "item_id string, text string")
+    assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), named).count() == len({h[0] for h in want})
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
@@ -408,6 +487,37 @@ def test_quality_on_held_out_labels(spark, docs, nothing):
     assert one == 1 and tuple(none) == (0.5, 0.5)
 
 
+def test_ranking_matches_a_plain_fit():
+    """The weights are those that gradient descent on the same pairs finds, and the threshold parts the classes by their shares."""
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((500, len(quality.NAMES))), (rng.random(500) < 0.4).astype(int)
+    x[y == 1, :3] += 0.8
+    model = quality.fit_pairs(x, y, pairs=4000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    pick = np.random.default_rng(11)
+    d = z[pick.choice(np.flatnonzero(y == 1), 4000)] - z[pick.choice(np.flatnonzero(y == 0), 4000)]
+    w = np.zeros(d.shape[1])
+    for _ in range(4000):
+        w -= 0.5 * (1e-3 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    assert model.weights == pytest.approx(w, abs=1e-4)
+    scores = model.score(x)
+    assert (scores >= 0.5).sum() == (y == 1).sum()
+    assert (np.argsort(scores, kind="stable") == np.argsort(z @ model.weights, kind="stable")).all()
+
+
+def test_quality_ties_conflicts_and_repeats(spark):
+    rows = [(i, "good text of some words" if i % 2 else "#### ####") for i in range(200)] + [(1, "#### ####"), (500, "word " * 60_000)]
+    labels = [(i, i % 2) for i in range(200)] + [(2, 1), (4, 0), (5, None)]
+    frame, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    one, two = (sorted((r["id"], r["score"]) for r in quality.classify(frame.repartition(n), known.repartition(n)).collect()) for n in (2, 5))
+    assert one == two and len(one) == len(rows)
+    by_text = collections.defaultdict(set)
+    for (i, t), (j, s) in zip(sorted(rows), sorted(one), strict=True):
+        by_text[t if i != 1 else None].add(s)
+    assert all(len(v) == 1 for k, v in by_text.items() if k)  # equal texts have equal scores
+    assert all(s < 0.5 for s in by_text["#### ####"]) and all(s >= 0.5 for s in by_text["good text of some words"])
+
+
 # -- 8
 
 def test_archive_round_trip(spark, tmp_path, monkeypatch):
@@ -417,9 +527,15 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch):
     pages += [(300 + k, None, pages[10][2] + " padding " * 20) for k in range(30)] + [(400, "u", None), (401, "u", ""), (402, "u", "é" * 50), (403, "u", "é" * 50), (404, "u", "short"), (405, "u", "short")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("z")).withColumn("refers_to", F.lit(1))
     folder = f"file://{tmp_path}/archive"
-    manifest = warc.write_archive(df, folder)
-    assert manifest.agg(F.sum("records")).first()[0] == len(pages) and manifest.count() > 1
-    got = {r["page_id"]: r for r in warc.read_archive(folder, manifest).collect()}
+    odd = [(None, "n", pages[10][2]), (None, "n", pages[3][2]), (None, "n", "only nulls " * 20), (None, "n", "only nulls " * 20), (7, "again", pages[7][2]), (None, None, None)]
+    manifest = warc.write_archive(df.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"), allowMissingColumns=True), folder)
+    assert manifest.agg(F.sum("records")).first()[0] == len(pages) + len(odd) and manifest.count() > 1
+    back = warc.read_archive(folder, manifest).collect()
+    assert len({r["record_id"] for r in back}) == len(back) == len(pages) + len(odd)
+    got = {r["page_id"]: r for r in back}
+    unnamed = sorted((r["record_type"], str(r["refers_to"])) for r in back if r["page_id"] is None)
+    kinds = [("response", "None") if h is None or len(h) < 100 or "only nulls" in h else ("revisit", "10" if h == pages[10][2] else "3") for i, _, h in odd if i is None]
+    assert unnamed == sorted(kinds)
     first = {}
     for i, _, h in pages:
         p = (h or "").encode()
@@ -445,6 +561,14 @@ def brute_base(t):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def test_secrets_in_a_text_full_of_them(spark):
+    """Thousands of matches in one text, and every weak part next to another."""
+    t = " ".join(f"token=abcdefghijkl{k:04d} user=u{k:04d} pw secret: zzz{k:04d} {k:016x}" for k in range(3000))
+    r = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).select(
+        secret_scan.as_text(F.filter("spans", lambda s: s["base"])).alias("base"), F.size("spans").alias("n")).first()
+    assert r["base"] == brute_base(t) and r["n"] == 4 * 3000
+
+
 def test_secrets_match_brute_force(spark, nothing):
     rng = random.Random(10)
     bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", " = ", "AKIA", "ABCDEFGH123456", "deadbeef", "0123456789abcdef", "é", "🙂", "\n", "x", "hunter2hunter2", "https://a.b/c", "user=bob", ", "]
@@ -487,6 +611,74 @@ def test_language_model_base_and_chain(spark, docs, corpus, nothing):
     assert hmm.score(nothing).count() == 0
 
 
+def test_language_model_end_to_end(spark, monkeypatch):
+    """Scores equal a plain restatement: word shares of classes, Baum-Welch over whole texts, and the sum over all paths."""
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    rng, vocab = random.Random(21), vocabulary(60, 21)
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 4, 9, 40])))) for i in range(60)] + [(60, None), (61, "  "), (62, " ".join(rng.choices(vocab, k=700))), (3, "again")]
+    learn = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    classes = lambda t: hmm.sequences(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1].tolist()
+    tokens = lambda t: [*words_of(t.translate(LOWER)), None]
+    count, kind = collections.Counter(x for t in learn for x in tokens(t)), {}
+    for t in (t or "" for _, t in rows):
+        kind |= dict(zip(tokens(t), classes(t), strict=True))
+    size, names = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for x, c in count.items():
+        size[kind[x]] += c
+        names[kind[x]] += 1
+    chain = hmm.Chain.first(size)
+    for _ in range(hmm.ROUNDS):
+        start, move, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+        for t in learn:
+            s = classes(t)
+            a = [chain.start * chain.emit[:, s[0]]]
+            for x in s[1:]:
+                a.append(a[-1] / a[-1].sum() @ chain.move * chain.emit[:, x])
+            b = [np.ones(hmm.STATES)]
+            for x in s[:0:-1]:
+                v = chain.move @ (chain.emit[:, x] * b[-1])
+                b.append(v / v.sum())
+            b.reverse()
+            for k, x in enumerate(s):
+                g = a[k] * b[k] / (a[k] @ b[k])
+                emit[:, x] += g
+                start += g if not k else 0
+                if k + 1 < len(s):
+                    m = a[k][:, None] * chain.move * (chain.emit[:, s[k + 1]] * b[k + 1])[None]
+                    move += m / m.sum()
+        part = lambda x: (x + hmm.SMOOTH) / (x + hmm.SMOOTH).sum(-1, keepdims=True)
+        chain = hmm.Chain(part(start), part(move), part(emit))
+
+    def score(t):
+        total, a = 0.0, chain.start
+        for k, (x, c) in enumerate(zip(tokens(t), classes(t), strict=True)):
+            a = (a @ chain.move if k else a) * chain.emit[:, c]
+            total += math.log10(a.sum()) + math.log10((count[x] + hmm.SMOOTH) / (size[c] + hmm.SMOOTH * (names[c] + 1)))
+            a = a / a.sum()
+        return total
+
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held = {(i, t or ""): score(t or "") for i, t in rows}
+    assert sorted(round(r["score"], 6) for r in got) == sorted(round(v, 6) for v in held.values())
+    # known words and one unknown word for each class: the chances of all next tokens sum to 1
+    a = chain.start
+    next_class = a @ chain.emit
+    words = sum(next_class[kind[x]] * (c + hmm.SMOOTH) / (size[kind[x]] + hmm.SMOOTH * (names[kind[x]] + 1)) for x, c in count.items())
+    unknown = sum(next_class[c] * hmm.SMOOTH / (size[c] + hmm.SMOOTH * (names[c] + 1)) for c in range(hmm.CLASSES))
+    assert words + unknown == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("segment", [2, 3, 1000])
+def test_segments_change_nothing(monkeypatch, segment):
+    rng = np.random.default_rng(15)
+    tokens, first = rng.integers(0, 40, 900), np.array([0, 1, 3, 6, 13, 400, 900])
+    chain = hmm.Chain.first(np.bincount(tokens, minlength=40).astype(float), 4)
+    want = hmm.forward(chain, tokens, first), hmm.expected(chain, tokens, first)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    assert hmm.forward(chain, tokens, first) == pytest.approx(want[0], rel=1e-12)
+    assert hmm.expected(chain, tokens, first) == pytest.approx(want[1], rel=1e-9, abs=1e-12)
+
+
 def test_forward_and_counts_match_enumeration():
     rng = np.random.default_rng(5)
     draw = lambda *n: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(n))
@@ -510,5 +702,3 @@ def test_forward_and_counts_match_enumeration():
         assert value == pytest.approx(math.log10(total))
         counts += own / total
     assert hmm.expected(chain, tokens, first) == pytest.approx(counts)
-    one, two = hmm.pieces(np.array([0, 2500, 2501]))
-    assert one.tolist() == [0, 1000, 2000, 2500, 2501] and two.tolist() == [False, True, True, False]
