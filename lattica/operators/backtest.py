@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.graph import pagerank
 from lattica.operators.panel import next_available
-from lattica.operators.stats import numbered
+from lattica.operators.stats import drawn_entities
 from lattica.schema import DEFAULTS
 
 
@@ -17,7 +17,7 @@ def _terms(scores: DataFrame, edges: DataFrame) -> DataFrame:
     steps = next_available(scores)
     ws = edges.join(scores.select(F.col("entity").alias("dst"), "period", F.col("score").alias("_s")), "dst").groupBy("period", F.col("src").alias("entity")).agg(F.sum(F.col("w") * F.col("_s")).alias("ws"))
     ahead = scores.select("entity", F.col("period").alias("next_period"), F.col("score").alias("ahead"))
-    return scores.join(F.broadcast(steps), "period").join(ahead, ["entity", "next_period"]).join(ws, ["period", "entity"], "left").select(
+    return scores.join(steps, "period").join(ahead, ["entity", "next_period"]).join(ws, ["period", "entity"], "left").select(
         "period", "entity", (F.coalesce("ws", F.lit(0.0)) - F.col("score")).alias("d"), (F.col("ahead") - F.col("score")).alias("e"))
 
 
@@ -43,19 +43,6 @@ def calibrate(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("b.alpha", "b.rmse", ((F.col("b.alpha") <= 0.05) | (F.col("b.alpha") >= 0.95)).alias("at_boundary"))
 
 
-def drawn_entities(entities: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, entity, times): as many draws with replacement per replicate as there are entities.
-
-    Every draw follows from a hash of its number and is made in a task; only the number of entities reaches the driver.
-    """
-    names = numbered(entities.distinct(), [F.col("entity")], "_k").checkpoint()
-    n = names.count()
-    slots = entities.sparkSession.range(n * replicates).select((F.col("id") / F.lit(n)).cast("int").alias("replicate"), (F.col("id") % n).alias("slot"))
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "slot")), 1, 12), 16, 10).cast("long")
-    times = slots.withColumn("_k", code % n + 1).groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(names, "_k").select("replicate", "entity", "times")
-
-
 def bootstrap_alpha(scores: DataFrame, edges: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
     """(low, median, high) of alpha over replicates that draw entities with replacement.
 
@@ -65,7 +52,7 @@ def bootstrap_alpha(scores: DataFrame, edges: DataFrame, replicates: int = 100,
     a = drawn.select("replicate", F.col("entity").alias("dst"), "times")
     ws = edges.join(scores.select(F.col("entity").alias("dst"), "period", F.col("score").alias("_s")), "dst").join(a, "dst").groupBy("replicate", "period", F.col("src").alias("entity")).agg(F.sum(F.col("w") * F.col("_s") * F.col("times")).alias("ws"))
     ahead = scores.select("entity", F.col("period").alias("next_period"), F.col("score").alias("ahead"))
-    pairs = scores.join(F.broadcast(next_available(scores)), "period").join(ahead, ["entity", "next_period"]).join(drawn, "entity").join(ws, ["replicate", "period", "entity"], "left")
+    pairs = scores.join(next_available(scores), "period").join(ahead, ["entity", "next_period"]).join(drawn, "entity").join(ws, ["replicate", "period", "entity"], "left")
     d, e = F.coalesce("ws", F.lit(0.0)) - F.col("score"), F.col("ahead") - F.col("score")
     sums = pairs.groupBy("replicate", "period").agg(F.sum(d * d * F.col("times")).alias("dd"), F.sum(d * e * F.col("times")).alias("de"), F.sum(e * e * F.col("times")).alias("ee"), F.sum("times").alias("n"))
     each = sums.withColumn("alpha", F.explode(alpha_grid()))

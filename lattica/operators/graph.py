@@ -59,10 +59,10 @@ def alliances(pacts: DataFrame, weights: DataFrame, other: float = 0.5) -> DataF
 
 
 def distances(points: DataFrame) -> DataFrame:
-    """(src, dst, km) for all ordered pairs of points; points are places, a small dimension."""
+    """(src, dst, km) for all ordered pairs of points, as many rows as points squared; points are places, a small dimension."""
     a = points.select(F.col("entity").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = points.select(F.col("entity").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return a.join(F.broadcast(b), F.col("src") != F.col("dst")).select(
+    return a.join(b, F.col("src") != F.col("dst")).select(
         "src", "dst", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
 
 
@@ -307,6 +307,35 @@ def pagerank(edges: DataFrame, damping: float = DEFAULTS.damping, steps: int = 5
     return recursion(edges, start, base, damping, steps, outgoing=False, by=by, scaled=True).withColumnRenamed("x", "pagerank")
 
 
+def pagerank_until(edges: DataFrame, damping: float = DEFAULTS.damping, most: int = 200, tolerance: float = 1e-10, outgoing: bool = True) -> DataFrame:
+    """(entity, pagerank) as ``pagerank``, until a step changes the ranks by less than ``tolerance`` (Euclidean) or ``most`` steps.
+
+    The ranks before that last step are the result.  With ``outgoing`` rank flows along the edges, else against them.
+    """
+    n = nodes(edges).count()
+    if n <= DENSE_LIMIT:
+        one = dense(edges).select("names", (transposed(F.col("w")) if outgoing else F.col("w")).alias("wt"))
+
+        def step(state, _):
+            raw = F.transform(mat_vec(F.col("wt"), state["r"]), lambda v: v * damping + (1 - damping) / n)
+            new = F.transform(F.array(raw), lambda x: F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda s, u: s + u)))[0]
+            away = lambda x: F.sqrt(F.aggregate(F.zip_with(x, state["r"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+            moved_on = F.transform(F.array(new), lambda x: F.when(away(x) < tolerance, F.struct(state["r"].alias("r"), F.lit(True).alias("done"))).otherwise(F.struct(x.alias("r"), F.lit(False).alias("done"))))[0]
+            return F.when(state["done"], state).otherwise(moved_on)
+
+        start = F.struct(F.transform("names", lambda _: F.lit(1.0 / n)).alias("r"), F.lit(False).alias("done"))
+        return exploded(one, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda state: state["r"]), "pagerank")
+    every = nodes(edges).checkpoint()
+    x, base = (every.withColumn(c, F.lit(v)) for c, v in (("x", 1.0 / n), ("value", (1 - damping) / n)))
+    for _ in range(most):
+        new = recursion(edges, x, base, damping, 1, outgoing=not outgoing, scaled=True)
+        away = new.join(x.withColumnRenamed("x", "_x"), "entity").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("_x"), 2)))).first()[0]
+        if away < tolerance:
+            break
+        x = new
+    return x.withColumnRenamed("x", "pagerank")
+
+
 def eigenvector_centrality(edges: DataFrame, incoming: bool = False, steps: int = 100) -> DataFrame:
     """(entity, centrality): the leading eigenvector of W (or W^T) with a sum of 1, by power iteration.
 

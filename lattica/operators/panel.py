@@ -93,7 +93,7 @@ def wide_to_long(wide: DataFrame, indicators: Sequence[str]) -> DataFrame:
 
 def reindex(rows: DataFrame, members: DataFrame, indicators: DataFrame) -> DataFrame:
     """Every member with every indicator; what is missing is NULL."""
-    grid = members.select("entity").distinct().join(F.broadcast(indicators.select("indicator").distinct()))
+    grid = members.select("entity").distinct().crossJoin(indicators.select("indicator").distinct())
     return grid.join(rows, ["entity", "indicator"], "left")
 
 

@@ -236,38 +236,50 @@ def component_checks(correlations: DataFrame, components: DataFrame) -> DataFram
     return off.join(dots.groupBy("component").agg(F.max(F.abs("dot")).alias("overlap")), "component")
 
 
-def bootstrap_composites(matrix: DataFrame, components: DataFrame, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """(entity, low, high): 5 % and 95 % points of composites whose basis is fitted on resampled entities.
+def drawn_entities(entities: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, entity, times): as many draws with replacement per replicate as there are entities.
+
+    Every draw follows from a hash of its number and is made in a task; only the number of entities reaches the driver.
+    """
+    names = numbered(entities.distinct(), [F.col("entity")], "_k").checkpoint()
+    n = names.count()
+    slots = entities.sparkSession.range(n * replicates).select((F.col("id") / F.lit(n)).cast("int").alias("replicate"), (F.col("id") % n).alias("slot"))
+    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "slot")), 1, 12), 16, 10).cast("long")
+    times = slots.withColumn("_k", code % n + 1).groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(names, "_k").select("replicate", "entity", "times")
+
 
-    Replicates are rows of their own and run in parallel; each turns its basis to the reference by Procrustes.
-    One replicate holds the whole entity-by-indicator matrix, which is for panels of entities, not of events.
+def bootstrap_weights(full: DataFrame, components: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(replicate, indicator, weight) of the leading components of each replicate, turned to the reference by Procrustes.
+
+    Correlations are weighted sums over the drawn entities; what a task solves is a matrix of indicators squared.
     """
-    spark = matrix.sparkSession
-    wide = matrix.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("indicator", "value"))).alias("m"))
-    names = F.array_sort(F.collect_set("indicator"))
-    one = wide.agg(F.collect_list(F.struct("entity", "m")).alias("rows")).join(matrix.agg(names.alias("names")))
-    basis = components.where("kept").groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("indicator", "loading"))).alias("v"), F.first("eigenvalue").alias("ev"))
-    ref = basis.agg(F.collect_list(F.struct("component", "v", "ev")).alias("basis"))
-    jobs = spark.range(replicates).select(F.col("id").alias("replicate")).repartition(min(replicates, 64)).join(F.broadcast(one.join(ref)))
-
-    def run(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                names, rows = list(r.names), sorted(r.rows, key=lambda x: x["entity"])
-                ents, basis = [x["entity"] for x in rows], sorted(r.basis, key=lambda b: b["component"])
-                x = np.array([[dict(row["m"]).get(n, np.nan) for n in names] for row in rows], float)
-                x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
-                v0 = np.array([[dict(b["v"]).get(n, 0.0) for n in names] for b in basis]).T
-                pick = np.random.RandomState([seed, r.replicate]).randint(0, len(x), len(x))
-                with np.errstate(all="ignore"):
-                    c = np.nan_to_num(np.corrcoef(x[pick], rowvar=False))
-                np.fill_diagonal(c, 1)
-                values, vectors = np.linalg.eigh(c)
-                values, vectors = values[::-1][: v0.shape[1]], vectors[:, ::-1][:, : v0.shape[1]]
-                u, _, w = np.linalg.svd(vectors.T @ v0)
-                yield pd.DataFrame({"replicate": r.replicate, "entity": ents, "score": x @ (vectors @ (u @ w)) @ (values / values.sum())})
-
-    scores = jobs.mapInPandas(run, "replicate long, entity string, score double")
+    a = full.select("entity", F.col("indicator").alias("a"), F.col("value").alias("x"))
+    b = full.select("entity", F.col("indicator").alias("b"), F.col("value").alias("y"))
+    t, x, y = F.col("times"), F.col("x"), F.col("y")
+    sums = a.join(b, "entity").join(drawn, "entity").groupBy("replicate", "a", "b").agg(
+        F.sum(t).alias("n"), F.sum(t * x).alias("sx"), F.sum(t * y).alias("sy"), F.sum(t * x * x).alias("xx"), F.sum(t * y * y).alias("yy"), F.sum(t * x * y).alias("xy"))
+    spread = lambda p, q: F.col(p) - F.col(q) * F.col(q) / F.col("n")
+    free = (spread("xx", "sx") > 1e-12 * F.col("xx")) & (spread("yy", "sy") > 1e-12 * F.col("yy"))
+    r = F.when(F.col("a") == F.col("b"), 1.0).when(free, (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread("xx", "sx") * spread("yy", "sy"))).otherwise(0.0)
+    ref = components.where("kept").toPandas().pivot(index="indicator", columns="component", values="loading").sort_index()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="a", columns="b", values="r").reindex(index=ref.index, columns=ref.index).fillna(0.0)
+        values, vectors = np.linalg.eigh(m.to_numpy())
+        values, vectors = values[::-1][: ref.shape[1]], vectors[:, ::-1][:, : ref.shape[1]]
+        u, _, w = np.linalg.svd(vectors.T @ ref.to_numpy())
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "indicator": ref.index, "weight": vectors @ (u @ w) @ (values / values.sum())})
+
+    return sums.select("replicate", "a", "b", r.alias("r")).groupBy("replicate").applyInPandas(solve, "replicate int, indicator string, weight double")
+
+
+def bootstrap_composites(matrix: DataFrame, components: DataFrame, replicates: int = 500, seed: int = 42) -> DataFrame:
+    """(entity, low, high): 5 % and 95 % points of composites whose basis is fitted on resampled entities; NULL cells count as the mean."""
+    mean = F.avg("value").over(Window.partitionBy("indicator"))
+    full = matrix.withColumn("value", F.coalesce("value", mean)).where("value is not null").select("entity", "indicator", "value").checkpoint()
+    weights = bootstrap_weights(full, components, drawn_entities(full.select("entity"), replicates, seed))
+    scores = full.join(weights, "indicator").groupBy("replicate", "entity").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
     return scores.groupBy("entity").agg(F.percentile("score", 0.05).alias("low"), F.percentile("score", 0.95).alias("high"))
 
 

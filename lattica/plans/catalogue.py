@@ -433,6 +433,16 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(fx.trade(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT count(*) AS n FROM nodes), o AS (SELECT 0 AS k, entity, 1.0::DOUBLE / n AS r FROM nodes, c
+  UNION ALL SELECT p.k + 1, e.dst, 0.85 * sum(e.w * p.r) + 0.15 / any_value(c.n) FROM o p JOIN edges e ON e.src = p.entity, c WHERE p.k < 200 GROUP BY p.k, e.dst), i AS (SELECT 0 AS k, entity, 1.0::DOUBLE / n AS r FROM nodes, c
+  UNION ALL SELECT p.k + 1, e.src, 0.85 * sum(e.w * p.r) + 0.15 / any_value(c.n) FROM i p JOIN edges e ON e.dst = p.entity, c WHERE p.k < 200 GROUP BY p.k, e.src)
+SELECT o.entity, round(o.r / sum(o.r) OVER (), 6) + 0.0 AS rank_out, round(i.r / sum(i.r) OVER (), 6) + 0.0 AS rank_in FROM o JOIN i USING (entity) WHERE o.k = 200 AND i.k = 200""")
+def pagerank_both_ways(spark, sf_dir):
+    e = fx.trade(spark, sf_dir)
+    out, into = graph.pagerank_until(e), graph.pagerank_until(e, outgoing=False)
+    return out.withColumnRenamed("pagerank", "rank_out").join(into.withColumnRenamed("pagerank", "rank_in"), "entity")
+
+
 @query("SELECT 0.0 AS residual, 0.0 AS total, 1.0 AS norm, true AS positive")
 def fiedler_checks(spark, sf_dir):
     """L v = lambda2 v, entry by entry over the edge table; v is at right angles to the constant and of length 1."""

@@ -81,6 +81,22 @@ def test_both_forms_of_pagerank_agree(spark, dangling, monkeypatch):
     assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k], abs=1e-12) for k in small)
 
 
+def test_pagerank_until_it_settles(spark, dangling, monkeypatch):
+    names, w, edges = dangling
+    for outgoing in (True, False):
+        r, steps = np.full(12, 1 / 12), 0
+        for _ in range(200):
+            new = 0.85 * (w.T if outgoing else w) @ r + 0.15 / 12
+            new /= new.sum()
+            if np.linalg.norm(new - r) < 1e-4:
+                break
+            r, steps = new, steps + 1
+        assert 2 < steps < 50
+        assert vector(graph.pagerank_until(edges, tolerance=1e-4, outgoing=outgoing), "entity", "pagerank", names) == pytest.approx(r, abs=1e-12)
+    monkeypatch.setattr(graph, "DENSE_LIMIT", 5)
+    assert vector(graph.pagerank_until(edges, tolerance=1e-4, outgoing=False), "entity", "pagerank", names) == pytest.approx(r, abs=1e-12)
+
+
 def test_leading_eigenvector(spark, coupled, dangling, monkeypatch):
     names, w, edges = coupled
     w = w * np.linspace(0.5, 2, 10)[:, None]

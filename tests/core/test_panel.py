@@ -200,3 +200,25 @@ def test_layers(spark):
     assert tuple(panel.layer({"rank": a}, "rank").first()) == ("A", 1.0)
     with pytest.raises(KeyError):
         panel.layer({"rank": a}, "score")
+
+
+def test_bootstrap_matches_resampled_matrices(spark):
+    rng = np.random.RandomState(12)
+    x = rng.randn(14, 4)
+    x[:, 1] += x[:, 0]
+    names = [f"E{i:02d}" for i in range(14)]
+    rows = spark.createDataFrame([(names[i], f"i{j}", float(x[i, j])) for i in range(14) for j in range(4)], "entity string, indicator string, value double")
+    comp = stats.principal_components(stats.correlation_matrix(rows)).checkpoint()
+    ref = comp.where("kept").toPandas().pivot(index="indicator", columns="component", values="loading").to_numpy()
+    drawn = stats.drawn_entities(rows.select("entity"), 30).toPandas()
+    assert (drawn.groupby("replicate")["times"].sum() == 14).all() and drawn["replicate"].nunique() == 30
+    scores = []
+    for _, d in drawn.groupby("replicate"):
+        c = np.corrcoef(np.repeat(x[[names.index(e) for e in d["entity"]]], d["times"], axis=0), rowvar=False)
+        values, vectors = np.linalg.eigh(c)
+        values, vectors = values[::-1][: ref.shape[1]], vectors[:, ::-1][:, : ref.shape[1]]
+        u, _, w = np.linalg.svd(vectors.T @ ref)
+        scores.append(x @ (vectors @ (u @ w)) @ (values / values.sum()))
+    got = stats.bootstrap_composites(rows, comp, 30).toPandas().sort_values("entity")
+    assert got["low"].to_numpy() == pytest.approx(np.quantile(scores, 0.05, axis=0), abs=1e-9)
+    assert got["high"].to_numpy() == pytest.approx(np.quantile(scores, 0.95, axis=0), abs=1e-9)

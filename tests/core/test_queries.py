@@ -27,7 +27,7 @@ def rows(frame, columns):
 
 
 #: At the smallest scale some nations have no supplier, and a recursive CTE drops what has no in-edges.
-NEEDS_ALL_NATIONS = {"pagerank", "steady_state", "trajectory", "sensitivity_matrix", "factor_shocks", "top_impacted", "cascade_crossings", "systemic_risk", "contagion_thresholds", "convergence_step",
+NEEDS_ALL_NATIONS = {"pagerank", "pagerank_both_ways", "steady_state", "trajectory", "sensitivity_matrix", "factor_shocks", "top_impacted", "cascade_crossings", "systemic_risk", "contagion_thresholds", "convergence_step",
                      "compound_scenario", "edge_shock_effect", "unstable_trajectory", "cascade_report", "pagerank_intervals", "eigenvector_centrality", "network_stability"}
 
 
