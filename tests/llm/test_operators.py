@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, components, decontaminate, embedding_neardup, hmm, license_scan, quality, secret_scan, simhash, substring_dedup, text, warc
+from lattica.llm import bpe, common, components, decontaminate, embedding_neardup, hmm, license_scan, quality, secret_scan, simhash, substring_dedup, text, warc
 from lattica.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,6 +222,7 @@ def test_leaves_shrink_with_the_table():
 @pytest.mark.parametrize("part", [12, 6000])
 def test_verified_groups(spark, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART_TEXTS", part)
+    monkeypatch.setattr(simhash, "PEEL_ROUNDS", 3)
     rng, vocab, rows = random.Random(8), vocabulary(900, 8), []
     for k in range(40):
         base = rng.choices(vocab, k=200)
@@ -247,6 +249,7 @@ def test_verified_groups(spark, monkeypatch, part):
 def test_verified_groups_match_brute_force(spark, monkeypatch, part):
     """Truncated, extended and reordered texts, at similarities on both sides of 0.8."""
     monkeypatch.setattr(simhash, "PART_TEXTS", part)
+    monkeypatch.setattr(simhash, "PEEL_ROUNDS", 3)
     rng, texts = random.Random(18), []
     fresh = lambda n: ["w" + str(rng.getrandbits(40)) for _ in range(n)]
     for n in (9, 40, 120, 300):
@@ -322,7 +325,7 @@ def test_license_alignment(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def common(a, b):
+def longest_common(a, b):
     """Length of a longest common subsequence."""
     row = [0] * (len(b) + 1)
     for x in a:
@@ -362,7 +365,7 @@ def test_license_scan_against_every_start(spark):
             if exact:  # the first of all exact copies
                 assert (found["coverage"], found["start_word"], found["end_word"]) == (1.0, exact[0], exact[0] + len(t))
             elif found:  # as many words as reported stand in order in the span
-                assert 0.8 <= found["coverage"] <= 1 and common(w[found["start_word"] : found["end_word"]], t) >= round(found["coverage"] * len(t))
+                assert 0.8 <= found["coverage"] <= 1 and longest_common(w[found["start_word"] : found["end_word"]], t) >= round(found["coverage"] * len(t))
 
 
 def test_license_at_exactly_the_coverage(spark):
@@ -702,3 +705,28 @@ def test_forward_and_counts_match_enumeration():
         assert value == pytest.approx(math.log10(total))
         counts += own / total
     assert hmm.expected(chain, tokens, first) == pytest.approx(counts)
+
+
+# -- shared parts that need a cluster's settings
+
+def test_shared_folder_is_asked_for():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
+
+
+def test_tables_are_discarded(spark):
+    one, two = common.kept(spark.range(3)), common.kept(spark.range(4))
+    folders = [f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for df in (one, two) for f in df.inputFiles()[:1]]
+    common.discard(one)
+    assert [os.path.exists(f) for f in folders] == [False, True] and two.count() == 4
+    common.discard(spark.range(2))  # no table of its own
