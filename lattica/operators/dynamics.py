@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import dense, exploded, hops, mat_vec, moved, nodes, recursion, row_normalize, small_graph, spectral_radius
+from lattica.operators.stats import quantile
 from lattica.schema import DEFAULTS
 
 #: Terms of the Neumann series; at alpha 0.4 the rest is below 1e-15.
@@ -220,7 +221,7 @@ def cascade_report(edges: DataFrame, base: DataFrame, sens: DataFrame, shocked:
     others = base.join(who, "entity", "left_anti").join(delta, "entity", "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
     crossed = (F.col("steady_state") + F.col("delta") > theta) & (F.col("steady_state") <= theta)
     others = others.withColumn("crossed", crossed).checkpoint()
-    middle = edges.where("w > 0").agg(F.percentile("w", 0.5)).first()[0]
+    middle = quantile(edges.where("w > 0"), "w", 0.5).first()[0]
     strong, n = edges.where(F.col("w") > F.lit(middle)), nodes(edges).count()
     reach = hops(strong, who, each=True).join(others.where("crossed").select("entity"), "entity").groupBy("entity").agg(F.max("hops").alias("far"), F.count(F.lit(1)).alias("met"))
     far = others.where("crossed").join(reach, "entity", "left").withColumn("far", F.when(F.coalesce("met", F.lit(0)) < who.count(), n).otherwise(F.col("far")))

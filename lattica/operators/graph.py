@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import haversine
-from lattica.operators.stats import pairwise_correlation
+from lattica.operators import stats
 from lattica.schema import DEFAULTS, DENSE_LIMIT
 
 
@@ -102,7 +102,7 @@ def shared_organizations(members: DataFrame, a: str, b: str) -> DataFrame:
 
 def correlation_channel(panel: DataFrame, least: int = 5) -> DataFrame:
     """max(0, correlation) of entity pairs over common periods, row-normalised: a stand-in for a missing financial channel."""
-    r = pairwise_correlation(panel, least)
+    r = stats.pairwise_correlation(panel, least)
     return row_normalize(r.select("src", "dst", F.greatest("r", F.lit(0.0)).alias("w")))
 
 
@@ -393,7 +393,7 @@ def betweenness(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
     Breadth-first searches from a batch of sources advance together, a join of their frontiers with the edges per
     step; shares of shortest paths are then added up from the farthest step back.
     """
-    cut = edges.where("w > 0").agg(F.percentile("w", quantile)).first()[0]
+    cut = stats.quantile(edges.where("w > 0"), "w", quantile).first()[0]
     strong = edges.where((F.col("w") > 0) & (F.col("w") >= F.lit(cut)) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct().checkpoint()
     every = nodes(edges).checkpoint()
     batches, sums = max(1, -(-every.count() // SOURCE_BATCH)), None

@@ -45,6 +45,18 @@ def numbered(df: DataFrame, orders: Sequence[Column], name: str = "rank", size:
     return dealt.join(F.broadcast(parts), "_p").withColumn(name, own + F.col("_before")).drop("_p", "_before")
 
 
+def quantile(df: DataFrame, column: str, q: float, name: str = "q") -> DataFrame:
+    """The exact, linearly interpolated quantile of the values that are not NULL, as one row (NULL without values).
+
+    Values are numbered by ranges, so that no task holds them all, as an exact percentile would.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    n = values.count()
+    low = int(q * (n - 1)) if n else 0
+    pair = numbered(values, [F.col("_v")], "_k").where(F.col("_k").isin(low + 1, min(low + 2, n)))
+    return pair.agg((F.min("_v") + (q * (n - 1) - low) * (F.max("_v") - F.min("_v"))).alias(name))
+
+
 def ranked(df: DataFrame, score: str, key: str = "entity", name: str = "rank") -> DataFrame:
     """Unique ranks 1..n by descending score, ties by key."""
     return numbered(df, [F.desc_nulls_last(score), F.col(key)], name).withColumn(name, F.col(name).cast("int"))

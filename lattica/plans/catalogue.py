@@ -548,7 +548,7 @@ STRONG = EDGES + """, q AS (SELECT quantile_cont(w, 0.9) AS q FROM edges), stron
 SELECT entity, min(hops) AS hops FROM b GROUP BY 1""")
 def hop_distances(spark, sf_dir):
     e = fx.trade(spark, sf_dir)
-    q = e.agg(F.percentile("w", 0.9).alias("_q"))
+    q = stats.quantile(e, "w", 0.9, "_q")
     strong = e.join(F.broadcast(q)).where("w >= _q").drop("_q").checkpoint()
     return graph.hops(strong, spark.range(1).select(F.lit("NATION_0").alias("entity")))
 

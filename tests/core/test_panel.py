@@ -128,6 +128,9 @@ def test_numbers_over_ranges(spark):
     got = stats.numbered(df, [F.desc_nulls_last("v"), F.col("id")]).collect()
     want = sorted(range(500), key=lambda k: (values[k] is None, -(values[k] or 0), k))
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 501))
+    for q in (0.0, 0.37, 0.5, 1.0):
+        assert stats.quantile(df, "v", q).first()[0] == pytest.approx(np.quantile([v for v in values if v is not None], q))
+    assert stats.quantile(df.limit(0), "v", 0.5).first()[0] is None
     ranks = {r["id"]: r["r"] for r in stats.average_ranks(df.where("v is not null"), "v", "r").collect()}
     held = np.array([v for v in values if v is not None])
     assert all(ranks[k] == (held < v).sum() + ((held == v).sum() + 1) / 2 for k, v in enumerate(values) if v is not None)
