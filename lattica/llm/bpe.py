@@ -23,7 +23,9 @@ from lattica.llm.common import prepare
 
 #: Encodings that a worker keeps for later chunks: two generations of so many at most.
 KEPT_WORDS = 150_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 3_000_000
+#: Bytes of a word that states are asked for at once.
+DEPTH = 200
 
 # Fixed value: how this tokenizer splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,28 +111,45 @@ class Vocabulary:
                 right = self.rank.get(b, 0)
 
     def encode_sorted(self, words: list[bytes]) -> list[list[int]]:
-        """Encodings of distinct words in sorted order, each prefix handled once."""
-        ids, fits, known, size, endings, out = self.id, self.fits, self._fits, self.sizes, self.endings, []
-        before, last = b"", [-1]  # last[d]: the last token of the first d bytes; -2: none
-        for word in words:
-            shared, most = 0, min(len(before), len(word))
+        """Encodings of distinct words in sorted order, each prefix handled once.
+
+        A word asks for the state of its whole, that asks for the prefixes which the tokens that may end there leave,
+        and so on; prefixes that no token leaves are not visited.
+        """
+        ids, fits, known, size, endings, out = self.id.get, self.fits, self._fits.get, self.sizes, self.endings.get, []
+        last: list[int | None] = [-1]  # last[d]: the last token of the first d bytes; -2: none, None: not asked for yet
+        word = before = b""
+
+        def state(d: int) -> int:
+            for n in endings(word[d - 3 if d > 3 else 0 : d], (2, 1)):
+                if n > d:
+                    continue
+                token = ids(word[d - n : d])
+                if token is None:
+                    continue
+                if n == d:
+                    last[d] = token
+                    return token
+                ahead = last[d - n]
+                if ahead is None:
+                    ahead = state(d - n)
+                if ahead >= 0 and (known(ahead << 32 | token) or fits(ahead, token)):
+                    last[d] = token
+                    return token
+            last[d] = -2
+            return -2
+
+        for word in words:  # noqa: B007  state() reads it
+            end, shared, most = len(word), 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for d in range(shared + 1, len(word) + 1):
-                for n in endings.get(word[max(0, d - 3) : d], (2, 1)):
-                    if n > d:
-                        continue
-                    token = ids.get(word[d - n : d])
-                    if token is None:
-                        continue
-                    ahead = last[d - n]
-                    if n == d or ahead >= 0 and (known.get(ahead << 32 | token) or fits(ahead, token)):
-                        last.append(token)
-                        break
-                else:
-                    last.append(-2)
-            tokens, d = [], len(word)
+            last[shared + 1 :] = [None] * (end - shared)
+            for d in range(DEPTH, end, DEPTH):  # so that a very long word asks no deeper than this
+                if last[d] is None:
+                    state(d)
+            if last[end] is None:
+                state(end)
+            tokens, d = [], end
             while d:
                 tokens.append(last[d])
                 d -= size[last[d]]
@@ -173,6 +192,15 @@ class Encoder:
             out += [part] if k % 2 else self.split.findall(part)
         return out
 
+    def _piece(self, space: str, piece: str) -> list[str]:
+        """The words of a piece; ASCII letters, with a mark at the end or without, need no pattern."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [space + piece]
+            if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                return [space + piece[:-1], piece[-1]]
+        return self.split.findall(space + piece)
+
     def _encode(self, split: list[list[str]]) -> list[bytes]:
         """Join the encodings of words; each distinct word is encoded once, along the trie of them all."""
         own = {s: np.uint32(i).tobytes() for s, i in self.vocabulary.special.items()}
@@ -187,7 +215,7 @@ class Encoder:
         pieces -= back
         plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and not (self.special and self.special.search(space + p))]
         known.update(dict.fromkeys(pieces))
-        known.update(zip(plain, self._encode([self.split.findall(space + p) for p in plain]), strict=True))
+        known.update(zip(plain, self._encode([self._piece(space, p) for p in plain]), strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers; a special token's string is that token."""
