@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import prepare
+from lattica.llm.common import prepare, releasing
 
 #: Encodings that a worker keeps for later chunks: two generations of so many at most.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 CHUNK_CHARS = 3_000_000
 #: Bytes of a word that states are asked for at once.
 DEPTH = 200
@@ -184,6 +184,11 @@ class Encoder:
         self.rest: dict[str, bytes | None] = {}  # pieces after a space
         self.old_lead, self.old_rest = self.lead, self.rest  # the generation before, for pieces that come back
 
+    def forget(self) -> None:
+        """Drop the kept encodings, so that an idle worker holds the vocabulary only."""
+        for held in (self.lead, self.rest, self.old_lead, self.old_rest, self.vocabulary._fits):
+            held.clear()
+
     def _words(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
             return self.split.findall(text)
@@ -269,7 +274,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(releasing(make), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -296,7 +301,8 @@ def encode_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(texts, pa.string())],
                 names=["id", "n_tokens", "ids", "text"])
+        own.forget()
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, text string")
+    return rows.mapInArrow(releasing(make), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, text string")

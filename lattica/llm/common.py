@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import math
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +119,27 @@ def paired_groups(rows: DataFrame, keys: list[str], identity: str, limit: int) -
     )
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system: workers live on, idle, while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(work):
+    """``work`` on batches (a generator) or on a group's table, which releases memory when it is through."""
+    if inspect.isgeneratorfunction(work):
+        def run(batches):
+            yield from work(batches)
+            release_memory()
+    else:
+        def run(table):
+            out = work(table)
+            release_memory()
+            return out
+    return run
+
+
 class Forest:
     """Union-find over 0..n-1 inside a task; the root of a set is its smallest member."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import kept, prepare, signed, small
+from lattica.llm.common import kept, prepare, releasing, signed, small
 from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix
 
 SPAN = 13
@@ -114,7 +114,7 @@ def _bench_windows(span: int):
                     yield pa.RecordBatch.from_arrays(
                         [own.take(pa.array(np.full(len(at), k))), pa.array(at.astype(np.int32)), *_columns(mine, at, whole, keys.T, size)],
                         names=["item", "at", "win", "span", "words", "keys"])
-    return make
+    return releasing(make)
 
 
 def _doc_windows(spans: list[int], held, bits: int):
@@ -135,7 +135,7 @@ def _doc_windows(spans: list[int], held, bits: int):
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(text[at])), pa.array((at - w.first[text[at]]).astype(np.int32)), *_columns(codes, at, whole[at], some.T, span)],
                         names=["id", "pos", "win", "span", "words", "keys"])
-    return make
+    return releasing(make)
 
 
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Forest, discard, hashed_sample, kept, paired_groups, prepare, signed, small
+from lattica.llm.common import Forest, discard, hashed_sample, kept, paired_groups, prepare, releasing, signed, small
 from lattica.llm.components import connected_components
 from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64_ranges
 
@@ -93,7 +93,7 @@ def _printer(size: int):
                 data, start, end, first = shingle_ranges(Words(lower_ascii(data), offsets), size)
                 fp = majority(xxh64_ranges(data, start, end), first)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(signed(fp))], names=["id", "fp"])
-    return prints
+    return releasing(prints)
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -167,7 +167,7 @@ def _router(trees: list[tuple[np.ndarray, np.ndarray]], depth: int, reach: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(row), t, np.int32)), pa.array(node), pa.array(spilt), batch.column("fp").take(take), batch.column("rep").take(take)],
                     names=["tree", "leaf", "spilt", "fp", "rep"])
-    return deal
+    return releasing(deal)
 
 
 def _leaf(reach: int):
@@ -202,7 +202,7 @@ def _leaf(reach: int):
                     label = forest.labels()
         x, y, d = np.array(edges, np.int64).reshape(-1, 3).T
         return pa.table([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
-    return link
+    return releasing(link)
 
 
 def tree_depth(rows: int, reach: int) -> int:
@@ -251,7 +251,7 @@ def _sampled_shingles(size: int):
                 h = hash_ranges(data, start, end)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(h[a:b])))], names=["h"])
-    return shingles
+    return releasing(shingles)
 
 
 def needed(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -316,7 +316,7 @@ def _deal_shingles(size: int, similarity: float, often: np.ndarray, level: np.nd
                     _lists(np.r_[none, j - i], np.asarray(batch.column("node").slice(i, j - i))), _lists(np.r_[none, j - i], i32(n)),
                     _lists(np.r_[none, j - i], i32(rare)), _lists(np.r_[none, len(late_h)], i16(late_text)), _lists(np.r_[none, len(late_h)], signed(late_h)),
                 ], names=["batch", "bucket", "at", "h", "nodes", "n", "rare", "late_at", "late"])
-    return deal
+    return releasing(deal)
 
 
 _SETTLED = "batch long, at array<short>, h array<long>, c array<int>, nodes array<long>, n array<int>, rare array<int>, late_at array<short>, late array<long>"
@@ -366,7 +366,7 @@ def _prefixes(similarity: float):
         take = np.arange(len(at)) - begin[at] < want[at]
         row = np.r_[at[take], late_at].astype(np.int64)
         return pa.table([pa.array(nodes[row]), pa.array(n[row].astype(np.int32)), pa.array(np.r_[h[take], late])], names=["node", "n", "h"])
-    return prefixes
+    return releasing(prefixes)
 
 
 def shingle_prefixes(texts: DataFrame, shingle_words: int, similarity: float, number: int, text_bytes: int) -> DataFrame:
@@ -383,7 +383,7 @@ def shingle_prefixes(texts: DataFrame, shingle_words: int, similarity: float, nu
     order = np.argsort(codes)
     buckets = max(1, -(-text_bytes // (6 * BUCKET_SHINGLES)))  # a word has about six bytes
     dealt = texts.select("node", "text").mapInArrow(_deal_shingles(shingle_words, similarity, codes[order], level[order], buckets), _DEALT)
-    settled = dealt.groupBy("bucket").applyInArrow(_settle_shingles, _SETTLED)
+    settled = dealt.groupBy("bucket").applyInArrow(releasing(_settle_shingles), _SETTLED)
     return settled.groupBy("batch").applyInArrow(_prefixes(similarity), "node long, n int, h long")
 
 
@@ -397,7 +397,7 @@ def _sets(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("near").slice(i, j - i), batch.column("node").slice(i, j - i), _lists(np.bincount(text, minlength=j - i), h)],
                     names=["near", "node", "shingles"])
-    return sets
+    return releasing(sets)
 
 
 def similar_links(flat: np.ndarray, cut: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -474,7 +474,7 @@ def _verify(similarity: float):
             a.append(node[own[links[:, 0]]])
             b.append(node[own[links[:, 1]]])
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-    return verify
+    return releasing(verify)
 
 
 def distinct_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
