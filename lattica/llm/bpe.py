@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import prepare, releasing
 
 #: Encodings that a worker keeps for later chunks: two generations of so many at most.
-KEPT_WORDS = 100_000
-CHUNK_CHARS = 3_000_000
+KEPT_WORDS = 60_000
+CHUNK_CHARS = 1_000_000
 #: Bytes of a word that states are asked for at once.
 DEPTH = 200
 
