@@ -65,3 +65,47 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 ORACLES = {"op1_embedding_neardup": OP1, "op3_substring_dedup": OP3, "op8_warc_archive": OP8, "op9_secret_scan": OP9}
+
+
+def _op11(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds unrolled: c<r> holds the centroids of round r, a<r> the assignment to them."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, min(d) AS d, arg_min(c, (d, c)) AS c FROM
+  (SELECT v.vec_id, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (WITH s AS (SELECT a.c, i, sum(v.x[i]) AS s, count(*) AS n FROM a{r} a JOIN v USING (vec_id), range(1, {dims + 1}) r(i) GROUP BY 1, 2),
+  m AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s GROUP BY c)
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)
+"""
+
+
+OP13 = r"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda s, x: xor(s >> 8, list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(s, x) & 255)),
+  CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+del AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM v, range(1, length(word) + 1) t(i)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM del a JOIN del b USING (d, i) WHERE a.word <> b.word
+  UNION SELECT d, word FROM del SEMI JOIN v ON v.word = del.d UNION SELECT word, d FROM del SEMI JOIN v ON v.word = del.d),
+near AS (SELECT p.a, p.b, v.n FROM pairs p JOIN v ON v.word = p.b),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS b, max(n) AS n FROM near GROUP BY a),
+told AS MATERIALIZED (SELECT v.word, CASE WHEN best.n >= 2 * v.n THEN best.b END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN best ON best.a = v.word),
+walk AS (SELECT word, word AS at FROM told UNION SELECT walk.word, told.form FROM walk JOIN told ON told.word = walk.at WHERE told.form IS NOT NULL)
+SELECT told.word, told.form, walk.at AS root, told.n, told.n_near, told.form_n
+FROM told JOIN walk ON walk.word = told.word JOIN told AS last ON last.word = walk.at AND last.form IS NULL
+"""
+
+ORACLES |= {"op11_centroid_clustering": _op11(), "op13_spelling_variants": OP13}

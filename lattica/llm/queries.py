@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, embedding_neardup, hmm, license_scan, quality, secret_scan, simhash, substring_dedup, warc
+from lattica.llm import bpe, centroids, decontaminate, embedding_neardup, hmm, license_scan, packing, quality, secret_scan, simhash, spelling, substring_dedup, warc
 from lattica.llm.common import prepare, table
 from lattica.llm.oracles import ORACLES
 
@@ -82,10 +82,36 @@ def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def packing_tokenizer_path() -> str:
+    """The public vocabulary that op12 packs with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing_tokenizer_path())
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_embedding_neardup, op2_simhash_neardup, op3_substring_dedup, op4_license_scan, op5_benchmark_decontamination,
-        op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan, op10_hmm_scoring)}
+        op6_bpe_round_trip, op7_quality_classifier, op8_warc_archive, op9_secret_scan, op10_hmm_scoring,
+        op11_centroid_clustering, op12_sum_of_squares_packing, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,11 +60,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a chunk: byte ranges ``start``/``end`` and, per text, ``first`` (n + 1 word indexes)."""
+    """Words of a chunk: byte ranges ``start``/``end`` and, per text, ``first`` (n + 1 word indexes).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    ``inside`` marks the bytes that words are made of; by default all but white space.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        inside = ~_SPACE[data]
+        inside = ~_SPACE[data] if inside is None else inside
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -87,6 +90,18 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         return hash_ranges(self.data, self.start, self.end, seed)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, inverse): a word index for each distinct word, and each word's place among them.
+
+        Words are told apart by 128 bits of hash.
+        """
+        a, b = self.hashes(1), self.hashes(2)
+        _, first, inverse = np.unique(a, return_index=True, return_inverse=True)
+        if (b[first][inverse] != b).any():
+            both = np.stack([a, b], axis=1)
+            _, first, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
+        return first, inverse.ravel()
+
     def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Kept words of each text joined by one space: bytes, text offsets, word starts, word ends."""
         keep = np.ones(len(self), bool) if keep is None else keep
