@@ -14,8 +14,9 @@ from lattica.functions.scalars import deficit, dot, norm
 from lattica.operators import backtest, dynamics, graph, panel, stats
 from lattica.plans import fixtures as fx
 from lattica.schema import table
-from lattica.sources import clean
+from lattica.sources import archives, clean
 from lattica.streaming import events as streams
+from lattica.streaming import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -923,3 +924,31 @@ def flagged_pacts(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_nationkey", ((F.col("s_suppkey") * 7) % 30).alias("other"), (F.col("s_suppkey") % 2).alias("defense"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("neutral"))
     codes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("entity"))
     return clean.flags_to_kinds(s, "s_nationkey", "other", {"defense": "defense", "neutral": "neutrality"}, codes)
+
+
+@query("""WITH o AS (SELECT 'C' || o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS period, sum(o_totalprice) AS spend, CAST(count(*) AS DOUBLE) AS orders, max(o_totalprice) AS largest FROM orders GROUP BY 1, 2),
+  e AS (SELECT DISTINCT entity FROM o)
+SELECT entity, period, 'spend' AS indicator, round(spend, 6) + 0.0 AS value, 'ARCHIVE' AS source FROM o WHERE period BETWEEN 1996 AND 2000
+UNION ALL SELECT entity, period, 'largest', round(largest, 6) + 0.0, 'ARCHIVE' FROM o WHERE period BETWEEN 1996 AND 2000
+UNION ALL SELECT e.entity, CAST(t.y AS INTEGER), 'orders', coalesce(o.orders, 0.0), 'ARCHIVE' FROM e CROSS JOIN range(1996, 2001) t(y) LEFT JOIN o ON o.entity = e.entity AND o.period = t.y""")
+def archived_panel(spark, sf_dir):
+    """Facts read back from ZIP archives of wide tables; the years' bounds go to the source."""
+    folder = fx.order_archives(spark, sf_dir)
+    return archives.archived_facts(spark, folder, fx.ARCHIVE_MEMBERS, "ARCHIVE").where("period >= 1996 and period <= 2000")
+
+
+PAGE_SCHEMA = "page string, event_id string, event_date string, event_type string, fatalities string"
+
+
+@query("""SELECT event_type AS indicator, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2""")
+def paged_events(spark, sf_dir):
+    """Daily counts from pages of events, some served twice, that a stream reads with a restart in the middle."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("event_date"), "event_type", F.col("value").alias("fatalities"))
+    half = rows.approxQuantile("event_id", [0.5], 0.0)[0] if rows.limit(1).count() else 0
+    folder = fx.page_folder(spark)
+    for chunk, part in (("a", F.col("event_id") <= half), ("b", F.col("event_id") > half)):
+        pages.write_pages(rows.where(part), f"{folder}/in", "event_id", chunk=chunk, again=3)
+        pages.land(pages.events_once(pages.page_stream(spark, f"{folder}/in", PAGE_SCHEMA), late="3650 days"), f"{folder}/out", f"{folder}/state")
+    landed = spark.read.parquet(f"{folder}/out")
+    return landed.groupBy(F.col("event_type").alias("indicator"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("fatalities").cast("double")).alias("total"))

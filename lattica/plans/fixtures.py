@@ -6,11 +6,15 @@ is summed up to is checkpointed, so that a query which reads it several times jo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import accumulate, row_normalize
 from lattica.schema import table
+from lattica.sources.archives import write_archives
+from lattica.sources.storage import shared_folder
 
 #: Indicator, its source, and whether it is inverted.
 REGISTRY = [
@@ -107,3 +111,23 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def channel_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("trade", 0.5), ("financial", 0.3), ("political", 0.2)], "channel string, weight double")
+
+
+#: What the archives of orders hold: member, and the measure that is its indicator.
+ARCHIVE_MEMBERS = {"resources/spend/spend.csv": "spend", "resources/orders/orders.csv": "orders", "resources/largest/largest.csv": "largest"}
+ARCHIVE_YEARS = range(1995, 2002)
+
+
+def order_archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of ZIP archives, each with three wide CSV tables of some customers' orders by year."""
+    orders = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
+    of = lambda y, v: F.when(F.col("y") == y, v)
+    wide = orders.groupBy(F.concat(F.lit(" c"), "o_custkey").alias("code")).agg(*[m.alias(f"{n}{y}") for y in ARCHIVE_YEARS for n, m in (
+        ("spend", F.sum(of(y, F.col("o_totalprice")))), ("orders", F.count(of(y, F.lit(1)))), ("largest", F.max(of(y, F.col("o_totalprice")))))])
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(wide, folder, "code", {m: {str(y): f"{n}{y}" for y in ARCHIVE_YEARS} for m, n in ARCHIVE_MEMBERS.items()}, 2000)
+    return folder
+
+
+def page_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
