@@ -12,12 +12,11 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import haversine
-from lattica.operators import stats
+from lattica.operators import eigen, stats
 from lattica.schema import DEFAULTS, DENSE_LIMIT
 
 
@@ -420,66 +419,37 @@ def betweenness(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
     return every.join(F.broadcast(top)).select("entity", (F.col("b") / F.greatest("_m", F.lit(1e-10))).alias("betweenness"))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-    at = {n: i for i, n in enumerate(names)}
-    w = np.zeros((len(names), len(names)))
-    np.add.at(w, (pdf["src"].map(at), pdf["dst"].map(at)), pdf["w"])
-    return names, w
+def spectrum(edges: DataFrame, most: int = 40, **how) -> DataFrame:
+    """(k, re, im, magnitude) of the leading eigenvalues of W, by descending magnitude; all of them on graphs of up to ``most`` nodes."""
+    values, _, _ = eigen.leading(edges, nodes(edges), most, False, **how)
+    values = values + 0j
+    rows = [(i + 1, float(v.real), float(v.imag), float(abs(v))) for i, v in enumerate(values)]  # ``most`` rows
+    return edges.sparkSession.createDataFrame(rows, "k int, re double, im double, magnitude double")
 
 
-def _on_matrix(edges: DataFrame, work, schema: str) -> DataFrame:
-    """Dense kernels run in one task, on graphs of up to ``DENSE_LIMIT`` nodes."""
-    n = nodes(edges).count()
-    if n > DENSE_LIMIT:
-        raise ValueError(f"{n} nodes; dense kernels stop at {DENSE_LIMIT}")
-    return edges.select("src", "dst", "w").groupBy().applyInPandas(lambda pdf: work(*_matrix(pdf[["src", "dst", "w"]])), schema)
-
-
-def spectrum(edges: DataFrame) -> DataFrame:
-    """(k, re, im, magnitude) of the eigenvalues of W, by descending magnitude."""
-    def work(_, w):
-        v = np.linalg.eigvals(w)
-        v = v[np.lexsort((-v.imag, -v.real, -np.round(np.abs(v), 12)))]
-        return pd.DataFrame({"k": np.arange(1, len(v) + 1, dtype=np.int32), "re": v.real, "im": v.imag, "magnitude": np.abs(v)})
-
-    return _on_matrix(edges, work, "k int, re double, im double, magnitude double")
-
+def lowest_modes(edges: DataFrame, k: int, normal: bool = True, **how) -> tuple[np.ndarray, DataFrame]:
+    """The ``k`` smallest eigenvalues of the (normalised) Laplacian and the table (entity, x array) of their vectors."""
+    l = laplacian(edges).select("src", "dst", F.col("l_sym" if normal else "l").alias("w")).checkpoint()
+    bound = 2.0 if normal else 2 * (l.where("src = dst").agg(F.max("w")).first()[0] or 0.0)  # no value is above twice the largest degree
+    values, vectors, _ = eigen.lowest(l, nodes(edges), k, bound, **how)
+    return values, vectors
 
-def _sym(w: np.ndarray) -> np.ndarray:
-    s = (w + w.T) / 2
-    np.fill_diagonal(s, 0)
-    return s
 
-
-def _normal_laplacian(w: np.ndarray) -> np.ndarray:
-    s = _sym(w)
-    d = s.sum(axis=1)
-    inv = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
-    return np.diag((d > 0).astype(float)) - inv[:, None] * s * inv[None, :]
-
-
-def fiedler(edges: DataFrame) -> DataFrame:
+def fiedler(edges: DataFrame, **how) -> DataFrame:
     """(entity, value, side, lambda2, relaxation): second Laplacian eigenpair, its sign partition and 1 / lambda2."""
-    def work(names, w):
-        s = _sym(w)
-        values, vectors = np.linalg.eigh(np.diag(s.sum(axis=1)) - s)
-        v = vectors[:, 1] * (1 if vectors[np.argmax(np.abs(vectors[:, 1])), 1] > 0 else -1)
-        lam = values[1]
-        return pd.DataFrame({"entity": names, "value": v, "side": np.where(v >= 0, "A", "B"), "lambda2": lam, "relaxation": 1 / lam if lam > 1e-10 else np.inf})
+    values, vectors = lowest_modes(edges, 2, normal=False, **how)
+    if len(values) < 2:
+        return nodes(edges).select("entity", F.lit(0.0).alias("value"), F.lit("A").alias("side"), F.lit(0.0).alias("lambda2"), F.lit(float("inf")).alias("relaxation"))
+    lam = float(values[1])
+    v = eigen.turned(vectors.select("entity", F.slice("x", 2, 1).alias("x")), 1)
+    return v.select("entity", F.col("x")[0].alias("value"), F.when(F.col("x")[0] >= 0, "A").otherwise("B").alias("side"),
+                    F.lit(lam).alias("lambda2"), F.lit(1 / lam if lam > 1e-10 else float("inf")).alias("relaxation"))
 
-    return _on_matrix(edges, work, "entity string, value double, side string, lambda2 double, relaxation double")
 
-
-def embedding(edges: DataFrame, size: int = 3) -> DataFrame:
+def embedding(edges: DataFrame, size: int = 3, **how) -> DataFrame:
     """(entity, x array): eigenvectors 2.. of the normalised Laplacian, each with its largest entry positive."""
-    def work(names, w):
-        _, vectors = np.linalg.eigh(_normal_laplacian(w))
-        x = vectors[:, 1 : 1 + size]
-        x = x * np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1)
-        return pd.DataFrame({"entity": names, "x": x.tolist()})
-
-    return _on_matrix(edges, work, "entity string, x array<double>")
+    values, vectors = lowest_modes(edges, size + 1, **how)
+    return eigen.turned(vectors.select("entity", F.slice("x", 2, size).alias("x")), max(0, len(values) - 1))
 
 
 def resilience(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
@@ -489,39 +459,16 @@ def resilience(edges: DataFrame, quantile: float = 0.9) -> DataFrame:
     return per.join(F.broadcast(density(edges).select("density")))
 
 
-def _lloyd(x: np.ndarray, k: int, tries: int, seed: int) -> np.ndarray:
-    rng, best, label = np.random.RandomState(seed), np.inf, np.zeros(len(x), int)
-    for _ in range(tries):
-        centre = [x[rng.randint(len(x))]]
-        while len(centre) < k:
-            d = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
-            centre.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.randint(len(x))])
-        c = np.array(centre)
-        for _ in range(300):
-            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[own]) ** 2).sum()
-        if cost < best - 1e-12:
-            best, label = cost, own
-    return label
-
-
-def spectral_clusters(edges: DataFrame, k: int | None = None, tries: int = 20, seed: int = 42) -> DataFrame:
+def spectral_clusters(edges: DataFrame, k: int | None = None, tries: int = 20, seed: int = 42, **how) -> DataFrame:
     """(entity, community): k-means on row-normalised eigenvectors; k by the largest eigengap, 2 to 15.
 
     Communities are numbered by their smallest member.
     """
-    def work(names, w):
-        values, vectors = np.linalg.eigh(_normal_laplacian(w))
-        most = max(2, min(20, len(names) // 5))
-        groups = k or int(np.clip(np.argmax(np.diff(values[1 : most + 1])) + 2 if most > 2 else 2, 2, 15))
-        x = vectors[:, :groups]
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        label = _lloyd(x / np.where(size > 0, size, 1), groups, tries, seed)
-        number: dict[int, int] = {}
-        return pd.DataFrame({"entity": names, "community": [number.setdefault(c, len(number)) for c in label]}).astype({"community": "int32"})
-
-    return _on_matrix(edges, work, "entity string, community int")
+    n = nodes(edges).count()
+    most = max(2, min(20, n // 5))
+    values, vectors = lowest_modes(edges, k or min(n, most + 1), **how)
+    groups = k or int(np.clip(np.argmax(np.diff(values[1 : most + 1])) + 2 if len(values) > 3 and most > 2 else 2, 2, 15))
+    x = F.slice("x", 1, groups)
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    unit = F.transform(x, lambda v: F.when(F.col("_s") > 1e-12, v / F.col("_s")).otherwise(v))
+    return eigen.k_means(vectors.withColumn("_s", size).select("entity", unit.alias("x")), groups, tries, seed=seed)
