@@ -4,10 +4,11 @@ A word's frequency vector counts its letters by letter group.  One inserted lett
 letter takes one away, one replaced letter does both at most; so the vectors of near words differ by a surplus of one
 and a deficit of one at most.  Words stand in a trie by the successive counts; a depth-first search walks it with all
 words that ask at once, and a word follows a branch as long as its surplus and its deficit are not spent twice.  Words
-in the leaves that it reaches are verified on their letters.
+in the leaves that it reaches are verified on their letters.  A pair is looked for from its smaller vector only, so a
+word spends its surplus first.
 
 On Spark, the trie's upper levels are the shards: a word is held in the shard of its own first counts and asks in every
-shard that the budget reaches.  Only each word's number of near words and its best one leave a task, never pairs.
+shard that the budget reaches upwards.  Only each word's number of near words and its best one leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ class FrequencyTrie:
         self.rows, self.leaf = vectors[self.order], leaf
 
     def reached(self, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(asking row, held row) pairs whose vectors keep within a surplus of one and a deficit of one."""
+        """(asking row, held row) pairs whose vectors keep within a surplus of one and a deficit of one, the held one not the smaller."""
         n = np.arange(len(asking))
         if len(n) and len(self.rows):
             yield from self._walk(asking, 0, len(self.rows), 0, n, np.zeros(len(n), bool), np.zeros(len(n), bool))
@@ -204,7 +205,9 @@ class FrequencyTrie:
                 change = self.rows[None, low:high, depth:] - asking[w, None, depth:]
                 up = np.maximum(change, 0).sum(axis=2) + surplus[k : k + step, None]
                 down = np.maximum(-change, 0).sum(axis=2) + deficit[k : k + step, None]
-                i, j = np.nonzero((up <= 1) & (down <= 1))
+                fits = (up <= 1) & (down <= 1)
+                first = np.take_along_axis(change, (change != 0).argmax(axis=2)[..., None], 2)[..., 0] if change.shape[2] else 0
+                i, j = np.nonzero(fits & (surplus[k : k + step, None] | (first >= 0)))
                 if len(i):
                     yield w[i], self.order[low + j]
             return
@@ -212,7 +215,7 @@ class FrequencyTrie:
         cut = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
         for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(column)], strict=True):
             change = int(column[s]) - asking[who, depth]
-            go = (change == 0) | ((change == 1) & ~surplus) | ((change == -1) & ~deficit)
+            go = (change == 0) | ((change == 1) & ~surplus) | ((change == -1) & ~deficit & surplus)
             if go.any():
                 yield from self._walk(asking, low + s, low + e, depth + 1, who[go], surplus[go] | (change[go] == 1), deficit[go] | (change[go] == -1))
 
@@ -225,19 +228,23 @@ def _search(t: pa.Table) -> pa.Table:
     ask, names = ask.take(pa.array(once, pa.int64())), [names[k] for k in once]
     own = held.column("word").to_pylist()
     matrix = lambda x: x.column("vec").combine_chunks().flatten().to_numpy().reshape(len(x), GROUPS)
-    letters = Letters([w.encode("latin-1") for w in own + names])
+    words = own + names
+    letters, asked, kept_vectors = Letters([w.encode("latin-1") for w in words]), matrix(ask), matrix(held)
+    rank = np.empty(len(words), np.int64)  # in code-point order, equal for equal words
+    rank[:] = np.unique(np.array([w.encode("utf-8") for w in words] or [b""], object), return_inverse=True)[1][: len(words)]
     found = [(np.zeros(0, np.int64),) * 2]
-    for i, j in FrequencyTrie(matrix(held)).reached(matrix(ask)):
-        hit = letters.near(j, i + len(own))
-        found.append((i[hit], j[hit]))
+    for i, j in FrequencyTrie(kept_vectors).reached(asked):
+        i, j = (x[letters.near(j, i + len(own))] for x in (i, j))
+        one_way = (rank[i + len(own)] < rank[j]) | (asked[i] != kept_vectors[j]).any(axis=1)
+        found.append((i[one_way] + len(own), j[one_way]))
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    n, rank = held.column("n").to_numpy(), np.empty(len(own), np.int64)
-    rank[np.argsort(np.array([w.encode("utf-8") for w in own], object), kind="stable")] = np.arange(len(own))
-    order = np.lexsort((rank[j], -n[j], i))
-    i, j = i[order], j[order]
-    who, first, count = np.unique(i, return_index=True, return_counts=True)
-    best = j[first]
-    return pa.table([pa.array([names[k] for k in who.tolist()], pa.string()), pa.array(count), pa.array(n[best]), pa.array([own[k] for k in best.tolist()], pa.string())],
+    n = np.concatenate([held.column("n").to_numpy(), ask.column("n").to_numpy()])
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])  # a pair counts for both of its words
+    order = np.lexsort((rank[b], -n[b], a))
+    a, b = a[order], b[order]
+    who, first, count = np.unique(a, return_index=True, return_counts=True)
+    best = b[first]
+    return pa.table([pa.array([words[k] for k in who.tolist()], pa.string()), pa.array(count), pa.array(n[best]), pa.array([words[k] for k in best.tolist()], pa.string())],
                     names=["word", "n_near", "form_n", "form"])
 
 
@@ -257,7 +264,7 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     parts = small(kept(shards.where(F.col("words") > shard_words).select("shard", F.ceil(F.col("words") / shard_words).cast("int").alias("parts"))))
     bins = max(1, -(-rows.count() // (shard_words // 2)))
     unit = np.eye(levels, dtype=int)
-    steps = [np.zeros(levels, int), *unit, *-unit, *(unit[a] - unit[b] for a in range(levels) for b in range(levels) if a != b)]
+    steps = [np.zeros(levels, int), *unit, *(unit[a] - unit[b] for a in range(levels) for b in range(a + 1, levels))]
     moves = F.array(*(F.array(*(F.lit(int(x)) for x in s)) for s in steps))
     own = F.slice("vec", 1, levels)
     reach = F.filter(F.transform(moves, lambda s: F.zip_with(own, s, lambda a, b: a + b)), lambda v: F.forall(v, lambda x: x >= 0))
