@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.graph import dense, exploded, hops, mat_vec, moved, nodes, recursion, row_normalize, small_graph, spectral_radius
 from lattica.operators.stats import quantile
-from lattica.schema import DEFAULTS
+from lattica.schema import DEFAULTS, SENSITIVITY_LIMIT
 
 #: Terms of the Neumann series; at alpha 0.4 the rest is below 1e-15.
 TERMS = 60
@@ -84,30 +84,38 @@ def normal_draw(*keys) -> Column:
     return F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
 
 
-def sensitivities(edges: DataFrame, alpha: float = DEFAULTS.alpha, terms: int = TERMS) -> DataFrame:
-    """(target, source, l): (1 - alpha) times the inverse of I - alpha W, one column of it per source."""
-    if small_graph(edges):
+def sensitivities(edges: DataFrame, alpha: float = DEFAULTS.alpha, terms: int = TERMS, grid: bool = False, cut: float = 1e-16) -> DataFrame:
+    """(target, source, l): (1 - alpha) times the inverse of I - alpha W; pairs without an influence have no row unless ``grid``.
+
+    On graphs of up to ``SENSITIVITY_LIMIT`` nodes one expression a source; on larger ones the shares of all sources
+    are pushed along the edges, a join a term, until none is left.  Shares below ``cut`` are not pushed on: with weights
+    that add up to 1 at most for an entity, that takes less than cut * terms from any value.
+    """
+    every = nodes(edges).checkpoint()
+    if small_graph(edges) and every.count() <= SENSITIVITY_LIMIT:
         one = dense(edges).select("names", "w")
         unit = F.transform("names", lambda n, i: F.when(i == F.col("j"), 1.0).otherwise(0.0))
         per = one.select("names", "w", F.posexplode("names").alias("j", "source")).repartition(8, "j").withColumn("e", unit)
         x = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.col("e"), lambda x, _: F.zip_with(mat_vec(F.col("w"), x), F.col("e"), lambda a, b: a * alpha + b))
-        return per.select("source", F.explode(F.arrays_zip("names", x.alias("x"))).alias("z")).select(
-            F.col("z.names").alias("target"), "source", (F.col("z.x") * (1 - alpha)).alias("l"))
-    unit = nodes(edges).select(F.col("entity").alias("source"), "entity", F.lit(1.0).alias("x")).checkpoint()
-    total, x = unit, unit
-    for k in range(terms):  # only entities that a source reaches have a row
-        x = moved(edges, x, by=["source"]).select("source", "entity", (alpha * F.col("d")).alias("x"))
-        total = total.union(x).groupBy("source", "entity").agg(F.sum("x").alias("x"))
-        if k % 5 == 4:
-            x, total = x.checkpoint(), total.checkpoint()
-    grid = nodes(edges).select(F.col("entity").alias("source")).join(nodes(edges))
-    return grid.join(total, ["source", "entity"], "left").select(F.col("entity").alias("target"), "source", (F.coalesce("x", F.lit(0.0)) * (1 - alpha)).alias("l"))
+        total = per.select("source", F.explode(F.arrays_zip("names", x.alias("x"))).alias("z")).select("source", F.col("z.names").alias("entity"), F.col("z.x").alias("x")).where("x <> 0")
+    else:
+        x = total = every.select(F.col("entity").alias("source"), "entity", F.lit(1.0).alias("x")).checkpoint()
+        for _ in range(terms):
+            x = moved(edges, x, by=["source"]).select("source", "entity", (alpha * F.col("d")).alias("x")).where(F.abs("x") >= cut).checkpoint()
+            if not x.limit(1).count():
+                break
+            total = total.union(x).groupBy("source", "entity").agg(F.sum("x").alias("x")).checkpoint()
+    if grid:
+        total = every.select(F.col("entity").alias("source")).join(every).join(total, ["source", "entity"], "left")
+    return total.select(F.col("entity").alias("target"), "source", (F.coalesce("x", F.lit(0.0)) * (1 - alpha)).alias("l"))
 
 
 def factor_shock(sens: DataFrame, base: DataFrame, shocks: DataFrame) -> DataFrame:
-    """(scenario_id, entity, base, shocked, delta) for shocks (scenario_id, entity, delta) on the scores."""
-    moved = sens.join(shocks.select("scenario_id", F.col("entity").alias("source"), "delta"), "source").groupBy("scenario_id", F.col("target").alias("entity")).agg(F.sum(F.col("l") * F.col("delta")).alias("delta"))
-    return moved.join(base.select("entity", F.col("steady_state").alias("base")), "entity").select("scenario_id", "entity", "base", (F.col("base") + F.col("delta")).alias("shocked"), "delta")
+    """(scenario_id, entity, base, shocked, delta) for shocks (scenario_id, entity, delta) on the scores; every entity of ``base`` has a row."""
+    moved = sens.join(shocks.select("scenario_id", F.col("entity").alias("source"), "delta"), "source").select("scenario_id", F.col("target").alias("entity"), (F.col("l") * F.col("delta")).alias("delta"))
+    still = base.select("entity").join(shocks.select("scenario_id").distinct()).select("scenario_id", "entity", F.lit(0.0).alias("delta"))
+    delta = moved.union(still).groupBy("scenario_id", "entity").agg(F.sum("delta").alias("delta"))
+    return delta.join(base.select("entity", F.col("steady_state").alias("base")), "entity").select("scenario_id", "entity", "base", (F.col("base") + F.col("delta")).alias("shocked"), "delta")
 
 
 def top_impacted(shocked: DataFrame, entity: str, n: int = 10) -> DataFrame:
@@ -161,7 +169,7 @@ def scenario_trajectory(edges: DataFrame, scores: DataFrame, factors: DataFrame,
 
 
 def threshold(base: DataFrame, percentile: float = DEFAULTS.cascade_percentile) -> DataFrame:
-    return base.agg(F.percentile("steady_state", percentile).alias("theta"))
+    return quantile(base, "steady_state", percentile, "theta")
 
 
 def crossings(sens: DataFrame, base: DataFrame, magnitude: float = DEFAULTS.risk_shock) -> DataFrame:

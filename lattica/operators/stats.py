@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 from math import exp, lgamma, log
 
@@ -15,19 +16,44 @@ from lattica.functions.scalars import clip
 from lattica.schema import DEFAULTS
 
 
+def group_quantiles(df: DataFrame, by: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """(by, wanted names): exact, linearly interpolated quantiles of every group, all at once; NULL values don't count.
+
+    Equal values of a group are counted first.  The counts are dealt by ranges of (group, value), so that a group of
+    any size is spread over tasks, and added up within a range; what a group has in earlier ranges, a row a range, is
+    added to find the ranges, and in them the values, that the quantiles fall on.  No task holds a group.
+    """
+    keys, n, at = list(by), F.col("_n"), F.col("_at")
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()).checkpoint()
+    group = Window.partitionBy(*keys)
+    parts = dealt.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s")).select(
+        *keys, "_p", F.sum("_s").over(group).alias("_n"), (F.sum("_s").over(group.orderBy("_p")) - F.col("_s")).alias("_before"))
+    within = Window.partitionBy("_p", *keys).orderBy("_v")
+    same = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("_p", *keys)])
+    placed = dealt.withColumn("_own", F.sum("_c").over(within) - F.col("_c")).alias("a").join(parts.alias("b"), same).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], "_v", "_c", "_n", (F.col("_own") + F.col("_before")).alias("_at"))
+    picked = []
+    for name, q in wanted.items():
+        low = F.floor(q * (n - 1))
+        on = lambda k: (at <= k) & (k < at + F.col("_c"))
+        first, second = (F.max(F.when(on(k), F.col("_v"))) for k in (low, F.least(low + 1, n - 1)))
+        picked.append((first + F.max(q * (n - 1) - low) * (second - first)).alias(name))
+    return placed.groupBy(*keys).agg(*picked)
+
+
 def winsorize(panel: DataFrame, low: float = DEFAULTS.winsor[0], high: float = DEFAULTS.winsor[1]) -> DataFrame:
     """Clip each indicator at exact, linearly interpolated quantiles; NULL stays NULL."""
-    bounds = panel.groupBy("indicator").agg(F.percentile("value", low).alias("_lo"), F.percentile("value", high).alias("_hi"))
-    return panel.join(bounds, "indicator").withColumn("value", clip("value", F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    bounds = group_quantiles(panel, ["indicator"], "value", {"_lo": low, "_hi": high})
+    return panel.join(bounds, "indicator", "left").withColumn("value", clip("value", F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def robust_z(panel: DataFrame, factor: float = DEFAULTS.mad_factor) -> DataFrame:
     """(x - median) / (factor * MAD) per indicator; with MAD 0 every row is 0, NULL ones too."""
-    mid = panel.groupBy("indicator").agg(F.median("value").alias("_m"))
-    centred = panel.join(mid, "indicator")
-    spread = centred.groupBy("indicator").agg(F.median(F.abs(F.col("value") - F.col("_m"))).alias("_mad"))
+    centred = panel.join(group_quantiles(panel, ["indicator"], "value", {"_m": 0.5}), "indicator", "left").withColumn("_away", F.abs(F.col("value") - F.col("_m")))
+    spread = group_quantiles(centred, ["indicator"], "_away", {"_mad": 0.5})
     z = F.when(F.coalesce(F.col("_mad"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col("value") - F.col("_m")) / (factor * F.col("_mad")))
-    return centred.join(spread, "indicator").withColumn("value", z).drop("_m", "_mad")
+    return centred.join(spread, "indicator", "left").withColumn("value", z).drop("_m", "_mad", "_away")
 
 
 def numbered(df: DataFrame, orders: Sequence[Column], name: str = "rank", size: Column | None = None) -> DataFrame:
@@ -300,54 +326,11 @@ def historical_scores(panel: DataFrame, weights: DataFrame, bounds: tuple[float,
 
     ``weights`` is (indicator, weight), as ``indicator_weights`` gives it.
     """
-    by = Window.partitionBy("period", "indicator")
-    filled = panel.withColumn("value", F.coalesce("value", F.median("value").over(by), F.lit(0.0)))
-    q = filled.groupBy("period", "indicator").agg(F.percentile("value", bounds[0]).alias("_lo"), F.percentile("value", bounds[1]).alias("_hi"))
-    cut = filled.join(q, ["period", "indicator"]).withColumn("value", clip("value", F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    med = cut.withColumn("_m", F.median("value").over(by))
-    mad = med.withColumn("_mad", F.median(F.abs(F.col("value") - F.col("_m"))).over(by))
+    by = ["period", "indicator"]
+    of = lambda df, column, **wanted: df.join(group_quantiles(df, by, column, wanted), by, "left")
+    filled = of(panel, "value", _m=0.5).withColumn("value", F.coalesce("value", "_m", F.lit(0.0))).drop("_m").checkpoint()
+    cut = of(filled, "value", _lo=bounds[0], _hi=bounds[1]).withColumn("value", clip("value", F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi").checkpoint()
+    med = of(cut, "value", _m=0.5).withColumn("_away", F.abs(F.col("value") - F.col("_m"))).checkpoint()
+    mad = of(med, "_away", _mad=0.5)
     z = mad.withColumn("value", F.when(F.col("_mad") > 1e-6, (F.col("value") - F.col("_m")) / (DEFAULTS.mad_factor * F.col("_mad"))).otherwise(F.lit(0.0)))
     return z.join(weights, "indicator").groupBy("entity", "period").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
-
-
-def impute_chained(matrix: DataFrame, replicates: int = 10, steps: int = 10, seed: int = 42) -> DataFrame:
-    """(imputation_id, entity, indicator, value): chained Bayesian ridge regressions with posterior draws.
-
-    Observed cells never change.  Replicates run in parallel; each holds the entity-by-indicator matrix.
-    """
-    ids = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("imputation_id")
-    dealt = matrix.select(ids, "entity", "indicator", "value")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        who = int(pdf["imputation_id"].iloc[0])
-        wide = pdf.pivot(index="entity", columns="indicator", values="value").sort_index()
-        x, rng = wide.to_numpy(float), np.random.RandomState(seed + who)
-        gone = np.isnan(x)
-        mean = np.where(gone.all(axis=0), 0.0, np.nanmean(np.where(gone.all(axis=0), 0.0, x), axis=0))
-        x = np.where(gone, mean, x)
-        for _ in range(steps):
-            for j in np.argsort(gone.sum(axis=0), kind="stable"):
-                hole = gone[:, j]
-                if not hole.any() or hole.all():
-                    continue
-                others = np.delete(x, j, axis=1)
-                mu, sd = others[~hole].mean(axis=0), others[~hole].std(axis=0) + 1e-9
-                a, y = (others[~hole] - mu) / sd, x[~hole, j]
-                noise, prior = max(y.var(), 1e-9), 1.0
-                for _ in range(20):  # evidence updates of noise and prior precision
-                    cov = np.linalg.inv(a.T @ a / noise + prior * np.eye(a.shape[1]))
-                    w = cov @ a.T @ (y - y.mean()) / noise
-                    fit = a.shape[1] - prior * np.trace(cov)
-                    noise = max(((y - y.mean() - a @ w) ** 2).sum() / max(len(y) - fit, 1e-3), 1e-9)
-                    prior = max(fit, 1e-6) / max(w @ w, 1e-9)
-                b = (others[hole] - mu) / sd
-                spread = np.sqrt(noise + np.einsum("ij,jk,ik->i", b, cov, b))
-                x[hole, j] = y.mean() + b @ w + spread * rng.standard_normal(hole.sum())
-        out = pd.DataFrame(x, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
-        return out.assign(imputation_id=who)[["imputation_id", "entity", "indicator", "value"]]
-
-    return dealt.groupBy("imputation_id").applyInPandas(run, "imputation_id int, entity string, indicator string, value double")
-
-
-def pool(imputed: DataFrame) -> DataFrame:
-    return imputed.groupBy("entity", "indicator").agg(F.avg("value").alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import deficit, dot, norm
-from lattica.operators import backtest, dynamics, graph, panel, stats
+from lattica.operators import backtest, dynamics, graph, impute, panel, stats
 from lattica.plans import fixtures as fx
 from lattica.schema import table
 from lattica.sources import archives, clean
@@ -281,7 +281,7 @@ def composite_scores(spark, sf_dir):
 
 @query()
 def composite_intervals(spark, sf_dir):
-    return stats.bootstrap_composites(fx.matrix(spark, sf_dir), _components(spark, sf_dir), 100)
+    return stats.bootstrap_composites(fx.matrix(spark, sf_dir), _components(spark, sf_dir), 500)
 
 
 @query()
@@ -312,7 +312,18 @@ def component_checks(spark, sf_dir):
 @query()
 def imputed_matrix(spark, sf_dir):
     rows = fx.panel(spark, sf_dir, gaps=True).where("period = 1998").select("entity", "indicator", "value")
-    return stats.pool(stats.impute_chained(rows, 4, 5))
+    return impute.pool(impute.impute_chained(rows, 10, 50))
+
+
+@query(f"""WITH {GAPS}, c AS (SELECT entity, indicator, value FROM gaps WHERE period = 1998), e AS (SELECT DISTINCT entity FROM c), i AS (SELECT DISTINCT indicator FROM c)
+SELECT (SELECT count(*) FROM e) * (SELECT count(*) FROM i) * 10 AS n_cells, (SELECT count(*) FROM c WHERE value IS NOT NULL) * 10 AS n_kept, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_missing, true AS spread""")
+def imputation_checks(spark, sf_dir):
+    """What holds of any imputation: all cells are there in each replicate, observed ones as they were, and draws of a missing cell differ."""
+    rows = fx.panel(spark, sf_dir, gaps=True).where("period = 1998").select("entity", "indicator", "value").checkpoint()
+    done = impute.impute_chained(rows, 10, 50).join(rows.withColumnRenamed("value", "was"), ["entity", "indicator"], "left").checkpoint()
+    drawn = done.where("was is null").groupBy("entity", "indicator").agg(F.countDistinct("value").alias("n")).agg(F.coalesce(F.min("n") == 10, F.lit(True)).alias("spread"))
+    return done.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.abs(F.col("value") - F.col("was")) < 1e-9).alias("n_kept"), F.count_if(F.abs(F.col("value") - F.col("was")) >= 1e-9).alias("n_changed"),
+                    F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_missing")).join(F.broadcast(drawn))
 
 
 @query(f"WITH {PANEL} SELECT a.entity, a.indicator, a.period, round(a.value, 6) + 0.0 AS value, a.source, round(b.value, 6) + 0.0 AS previous FROM panel a JOIN panel b ON a.entity = b.entity AND a.indicator = b.indicator AND a.period = b.period + 1")
@@ -569,7 +580,7 @@ def trajectory(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {SENS} SELECT target, source, {R('l')} FROM sens")
 def sensitivity_matrix(spark, sf_dir):
-    return dynamics.sensitivities(fx.trade(spark, sf_dir), ALPHA)
+    return dynamics.sensitivities(fx.trade(spark, sf_dir), ALPHA, grid=True)
 
 
 def _state(spark, sf_dir):
@@ -694,30 +705,30 @@ def calibrated_alpha(spark, sf_dir):
 
 
 @query(f"""WITH {CURVE}, nm AS (SELECT entity, row_number() OVER (ORDER BY entity) AS k FROM (SELECT DISTINCT entity FROM ys)), n AS (SELECT count(*) AS n FROM nm),
-  sl AS (SELECT CAST(i // n AS INTEGER) AS replicate, ('0x' || substr(md5('42:' || CAST(i // n AS VARCHAR) || ':' || CAST(i % n AS VARCHAR)), 1, 12))::BIGINT % n + 1 AS k FROM n, range(0, 50 * n) r(i)),
+  sl AS (SELECT CAST(i // n AS INTEGER) AS replicate, ('0x' || substr(md5('42:' || CAST(i // n AS VARCHAR) || ':' || CAST(i % n AS VARCHAR)), 1, 12))::BIGINT % n + 1 AS k FROM n, range(0, 100 * n) r(i)),
   dr AS MATERIALIZED (SELECT replicate, entity, count(*) AS times FROM sl JOIN nm USING (k) GROUP BY 1, 2), w2 AS (SELECT a.replicate, y.period, e.src AS entity, sum(e.w * y.score * a.times) AS ws FROM edges e JOIN ys y ON e.dst = y.entity JOIN dr a ON a.entity = e.dst GROUP BY 1, 2, 3),
   t2 AS (SELECT d.replicate, a.period, d.times, coalesce(ws, 0) - a.score AS d, b.score - a.score AS e FROM ys a JOIN nx ON nx.period = a.period JOIN ys b ON b.entity = a.entity AND b.period = nx.next_period JOIN dr d ON d.entity = a.entity LEFT JOIN w2 ON w2.replicate = d.replicate AND w2.period = a.period AND w2.entity = a.entity),
   p2 AS (SELECT replicate, period, sum(d * d * times) AS dd, sum(d * e * times) AS de, sum(e * e * times) AS ee, sum(times) AS n FROM t2 GROUP BY 1, 2), c2 AS (SELECT replicate, alpha, avg(sqrt(greatest((alpha * alpha * dd - 2 * alpha * de + ee) / n, 0))) AS rmse FROM p2, g GROUP BY 1, 2),
   best AS (SELECT replicate, CAST(arg_min(alpha, (rmse, alpha)) AS DOUBLE) AS alpha FROM c2 GROUP BY 1) SELECT round(quantile_cont(alpha, 0.05), 6) + 0.0 AS low, round(median(alpha), 6) + 0.0 AS median, round(quantile_cont(alpha, 0.95), 6) + 0.0 AS high FROM best""")
 def alpha_interval(spark, sf_dir):
-    return backtest.bootstrap_alpha(fx.yearly_scores(spark, sf_dir), fx.trade(spark, sf_dir), 50)
+    return backtest.bootstrap_alpha(fx.yearly_scores(spark, sf_dir), fx.trade(spark, sf_dir), 100)
 
 
 CHANNEL_WEIGHTS = {"trade": 0.5, "financial": 0.3, "political": 0.2}
-DRAWN = CHANNELS + ", draws(draw, channel, weight) AS (VALUES " + ", ".join(f"({k}, '{c}', {w!r}::DOUBLE)" for k, c, w in backtest.dirichlet_draws(CHANNEL_WEIGHTS, 40)) + """),
+DRAWN = CHANNELS + ", draws(draw, channel, weight) AS (VALUES " + ", ".join(f"({k}, '{c}', {w!r}::DOUBLE)" for k, c, w in backtest.dirichlet_draws(CHANNEL_WEIGHTS, 200)) + """),
   nrm AS (SELECT channel, src, dst, w / sum(w) OVER (PARTITION BY channel, src) AS w FROM channels), dg AS MATERIALIZED (SELECT draw, src, dst, sum(n.w * d.weight) AS w FROM nrm n JOIN draws d USING (channel) WHERE src <> dst GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {DRAWN} SELECT src, dst, round(quantile_cont(w, 0.05), 6) + 0.0 AS low, round(quantile_cont(w, 0.95), 6) + 0.0 AS high FROM dg GROUP BY 1, 2")
 def weight_intervals(spark, sf_dir):
-    return backtest.weight_uncertainty(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 40))
+    return backtest.weight_uncertainty(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 200))
 
 
 @query(f"""WITH RECURSIVE {DRAWN}, g AS MATERIALIZED (SELECT draw, src, dst, w / sum(w) OVER (PARTITION BY draw, src) AS w FROM dg), nodes AS (SELECT src AS entity FROM g UNION SELECT dst FROM g), c AS (SELECT count(*) AS n FROM nodes),
   pr AS (SELECT 0 AS k, draw, entity, 1.0::DOUBLE / n AS r FROM nodes, c, (SELECT DISTINCT draw FROM draws) UNION ALL SELECT p.k + 1, p.draw, e.dst, 0.85 * sum(e.w * p.r) + 0.15 / any_value(c.n) FROM pr p JOIN g e ON e.src = p.entity AND e.draw = p.draw, c WHERE p.k < 50 GROUP BY p.k, p.draw, e.dst),
   f AS (SELECT entity, r / sum(r) OVER (PARTITION BY draw) AS r FROM pr WHERE k = 50) SELECT entity, round(quantile_cont(r, 0.05), 6) + 0.0 AS low, round(quantile_cont(r, 0.95), 6) + 0.0 AS high FROM f GROUP BY 1""")
 def pagerank_intervals(spark, sf_dir):
-    return backtest.pagerank_intervals(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 40))
+    return backtest.pagerank_intervals(fx.channels(spark, sf_dir), backtest.dirichlet_weights(spark, CHANNEL_WEIGHTS, 200))
 
 
 EPISODES = [("early", [1996, 1997], ["NATION_1", "NATION_2", "NATION_3"], ["NATION_4"]), ("late", [1999, 2000], ["NATION_5"], ["NATION_6", "NATION_7"]), ("open", [1998], [], ["NATION_8"])]
@@ -865,7 +876,7 @@ def feature_matrix(spark, sf_dir):
 
 @query()
 def imputed_feature_matrix(spark, sf_dir):
-    return _features(spark, sf_dir, lambda z: stats.pool(stats.impute_chained(z, 10, 10)))
+    return _features(spark, sf_dir, lambda z: impute.pool(impute.impute_chained(z, 10, 50)))
 
 
 @query(f"""WITH {YEARLY}, ep AS ({EPISODE_SQL}), up AS (SELECT name, role, CASE WHEN a.score > b.score THEN 1 ELSE 0 END AS up FROM ep LEFT JOIN ys a ON a.entity = ep.entity AND a.period = ep.period LEFT JOIN ys b ON b.entity = ep.entity AND b.period = ep.period - 1),

@@ -50,6 +50,8 @@ class Settings:
 DEFAULTS = Settings()
 #: Entities up to which an adjacency matrix is held as one array-valued row; larger graphs use edge tables.
 DENSE_LIMIT = 2000
+#: Entities up to which every source gets a copy of the matrix; the copies are as many as entities.
+SENSITIVITY_LIMIT = 200
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

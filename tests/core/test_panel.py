@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica import schema
 from lattica.functions import scalars
-from lattica.operators import panel, stats
+from lattica.operators import impute, panel, stats
 from lattica.sources import clean, sinks
 
 FACT = "entity string, period int, indicator string, value double, source string"
@@ -97,15 +97,59 @@ def test_imputation_keeps_observed_cells(spark):
     x[:, 3] = x[:, 0] + 0.1 * x[:, 3]
     cells = [(f"E{i:02d}", f"i{j}", None if j == 3 and i % 3 == 0 else float(x[i, j])) for i in range(30) for j in range(4)]
     rows = spark.createDataFrame(cells, "entity string, indicator string, value double")
-    done = stats.impute_chained(rows, 3, 3).toPandas()
+    done = impute.impute_chained(rows, 3, 3).toPandas()
     assert done["imputation_id"].nunique() == 3 and done["value"].notna().all() and len(done) == 360
     known = {(e, i): v for e, i, v in cells if v is not None}
     assert all(known.get((r.entity, r.indicator), r.value) == r.value for r in done.itertuples())
-    pooled = stats.pool(stats.impute_chained(rows, 3, 3)).where("indicator = 'i3'").toPandas()
+    pooled = impute.pool(impute.impute_chained(rows, 3, 3)).where("indicator = 'i3'").toPandas()
     hidden = pooled[pooled.entity.isin([f"E{i:02d}" for i in range(0, 30, 3)])].sort_values("entity")
     assert np.corrcoef(hidden["value"], x[::3, 3])[0, 1] > 0.8
 
 
+def test_imputation_equals_whole_matrices(spark):
+    """The same regressions and draws on each replicate's whole matrix, row by row sums against NumPy's."""
+    rng, n, p = np.random.RandomState(4), 40, 5
+    x = 50 + rng.randn(n, p) @ rng.randn(p, p)
+    gone = rng.rand(n, p) < np.array([0.0, 0.1, 0.3, 0.2, 1.0])
+    names = [f"E{i:02d}" for i in range(n)]
+    rows = spark.createDataFrame([(names[i], f"i{j}", None if gone[i, j] else float(x[i, j])) for i in range(n) for j in range(p) if not (gone[i, j] and i % 2)], "entity string, indicator string, value double").repartition(3)
+    got = {(r["imputation_id"], r["entity"], r["indicator"]): r["value"] for r in impute.impute_chained(rows, 3, 7, seed=5).collect()}
+    code = np.array([r["c"] for r in spark.createDataFrame([(e,) for e in names], "e string").select(F.xxhash64("e").alias("c")).collect()])
+    seen = ~gone
+    start = np.array([x[seen[:, j], j].mean() if seen[:, j].any() else 0.0 for j in range(p)])
+    for r in range(3):
+        m = np.where(gone, start, x) - start
+        for step in range(7):
+            for j in np.argsort(gone.sum(axis=0), kind="stable"):
+                if gone[:, j].any() and not gone[:, j].all():
+                    one = np.hstack([np.ones((n, 1)), m])[seen[:, j]]
+                    fit, hole, others = impute.Regression.fitted(one.T @ one, j), gone[:, j], np.arange(p) != j
+                    a, y = (m[np.ix_(seen[:, j], others)] - fit.mean) / fit.spread, m[seen[:, j], j]
+                    assert fit.weights == pytest.approx(np.linalg.solve(a.T @ a + np.linalg.inv(fit.covariance) - a.T @ a, np.linalg.inv(fit.covariance) @ fit.weights))
+                    assert fit.centre == pytest.approx(y.mean()) and fit.noise < y.var() + 1e-9
+                    m[hole, j] = fit.drawn(m[np.ix_(hole, others)], impute.normal_draws(code[hole], 5, r, step, int(j)))
+        for i in range(n):
+            for j in range(p):
+                assert got[r, names[i], f"i{j}"] == pytest.approx(m[i, j] + start[j], abs=1e-6)
+    draws = impute.normal_draws(np.arange(100_000), 1, 2)
+    assert abs(draws.mean()) < 0.02 and abs(draws.std() - 1) < 0.02
+    assert impute.impute_chained(rows.limit(0)).count() == 0
+
+
+def test_group_quantiles(spark):
+    """Every group at once, one that holds most rows and one value that most of its rows share; NULL groups and values."""
+    rng = np.random.RandomState(2)
+    groups = {"hot": [1.0] * 3000 + rng.randn(2000).tolist(), "two": [3.0, 4.0], "one": [7.0], None: [1.0, None, 2.0], "none": [None]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    wanted = {"lo": 0.01, "q": 0.25, "m": 0.5, "hi": 0.99, "top": 1.0, "low": 0.0}
+    got = {r["g"]: r.asDict() for r in stats.group_quantiles(rows, ["g"], "v", wanted).collect()}
+    assert set(got) == {"hot", "two", "one", None}
+    for g, row in got.items():
+        held = [v for v in groups[g] if v is not None]
+        assert all(row[name] == pytest.approx(np.quantile(held, q), abs=1e-12) for name, q in wanted.items())
+    assert stats.group_quantiles(rows.limit(0), ["g"], "v", wanted).count() == 0
+
+
 def test_cleaning(spark):
     wide = spark.createDataFrame([(" usa", "1.5", "x")], "iso string, YR2010 string, YR2011 string")
     got = clean.wide_years_to_long(wide, "iso", "gdp", "S", "YR").orderBy("period").collect()
