@@ -92,10 +92,26 @@ def block_count(docs: DataFrame, text: str, target_bytes: int) -> int:
     return max(1, math.ceil(total / target_bytes))
 
 
+#: Copies of one row that a block takes from one deal.
+SAME_ROWS = 256
+
+
 def in_blocks(docs: DataFrame, id_column: str, text: str, blocks: int) -> DataFrame:
-    """(block, id, text): a row's block follows from its id and text alone, so copies of a text are spread."""
-    block = F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col(id_column).alias("id"), F.col(text).alias("text"))
+    """(block, id, text): a row's block follows from its id and text, so copies of a text are spread.
+
+    Rows that are repeated as they are over ``SAME_ROWS`` times are dealt to as many more blocks, by their place in
+    the table; a table that gives its rows in another order when it is read again should be written first.
+    """
+    code = F.xxhash64(F.col(id_column), F.col(text))
+    rows = docs.select(code.alias("_code"), F.col(id_column).alias("id"), F.col(text).alias("text"))
+    counts = docs.groupBy(code.alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = kept(counts.where(F.col("_n") > SAME_ROWS).select("_code", F.ceil(F.col("_n") / SAME_ROWS).alias("_spread")))
+    deal = F.lit(0).cast("long")
+    if hot.limit(1).count():
+        rows = rows.withColumn("_m", F.monotonically_increasing_id()).join(small(hot), "_code", "left")
+        deal = F.coalesce(F.pmod(F.xxhash64("_m"), F.col("_spread")), F.lit(0))
+    block = F.pmod(F.pmod("_code", F.lit(blocks)) + deal, F.lit(blocks)).cast("int")
+    return rows.select(block.alias("block"), "id", "text")
 
 
 def paired_groups(rows: DataFrame, keys: list[str], identity: str, limit: int) -> DataFrame:
