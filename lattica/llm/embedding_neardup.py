@@ -5,6 +5,10 @@ has a small random code, and a filter is one code word per block; its score is t
 A vector is list-decoded to every filter whose cap it lies in; the cap's threshold is the vector's own
 ``caps``-th best score, so that a vector always has that many filters however the table is spread.  Rows meet
 in the filters they share (a join on label and filter), and each pair that meets is verified by its cosine.
+
+Embeddings of a model mostly have a common direction, which would send most of a label to a few filters; so what is
+decoded is a vector's difference from the mean of its label (a smaller angle between vectors this near one another is
+still one that shares filters), while pairs are verified on the vectors themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Forest, discard, kept, paired_groups, prepare, small
 from lattica.llm.components import connected_components
 
+#: Labels whose code has so many words or fewer are small: whatever their vectors have in common, all pairs are few.
+FEW_WORDS = 8
 PART_ROWS = 2000
 BIN_ROWS = 20000
 
@@ -69,7 +75,11 @@ def _decoder(codes: int, caps: int):
             for dim, words in np.unique(kind, axis=0).tolist():
                 part = batch.take(pa.array(np.flatnonzero((kind == [dim, words]).all(axis=1))))
                 unit = _units(part.column("embedding"))
-                found = np.hstack([list_decode(unit, r, words, caps) + r * words * words for r in range(codes)])
+                mean = part.column("mean")
+                away = unit - np.asarray(mean.fill_null(pa.scalar([0.0] * dim, mean.type)).flatten(), np.float64).reshape(unit.shape)
+                length = np.linalg.norm(away, axis=1, keepdims=True)
+                away = np.where(length > 1e-9, away / np.maximum(length, 1e-300), unit)
+                found = np.hstack([list_decode(away, r, words, caps) + r * words * words for r in range(codes)])
                 n, each = found.shape
                 row = pa.array(np.repeat(np.arange(n), each))
                 found = np.sort(found, axis=1).astype(np.int32)
@@ -82,6 +92,28 @@ def _decoder(codes: int, caps: int):
     return decode
 
 
+def _mean_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's sums of unit vectors by label and length."""
+    for batch in batches:
+        label = batch.column("label").dictionary_encode()
+        key = np.stack([np.asarray(label.indices), np.asarray(batch.column("dim"))], axis=1)
+        names, inverse = np.unique(key, axis=0, return_inverse=True)
+        for k, (code, dim) in enumerate(names.tolist()):
+            rows = np.flatnonzero(inverse.ravel() == k)
+            total = _units(batch.column("embedding").take(pa.array(rows))).sum(axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [label.dictionary.take(pa.array([code] * dim)), pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(total), pa.array([len(rows)] * dim, pa.int64())],
+                names=["label", "dim", "i", "s", "n"])
+
+
+def label_means(classes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(label, dim, mean): the mean unit vector of each label of ``sizes``, by length of its vectors."""
+    kind = classes.schema["label"].dataType.simpleString()
+    sums = classes.join(small(sizes), "label").select("label", "dim", "embedding").mapInArrow(_mean_sums, f"label {kind}, dim int, i int, s double, n long")
+    each = sums.groupBy("label", "dim", "i").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return each.groupBy("label", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))  # as many as a vector has
+
+
 def _bits(filters: np.ndarray, here: int) -> np.ndarray:
     """Each row's earlier filters that another row of the group has too, as bits."""
     early = filters < here
@@ -189,28 +221,32 @@ def near_duplicates(
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    classes = kept(
+    classes = (
         rows.where(F.coalesce(usable, F.lit(False))).groupBy("label", "embedding")
-        .agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min("vec_id").cast("long").alias("first"), F.count(F.lit(1)).alias("size"))
         .withColumn("dim", F.size("embedding"))
     )
     # sizes of codes come in steps, so that a task holds few of them
+    classes = kept(classes.withColumn("rep", F.monotonically_increasing_id()))  # an id may be that of unlike vectors: classes go by numbers of their own
     step = F.ceil(F.log2(F.sqrt(F.count(F.lit(1)) * caps / bucket)) * 2) / 2
     sizes = kept(classes.groupBy("label").agg(F.greatest(F.lit(3), F.ceil(F.pow(F.lit(2.0), step))).cast("int").alias("words")))
     bins = max(1, -(-classes.count() * codes * caps // BIN_ROWS))
     kind = {c: classes.schema[c].dataType.simpleString() for c in ("label", "embedding")}
     schema = f"label {kind['label']}, dim int, filter int, rep long, size long, filters array<int>, embedding {kind['embedding']}"
-    dealt = paired_groups(classes.join(small(sizes), "label").mapInArrow(_decoder(codes, caps), schema), ["label", "dim", "filter"], "rep", PART_ROWS)
+    means = kept(label_means(classes, kept(sizes.where(F.col("words") > FEW_WORDS).select("label"))))
+    coded = classes.join(small(sizes), "label").join(small(means), ["label", "dim"], "left")
+    dealt = paired_groups(coded.mapInArrow(_decoder(codes, caps), schema), ["label", "dim", "filter"], "rep", PART_ROWS)
     found = kept(
         dealt.withColumn("bin", F.pmod(F.xxhash64("label", "dim", "filter", "pa", "pb"), F.lit(bins)))
         .groupBy("bin").applyInArrow(_linker(threshold), "a long, b long, n long")
     )
     parts = connected_components(found.where("n < 0"))
     counts = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    named = kept(classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).select("rep", "label", "embedding", "first", "size", "component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     done = kept(
-        classes.join(counts, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-                F.coalesce("component_id", "rep").alias("component_id"))
+        named.join(counts, "rep", "left").join(smallest, "component")
+        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     )
     discard(found, parts)
     rows = rows.withColumn("label", F.when(F.coalesce(usable, F.lit(False)), F.col("label")))
