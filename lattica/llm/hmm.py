@@ -3,8 +3,8 @@
 Hidden states emit word classes and words follow their class: P(text) is the chance of the class sequence under
 the chain, times, for each token, its share within its class.  A class follows from a word's spelling alone (its
 last letters, shape and length), so that the expectation step needs no dictionary.  Transition and emission counts
-of Baum-Welch are added up over all training documents in every round, from a start that only knows how often each
-class occurs; word counts are exact counts over all training documents.  The likelihood of a class sequence is the
+of Baum-Welch are added up over all training documents in every round.  The start is what the corpus's counts of
+neighbouring classes tell: the same chain fitted on that table of pairs, until it gains nothing more.  Word counts are exact counts over all training documents.  The likelihood of a class sequence is the
 scaled forward recursion's, without approximation.
 
 Long texts are cut into segments that are worked on side by side: the product of a segment's transition and emission
@@ -28,6 +28,8 @@ from lattica.llm.text import Words, chunks, lanes_of, lower_ascii, mix
 
 BLOCK_BYTES = 8 << 20
 STATES, CLASSES, ROUNDS = 6, 1024, 3
+#: Rounds on the table of neighbouring classes, at most, and the log10 probability a pair that a round must gain.
+PAIR_ROUNDS, PAIR_GAIN = 200, 1e-6
 #: Tokens of a segment.
 SEGMENT = 1024
 SMOOTH = 0.1
@@ -67,6 +69,30 @@ class Chain:
         share = (class_counts + SMOOTH) / (class_counts + SMOOTH).sum()
         return Chain(rng.random(states) + 0.5, rng.random((states, states)) + 0.5 + 2 * np.eye(states), share * (rng.random((states, len(share))) + 0.5)).normal()
 
+    @staticmethod
+    def from_pairs(pairs: np.ndarray, states: int = STATES) -> Chain:
+        """The chain whose neighbouring classes come nearest to the corpus's: expectation-maximisation on their counts.
+
+        ``pairs`` counts (class, next class), a text's first token as one that follows an end.
+        """
+        total = pairs.sum()
+        first = Chain.first(pairs.sum(axis=0), states)
+        joint, emit, share, last = first.move / states, first.emit, pairs / max(total, 1.0), -np.inf
+        for _ in range(PAIR_ROUNDS if total else 0):
+            chance = emit.T @ joint @ emit
+            ratio = share / chance
+            gained = float((share * np.log10(chance)).sum())
+            if gained - last < PAIR_GAIN:
+                break
+            last = gained
+            right = ratio @ emit.T  # by class and by the state that follows
+            left = ratio.T @ emit.T
+            new = emit * (right @ joint.T + left @ joint).T
+            joint = joint * (emit @ right)
+            emit = new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300) * total + SMOOTH
+            emit, joint = emit / emit.sum(axis=1, keepdims=True), joint / joint.sum()
+        return Chain(emit[:, 0] @ joint + 1e-9, joint + 1e-12, emit).normal()
+
     def normal(self) -> Chain:
         part = lambda x: x / x.sum(-1, keepdims=True)
         return Chain(part(self.start), part(self.move), part(self.emit))
@@ -200,14 +226,37 @@ def _expectation(chain: Chain):
     return work
 
 
-def train(docs: DataFrame, class_counts: np.ndarray, text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch: ``rounds`` rounds over all documents, from a start with the classes' shares in the corpus.
+def _pairs(classes: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text"), PASS_BYTES):
+                _, tokens, first = sequences(data, offsets)
+                before = np.r_[0, tokens[:-1]]
+                before[first[:-1]] = 0  # a text's first token follows an end
+                total += np.bincount(before * classes + tokens, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+    return work
+
+
+def pair_counts(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> np.ndarray:
+    """How often each class follows each other one in the corpus; a task emits a row for a pair of classes that it has met."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sums = rows.mapInArrow(_pairs(classes), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # classes squared at most
+    out = np.zeros(classes * classes)
+    out[sums["at"].to_numpy(np.int64)] = sums["n"]
+    return out.reshape(classes, classes)
+
+
+def train(docs: DataFrame, text: str = "text", states: int = STATES, rounds: int = ROUNDS, classes: int = CLASSES) -> Chain:
+    """Baum-Welch: ``rounds`` rounds over all documents, from the chain that the counts of neighbouring classes give.
 
     A round is one pass: tasks add up expected counts of their texts, and Spark sums them by position, so that
     states x (1 + states + classes) numbers reach the driver whatever the size of the corpus.
     """
-    rows, classes = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), len(class_counts)
-    chain = Chain.first(class_counts, states)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chain = Chain.from_pairs(pair_counts(docs, text, classes), states)
     for _ in range(rounds):
         sums = rows.mapInArrow(_expectation(chain), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(states * (1 + states + classes))
@@ -310,7 +359,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     sums[stats["at"].to_numpy(np.int64)] = stats["n"]
     ends = docs.where(learn).count()
     sums[0], sums[CLASSES] = ends, int(ends > 0)
-    chain = train(docs.where(learn), sums[:CLASSES], text)
+    chain = train(docs.where(learn), text)
     found = by_block.cogroup(counts.where("block >= 0").select("block", "h", "n").groupBy("block")).applyInArrow(
         _scorer(chain, sums[:CLASSES], sums[CLASSES:]),
         f"id {rows.schema['id'].dataType.simpleString()}, learn boolean, n_tokens long, n_known long, base_score double, score double")

@@ -127,6 +127,83 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embedding_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id(spark):
+    """Rows that share an id are vectors of their own, whatever else has that id."""
+    e = np.eye(8)
+    near = e[0] + 0.05 * e[1]
+    rows = [(1, e[0]), (1, e[2]), (2, near), (3, near), (4, e[3]), (4, e[3]), (4, e[0]), (9, e[4]), (5, e[4] + 0.01 * e[5])]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_neardup.near_duplicates(df).collect())
+    # 1 (first), 2, 3 and the last row of 4 are one component
+    assert got == sorted([(1, 3, 1, True), (1, 0, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (4, 1, 4, True), (4, 3, 1, False), (9, 1, 5, False), (5, 1, 5, True)])
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_embeddings_with_a_common_direction(spark, common):
+    """Mean cosines as embedding models have them: all links are found, and a filter holds a small part of the label."""
+    rng, n, dim = np.random.default_rng(int(common * 10)), 4000, 64
+    side = rng.standard_normal((n, dim))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.sqrt(1 - common) * side
+    x[:, 0] = np.sqrt(common)
+    x[1::10] = x[::10] + 0.2 / np.sqrt(dim) * rng.standard_normal((n // 10, dim)) * 0.95
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v], i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    df = df.withColumn("label", F.lit(0))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_neardup.near_duplicates(df).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert near.sum() > 200 and all(got[i] == near[i] for i in range(n))
+    classes = df.select("label", "embedding", F.lit(dim).alias("dim"))
+    mean = np.array(embedding_neardup.label_means(classes, df.select("label").distinct()).first()["mean"])
+    assert mean == pytest.approx(u.mean(axis=0), abs=1e-9)
+    away = u - mean
+    words = 23
+    names, load = np.unique(embedding_neardup.list_decode(away / np.linalg.norm(away, axis=1, keepdims=True), 0, words, 6), return_counts=True)
+    assert (load.astype(float) ** 2).sum() / n < 500  # comparisons a row in one of four codes
+
+
+def test_blocks_of_a_repeated_row(spark):
+    """One row as a third of the table is dealt to all blocks; rows come through as they are."""
+    rows = [(7, "the same")] * 7000 + [(None, None)] * 3000 + [(i, f"text {i}") for i in range(10000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    dealt = common.in_blocks(df, "doc_id", "text", 40)
+    sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 2 * 20000 / 40
+    assert collections.Counter((r["id"], r["text"]) for r in dealt.collect()) == collections.Counter(rows)
+
+
+def test_repeated_rows_in_block_operators(spark, monkeypatch):
+    """op3 and op10 where most rows are one row: what is removed and scored is as for rows apart."""
+    monkeypatch.setattr(common, "SAME_ROWS", 16)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 2000)
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long)] * 200 + [(None, None)] * 100 + [(i, f"only here {i}") for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).checkpoint()
+    cut = substring_dedup.remove_repeats(df).collect()
+    assert len(cut) == len(rows) and all(r["n_removed"] == (40 if r["id"] == 1 else 0) for r in cut)
+    scored = hmm.score(df).collect()
+    assert len(scored) == len(rows) and len({round(r["score"], 9) for r in scored if r["id"] == 1}) == 1
+    assert all(r["n_known"] == 41 for r in scored if r["id"] == 1)
+
+
+def test_states_learn_more_than_classes(spark):
+    """On held-out texts the chain is at least 0.2 (log10 a token) above the same model without states."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn = common.fold("doc_id", 10) != 0
+    chain = hmm.train(df.where(learn))
+    texts = [(r["text"] or "").encode() for r in df.where(~learn).collect()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    _, tokens, first = hmm.sequences(data, offsets)
+    alone = hmm.pair_counts(df.where(learn)).sum(axis=0)
+    unigram = np.log10((alone + hmm.SMOOTH) / (alone + hmm.SMOOTH).sum())[tokens].mean()
+    assert hmm.forward(chain, tokens, first).sum() / len(tokens) > unigram + 0.2
+    worse = [hmm.forward(c, tokens, first).sum() for c in (hmm.Chain.from_pairs(hmm.pair_counts(df.where(learn))), chain)]
+    assert worse[0] < worse[1]  # the rounds over whole texts gain on the start
+
+
 def test_pairs_at_the_threshold_share_a_filter():
     rng, missed = np.random.default_rng(4), 0
     for dim, words in ((16, 5), (64, 23), (64, 91), (128, 400)):
@@ -629,7 +706,11 @@ def test_language_model_end_to_end(spark, monkeypatch):
     for x, c in count.items():
         size[kind[x]] += c
         names[kind[x]] += 1
-    chain = hmm.Chain.first(size)
+    pairs = np.zeros((hmm.CLASSES, hmm.CLASSES))
+    for t in learn:
+        for a, b in zip([0, *classes(t)], classes(t)):  # noqa: B905
+            pairs[a, b] += 1
+    chain = hmm.Chain.from_pairs(pairs)
     for _ in range(hmm.ROUNDS):
         start, move, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
         for t in learn:
