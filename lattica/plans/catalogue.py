@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import deficit, dot, norm
-from lattica.operators import backtest, dynamics, graph, impute, panel, stats
+from lattica.operators import backtest, dynamics, graph, impute, panel, sketches, stats
 from lattica.plans import fixtures as fx
+from lattica.plans.artefacts import Artefacts, save
 from lattica.schema import table
 from lattica.sources import archives, clean
+from lattica.sources.versions import SourceTable
 from lattica.streaming import events as streams
 from lattica.streaming import pages
 
@@ -956,10 +958,74 @@ def paged_events(spark, sf_dir):
     """Daily counts from pages of events, some served twice, that a stream reads with a restart in the middle."""
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("event_date"), "event_type", F.col("value").alias("fatalities"))
     half = rows.approxQuantile("event_id", [0.5], 0.0)[0] if rows.limit(1).count() else 0
-    folder = fx.page_folder(spark)
+    folder = fx.scratch(spark, "pages")
     for chunk, part in (("a", F.col("event_id") <= half), ("b", F.col("event_id") > half)):
         pages.write_pages(rows.where(part), f"{folder}/in", "event_id", chunk=chunk, again=3)
         pages.land(pages.events_once(pages.page_stream(spark, f"{folder}/in", PAGE_SCHEMA), late="3650 days"), f"{folder}/out", f"{folder}/state")
     landed = spark.read.parquet(f"{folder}/out")
     return landed.groupBy(F.col("event_type").alias("indicator"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("fatalities").cast("double")).alias("total"))
+
+
+@query(f"""WITH {PANEL} SELECT entity, period, indicator, round(CASE WHEN source = 'ACLED' THEN 2 * value ELSE value END, 6) + 0.0 AS value, source FROM panel WHERE source <> 'FSI'""")
+def replaced_sources(spark, sf_dir):
+    """A table of five sources after one was replaced twice over, a write of other columns was refused and one source was emptied."""
+    rows = fx.panel(spark, sf_dir)
+    held = SourceTable(spark, fx.scratch(spark, "sources"))
+    held.replace(rows)
+    twice = rows.where("source = 'ACLED'").withColumn("value", 2 * F.col("value"))
+    for _ in range(2):
+        held.replace(twice, ["ACLED"])
+    try:
+        held.replace(rows.where("source = 'SIPRI'").drop("period"), ["SIPRI"])
+        raise AssertionError("a write of other columns must be refused")
+    except ValueError:
+        held.replace(rows.limit(0), ["FSI"])
+    return held.read()
+
+
+SKETCHED = {"orders": "o_totalprice", "lineitem": "l_extendedprice", "part": "p_retailprice", "customer": "c_acctbal", "events": "value", "supplier": "s_acctbal"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS indicator, count(*) AS n_rows, count(*) - count({c}) AS n_missing, round(min({c}), 6) + 0.0 AS least, round(max({c}), 6) + 0.0 AS most,
+  true AS distinct_within, true AS median_within, count({c}) = 0 AS all_missing, coalesce(min({c}) = max({c}), false) AS constant FROM {t}""" for t, c in SKETCHED.items()))
+def sketched_quality(spark, sf_dir):
+    """The report from sketches of parts, and whether its estimates are within the stated errors of exact counts and ranks."""
+    columns = [table(spark, sf_dir, t).select(F.concat(F.lit("part"), F.pmod(F.xxhash64(c), F.lit(3)).cast("string")).alias("source"), F.lit(t).alias("indicator"), F.col(c).cast("double").alias("value")) for t, c in SKETCHED.items()]
+    rows = columns[0]
+    for more in columns[1:]:
+        rows = rows.union(more)
+    told = sketches.report(sketches.quality_sketches(rows)).checkpoint()
+    exact = rows.join(F.broadcast(told.select("indicator", F.col("quantile_estimates")[1].alias("_m"))), "indicator").groupBy("indicator").agg(
+        F.countDistinct("value").alias("_d"), F.avg((F.col("value") < F.col("_m")).cast("double")).alias("_below"), F.avg((F.col("value") <= F.col("_m")).cast("double")).alias("_upto"))
+    near = F.abs(F.col("distinct_estimate") - F.col("_d")) <= sketches.DISTINCT_ERROR * F.col("_d") + 1
+    middle = (F.col("_below") <= 0.5 + sketches.RANK_ERROR) & (F.col("_upto") >= 0.5 - sketches.RANK_ERROR)
+    return told.join(exact, "indicator").select("indicator", "n_rows", "n_missing", "least", "most", near.alias("distinct_within"), middle.alias("median_within"), "all_missing", "constant")
+
+
+def _artefacts(spark, sf_dir):
+    """A run's outputs as written and opened again; intervals, embeddings and spectra are not among them."""
+    folder, e, s = fx.scratch(spark, "artefacts"), fx.trade(spark, sf_dir), fx.scores(spark, sf_dir)
+    regions = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"), F.col("n_regionkey").alias("community"))
+    save({"scores": s, "coupling": e, "steady_state": s.select("entity", F.col("score").alias("steady_state")), "communities": regions}, folder)
+    return Artefacts(spark, folder)
+
+
+@query(f"WITH {SALES}{SIZES} SELECT entity, round(score, 6) + 0.0 AS steady_state, round(score, 6) + 0.0 AS score, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(row_number() OVER (ORDER BY score DESC, entity) AS INTEGER) AS rank FROM scores ORDER BY score DESC, entity LIMIT 12")
+def top_entities_page(spark, sf_dir):
+    return _artefacts(spark, sf_dir).page("top_entities", {"n": 12})
+
+
+@query(f"WITH {EDGES}{SIZES} SELECT dst AS entity, {R('w')}, {R('score')} FROM edges LEFT JOIN scores ON scores.entity = dst WHERE src = 'NATION_5' AND w >= 0.02 ORDER BY edges.w DESC, dst LIMIT 9")
+def neighbours_page(spark, sf_dir):
+    return _artefacts(spark, sf_dir).page("neighbours", {"entity": "NATION_5", "least": 0.02, "n": 9})
+
+
+@query(f"WITH {SALES}{SIZES} SELECT n_regionkey AS community, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS members, round(avg(score), 6) + 0.0 AS mean_score FROM nation LEFT JOIN scores ON entity = n_name GROUP BY 1")
+def members_page(spark, sf_dir):
+    return _artefacts(spark, sf_dir).page("members")
+
+
+@query(f"WITH {EDGES} SELECT dst AS entity, round(sum(w), 6) + 0.0 AS outgoing, count(*) AS links FROM edges WHERE w > 0.01 GROUP BY 1 ORDER BY sum(w) DESC, 1 LIMIT 8")
+def transmitters_page(spark, sf_dir):
+    return _artefacts(spark, sf_dir).page("transmitters", {"least": 0.01, "n": 8})

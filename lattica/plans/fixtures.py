@@ -124,10 +124,11 @@ def order_archives(spark: SparkSession, sf_dir: str) -> str:
     of = lambda y, v: F.when(F.col("y") == y, v)
     wide = orders.groupBy(F.concat(F.lit(" c"), "o_custkey").alias("code")).agg(*[m.alias(f"{n}{y}") for y in ARCHIVE_YEARS for n, m in (
         ("spend", F.sum(of(y, F.col("o_totalprice")))), ("orders", F.count(of(y, F.lit(1)))), ("largest", F.max(of(y, F.col("o_totalprice")))))])
-    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    folder = scratch(spark, "archives")
     write_archives(wide, folder, "code", {m: {str(y): f"{n}{y}" for y in ARCHIVE_YEARS} for m, n in ARCHIVE_MEMBERS.items()}, 2000)
     return folder
 
 
-def page_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
