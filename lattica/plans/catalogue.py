@@ -682,7 +682,14 @@ def cascade_report(spark, sf_dir):
     return dynamics.cascade_report(e, base.checkpoint(), sens.checkpoint(), spark.range(1).select(F.lit("NATION_3").alias("entity")), 2.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SENS}, st AS (
+  SELECT 0 AS k, entity, steady_state AS x, CASE WHEN entity = 'NATION_3' THEN 0 END AS step FROM steady
+  UNION ALL SELECT k, entity, x, CASE WHEN step IS NULL AND x > (SELECT theta FROM theta) THEN k ELSE step END FROM (
+    SELECT a.k + 1 AS k, a.entity, a.x + coalesce(sum(CASE WHEN b.step = a.k THEN s.l * 3.0 * CASE WHEN a.k = 0 THEN 1.0 ELSE 0.5 END END), 0) AS x, a.step
+    FROM st a JOIN sens s ON s.target = a.entity JOIN st b ON b.entity = s.source WHERE a.k < 20 GROUP BY a.k, a.entity, a.x, a.step)),
+  fell AS (SELECT entity, min(step) AS step FROM st WHERE step IS NOT NULL GROUP BY 1),
+  tr AS (SELECT f.entity, arg_max(e.dst, (e.w, e.dst)) AS trigger FROM fell f JOIN edges e ON e.src = f.entity JOIN fell g ON g.entity = e.dst AND g.step < f.step GROUP BY 1)
+SELECT CAST(step AS INTEGER) AS step, entity, trigger FROM fell LEFT JOIN tr USING (entity)""")
 def domino_sequence(spark, sf_dir):
     e, sens, base = _state(spark, sf_dir)
     return dynamics.domino(e, base.checkpoint(), sens.checkpoint(), "NATION_3", 3.0)
@@ -1029,3 +1036,53 @@ def members_page(spark, sf_dir):
 @query(f"WITH {EDGES} SELECT dst AS entity, round(sum(w), 6) + 0.0 AS outgoing, count(*) AS links FROM edges WHERE w > 0.01 GROUP BY 1 ORDER BY sum(w) DESC, 1 LIMIT 8")
 def transmitters_page(spark, sf_dir):
     return _artefacts(spark, sf_dir).page("transmitters", {"least": 0.01, "n": 8})
+
+
+PLANTED = [(1, "revenue", 2.0, 0.6, True), (1, "n_orders", 2.0, 0.8, True), (2, "discount", 1.5, 1.0, True), (2, "urgent_share", 1.5, 0.25, True), (3, "return_rate", 0.5, 1.0, False)]
+PLANTED_SQL = "pl(component, indicator, eigenvalue, loading, kept) AS (VALUES " + ", ".join(f"({c}, '{i}', {e}::DOUBLE, {v}::DOUBLE, {k})" for c, i, e, v, k in PLANTED) + ")"
+
+
+@query(f"""WITH {MATRIX}, {PLANTED_SQL}, t AS (SELECT sum(eigenvalue) AS t FROM (SELECT DISTINCT component, eigenvalue FROM pl WHERE kept)), pw AS (SELECT indicator, sum(loading * eigenvalue / t) AS weight FROM pl, t WHERE kept GROUP BY 1),
+  cs AS (SELECT entity, sum(value * weight) AS score FROM matrix JOIN pw USING (indicator) GROUP BY 1) SELECT entity, {R('score')}, CAST(row_number() OVER (ORDER BY score DESC, entity) AS INTEGER) AS rank FROM cs""")
+def planted_composites(spark, sf_dir):
+    """Composite scores of loadings that are given, so that SQL can follow them."""
+    components = spark.createDataFrame(PLANTED, "component int, indicator string, eigenvalue double, loading double, kept boolean")
+    return stats.ranked(stats.composite_scores(fx.matrix(spark, sf_dir), components), "score")
+
+
+@query("SELECT 0.0 AS communality, 0.0 AS residual, true AS ordered, 5 AS n")
+def rotation_checks(spark, sf_dir):
+    """A rotation keeps each indicator's communality; the components' shares add up to 1 in the order of their eigenvalues."""
+    c = _components(spark, sf_dir).checkpoint()
+    plain = c.where("kept").groupBy("indicator").agg(F.sum(F.col("loading") * F.col("loading") * F.greatest("eigenvalue", F.lit(0.0))).alias("a"))
+    turned = stats.rotated_loadings(c).groupBy("indicator").agg(F.sum(F.col("loading") * F.col("loading")).alias("b"))
+    share = stats.cumulative_share(c)
+    last = share.agg(F.abs(F.max("cumulative") - 1).alias("residual"), (F.count(F.lit(1)) == F.countDistinct("component")).alias("ordered"))
+    return plain.join(turned, "indicator").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("communality"), F.count(F.lit(1)).cast("int").alias("n")).join(F.broadcast(last))
+
+
+@query("SELECT 0.0 AS residual, 0.0 AS overlap, true AS ascending, true AS bounded")
+def embedding_checks(spark, sf_dir):
+    """The embedding's vectors are orthonormal and L_sym x = lambda x, with the quotient of each for its lambda."""
+    e = fx.trade(spark, sf_dir)
+    x = graph.embedding(e).checkpoint()
+    entry = x.select("entity", F.posexplode("x").alias("k", "v"))
+    lv = graph.laplacian(e).join(entry.withColumnRenamed("entity", "dst"), "dst").groupBy(F.col("src").alias("entity"), "k").agg(F.sum(F.col("l_sym") * F.col("v")).alias("lv"))
+    both = entry.join(lv, ["entity", "k"]).checkpoint()
+    value = both.groupBy("k").agg(F.sum(F.col("v") * F.col("lv")).alias("value"))
+    dots = entry.join(entry.select("entity", F.col("k").alias("j"), F.col("v").alias("u")), "entity").groupBy("k", "j").agg(F.sum(F.col("u") * F.col("v")).alias("dot"))
+    overlap = dots.agg(F.max(F.abs(F.col("dot") - (F.col("k") == F.col("j")).cast("double"))).alias("overlap"))
+    order = value.agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("_v"), (F.min("value") > 0).alias("_p"), (F.max("value") < 2 + 1e-9).alias("_b")).select(  # a value a vector
+        F.forall(F.sequence(F.lit(0), F.size("_v") - 2), lambda i: F.col("_v")[i]["value"] <= F.col("_v")[i + 1]["value"] + 1e-9).alias("ascending"), (F.col("_p") & F.col("_b")).alias("bounded"))
+    return both.join(value, "k").agg(F.max(F.abs(F.col("lv") - F.col("value") * F.col("v"))).alias("residual")).join(F.broadcast(overlap)).join(F.broadcast(order))
+
+
+@query(f"WITH {EDGES} SELECT count(*) AS n, count(*) AS distinct_n, true AS first_is_zero, true AS possible FROM nodes")
+def community_checks(spark, sf_dir):
+    """Every entity is in one community, communities are numbered by their smallest members, and the modularity is one that a split can have."""
+    e = fx.trade(spark, sf_dir)
+    c = graph.spectral_clusters(e).checkpoint()
+    firsts = c.groupBy("community").agg(F.min("entity").alias("f")).agg(F.array_sort(F.collect_list(F.struct("community", "f"))).alias("_f")).select(  # 15 communities at most
+        F.forall(F.sequence(F.lit(0), F.size("_f") - 1), lambda i: (F.col("_f")[i]["community"] == i) & ((i == 0) | (F.col("_f")[F.greatest(i - 1, F.lit(0))]["f"] < F.col("_f")[i]["f"]))).alias("first_is_zero"))
+    own = graph.modularity(e, c).select((F.col("modularity") > -0.5).alias("possible"))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("distinct_n")).join(F.broadcast(firsts)).join(F.broadcast(own))
