@@ -106,6 +106,28 @@ def needed(words: int, coverage: float) -> int:
     return ceil(coverage * words - 1e-9)
 
 
+def shared_words(text: list[int], template: list[int], size: int) -> np.ndarray:
+    """For each start, how many words (repeats counted) the next ``size`` words share with the template; one word comes and goes a step."""
+    left, held, out = dict(Counter(template)), 0, np.zeros(len(text), np.int64)
+    for k, w in enumerate(text):
+        if w in left:
+            held += left[w] > 0
+            left[w] -= 1
+        start = k - size + 1
+        if start >= 0:
+            out[start] = held
+            gone = text[start]
+            if gone in left:
+                left[gone] += 1
+                held -= left[gone] > 0
+    for start in range(max(0, len(text) - size + 1), len(text)):
+        out[start] = held
+        if text[start] in left:
+            left[text[start]] += 1
+            held -= left[text[start]] > 0
+    return out
+
+
 def find(text: list[int], template: list[int], first: list[int], least: int = 1) -> tuple[float, int, int]:
     """Best coverage of a template in a text and the word span of it.
 
@@ -136,18 +158,21 @@ def find(text: list[int], template: list[int], first: list[int], least: int = 1)
             attempt(max(0, p - reach), min(len(text), p + reach))
             done = p + reach // 2
     if best[0] < least:
-        slack, tried, bag = len(template) - least, set(), Counter(template)
-        for p in first:
-            for k in places[text[p]]:
-                for lo in range(max(0, p - k - slack), min(p, p - k + slack) + 1):
-                    if lo in tried:
-                        continue
-                    tried.add(lo)
-                    for size in (len(template), len(template) + slack):
-                        if sum((Counter(text[lo : lo + size]) & bag).values()) >= least:
-                            attempt(lo, min(len(text), lo + size))
-            if best[0] == len(template):
+        slack = len(template) - least
+        begins = np.array([p - k for p in first for k in places[text[p]] if p - k + slack >= 0])
+        edge = np.zeros(len(text) + 2, np.int64)  # starts within the slack of a mark's place, none after the mark itself
+        np.add.at(edge, np.maximum(begins - slack, 0), 1)
+        last = np.array([min(p, p - k + slack) for p in first for k in places[text[p]] if p - k + slack >= 0])
+        np.add.at(edge, last + 1, -1)
+        wanted = np.cumsum(edge[: len(text)]) > 0
+        sizes = (len(template), len(template) + slack)
+        full = [shared_words(text, template, n) >= least for n in sizes]
+        for lo in np.flatnonzero(wanted & (full[0] | full[1])).tolist():
+            if best[0] == len(template) and lo > best[1]:
                 break
+            for size, enough in zip(sizes, full, strict=True):
+                if enough[lo]:
+                    attempt(lo, min(len(text), lo + size))
     return best[0] / len(template), best[1], best[2]
 
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -451,6 +452,21 @@ def test_license_at_exactly_the_coverage(spark):
     assert [(r["id"], r["license"], r["coverage"]) for r in got] == [(1, "mit", 0.8)]
 
 
+def test_shared_words_slide():
+    """Counts of words shared with a template, a start at a time, and a long text of a notice's words in random order."""
+    rng = random.Random(1)
+    for _ in range(200):
+        template, words = [rng.randrange(8) for _ in range(rng.randint(1, 9))], [rng.randrange(10) for _ in range(rng.randint(0, 30))]
+        for size in (1, 3, len(template), 12):
+            want = [sum((collections.Counter(words[i : i + size]) & collections.Counter(template)).values()) for i in range(len(words))]
+            assert license_scan.shared_words(words, template, size).tolist() == want
+    notice = max(license_scan.TEMPLATES.values(), key=len).split()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(rng.choices(notice, k=20_000))])], names=["id", "text"])
+    began = time.process_time()
+    list(license_scan._scanner(license_scan.TEMPLATES, 0.8)(iter([batch])))
+    assert time.process_time() - began < 30
+
+
 def test_license_repeated_back_to_back(spark):
     rows = []
     for k, (name, t) in enumerate(license_scan.TEMPLATES.items()):
