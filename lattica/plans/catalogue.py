@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.scalars import deficit, dot, norm
+from lattica.functions.scalars import deficit, dot, end_year, leading_year, norm, to_number, zero_padded
 from lattica.operators import backtest, dynamics, graph, impute, panel, sketches, stats
 from lattica.plans import fixtures as fx
 from lattica.plans.artefacts import Artefacts, save
-from lattica.schema import table
+from lattica.schema import rename_aliases, resolve_column, table
 from lattica.sources import archives, clean
 from lattica.sources.versions import SourceTable
 from lattica.streaming import events as streams
@@ -1086,3 +1086,49 @@ def community_checks(spark, sf_dir):
         F.forall(F.sequence(F.lit(0), F.size("_f") - 1), lambda i: (F.col("_f")[i]["community"] == i) & ((i == 0) | (F.col("_f")[F.greatest(i - 1, F.lit(0))]["f"] < F.col("_f")[i]["f"]))).alias("first_is_zero"))
     own = graph.modularity(e, c).select((F.col("modularity") > -0.5).alias("possible"))
     return c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("distinct_n")).join(F.broadcast(firsts)).join(F.broadcast(own))
+
+
+SPEND = "sp AS (SELECT n_name AS entity, CAST(year(o_orderdate) AS INTEGER) AS period, sum(o_totalprice) / 1e6 AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
+
+
+@query(f"WITH {SPEND}, n AS (SELECT DISTINCT entity FROM sp) SELECT n.entity, CAST(t.y AS INTEGER) AS period, 'spend' AS indicator, {R('value')}, 'WIDE' AS source FROM n CROSS JOIN range(1995, 2002) t(y) LEFT JOIN sp ON sp.entity = n.entity AND period = t.y")
+def wide_year_columns(spark, sf_dir):
+    """A wide CSV table whose code column is found by its name and whose years are column names with a prefix."""
+    raw = clean.read_csv(spark, fx.wide_file(spark, sf_dir))
+    code = resolve_column(raw.columns, lambda c: c == "iso3", lambda c: "iso" in c and "code" in c, lambda c: "country" in c)
+    return clean.wide_years_to_long(rename_aliases(raw, {"code": [code]}), "code", "spend", "WIDE", "YR")
+
+
+@query(f"""WITH {SPEND}, n AS (SELECT DISTINCT entity FROM sp), w AS (SELECT n.entity, CAST(t.y AS INTEGER) AS period, value FROM n CROSS JOIN range(1995, 2002) t(y) LEFT JOIN sp ON sp.entity = n.entity AND period = t.y)
+SELECT entity, period, 'spend' AS indicator, {R('value')}, 'WIDE' AS source FROM w UNION ALL SELECT entity, period, 'spend', {R('value')}, 'LONG' FROM sp""")
+def two_layouts(spark, sf_dir):
+    """One source in both of its layouts: years as columns, and long rows."""
+    wide = clean.read_csv(spark, fx.wide_file(spark, sf_dir)).withColumnRenamed("Country ISO code", "code")
+    long = fx.nation_spend(spark, sf_dir).select(F.lower("name").alias("code"), F.col("y").cast("string").alias("Year"), F.col("spend").cast("string").alias("Share"))
+    read = lambda df, source: clean.two_layouts_to_long(df, "code", "spend", source, "YR", "Year", "Share")
+    return read(wide, "WIDE").unionByName(read(long, "LONG"))
+
+
+@query(f"WITH {SPEND} SELECT entity, period, {R('value')} FROM sp WHERE period >= 1997")
+def yearly_reports(spark, sf_dir):
+    """Files of which only the name says the year; headers in any case."""
+    raw = clean.with_file_year(clean.read_csv(spark, f"{fx.yearly_files(spark, sf_dir)}/*.csv"))
+    rows = clean.lower_headers(raw)
+    return rows.where("period >= 1997").select(F.upper("country").alias("entity"), "period", to_number("total").alias("value"))
+
+
+@query("""SELECT upper(trim(p_brand || '-' || p_partkey)) AS entity, p_size AS period, 'size' AS indicator, CASE WHEN p_size NOT IN (1, 50) THEN CAST(p_size AS DOUBLE) END AS value, 'CODED' AS source FROM part
+UNION ALL SELECT upper(trim(p_brand || '-' || p_partkey)), p_size, 'price', round(p_retailprice, 6) + 0.0, 'CODED' FROM part""")
+def sentinel_codes(spark, sf_dir):
+    """Indicator columns renamed by code; values that stand for missing ones become NULL."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", "p_partkey").alias("c"), F.col("p_size").alias("y"), F.col("p_size").alias("s"), F.col("p_retailprice").alias("v"))
+    return clean.indicator_columns_to_long(clean.sentinels_to_null(p, "s", [1, 50]), "c", "y", {"s": "size", "v": "price"}, "CODED")
+
+
+@query("""SELECT p_partkey, CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 3 THEN CAST(p_partkey AS VARCHAR) ELSE lpad(CAST(p_partkey AS VARCHAR), 3, '0') END AS padded, CAST(1990 + p_size % 20 AS INTEGER) AS first_year,
+  CAST(CASE WHEN p_size % 3 = 0 THEN 1990 + p_size % 20 ELSE 1991 + p_size % 20 END AS INTEGER) AS last_year FROM part""")
+def code_texts(spark, sf_dir):
+    """Padded codes, and the years that texts such as 2015-Q4 begin with or 2020-2022 end with."""
+    y = 1990 + F.col("p_size") % 20
+    span = F.when(F.col("p_size") % 3 == 0, y.cast("string")).otherwise(F.concat_ws("-", y, y + 1))
+    return table(spark, sf_dir, "part").select("p_partkey", zero_padded("p_partkey").alias("padded"), leading_year(F.concat_ws("-", y, F.lit("Q4"))).alias("first_year"), end_year(span).alias("last_year"))

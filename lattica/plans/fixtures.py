@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.operators.graph import accumulate, row_normalize
 from lattica.schema import table
 from lattica.sources.archives import write_archives
-from lattica.sources.storage import shared_folder
+from lattica.sources.storage import files, opened, shared_folder
 
 #: Indicator, its source, and whether it is inverted.
 REGISTRY = [
@@ -132,3 +132,32 @@ def order_archives(spark: SparkSession, sf_dir: str) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's name in the folder that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def nation_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, y, spend): what a nation's customers order in a year, in millions."""
+    t = lambda n: table(spark, sf_dir, n)
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return o.groupBy(F.col("n_name").alias("name"), F.year("o_orderdate").alias("y")).agg((F.sum("o_totalprice") / 1e6).alias("spend"))
+
+
+def wide_file(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV folder with a column per year (YR1995 ...) and names in lower case with blanks around them."""
+    folder = scratch(spark, "wide")
+    code = F.concat(F.lit("  "), F.lower("name"), F.lit(" ")).alias("Country ISO code")
+    cells = [F.max(F.when(F.col("y") == y, F.col("spend"))).alias(f"YR{y}") for y in ARCHIVE_YEARS]
+    nation_spend(spark, sf_dir).groupBy(code).agg(*cells).write.csv(folder, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return folder
+
+
+def yearly_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of CSV files, one a year and named by it; the year is nowhere else."""
+    folder, rows = scratch(spark, "yearly"), nation_spend(spark, sf_dir).checkpoint()
+    store, root = opened(folder)
+    store.create_dir(root, recursive=True)
+    for y in ARCHIVE_YEARS:
+        part = f"{folder}-parts/{y}"
+        rows.where(F.col("y") == y).select(F.col("name").alias("Country"), F.col("spend").alias("Total"), F.lit("n/a").alias("Rank")).coalesce(1).write.csv(part, header=True)
+        for k, f in enumerate(files(part, ".csv")):
+            store.move(f.path, f"{root}/report_{k}-{y}.csv")
+    return folder

@@ -5,13 +5,26 @@ Missing values are NULL and nothing else; NaN is turned into NULL where data com
 
 from __future__ import annotations
 
+import json
+import re
+import tomllib
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or a local path, and the path in it."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
+
 FACT = T.StructType([
     T.StructField("entity", T.StringType()), T.StructField("period", T.IntegerType()), T.StructField("indicator", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("source", T.StringType()),
@@ -48,6 +61,43 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+
+def read_settings(path: str) -> Settings:
+    """Settings from a TOML or a JSON file (by its suffix): what it gives replaces the defaults.
+
+    A name that is no setting, a value of another kind, and a share outside [0, 1] are errors.  ``channel_weights`` may
+    name some channels only.
+    """
+    store, at = opened(path)
+    with store.open_input_stream(at, compression=None) as f:
+        text = f.read().decode()
+    given = tomllib.loads(text) if path.endswith(".toml") else json.loads(text or "{}")
+    known = {x.name: getattr(DEFAULTS, x.name) for x in fields(Settings)}
+    out: dict = {}
+    for name, value in given.items():
+        if name not in known:
+            raise KeyError(f"{name} is no setting")
+        now = known[name]
+        if isinstance(now, dict):
+            strange = set(value) - set(now) if isinstance(value, dict) else {value}
+            if strange:
+                raise KeyError(f"{sorted(map(str, strange))} in {name}")
+            out[name] = now | {k: float(v) for k, v in value.items()}
+        elif isinstance(now, tuple):
+            out[name] = tuple(float(v) for v in value)
+            if len(out[name]) != len(now) or not 0 <= out[name][0] <= out[name][1] <= 1:
+                raise ValueError(f"{name} are two shares in order")
+        elif isinstance(value, bool) or not isinstance(value, int | float) or isinstance(now, int) and not isinstance(value, int):
+            raise ValueError(f"{name} is {type(now).__name__}, not {value!r}")
+        else:
+            out[name] = type(now)(value)
+    for name in ("missing_threshold", "alpha", "damping", "mirror", "cascade_percentile", "cumulative_variance"):
+        if not 0 <= out.get(name, 0) <= 1:
+            raise ValueError(f"{name} is a share")
+    return replace(DEFAULTS, **out)
+
+
 #: Entities up to which an adjacency matrix is held as one array-valued row; larger graphs use edge tables.
 DENSE_LIMIT = 2000
 #: Entities up to which every source gets a copy of the matrix; the copies are as many as entities.

@@ -8,18 +8,13 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from lattica.schema import opened
+
 #: A file of so many bytes or fewer is a placeholder of a download that brought nothing.
 PLACEHOLDER_BYTES = 100
 _DATED = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI or a local path, and the path in it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
-
-
 def files(uri: str, suffix: str = "", recursive: bool = True) -> Iterator[fs.FileInfo]:
     """The files under a folder whose names end with ``suffix``, by path; hidden ones (``.`` or ``_``) don't count."""
     store, root = opened(uri)
