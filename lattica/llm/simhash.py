@@ -18,6 +18,7 @@ that a tree's depth follows the table and is not limited by the sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ SAMPLE = 8192
 FIT_LEAST = 32
 #: Fingerprints per leaf, about; leaves over SPLIT rows (dense groups) are split into parts.
 LEAF, SPLIT = 8000, 40_000
-#: Texts of a group that one task verifies, at most, and texts and shingles of a task with smaller groups, about.
-PART_TEXTS, BIN_TEXTS, BIN_SHINGLES = 24_000, 6000, 4_000_000
-#: Rounds in which groups over PART_TEXTS are taken apart around vantage texts before they are dealt into parts.
+#: Texts and shingles of a group that one task verifies, at most, and of a task with smaller groups, about.
+PART_TEXTS, PART_SHINGLES, BIN_TEXTS, BIN_SHINGLES = 24_000, 16_000_000, 6000, 4_000_000
+#: Rounds in which groups over PART_TEXTS or PART_SHINGLES are taken apart around vantage texts before they are dealt into parts.
 PEEL_ROUNDS = 8
 #: Shingles whose counts a task settles, about.
 BUCKET_SHINGLES = 1_500_000
@@ -506,20 +507,28 @@ def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     return listed.join(heads, ["h", "k"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
+def _parts(sets: DataFrame) -> DataFrame:
+    """(near, parts) of the groups that are more than one task's work, by their texts or by their shingles."""
+    n, shingles = F.count(F.lit(1)), F.sum(F.size("shingles"))
+    parts = F.greatest(F.ceil(n / PART_TEXTS), F.ceil(shingles / PART_SHINGLES)).cast("int")
+    return kept(sets.groupBy("near").agg(parts.alias("parts")).where("parts > 1"))
+
+
 def _peel(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Take groups over ``PART_TEXTS`` apart around vantage texts: what is left to compare, and verified links.
+    """Take groups over ``PART_TEXTS`` or ``PART_SHINGLES`` apart around vantage texts: what is left to compare, and verified links.
 
     All texts of a group are compared with one of them.  Those at the similarity are linked to it, and with a
     distance d = 1 - Jaccard, which is a metric, a text further than 2 (1 - similarity) away can't be linked to any of
     them.  So the rest goes on as a group without the linked ones, and only where texts lie in the ring between do
     they form another group with the linked ones at the ring's side.  A group of near copies of any size is one pass.
     """
-    links, near = [], 1 - similarity
+    links, near, apart = [], 1 - similarity, []
     for turn in range(PEEL_ROUNDS):
-        large = kept(sets.groupBy("near").count().where(F.col("count") > PART_TEXTS).select("near"))
+        large = _parts(sets).select("near")
         if not large.limit(1).count():
             break
-        rest, big = sets.join(small(large), "near", "left_anti"), sets.join(small(large), "near", "left_semi")
+        big = sets.join(small(large), "near", "left_semi")
+        apart.append(sets.join(small(large), "near", "left_anti"))  # read from where it stands
         heads = kept(big.groupBy("near").agg(F.min_by(F.struct("node", "shingles"), F.xxhash64("node", F.lit(turn))).alias("head")))
         both = F.size(F.array_intersect("shingles", "head.shingles"))
         total = F.size("shingles") + F.size("head.shingles") - both
@@ -529,8 +538,23 @@ def _peel(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame
         ring = kept(seen.where((F.col("d") > near + 1e-9) & (F.col("d") <= 2 * near + 1e-9)).groupBy("near").agg(F.min("d").alias("inner")))
         edge = (seen.join(small(ring), "near").where((F.col("d") <= 2 * near + 1e-9) & (F.col("d") >= F.col("inner") - near - 1e-9))
                 .select(F.xxhash64("near", "a").alias("near"), "node", "shingles"))
-        sets = kept(rest.unionByName(seen.where(F.col("d") > near + 1e-9).select("near", "node", "shingles")).unionByName(edge))
-    return sets, links
+        sets = kept(seen.where(F.col("d") > near + 1e-9).select("near", "node", "shingles").unionByName(edge))
+    return reduce(DataFrame.unionByName, apart, sets), links
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """(place, bin, node, shingles): a group is judged in one place; one that is still large, in a place for each two of its parts.
+
+    Small groups share a task; two parts of a large one have theirs to themselves.
+    """
+    large = _parts(sets)
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("s")).first()
+    bins = max(1, -(-size["n"] // BIN_TEXTS), -(-size["s"] // BIN_SHINGLES))
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")))
+    dealt = sets.join(small(large), "near", "left").withColumn("part", part).withColumn("other", F.explode(others))
+    place = F.xxhash64("near", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select(place.alias("place"), F.when(F.col("parts").isNull(), F.pmod(place, F.lit(bins))).otherwise(place).alias("bin"), "node", "shingles")
 
 
 def verified_groups(
@@ -566,16 +590,8 @@ def verified_groups(
     sets = kept(texts.join(small(near), "node").select("near", "node", "text").mapInArrow(_sets(shingle_words), "near long, node long, shingles array<int>"))
     discard(prefixes, prints, reps, candidates)
     sets, links = _peel(sets, similarity)
-    # a group is judged in one place; one that is still large, in a place for each two of its parts
-    large = kept(sets.groupBy("near").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_TEXTS)
-                 .select("near", F.ceil(F.col("_n") / PART_TEXTS).cast("int").alias("parts")))
-    size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("s")).first()
-    bins = max(1, -(-size["n"] // BIN_TEXTS), -(-size["s"] // BIN_SHINGLES))
-    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")))
-    placed = sets.join(small(large), "near", "left").withColumn("part", part).withColumn("other", F.explode(others))
-    placed = placed.select(F.xxhash64("near", F.least("part", "other"), F.greatest("part", "other")).alias("place"), "node", "shingles")
-    found = placed.groupBy(F.pmod("place", F.lit(bins)).alias("bin")).applyInArrow(_verify(similarity), "a long, b long")
+    placed = _placed(sets)
+    found = placed.groupBy("bin").applyInArrow(_verify(similarity), "a long, b long")
     for one in links:
         found = found.unionByName(one)
     parts = connected_components(kept(found)).withColumnRenamed("id", "node")

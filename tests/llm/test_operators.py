@@ -297,9 +297,9 @@ def test_leaves_shrink_with_the_table():
         assert copies < 8 and largest < 2.5 * simhash.LEAF
 
 
-@pytest.mark.parametrize("part", [12, 6000])
+@pytest.mark.parametrize("part", [12, 6000, 4000])
 def test_verified_groups(spark, monkeypatch, part):
-    monkeypatch.setattr(simhash, "PART_TEXTS", part)
+    monkeypatch.setattr(simhash, "PART_SHINGLES" if part == 4000 else "PART_TEXTS", part)
     monkeypatch.setattr(simhash, "PEEL_ROUNDS", 3)
     rng, vocab, rows = random.Random(8), vocabulary(900, 8), []
     for k in range(40):
@@ -323,6 +323,27 @@ def test_verified_groups(spark, monkeypatch, part):
     assert got[1003] == 0 and got[1002] == got[1001] == got[1000] == 1000  # texts without words are alike
 
 
+def test_large_groups_are_parted_by_shingles(spark, monkeypatch):
+    """Few texts of many shingles are parted as many texts are: no task has more than two parts, and all pairs meet."""
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 3000)
+    monkeypatch.setattr(simhash, "BIN_SHINGLES", 1000)
+    rows = [(1, i, list(range(i, i + 300))) for i in range(100)] + [(2, 1000 + i, [i, i + 1]) for i in range(50)]
+    sets = spark.createDataFrame(rows, "near long, node long, shingles array<int>").repartition(4).checkpoint()
+    dealt = simhash._placed(sets).collect()
+    load = collections.Counter()
+    for r in dealt:
+        load[r["bin"]] += len(r["shingles"])
+    assert max(load.values()) < 2 * 3000 * 2 and len(load) > 20
+    places = collections.defaultdict(set)
+    for r in dealt:
+        places[r["place"]].add(r["node"])
+    met = {(a, b) for nodes in places.values() for a in nodes for b in nodes}
+    assert all((a, b) in met for a in range(100) for b in range(100)) and all((1000, 1000 + b) in met for b in range(50))
+    left, links = simhash._peel(sets, 0.8)
+    assert links and sum(r["n"] for r in left.groupBy("near").agg(F.count("node").alias("n")).collect()) >= 50
+    assert {r["node"] for r in left.where("near = 2").collect()} == {1000 + i for i in range(50)}  # small groups stay as they are
+
+
 @pytest.mark.parametrize("part", [10, 24_000])
 def test_verified_groups_match_brute_force(spark, monkeypatch, part):
     """Truncated, extended and reordered texts, at similarities on both sides of 0.8."""
