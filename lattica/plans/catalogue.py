@@ -1132,3 +1132,29 @@ def code_texts(spark, sf_dir):
     y = 1990 + F.col("p_size") % 20
     span = F.when(F.col("p_size") % 3 == 0, y.cast("string")).otherwise(F.concat_ws("-", y, y + 1))
     return table(spark, sf_dir, "part").select("p_partkey", zero_padded("p_partkey").alias("padded"), leading_year(F.concat_ws("-", y, F.lit("Q4"))).alias("first_year"), end_year(span).alias("last_year"))
+
+
+@query(f"""WITH RECURSIVE {CORR}, n AS (SELECT count(DISTINCT a) AS n FROM cm), it AS (SELECT 0 AS k, a, 1.0::DOUBLE AS v FROM (SELECT DISTINCT a FROM cm)
+  UNION ALL SELECT k + 1, a, v / sqrt(sum(v * v) OVER ()) FROM (SELECT i.k, c.a, sum(c.r * i.v) AS v FROM it i JOIN cm c ON c.b = i.a WHERE i.k < 300 GROUP BY i.k, c.a)),
+  v AS (SELECT a, v * CASE WHEN sum(v) OVER () < 0 THEN -1 ELSE 1 END AS v FROM it WHERE k = 300), e AS (SELECT sum(x.v * c.r * y.v) AS e FROM v x JOIN cm c ON c.a = x.a JOIN v y ON y.a = c.b)
+SELECT a AS indicator, round(v, 6) + 0.0 AS loading, round(e, 6) + 0.0 AS eigenvalue, round(e / n, 6) + 0.0 AS share FROM v, e, n""")
+def leading_component(spark, sf_dir):
+    """The first component and its share of the variance, which SQL finds by power iteration."""
+    c = _components(spark, sf_dir).checkpoint()
+    share = stats.cumulative_share(c).where("component = 1").select("share")
+    return c.where("component = 1").select("indicator", "loading", "eigenvalue").join(F.broadcast(share))
+
+
+RESILIENCE_SQL = """q AS (SELECT quantile_cont(w, 0.8) AS q FROM edges WHERE w > 0), strong AS MATERIALIZED (SELECT src, dst FROM edges, q WHERE w >= q),
+  c AS (SELECT count(*) AS n FROM nodes), pr AS (SELECT 0 AS k, entity, 1.0::DOUBLE / n AS r FROM nodes, c
+  UNION ALL SELECT p.k + 1, e.dst, 0.85 * sum(e.w * p.r) + 0.15 / any_value(c.n) FROM pr p JOIN edges e ON e.src = p.entity, c WHERE p.k < 50 GROUP BY p.k, e.dst),
+  bfs AS (SELECT entity AS s, entity AS v, 0 AS d FROM nodes UNION SELECT b.s, e.dst, b.d + 1 FROM bfs b JOIN strong e ON e.src = b.v WHERE b.d < 26), dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM bfs GROUP BY 1, 2),
+  sig AS (SELECT entity AS s, entity AS v, 0 AS d, 1.0::DOUBLE AS c FROM nodes UNION ALL SELECT g.s, e.dst, g.d + 1, sum(g.c) FROM sig g JOIN strong e ON e.src = g.v JOIN dist t ON t.s = g.s AND t.v = e.dst AND t.d = g.d + 1 GROUP BY g.s, e.dst, g.d),
+  b AS (SELECT a.v AS entity, sum(a.c * z.c / t.c) AS b FROM sig a JOIN sig z ON z.s = a.v JOIN sig t ON t.s = a.s AND t.v = z.v WHERE a.d + z.d = t.d AND a.s <> a.v AND z.s <> z.v GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {RESILIENCE_SQL} SELECT nodes.entity, round(r / sum(r) OVER (), 6) + 0.0 AS pagerank, round(coalesce(b, 0) / greatest(max(coalesce(b, 0)) OVER (), 1e-10), 6) + 0.0 AS betweenness,
+  round((SELECT count(*) FROM edges WHERE w > 0 AND src <> dst) / (n * (n - 1)), 6) + 0.0 AS density FROM nodes JOIN pr ON pr.entity = nodes.entity AND pr.k = 50 LEFT JOIN b ON b.entity = nodes.entity, c""")
+def resilience_network(spark, sf_dir):
+    """The resilience measures that SQL can follow, side by side; the spectral ones have checks of their own."""
+    return graph.resilience(fx.trade(spark, sf_dir), 0.8).select("entity", "pagerank", "betweenness", "density")
