@@ -262,11 +262,31 @@ def eigenvalue_sums(spark, sf_dir):
     return c.agg(F.sum("eigenvalue").alias("trace"), F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"))
 
 
+def _power_sql(count: int, steps: int = 400) -> str:
+    """All components in SQL: power iteration, and again on what is left of the matrix without the component found."""
+    parts = ["m0 AS MATERIALIZED (SELECT a, b, r FROM cm)", "names AS (SELECT a, 1 + 0.37 * row_number() OVER (ORDER BY a) AS s FROM (SELECT DISTINCT a FROM cm))"]
+    for k in range(1, count + 1):
+        parts.append(f"""i{k} AS (SELECT 0 AS k, a, CAST(s AS DOUBLE) AS v FROM names
+  UNION ALL SELECT k + 1, a, v / sqrt(sum(v * v) OVER ()) FROM (SELECT i.k, c.a, sum(c.r * i.v) AS v FROM i{k} i JOIN m{k - 1} c ON c.b = i.a WHERE i.k < {steps} GROUP BY i.k, c.a)),
+  v{k} AS MATERIALIZED (SELECT a, v * CASE WHEN sum(v) OVER () < 0 THEN -1 ELSE 1 END AS v FROM i{k} WHERE k = {steps}),
+  e{k} AS MATERIALIZED (SELECT sum(x.v * c.r * y.v) AS e FROM v{k} x JOIN m0 c ON c.a = x.a JOIN v{k} y ON y.a = c.b),
+  m{k} AS MATERIALIZED (SELECT c.a, c.b, c.r - e * x.v * y.v AS r FROM m{k - 1} c JOIN v{k} x ON x.a = c.a JOIN v{k} y ON y.a = c.b, e{k})""")
+    parts.append("vec AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS component, a AS indicator, e AS eigenvalue, v AS loading FROM v{k}, e{k}" for k in range(1, count + 1)) + ")")
+    parts.append("""vals AS (SELECT component, any_value(eigenvalue) AS eigenvalue FROM vec GROUP BY 1), shares AS (SELECT component, eigenvalue, eigenvalue / sum(eigenvalue) OVER () AS share, sum(eigenvalue) OVER (ORDER BY component) / sum(eigenvalue) OVER () AS cumulative FROM vals)""")
+    return ", ".join(parts)
+
+
+COMPONENTS = f"""{CORR}, {_power_sql(len(fx.INDICATORS))},
+  keep AS (SELECT greatest(count(*) FILTER (WHERE eigenvalue > 1), count(*) FILTER (WHERE cumulative < 0.8 - 1e-12) + 1) AS k FROM shares),
+  comp AS MATERIALIZED (SELECT vec.*, component <= k AS kept FROM vec, keep), kt AS (SELECT sum(eigenvalue) AS t FROM vals, keep WHERE component <= k),
+  pw AS MATERIALIZED (SELECT indicator, sum(loading * eigenvalue / t) AS weight FROM comp, kt WHERE kept GROUP BY 1)"""
+
+
 def _components(spark, sf_dir):
     return stats.principal_components(stats.correlation_matrix(fx.matrix(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {COMPONENTS} SELECT component, indicator, {R('eigenvalue')}, {R('loading')}, kept FROM comp")
 def principal_components(spark, sf_dir):
     return _components(spark, sf_dir)
 
@@ -276,7 +296,7 @@ def rotated_loadings(spark, sf_dir):
     return stats.rotated_loadings(_components(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {COMPONENTS}, cs AS (SELECT entity, sum(value * weight) AS score FROM matrix JOIN pw USING (indicator) GROUP BY 1) SELECT entity, {R('score')}, CAST(row_number() OVER (ORDER BY score DESC, entity) AS INTEGER) AS rank FROM cs")
 def composite_scores(spark, sf_dir):
     return stats.ranked(stats.composite_scores(fx.matrix(spark, sf_dir), _components(spark, sf_dir)), "score")
 
@@ -286,7 +306,10 @@ def composite_intervals(spark, sf_dir):
     return stats.bootstrap_composites(fx.matrix(spark, sf_dir), _components(spark, sf_dir), 500)
 
 
-@query()
+@query(f"""WITH RECURSIVE {COMPONENTS}, f AS (SELECT entity, period, indicator, coalesce(value, median(value) OVER (PARTITION BY period, indicator), 0) AS value FROM gaps),
+  q AS (SELECT period, indicator, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM f GROUP BY 1, 2), c AS (SELECT entity, period, indicator, least(greatest(value, lo), hi) AS value FROM f JOIN q USING (period, indicator)),
+  m AS (SELECT *, median(value) OVER (PARTITION BY period, indicator) AS m FROM c), d AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY period, indicator) AS mad FROM m)
+SELECT entity, period, round(sum(weight * CASE WHEN mad > 1e-6 THEN (value - m) / (1.4826 * mad) ELSE 0 END), 6) + 0.0 AS score FROM d JOIN pw USING (indicator) GROUP BY 1, 2""")
 def historical_composites(spark, sf_dir):
     return stats.historical_scores(fx.panel(spark, sf_dir, gaps=True), stats.indicator_weights(_components(spark, sf_dir)))
 
@@ -839,7 +862,7 @@ def eigenvalue_gaps(spark, sf_dir):
     return stats.gaps(graph.spectrum(fx.trade(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {CORR}, {_power_sql(len(fx.INDICATORS))} SELECT component, {R('eigenvalue')}, {R('share')}, {R('cumulative')} FROM shares")
 def cumulative_variance(spark, sf_dir):
     return stats.cumulative_share(_components(spark, sf_dir))
 
