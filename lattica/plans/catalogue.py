@@ -490,7 +490,15 @@ def fiedler_checks(spark, sf_dir):
                                     F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), (F.min("lambda2") > 0).alias("positive"))
 
 
-@query()
+FIEDLER_SQL = """sy AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) WHERE src <> dst GROUP BY 1, 2),
+  dg AS (SELECT entity, coalesce(sum(w), 0) AS d FROM nodes LEFT JOIN sy ON src = entity GROUP BY 1), cn AS (SELECT 2 * max(d) AS c, count(*) AS n FROM dg),
+  b0 AS MATERIALIZED (SELECT x.entity AS a, y.entity AS b, CASE WHEN x.entity = y.entity THEN c - x.d ELSE 0 END + coalesce(w, 0) - c / n AS r FROM dg x CROSS JOIN dg y LEFT JOIN sy ON src = x.entity AND dst = y.entity, cn),
+  sq AS (SELECT 0 AS k, a, b, r FROM b0 UNION ALL SELECT k + 1, a, b, r / max(abs(r)) OVER () FROM (SELECT x.k, x.a, y.b, sum(x.r * y.r) AS r FROM sq x JOIN sq y ON y.a = x.b AND y.k = x.k WHERE x.k < 20 GROUP BY 1, 2, 3)),
+  top AS (SELECT a FROM sq WHERE k = 20 AND a = b ORDER BY r DESC, a LIMIT 1), fv AS MATERIALIZED (SELECT sq.a AS entity, r / sqrt(sum(r * r) OVER ()) AS v FROM sq JOIN top ON sq.b = top.a WHERE k = 20),
+  l2 AS (SELECT any_value(c) - sum(x.v * r * y.v) AS lambda2 FROM fv x JOIN b0 ON b0.a = x.entity JOIN fv y ON y.entity = b0.b, cn)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, {FIEDLER_SQL} SELECT entity, CASE WHEN v >= 0 THEN 'A' ELSE 'B' END AS side, {R('lambda2')}, round(1 / lambda2, 6) + 0.0 AS relaxation FROM fv, l2")
 def fiedler_partition(spark, sf_dir):
     return graph.fiedler(fx.trade(spark, sf_dir)).drop("value")
 
@@ -1181,3 +1189,8 @@ RESILIENCE_SQL = """q AS (SELECT quantile_cont(w, 0.8) AS q FROM edges WHERE w >
 def resilience_network(spark, sf_dir):
     """The resilience measures that SQL can follow, side by side; the spectral ones have checks of their own."""
     return graph.resilience(fx.trade(spark, sf_dir), 0.8).select("entity", "pagerank", "betweenness", "density")
+
+
+ORACLE["resilience_measures"] = f"""WITH RECURSIVE {EDGES}, {RESILIENCE_SQL}, {FIEDLER_SQL} SELECT nodes.entity, round(r / sum(r) OVER (), 6) + 0.0 AS pagerank, round(coalesce(b.b, 0) / greatest(max(coalesce(b.b, 0)) OVER (), 1e-10), 6) + 0.0 AS betweenness,
+  CASE WHEN v >= 0 THEN 'A' ELSE 'B' END AS side, {R('lambda2')}, round(1 / lambda2, 6) + 0.0 AS relaxation, round((SELECT count(*) FROM edges WHERE w > 0 AND src <> dst) / (c.n * (c.n - 1)), 6) + 0.0 AS density
+  FROM nodes JOIN pr ON pr.entity = nodes.entity AND pr.k = 50 JOIN fv ON fv.entity = nodes.entity LEFT JOIN b ON b.entity = nodes.entity, c, l2"""

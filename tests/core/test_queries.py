@@ -40,7 +40,7 @@ def rows(frame, columns):
 
 #: At the smallest scale some nations have no supplier, and a recursive CTE drops what has no in-edges; these run at a larger one.
 NEEDS_ALL_NATIONS = {"pagerank", "pagerank_both_ways", "steady_state", "trajectory", "sensitivity_matrix", "factor_shocks", "top_impacted", "cascade_crossings", "systemic_risk", "contagion_thresholds", "convergence_step",
-                     "compound_scenario", "edge_shock_effect", "unstable_trajectory", "cascade_report", "pagerank_intervals", "eigenvector_centrality", "network_stability", "domino_sequence", "resilience_network"}
+                     "compound_scenario", "edge_shock_effect", "unstable_trajectory", "cascade_report", "pagerank_intervals", "eigenvector_centrality", "network_stability", "domino_sequence", "resilience_network", "resilience_measures"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
