@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import prepare, releasing
-from lattica.llm.text import Words, chunks, lower_ascii
+from lattica.llm.text import Words, chunks, lower_ascii, segments
 
 #: Ids that a task holds in open windows, at most; beyond that they are closed by cutting.
 OPEN_IDS = 4_000_000
@@ -125,19 +125,24 @@ class Encoder:
             self._learn(new)
         return np.array([self.known[w] for w in words], np.int64)
 
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        words = pieces(lower_ascii(data), offsets)
+        first, inverse = words.distinct()
+        raw = words.data.tobytes()
+        slot = self.slots([raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])[inverse]
+        size = self.size[slot]
+        shift = np.repeat(self.begin[slot] - (np.cumsum(size) - size), size)
+        ids = self.ids[np.arange(len(shift)) + shift]
+        ends = np.r_[0, np.cumsum(size)][words.first]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text in turn; a null text counts as empty."""
+        """The ids of each text in turn; a null text counts as empty, a very long one is worked on in segments."""
         for _, _, data, offsets in chunks(column):
-            words = pieces(lower_ascii(data), offsets)
-            first, inverse = words.distinct()
-            raw = words.data.tobytes()
-            slot = self.slots([raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])[inverse]
-            size = self.size[slot]
-            shift = np.repeat(self.begin[slot] - (np.cumsum(size) - size), size)
-            ids = self.ids[np.arange(len(shift)) + shift]
-            ends = np.r_[0, np.cumsum(size)][words.first]
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                yield ids[a:b]
+            if len(offsets) == 2:
+                yield np.concatenate([self._ids(part, np.array([0, len(part)]))[0] for part in segments(data)])
+            else:
+                yield from self._ids(data, offsets)
 
 
 @lru_cache(maxsize=2)

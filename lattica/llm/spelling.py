@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import discard, kept, prepare, releasing, small
-from lattica.llm.text import Words, chunks, lower_ascii
+from lattica.llm.text import Words, chunks, lower_ascii, segments
 
 #: Letter groups: a letter's group is its code point modulo this.
 GROUPS = 12
@@ -110,7 +110,8 @@ def _counted(least: int, every: int):
         for batch in batches:
             ids = pc.fill_null(batch.column(0).cast(pa.string()), "").to_pylist()
             for i, j, data, offsets in chunks(batch.column(1)):
-                _add_words(found, ids[i:j], data, offsets, least, every)
+                for part in segments(data) if j - i == 1 else [data]:  # a very long text is counted in segments
+                    _add_words(found, ids[i:j], part, np.array([0, len(part)]) if j - i == 1 else offsets, least, every)
                 if len(found) > COUNTED_WORDS:
                     yield batch_of(found)
                     found = {}

@@ -54,6 +54,28 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+#: Bytes of a text that are worked on at once where words can be handled piece by piece.
+SEGMENT_BYTES = 8 << 20
+
+
+def segments(data: np.ndarray, limit: int | None = None) -> Iterator[np.ndarray]:
+    """A text in pieces of about ``limit`` bytes, cut behind white space only; words of any length stay whole."""
+    limit, at = limit or SEGMENT_BYTES, 0
+    while len(data) - at > limit:
+        end = at + limit
+        while end < len(data):
+            hit = np.flatnonzero(_SPACE[data[end : end + 4096]])
+            if len(hit):
+                end += int(hit[0]) + 1
+                break
+            end += 4096
+        end = min(end, len(data))
+        yield data[at:end]
+        at = end
+    if at < len(data) or not len(data):
+        yield data[at:]
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """Lower-case A-Z and leave every other byte."""
     return _LOWER[data]

@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lattica.llm import centroids, packing, spelling
+from lattica.llm import centroids, packing, spelling, text
 from lattica.llm.queries import packing_tokenizer_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, x string, cluster int"
 DOCS = "doc_id long, text string, word string, n long, id string, ids string, start long"
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 # centroids
 
 
@@ -102,6 +104,23 @@ def test_ids_equal_the_library(library):
     assert got == [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_long_texts_in_segments(library, monkeypatch):
+    """Texts cut into segments behind white space have the same ids and words; a word longer than a segment stays whole."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices(ODD[:8] + ODD[22:26], k=rng.randint(1, 6))) for _ in range(n)) for n in (0, 1, 30, 300)] + ["x" * 9000 + " y " + "z" * 5000, "é " * 3000]
+    for limit in (1, 7, 5000):
+        monkeypatch.setattr("lattica.llm.text.SEGMENT_BYTES", limit)
+        for t in texts:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            assert b"".join(p.tobytes() for p in text.segments(raw)) == t.encode()
+            assert [x.tolist() for x in packing.Encoder(packing_tokenizer_path()).texts(pa.array([t]))] == [library.encode(t, add_special_tokens=False).ids]
+            found = {}
+            for b in spelling._counted(1, 5)(iter([pa.RecordBatch.from_arrays([pa.array([3]), pa.array([t])], names=["id", "text"])])):
+                found = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            want = collections.Counter(w for run in re.findall("[A-Za-zÀ-ÿ]+", t) if (w := spelling.altered("3", run.translate(LOWER), 5)))
+            assert {w: n for w, n in found.items() if n} == dict(want)
+
+
 def test_kept_pieces_are_forgotten(library, monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 50)
     rng, encode = random.Random(3), packing.Encoder(packing_tokenizer_path())
