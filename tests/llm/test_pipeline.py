@@ -31,7 +31,7 @@ def test_odd_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         docs = kept(stage(spark, docs, sf_dir))
     ids = sorted(str(r["doc_id"]) for r in docs.collect())
-    assert ids == ["1", "2", "None"] or ids == ["1", "2", "4", "None"]
+    assert ids == ["1", "2", "None"]  # 3 is empty as 2 is, 4 shares 17 of its 20 shingles with 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
