@@ -2,8 +2,8 @@
 
 Linear recursions (PageRank, propagation, leading eigenvectors) have two forms with equal steps and results.  Graphs
 of up to ``DENSE_LIMIT`` nodes become one array-valued row and the whole recursion one expression, a single job; larger
-ones are iterated as joins over the edge table, written to the checkpoint folder as they go.  Whole spectra and
-embeddings need the matrix itself: they run in one task and raise beyond that size.
+ones are iterated as joins over the edge table, written to the checkpoint folder as they go.  Spectra, Fiedler vectors,
+embeddings and communities come from ``eigen``, on edge tables of any size.
 """
 
 from __future__ import annotations
