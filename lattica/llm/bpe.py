@@ -222,12 +222,15 @@ class Encoder:
         known.update(dict.fromkeys(pieces))
         known.update(zip(plain, self._encode([self._piece(space, p) for p in plain]), strict=True))
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers; a special token's string is that token."""
+    def texts(self, texts: list[str], chunk: int = CHUNK_CHARS) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers; a special token's string is that token.
+
+        New pieces of about ``chunk`` characters of text are encoded together; the ids don't depend on it.
+        """
         out, at = [], 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_CHARS):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= chunk):
                 size += len(texts[end])
                 end += 1
             if len(self.lead) + len(self.rest) > KEPT_WORDS:
@@ -291,12 +294,15 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("id", "ids").mapInArrow(make, f"id {kind}, ids array<int>, text string")
 
 
-def encode_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, ids binary, text) in one pass: ids as little-endian unsigned 32-bit integers, text decoded from them."""
+def encode_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
+    """(id, n_tokens, ids binary, text) in one pass: ids as little-endian unsigned 32-bit integers, text decoded from them.
+
+    A smaller ``chunk`` (characters whose new pieces are encoded together) takes less memory and more time.
+    """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            coded = own.texts([t or "" for t in batch.column("text").to_pylist()])
+            coded = own.texts([t or "" for t in batch.column("text").to_pylist()], chunk)
             texts = [own.vocabulary.decode(np.frombuffer(c, "<u4").astype(np.int64)).decode("utf-8", "replace") for c in coded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(texts, pa.string())],
