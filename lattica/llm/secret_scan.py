@@ -7,6 +7,8 @@ document, on blocks of positions, of weak spans with the spans of the other part
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ ENDPOINT = r"""(?:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
 
+# What stands, in lower case, in every match of the longer patterns: plain searches that keep most texts from them.
+ASSIGN_SIGNS = ("passw", "secret", "token", "apikey", "api_key")
+LOGIN_SIGNS = ("user", "login", "client", "account")
+ENDPOINT_SIGN, ACCESS_SIGN = "://", "AKIA"
+
 #: Kinds in the order that ties at one start are listed in.
 KINDS = ["assign", "access", "hex", "weak_secret", "weak_access", "login", "endpoint"]
 #: Matches of a text whose positions are added up in one go.
@@ -38,6 +45,10 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _any_of(text: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in signs))
+
+
 def _spans(text: Column, pattern: str, rank: Column | int, least: int = 0) -> Column:
     """Matches of ``pattern`` as structs (start, rank, end) in code points, from the text's matches and gaps.
 
@@ -60,8 +71,12 @@ def _spans(text: Column, pattern: str, rank: Column | int, least: int = 0) -> Co
         blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out")),
         lambda acc, block: _with(within(acc["at"], block), lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out"))),
         lambda acc: acc["out"]))
-    found = F.filter(walked, lambda s: s["end"] - s["start"] >= least) if least else walked
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.filter(walked, lambda s: s["end"] - s["start"] >= least) if least else walked
+
+
+def _where(test: Column, spans: Column) -> Column:
+    """``spans`` of a text that passes ``test``, none of others."""
+    return F.when(test, spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _assigned(text: Column) -> Column:
@@ -70,8 +85,7 @@ def _assigned(text: Column) -> Column:
     ranked = F.zip_with(_spans(text, ASSIGN, 0), value, lambda s, v: F.struct(
         s["start"].alias("start"), F.when(F.length(v) >= ASSIGN_LEAST, 0).otherwise(3).alias("rank"), s["end"].alias("end"), F.length(v).alias("n")))
     enough = F.filter(ranked, lambda s: s["n"] >= WEAK_SECRET_LEAST)
-    out = F.transform(enough, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return F.when(text.rlike(ASSIGN), out).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.transform(enough, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
 
 def _access(text: Column) -> Column:
@@ -81,11 +95,19 @@ def _access(text: Column) -> Column:
 
 
 def found_in(text: Column) -> Column:
-    """All base spans and weak candidates of a text, sorted: array<struct<start, rank, end>>."""
+    """All base spans and weak candidates of a text, sorted: array<struct<start, rank, end>>.
+
+    A pattern is tried on texts that hold what all its matches hold, and its matches are taken where it is found.
+    """
     t = F.coalesce(text, F.lit(""))
     # a maximal run of hex digits that is long enough is what filtering all runs by length would leave
-    hexes = _spans(t, HEX[:-1] + "{%d,}" % HEX_LEAST, 2)
-    return F.array_sort(F.concat(_assigned(t), _access(t), hexes, _spans(t, LOGIN, 5), _spans(t, ENDPOINT, 6)))
+    long_hex = HEX[:-1] + "{%d,}" % HEX_LEAST
+    # letters beyond ASCII may become ASCII ones here: then a pattern is tried in vain
+    named = _with(F.lower(t), lambda low: F.struct(_any_of(low, ASSIGN_SIGNS).alias("assign"), _any_of(low, LOGIN_SIGNS).alias("login")))
+    return _with(named, lambda has: F.array_sort(F.concat(
+        _where(has["assign"] & t.rlike(ASSIGN), _assigned(t)), _where(F.contains(t, F.lit(ACCESS_SIGN)), _access(t)),
+        _where(t.rlike(long_hex), _spans(t, long_hex, 2)), _where(has["login"] & t.rlike(LOGIN), _spans(t, LOGIN, 5)),
+        _where(F.contains(t, F.lit(ENDPOINT_SIGN)) & t.rlike(ENDPOINT), _spans(t, ENDPOINT, 6)))))
 
 
 def undecided(found: Column) -> Column:
