@@ -8,11 +8,17 @@ import inspect
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Rows per Arrow batch at most: whole texts travel in these, so that long ones stay within a worker's memory.
 BATCH_ROWS = 1000
@@ -67,6 +73,68 @@ def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder as a URI that pyarrow can open."""
+    base = shared_folder(spark)
+    return base if "://" in base or base.startswith("file:") else f"file://{base}"
+
+
+#: Where a row stands in a written table: its file and its place there.
+_FILE, _PLACE = "__file", "__place"
+
+
+def _attach(folder: str, added: pa.Schema):
+    """Add to batches of rows with a file and a place the columns that ``folder`` holds for them; one file's at a time."""
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        at, places, held = None, None, None
+        for batch in batches:
+            files = batch.column(_FILE)
+            cuts = np.flatnonzero(np.r_[True, pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False), True]) if len(files) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if files[i].as_py() != at:
+                    at, path = files[i].as_py(), f"{root}/__name={files[i].as_py()}"
+                    known = store.get_file_info(path).type == fs.FileType.Directory
+                    held = pq.read_table(path, filesystem=store, partitioning=None).sort_by(_PLACE) if known else pa.schema([(_PLACE, pa.int64()), *added]).empty_table()
+                    places = held.column(_PLACE).to_numpy()
+                part = batch.slice(i, j - i)
+                own = part.column(_PLACE).to_numpy()
+                k = np.searchsorted(places, own)
+                hit = k < len(places)
+                hit[hit] = places[k[hit]] == own[hit]
+                row = pa.array(k, mask=~hit)
+                rest = part.drop_columns([_FILE, _PLACE])
+                more = [held.column(f.name).take(row).combine_chunks().cast(f.type) for f in added]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *more], names=[*rest.schema.names, *added.names])
+    return attach
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (a kept table, one row a key; null where it has none), whatever the rows' width.
+
+    Beyond ``limit`` keys, rows are written as they stand, without an exchange, and only (key, file, place) is joined;
+    what belongs to a file's rows is one small file that the task of these rows reads.  A null key finds nothing.
+    """
+    if keys.count() <= limit:
+        return rows.join(F.broadcast(keys), key, "left").select(*rows.columns, *[c for c in keys.columns if c != key])
+    spark, held = rows.sparkSession, kept(rows)
+    where = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE)]
+    found = held.select(key, *where).join(keys, key).drop(key).withColumnRenamed(_FILE, "__name")
+    folder = f"{shared_uri(spark)}/places-{uuid.uuid4().hex}"
+    found.repartition("__name").write.partitionBy("__name").parquet(folder)
+    added = [f for f in keys.schema.fields if f.name != key]
+    out = StructType([*held.schema.fields, *(StructField(f.name, f.dataType, True) for f in added)])
+    return held.select("*", *where).mapInArrow(_attach(folder, to_arrow_schema(StructType(added))), out)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` whose key is not in ``keys`` (a kept table of keys, each once); a null key stays.  Rows are not exchanged."""
+    if keys.count() <= limit:
+        return rows.join(F.broadcast(keys), key, "left_anti").select(*rows.columns)
+    marked = kept(keys.select(key, F.lit(True).alias("__found")))
+    return looked_up(rows, marked, key, limit).where("__found is null").drop("__found")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hashed_sample, kept, prepare, shared_folder, small
+from lattica.llm.common import BROADCAST_ROWS, hashed_sample, kept, looked_up, prepare, shared_uri
 
 # Fixed value of the WARC-Zstandard convention: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -36,11 +36,17 @@ LEAST_REVISIT = 100
 READ_BYTES = 64 << 10
 
 
-def train_dictionary(rows: DataFrame, date: str) -> bytes:
+def train_dictionary(rows: DataFrame, repeated: DataFrame, date: str) -> bytes:
     """A dictionary from ``SAMPLE_RECORDS`` records, the first by a hash among those that are not too large (b"" if they are too few)."""
     fit = rows.where(F.octet_length("html") <= SAMPLE_BYTES)
-    sample = hashed_sample(fit.select("page_id", "url", "html", "digest", "refers_to", "refers_url"), SAMPLE_RECORDS, "page_id", "digest").collect()
-    found = [record(r.asDict(), date, f"sample-{k}") for k, r in enumerate(sample)]
+    sample = hashed_sample(fit, SAMPLE_RECORDS, "page_id", "digest").collect()
+    firsts = {r["digest"]: r for r in repeated.where(F.col("digest").isin([r["digest"] for r in sample])).collect()}
+    found = []
+    for k, r in enumerate(sample):
+        first = firsts.get(r["digest"])
+        again = first is not None and first["first"] != r["page_id"]
+        refers = {"refers_to": first["first"] if again else None, "refers_url": first["first_url"] if again else None}
+        found.append(record(r.asDict() | refers, date, f"sample-{k}"))
     if len(found) < 16:
         return b""
     try:
@@ -123,7 +129,7 @@ def write_archive(pages: DataFrame, folder: str, id: str = "page_id", url: str =
     Null payloads are empty; a null url is an empty one.  Of equal payloads of ``LEAST_REVISIT`` bytes and more, the
     rows with the smallest id are responses and the others, those with a null id too, revisit it; where all ids are
     null, all are responses.  Rows that repeat an id become records of their own.  ``date`` (now) is that of all
-    records.  An empty table writes no file.
+    records.  An empty table writes no file.  Payloads are never exchanged: what repeats is found on ids and digests.
     """
     prepare(pages.sparkSession)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -132,12 +138,12 @@ def write_archive(pages: DataFrame, folder: str, id: str = "page_id", url: str =
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     seen = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
     repeated = kept(seen.where("copies > 1 and first is not null").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")))
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = rows.join(small(repeated), "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
-    dictionary = train_dictionary(marked, date)
+    dictionary = train_dictionary(rows, repeated, date)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    marked = looked_up(rows, repeated, "digest", BROADCAST_ROWS).select(
+        "page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
     return kept(marked.mapInArrow(_writer(folder, dictionary, date), "file string, records long"))
 
 
@@ -209,5 +215,4 @@ def read_archive(folder: str, manifest: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for an archive in the shared folder."""
-    base = shared_folder(spark)
-    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/warc-{uuid.uuid4().hex}"
+    return f"{shared_uri(spark)}/warc-{uuid.uuid4().hex}"
