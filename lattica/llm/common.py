@@ -109,13 +109,13 @@ def _attach(folder: str, added: pa.Schema):
     return attach
 
 
-def looked_up(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``keys`` (a kept table, one row a key; null where it has none), whatever the rows' width.
 
-    Beyond ``limit`` keys, rows are written as they stand, without an exchange, and only (key, file, place) is joined;
+    Beyond ``BROADCAST_ROWS`` keys, rows are written as they stand, without an exchange, and only (key, file, place) is joined;
     what belongs to a file's rows is one small file that the task of these rows reads.  A null key finds nothing.
     """
-    if keys.count() <= limit:
+    if keys.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), key, "left").select(*rows.columns, *[c for c in keys.columns if c != key])
     spark, held = rows.sparkSession, kept(rows)
     where = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE)]
@@ -127,12 +127,12 @@ def looked_up(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST
     return held.select("*", *where).mapInArrow(_attach(folder, to_arrow_schema(StructType(added))), out)
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` whose key is not in ``keys`` (a kept table of keys, each once); a null key stays.  Rows are not exchanged."""
-    if keys.count() <= limit:
+    if keys.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), key, "left_anti").select(*rows.columns)
     marked = kept(keys.select(key, F.lit(True).alias("__found")))
-    return looked_up(rows, marked, key, limit).where("__found is null").drop("__found")
+    return looked_up(rows, marked, key).where("__found is null").drop("__found")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

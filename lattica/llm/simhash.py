@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Forest, discard, hashed_sample, kept, paired_groups, prepare, releasing, signed, small
+from lattica.llm.common import Forest, discard, hashed_sample, kept, looked_up, paired_groups, prepare, releasing, signed, small, without
 from lattica.llm.components import connected_components
 from lattica.llm.text import Words, chunks, hash_ranges, lower_ascii, mix, xxh64_ranges
 
@@ -487,7 +487,8 @@ def distinct_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     first = keys.groupBy("node").agg(F.min("id").alias("rep"))
     marked = each.join(first, "node").where((F.col("id") != F.col("rep")) | (F.col("c") > 1)).select("node", "id", (F.col("id") == F.col("rep")).alias("again"))
     marked = kept(marked)
-    own = rows.where("id is not null").join(small(marked.drop("again")), ["node", "id"], "left_anti").select("node", "text")
+    pair = F.struct("node", "id").alias("__pair")
+    own = without(rows.where("id is not null").select(pair, "node", "text"), kept(marked.select(pair)), "__pair").select("node", "text")
     again = kept(marked.where("again").select("node", "id"))
     if not again.limit(1).count():
         return own
@@ -587,7 +588,8 @@ def verified_groups(
         .union(prints.join(reps, "fp").where("node <> rep").select("rep", "node"))
         .union(hamming_links(reps, reach).select("a", "b")))
     near = connected_components(candidates).select(F.col("id").alias("node"), F.col("component_id").alias("near"))
-    sets = kept(texts.join(small(near), "node").select("near", "node", "text").mapInArrow(_sets(shingle_words), "near long, node long, shingles array<int>"))
+    grouped = looked_up(texts, near, "node").where("near is not null")
+    sets = kept(grouped.select("near", "node", "text").mapInArrow(_sets(shingle_words), "near long, node long, shingles array<int>"))
     discard(prefixes, prints, reps, candidates)
     sets, links = _peel(sets, similarity)
     placed = _placed(sets)

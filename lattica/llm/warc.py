@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import BROADCAST_ROWS, hashed_sample, kept, looked_up, prepare, shared_uri
+from lattica.llm.common import hashed_sample, kept, looked_up, prepare, shared_uri
 
 # Fixed value of the WARC-Zstandard convention: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -142,7 +142,7 @@ def write_archive(pages: DataFrame, folder: str, id: str = "page_id", url: str =
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = looked_up(rows, repeated, "digest", BROADCAST_ROWS).select(
+    marked = looked_up(rows, repeated, "digest").select(
         "page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
     return kept(marked.mapInArrow(_writer(folder, dictionary, date), "file string, records long"))
 

@@ -640,7 +640,7 @@ def test_quality_ties_conflicts_and_repeats(spark):
 @pytest.mark.parametrize("broadcast_rows", [0, 500_000])
 def test_archive_round_trip(spark, tmp_path, monkeypatch, broadcast_rows):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     rng, vocab = random.Random(7), vocabulary(200, 7)
     pages = [(k, f"http://h/{k}\r\nX: y", "<html>" + " ".join(rng.choices(vocab, k=rng.randint(1, 300)))) for k in range(200)]
     pages += [(300 + k, None, pages[10][2] + " padding " * 20) for k in range(30)] + [(400, "u", None), (401, "u", ""), (402, "u", "é" * 50), (403, "u", "é" * 50), (404, "u", "short"), (405, "u", "short")]
@@ -670,12 +670,13 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch, broadcast_rows):
     assert warc.read_archive(f"file://{tmp_path}/none", none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_lookups_leave_rows_where_they_stand(spark, limit):
+@pytest.mark.parametrize("limit", [-1, 1000])
+def test_lookups_leave_rows_where_they_stand(spark, monkeypatch, limit):
     """Every width and a key that a third of the rows share; the plan exchanges no text."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rows = spark.range(0, 3000, 1, 7).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 10 = 1, null, 'k' || id % 500)) as k", "repeat('x', int(id % 50)) as text", "array(id, null) as list")
     keys = common.kept(spark.createDataFrame([("hot", 1, "a"), ("k7", 2, None), ("k9", None, "c"), ("other", 4, "d")], "k string, n long, name string"))
-    got = common.looked_up(rows, keys, "k", limit)
+    got = common.looked_up(rows, keys, "k")
     want = {"hot": (1, "a"), "k7": (2, None), "k9": (None, "c")}
     assert got.columns == [*rows.columns, "n", "name"]
     found = got.collect()
@@ -683,11 +684,11 @@ def test_lookups_leave_rows_where_they_stand(spark, limit):
     own = {r["id"]: r for r in rows.collect()}
     for r in found:
         assert (r["n"], r["name"]) == want.get(r["k"], (None, None)) and (r["k"], r["text"], r["list"]) == tuple(own[r["id"]][1:])
-    if not limit:
+    if limit < 0:
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
-    left = common.without(rows, keys.select("k"), "k", limit)
+    left = common.without(rows, keys.select("k"), "k")
     assert left.columns == rows.columns and sorted(r["id"] for r in left.collect()) == sorted(i for i, r in own.items() if r["k"] not in want)
-    assert common.looked_up(rows.limit(0), keys, "k", limit).count() == 0 and common.looked_up(rows, keys.limit(0), "k", -1 if not limit else limit).count() == 3000
+    assert common.looked_up(rows.limit(0), keys, "k").count() == 0 and common.looked_up(rows, keys.limit(0), "k").count() == 3000
 
 
 # -- 9

@@ -1,7 +1,9 @@
 """The pipeline stage by stage on the smallest table."""
 
+import pytest
+
 import corpus_pipeline
-from lattica.llm import decontaminate, quality, secret_scan
+from lattica.llm import common, decontaminate, quality, secret_scan
 from lattica.llm.common import fold, kept, table
 
 
@@ -36,7 +38,10 @@ def test_odd_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
-def test_repeated_ids_keep_unlike_texts(spark, sf_dir):
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_repeated_ids_keep_unlike_texts(spark, sf_dir, monkeypatch, broadcast_rows):
+    """Also where rows are looked up in place, as they are beyond the broadcast bound."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
     rows = [(1, one), (1, two), (1, two), (1, three), (2, one), (2, three + " more"), (2, "d e f g h i"), (None, one)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
