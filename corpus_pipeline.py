@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, quality, secret_scan, simhash
-from lattica.llm.common import fold, kept, prepare, small, table
+from lattica.llm.common import fold, kept, prepare, small, table, without
 from lattica.llm.queries import tokenizer_path
 
 #: The row's own key, for joins back to the texts: an id may be null or repeated.
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one row of each near-duplicate group, that of smallest id; rows with a null id stay.
 
     Rows of one id are told apart by their texts, so that only equal or similar texts of an id are dropped.  Rows that
-    go are named by their keys, a small table; texts are only exchanged where that table is not small.
+    go are named by their keys; texts stay where they stand, and are only exchanged where a whole row repeats.
     """
     prepare(spark)
     rows = docs.withColumn(KEY, _key())
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     dropped = kept(groups.join(first, "component").where("row <> first").select(F.col("row").alias(KEY)).distinct())
     repeated = groups.groupBy(F.col("row").alias(KEY)).count().where("count > 1").select(KEY)
     repeated = kept(repeated.join(dropped, KEY, "left_anti"))
-    left = rows.join(small(kept(dropped.union(repeated))), KEY, "left_anti")
+    left = without(rows, kept(dropped.union(repeated)), KEY)
     if repeated.limit(1).count():
         left = left.unionByName(rows.join(small(repeated), KEY, "left_semi").dropDuplicates([KEY]))
     return left.select(*docs.columns)
@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     rows = docs.withColumn(KEY, _key())
     found = kept(decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), KEY).select(F.col("id").alias(KEY)))
-    return rows.join(small(found), KEY, "left_anti").select(*docs.columns)
+    return without(rows, found, KEY).select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
