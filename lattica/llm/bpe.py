@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import prepare, releasing
 
-#: Encodings that a worker keeps for later chunks: two generations of so many at most.
+#: Encodings of pieces, and of words, that a worker keeps for later chunks: two generations of so many each at most.
 KEPT_WORDS = 60_000
 CHUNK_CHARS = 1_000_000
 #: Bytes of a word that states are asked for at once.
 DEPTH = 200
+#: Last bytes of a prefix that its tokens are first looked for with, and at most; longer tokens are asked for by length.
+NEAR, FAR = 4, 6
+#: Letters below this code point are letters in every version of Unicode.
+LATIN_END = "\u0250"
+MARKS = ".,;:!?"
 
 # Fixed value: how this tokenizer splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,7 +67,6 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in held.get("added_tokens", [])}
         for text, i in self.special.items():
             self.bytes.setdefault(i, text.encode())
-        self.sizes = {i: len(b) for b, i in self.id.items()}
         self.endings = self._endings()
         self._fits: dict[int, bool] = {}
         size = max(self.bytes) + 1
@@ -70,18 +74,29 @@ class Vocabulary:
         self.first = np.r_[0, np.cumsum(self.length)]
         self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
 
-    def _endings(self) -> dict[bytes, tuple[int, ...]]:
-        """For up to three last bytes of a prefix, the lengths of tokens that may end there, longest first."""
-        found: dict[bytes, set[int]] = {}
+    def _endings(self) -> dict[bytes, tuple[bool | tuple[int, ...], tuple[tuple[int, int, bytes], ...]]]:
+        """For every ending of a token, of ``FAR`` bytes at most, what is longer, and the tokens in it, longest first.
+
+        What is longer: whether a longer ending ends with it; at ``FAR`` bytes, the lengths of tokens that do, longest
+        first.  A token is given by its length, its id and the packed id.
+        """
+        longer: dict[bytes, bool] = {}
+        lengths: dict[bytes, set[int]] = {}
         for token in self.id:
-            found.setdefault(token[-3:], set()).add(len(token))
-        short = {t: len(t) for t in self.id if len(t) < 3}
-        pairs = {k for t in self.id for k in (t[i : i + 3] for i in range(len(t) - 2))}
-        for k in [*found, *pairs]:
-            for n in (1, 2):
-                if k[-n:] in short:
-                    found.setdefault(k, set()).add(n)
-        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+            end = token[-FAR:]
+            longer.setdefault(end, False)
+            if len(token) > FAR:
+                lengths.setdefault(end, set()).add(len(token))
+            for k in range(1, len(end)):
+                if longer.get(end[k:]):
+                    break  # and so are all shorter endings
+                longer[end[k:]] = True
+        found: dict[bytes, tuple[bool | tuple[int, ...], tuple[tuple[int, int, bytes], ...]]] = {}
+        for end in sorted(longer, key=len):
+            token, shorter = self.id.get(end), found[end[1:]][1] if len(end) > 1 else ()
+            more = longer[end] if len(end) < FAR else tuple(sorted(lengths.get(end, ()), reverse=True))
+            found[end] = more, shorter if token is None else ((len(end), token, pack("<I", token)), *shorter)
+        return found
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE keeps tokens a and b apart when they are neighbours."""
@@ -110,32 +125,52 @@ class Vocabulary:
                 limit, b = right + 1, self.parts[b][0]
                 right = self.rank.get(b, 0)
 
-    def encode_sorted(self, words: list[bytes]) -> list[list[int]]:
-        """Encodings of distinct words in sorted order, each prefix handled once.
+    def encode_sorted(self, words: list[bytes]) -> list[bytes]:
+        """Encodings (packed ids) of distinct words in sorted order, each prefix handled once.
 
         A word asks for the state of its whole, that asks for the prefixes which the tokens that may end there leave,
         and so on; prefixes that no token leaves are not visited.
         """
-        ids, fits, known, size, endings, out = self.id.get, self.fits, self._fits.get, self.sizes, self.endings.get, []
+        ids, fits, known, endings, out = self.id.get, self.fits, self._fits.get, self.endings.get, []
         last: list[int | None] = [-1]  # last[d]: the last token of the first d bytes; -2: none, None: not asked for yet
+        code = [b""] * (DEPTH + 1)  # code[d]: the encoding of the first d bytes, where last[d] is a token
         word = before = b""
 
         def state(d: int) -> int:
-            for n in endings(word[d - 3 if d > 3 else 0 : d], (2, 1)):
-                if n > d:
-                    continue
-                token = ids(word[d - n : d])
-                if token is None:
-                    continue
-                if n == d:
-                    last[d] = token
-                    return token
-                ahead = last[d - n]
-                if ahead is None:
-                    ahead = state(d - n)
-                if ahead >= 0 and (known(ahead << 32 | token) or fits(ahead, token)):
-                    last[d] = token
-                    return token
+            k = d if d < NEAR else NEAR
+            found = endings(word[d - k : d])
+            if found is None:
+                while found is None and k:
+                    k -= 1
+                    found = endings(word[d - k : d])
+                if found is None:  # a byte that ends no token
+                    last[d] = -2
+                    return -2
+            else:
+                while found[0] and k < d and k < FAR:
+                    more = endings(word[d - k - 1 : d])
+                    if more is None:
+                        break
+                    found, k = more, k + 1
+            tokens = found[1]
+            if k == FAR and found[0]:
+                more = [(n, ids(word[d - n : d])) for n in found[0] if n <= d]
+                tokens = [*((n, token, pack("<I", token)) for n, token in more if token is not None), *tokens]
+            for n, token, packed in tokens:
+                b = d - n
+                if b:
+                    ahead = last[b]
+                    if ahead is None:
+                        ahead = state(b)
+                    if ahead < 0:
+                        continue
+                    apart = known(ahead << 32 | token)
+                    if not apart and (apart is not None or not fits(ahead, token)):
+                        continue
+                last[d] = token
+                if d <= DEPTH:
+                    code[d] = code[b] + packed
+                return token
             last[d] = -2
             return -2
 
@@ -149,12 +184,15 @@ class Vocabulary:
                     state(d)
             if last[end] is None:
                 state(end)
-            tokens, d = [], end
-            while d:
-                tokens.append(last[d])
-                d -= size[last[d]]
-            tokens.reverse()
-            out.append(tokens)
+            if end <= DEPTH and last[end] >= 0:
+                out.append(code[end])
+            else:
+                tokens, d = [], end
+                while d:
+                    tokens.append(last[d])
+                    d -= len(self.bytes[last[d]])
+                tokens.reverse()
+                out.append(pack(f"<{len(tokens)}I", *tokens))
             before = word
         return out
 
@@ -180,13 +218,18 @@ class Encoder:
         self.split = regex.compile(SPLIT)
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        # whether a special token may stand within letters and marks
+        self.wordy = any(all(c.isalpha() or c == " " or c in MARKS for c in x) for x in names)
+        # whether a special token may stand within letters and marks
+        self.wordy = any(all(c.isalpha() or c == " " or c in MARKS for c in x) for x in names)
         self.lead: dict[str, bytes | None] = {}  # pieces at the start of a text
-        self.rest: dict[str, bytes | None] = {}  # pieces after a space
-        self.old_lead, self.old_rest = self.lead, self.rest  # the generation before, for pieces that come back
+        self.rest: dict[str, bytes | None] = {}  # pieces after a space; also the words that they start with, so that pieces share them
+        self.inner: dict[str, bytes] = {}  # words that start within a piece
+        self.old_lead, self.old_rest, self.old_inner = self.lead, self.rest, self.inner  # the generation before, for those that come back
 
     def forget(self) -> None:
         """Drop the kept encodings, so that an idle worker holds the vocabulary only."""
-        for held in (self.lead, self.rest, self.old_lead, self.old_rest, self.vocabulary._fits):
+        for held in (self.lead, self.rest, self.inner, self.old_lead, self.old_rest, self.old_inner, self.vocabulary._fits):
             held.clear()
 
     def _words(self, text: str) -> list[str]:
@@ -197,30 +240,60 @@ class Encoder:
             out += [part] if k % 2 else self.split.findall(part)
         return out
 
-    def _piece(self, space: str, piece: str) -> list[str]:
-        """The words of a piece; ASCII letters, with a mark at the end or without, need no pattern."""
-        if piece.isascii():
-            if piece.isalpha():
-                return [space + piece]
-            if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-                return [space + piece[:-1], piece[-1]]
-        return self.split.findall(space + piece)
-
-    def _encode(self, split: list[list[str]]) -> list[bytes]:
-        """Join the encodings of words; each distinct word is encoded once, along the trie of them all."""
-        own = {s: np.uint32(i).tobytes() for s, i in self.vocabulary.special.items()}
-        words = sorted((w.encode(), w) for w in set().union(*split) - own.keys())
-        for (_, w), tokens in zip(words, self.vocabulary.encode_sorted([b for b, _ in words]), strict=True):
-            own[w] = pack(f"<{len(tokens)}I", *tokens)
-        return [b"".join(map(own.__getitem__, x)) for x in split]
-
-    def _learn(self, pieces: set[str], known: dict[str, bytes | None], old: dict[str, bytes | None], space: str) -> None:
+    def _encode(self, words: set[str], known: dict[str, bytes | None], old: dict[str, bytes | None], space: str = "") -> None:
+        """Have the encodings of ``words`` (after ``space``) in ``known``: each new word is encoded once, along the trie of them all."""
+        new = []
+        for w in words:
+            if known.get(w) is None:
+                code = old.get(w)
+                if code is None:
+                    new.append(w)
+                else:
+                    known[w] = code
+        new.sort()  # code points have the order of their UTF-8
+        known.update(zip(new, self.vocabulary.encode_sorted([(space + w).encode() for w in new]), strict=True))
+
+    def _joined(self, splits: list[list[str]]) -> list[bytes]:
+        """The encodings of texts that are split into words and special tokens."""
+        special = self.vocabulary.special
+        self._encode(set().union(*splits) - special.keys(), self.inner, self.old_inner)
+        return [b"".join([pack("<I", special[w]) if w in special else self.inner[w] for w in words]) for words in splits]
+
+    def _stands(self, piece: str, space: str) -> bool:
+        """Whether a piece is split as it is, whatever its neighbours are."""
+        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace() and not (self.special and self.special.search(space + piece))
+
+    def _learn_lead(self, pieces: set[str]) -> None:
+        plain = [p for p in pieces if self._stands(p, "")]
+        self.lead.update(dict.fromkeys(pieces))
+        self.lead.update(zip(plain, self._joined([self.split.findall(p) for p in plain]), strict=True))
+
+    def _learn_rest(self, pieces: set[str]) -> None:
+        """Latin letters, with a mark at the end or without, need no pattern."""
+        rest, old, inner = self.rest, self.old_rest, self.inner
         back = pieces & old.keys()
-        known.update((p, old[p]) for p in back)
+        for p in back:
+            rest[p] = old[p]
         pieces -= back
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and not (self.special and self.special.search(space + p))]
-        known.update(dict.fromkeys(pieces))
-        known.update(zip(plain, self._encode([self._piece(space, p) for p in plain]), strict=True))
+        letters = set() if self.wordy else {p for p in pieces if p.isalpha() and (p.isascii() or max(p) < LATIN_END)}
+        marked: list[tuple[str, str, str]] = []  # piece, its letters, its mark
+        split: list[tuple[str, str, list[str]]] = []  # piece, its first word, the others
+        for p in pieces - letters:
+            w = p[:-1]
+            if w.isalpha() and p[-1] in MARKS and (w.isascii() or max(w) < LATIN_END) and not self.wordy:
+                marked.append((p, w, p[-1]))
+            elif self._stands(p, " "):
+                first, *others = self.split.findall(" " + p)
+                split.append((p, first[1:], others))
+            else:
+                rest[p] = None
+        letters.update([w for _, w, _ in marked], [w for _, w, _ in split])
+        self._encode(letters, rest, old, " ")
+        self._encode(set(MARKS).union(*[x for _, _, x in split]), inner, self.old_inner)
+        for p, w, mark in marked:
+            rest[p] = rest[w] + inner[mark]
+        for p, w, others in split:
+            rest[p] = rest[w] + b"".join([inner[x] for x in others])
 
     def texts(self, texts: list[str], chunk: int = CHUNK_CHARS) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers; a special token's string is that token.
@@ -235,16 +308,18 @@ class Encoder:
                 end += 1
             if len(self.lead) + len(self.rest) > KEPT_WORDS:
                 self.old_lead, self.old_rest, self.lead, self.rest = self.lead, self.rest, {}, {}
+            if len(self.inner) > KEPT_WORDS:
+                self.old_inner, self.inner = self.inner, {}
             split = [t.split(" ") for t in texts[at:end]]
             first = [p.pop(0) for p in split]
             rest = self.rest
-            self._learn(set(first) - self.lead.keys(), self.lead, self.old_lead, "")
-            self._learn({w for p in split for w in p if w not in rest}, rest, self.old_rest, " ")
+            self._learn_lead(set(first) - self.lead.keys())
+            self._learn_rest({w for p in split for w in p if w not in rest})
             for t, a, p in zip(texts[at:end], first, split, strict=True):
                 try:
                     out.append(self.lead[a] + b"".join(map(rest.__getitem__, p)))
                 except TypeError:  # a piece that does not stand by itself
-                    out += self._encode([self._words(t)])
+                    out += self._joined([self._words(t)])
             at = end
         return out
 

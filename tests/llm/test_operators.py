@@ -582,6 +582,34 @@ def test_bpe_equals_the_library(spark, docs, corpus, nothing):
     assert bpe.encode_decode(nothing, path).count() == 0
 
 
+def test_bpe_encodes_a_word_once_for_all_its_pieces(monkeypatch):
+    """The same word with and without marks, in chunks of their own, costs one encoding."""
+    own = bpe.Encoder(tokenizer_path())
+    asked, sorted_words = [], own.vocabulary.encode_sorted
+    monkeypatch.setattr(own.vocabulary, "encode_sorted", lambda words: asked.extend(words) or sorted_words(words))
+    own.texts(["x qrtzling qrtzlañg", "x qrtzling, qrtzlañg!", "x qrtzling. qrtzlañg###", "x qrtzling; qrtzling/qrtzling\nqrtzling"], chunk=1)
+    assert asked.count(b" qrtzling") == asked.count(" qrtzlañg".encode()) == asked.count(b"qrtzling") == 1
+
+
+def test_bpe_of_odd_pieces_equals_the_library(monkeypatch):
+    """Long words and tokens, pieces that meet again after others, kept encodings that are turned over, unused special tokens."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path(), random.Random(3)
+    library, own = Tokenizer.from_file(path), bpe.Encoder(path)
+    tokens = sorted((b for b in own.vocabulary.id if len(b) > 2), key=len)
+    words = [b.decode("utf-8", "ignore") for b in tokens[-300:] + rng.sample(tokens, 700)]
+    bits = [*words, "!\x1c!", "!\x1c", "\x1ca", "ª", "ſ", "Ԁ", "ɐ", "l'été,", "don't.", "d'", "'", "''s", "a\nb", "a\n", "\u2028", "3.", "x" * 199 + "y", "é" * 150, "-" * 500, "", "\t", "ß,,", "¿qué?", "<|endoftext|>", "<|end"]
+    texts = [rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(3000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for kept in (bpe.KEPT_WORDS, 50):
+        monkeypatch.setattr(bpe, "KEPT_WORDS", kept)
+        for chunk in (1_000_000, 700):
+            own.forget()
+            for t, got, ids in zip(texts, own.texts(texts, chunk), want, strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == ids, repr(t)
+
+
 # -- 7
 
 def test_quality_on_held_out_labels(spark, docs, nothing):
