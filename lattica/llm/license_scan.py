@@ -157,12 +157,13 @@ def find(text: list[int], template: list[int], first: list[int], least: int = 1)
         if p > done:
             attempt(max(0, p - reach), min(len(text), p + reach))
             done = p + reach // 2
-    if best[0] < least:
-        slack = len(template) - least
-        begins = np.array([p - k for p in first for k in places[text[p]] if p - k + slack >= 0])
+    slack = len(template) - least
+    # a mark that stands further from the notice's front than from the text's, by more than the slack, is in no match
+    if best[0] < least and (spots := [(p, k) for p in first for k in places[text[p]] if p - k + slack >= 0]):
+        begins = np.array([p - k for p, k in spots])
         edge = np.zeros(len(text) + 2, np.int64)  # starts within the slack of a mark's place, none after the mark itself
         np.add.at(edge, np.maximum(begins - slack, 0), 1)
-        last = np.array([min(p, p - k + slack) for p in first for k in places[text[p]] if p - k + slack >= 0])
+        last = np.array([min(p, p - k + slack) for p, k in spots])
         np.add.at(edge, last + 1, -1)
         wanted = np.cumsum(edge[: len(text)]) > 0
         sizes = (len(template), len(template) + slack)

@@ -473,6 +473,22 @@ def test_license_at_exactly_the_coverage(spark):
     assert [(r["id"], r["license"], r["coverage"]) for r in got] == [(1, "mit", 0.8)]
 
 
+def test_license_with_marks_only_at_the_front(spark):
+    """Marks nearer to the text's front than their place in the notice: a German "Mit" there, notices cut at their front."""
+    gpl, rows, want = license_scan.TEMPLATES["gpl-3.0"], [], {}
+    for name, t in license_scan.TEMPLATES.items():
+        w = t.split()
+        for cut in range(len(w)):
+            rows.append((len(rows), " ".join(w[cut:] + w[:cut][::-1])))
+            plain_t, plain_w = [plain(x) for x in w], [plain(x) for x in w[cut:] + w[:cut][::-1]]
+            enough, most = license_scan.needed(len(w), 0.8), longest_common(plain_w, plain_t)
+            want[rows[-1][0], name] = None if cut > len(w) - enough and most >= enough else most >= enough
+    rows.append((-1, f"Mit den als. {gpl}"))
+    got = {(r["id"], r["license"]): r["coverage"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == -1} == {(-1, "gpl-3.0"): 1.0}
+    assert all(((k in got) == w) for k, w in want.items() if w is not None) and False in want.values()
+
+
 def test_shared_words_slide():
     """Counts of words shared with a template, a start at a time, and a long text of a notice's words in random order."""
     rng = random.Random(1)
