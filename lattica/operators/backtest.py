@@ -35,11 +35,16 @@ def calibration_curve(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return each.groupBy("alpha").agg(F.avg(F.sqrt(F.greatest(error, F.lit(0.0)))).alias("rmse"))
 
 
-def calibrate(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """(alpha, rmse, at_boundary); with fewer than three periods alpha is the default and rmse NULL."""
+def calibrate(scores: DataFrame, edges: DataFrame, digits: int | None = None) -> DataFrame:
+    """(alpha, rmse, at_boundary); with fewer than three periods alpha is the default and rmse NULL.
+
+    The alpha of the smallest rmse; of equal ones the smallest.  With ``digits``, errors are equal that agree when
+    rounded to so many decimals.
+    """
     if scores.select("period").distinct().count() < 3:
         return scores.sparkSession.range(1).select(F.lit(DEFAULTS.alpha).alias("alpha"), F.lit(None).cast("double").alias("rmse"), F.lit(False).alias("at_boundary"))
-    best = calibration_curve(scores, edges).agg(F.min_by(F.struct("alpha", "rmse"), F.struct("rmse", "alpha")).alias("b"))
+    rank = F.col("rmse") if digits is None else F.round("rmse", digits)
+    best = calibration_curve(scores, edges).agg(F.min_by(F.struct("alpha", "rmse"), F.struct(rank, "alpha")).alias("b"))
     return best.select("b.alpha", "b.rmse", ((F.col("b.alpha") <= 0.05) | (F.col("b.alpha") >= 0.95)).alias("at_boundary"))
 
 

@@ -53,6 +53,22 @@ def test_matches_sql(spark, sf_dir, db, db_all_nations, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_alphas_of_equal_rounded_error(spark, tmp_path):
+    """Sums of nearly equal nations: several alphas have the smallest error in six decimals, of which SQL takes the first."""
+    made = {
+        "nation": "SELECT k::INTEGER AS n_nationkey, 'NATION_' || k AS n_name FROM range(4) r(k)",
+        "customer": "SELECT k AS c_custkey, k::INTEGER AS c_nationkey FROM range(4) r(k)",
+        "supplier": "SELECT k AS s_suppkey, k::INTEGER AS s_nationkey FROM range(4) r(k)",
+        "orders": "SELECT k AS o_orderkey, k % 4 AS o_custkey, make_timestamp(1996 + k // 4, 3, 1, 0, 0, 0.0) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(20) r(k)",
+        "lineitem": "SELECT k // 4 AS l_orderkey, 0 AS l_partkey, k % 4 AS l_suppkey, 1000.0::DOUBLE + k * k % 17 AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'N' AS l_returnflag FROM range(80) r(k)"}
+    for name, sql in made.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got, want = catalogue.QUERIES["calibrated_alpha"](spark, str(tmp_path)).toPandas(), opened(tmp_path).sql(catalogue.ORACLE["calibrated_alpha"]).df()
+    assert rows(got, list(want.columns)) == rows(want.astype({"alpha": float}), list(want.columns)) and got["alpha"][0] == 0.19
+    exact = catalogue.backtest.calibrate(catalogue.fx.yearly_scores(spark, str(tmp_path)), catalogue.fx.trade(spark, str(tmp_path))).first()
+    assert exact["alpha"] == 0.20
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
